@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.components import connected_components
-from barwright.llm.textarrays import U64, binary, mix, per_text_sets, segments, shingles, slices
+from barwright.llm.shared_tokens import MOST_SETS, shared_tokens
+from barwright.llm.textarrays import U64, binary, mix, per_text_sets, shingles, slices
 from barwright.plans.shared import stage
 
 #: Shingles of a batch that are counted before they are sent, and of a bucket (about) that are counted together.
 BATCH_SHINGLES, BUCKET_SHINGLES = 1_000_000, 1_500_000
 #: Entries of an index block (about).
 BLOCK = 256
-_MANY = 65535
 
 
 def prefix_length(n, num: int, den: int):
@@ -75,104 +75,17 @@ def _batches_of_sets(batches, k: int, most: int):
             sizes.append(n)
             toks.append(sets[first[i] : first[i + 1]])
             total += n
-            if total >= most or len(ids) >= _MANY - 1:
+            if total >= most or len(ids) >= MOST_SETS:
                 yield np.array(ids, np.int64), np.array(sizes), np.concatenate(toks)
                 ids, sizes, toks, total, known = [], [], [], 0, set()
     if ids:
         yield np.array(ids, np.int64), np.array(sizes), np.concatenate(toks)
 
 
-_SENT = "bucket long, batch long, tok binary, idx binary, cnt binary, ids binary, sizes binary"
-
-
-def _send(k: int, buckets: int, most: int):
-    """Shingles to the buckets that count them, each once a batch; what several texts of the batch share stays with the batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, toks in _batches_of_sets(batches, k, most):
-            batch = int(mix(np.array([*ids[0], *ids[-1], len(ids)]).view(np.uint64)).sum() >> U64(1))
-            idx = segments(sizes).astype(np.uint16)
-            order = np.argsort(toks, kind="stable")
-            toks, idx = toks[order], idx[order]
-            new = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]]))
-            cnt = np.diff(np.append(new, len(toks))).astype(np.uint32)
-            many = cnt > 1
-            kept = np.repeat(many, cnt)
-            tok, who = toks[new], np.where(many, _MANY, idx[new]).astype(np.uint16)
-            high = ((tok >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            cuts = np.searchsorted(high, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            spans = [slice(cuts[b], cuts[b + 1]) for b in full]
-            none = [b""] * len(spans)
-            low = (tok & U64(0xFFFFFFFF)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int64)), pa.array(np.full(len(full), batch)), binary(low[s] for s in spans), binary(who[s] for s in spans), binary(cnt[s][many[s]] for s in spans), pa.array(none, pa.binary()), pa.array(none, pa.binary())],
-                ["bucket", "batch", "tok", "idx", "cnt", "ids", "sizes"],
-            )
-            # the batch's own part passes through a bucket drawn by its number
-            coarse = ((toks >> U64(32)) * U64(buckets) >> U64(32)) << U64(32) | toks & U64(0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - batch % buckets]), pa.array([batch]), binary([coarse[kept]]), binary([idx[kept]]), pa.array([b""], pa.binary()), binary([ids]), binary([sizes.astype(np.int64)])],
-                ["bucket", "batch", "tok", "idx", "cnt", "ids", "sizes"],
-            )
-
-    return run
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket: to every batch, the shingles that two documents or more have, with their counts."""
-    bucket = table.column("bucket")[0].as_py()
-    if bucket < 0:
-        return table
-    get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    toks, idx, cnts = get("tok", np.uint32), get("idx", np.uint16), get("cnt", np.uint32)
-    each = []
-    for i, c in zip(idx, cnts, strict=True):
-        each.append(full := np.ones(len(i), np.uint32))
-        full[i == _MANY] = c
-    tok = np.concatenate(toks)
-    order = np.argsort(tok, kind="stable")
-    ranked = tok[order]
-    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    df = np.empty(len(tok), np.int64)
-    df[order] = np.repeat(np.add.reduceat(np.concatenate(each)[order].astype(np.int64), new), np.diff(np.append(new, len(tok))))
-    at, out = 0, []
-    for row, (t, i) in enumerate(zip(toks, idx, strict=True)):
-        own = df[at : at + len(t)]
-        at += len(t)
-        keep = own > 1
-        if keep.any():
-            out.append((row, (U64(bucket) << U64(32)) | t[keep].astype(np.uint64), i[keep], np.minimum(own[keep], 2**32 - 1).astype(np.uint32)))
-    none = pa.array([b""] * len(out), pa.binary())
-    return pa.Table.from_arrays(
-        [pa.array(np.full(len(out), bucket)), table.column("batch").combine_chunks().take(pa.array([r[0] for r in out], pa.int64())), binary(r[1] for r in out), binary(r[2] for r in out), binary(r[3] for r in out), none, none],
-        ["bucket", "batch", "tok", "idx", "cnt", "ids", "sizes"],
-    )
-
-
 def _index(num: int, den: int):
     """One batch: the entries of its sets' prefixes, shingles that nobody else has left out."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, (sizes, m_tok, m_idx) = np.zeros((0, 2), np.int64), (np.zeros(0, kind) for kind in (np.int64, np.uint64, np.uint16))
-        toks, idx, df = [], [], []
-        for i in range(table.num_rows):
-            row = {c: table.column(c)[i].as_py() for c in ("bucket", "tok", "idx", "cnt", "ids", "sizes")}
-            if row["bucket"] < 0:
-                ids, sizes = np.frombuffer(row["ids"], np.int64).reshape(-1, 2), np.frombuffer(row["sizes"], np.int64)
-                m_tok, m_idx = np.frombuffer(row["tok"], np.uint64), np.frombuffer(row["idx"], np.uint16)
-            else:
-                toks.append(np.frombuffer(row["tok"], np.uint64))
-                idx.append(np.frombuffer(row["idx"], np.uint16))
-                df.append(np.frombuffer(row["cnt"], np.uint32))
-        if not toks or not len(ids):
-            return pa.schema([("tok", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())]).empty_table()
-        tok, who, df = (np.concatenate(x) for x in (toks, idx, df))
-        order = np.argsort(tok, kind="stable")
-        tok, who, df = tok[order], who[order], df[order]
-        one = who != _MANY
-        m_df = df[~one][np.searchsorted(tok[~one], m_tok)] if len(m_tok) else np.zeros(0, np.uint32)
-        tok, who, df = np.concatenate([tok[one], m_tok]), np.concatenate([who[one], m_idx]).astype(np.int64), np.concatenate([df[one], m_df])
+    def run(ids, sizes, who, tok, df) -> pa.Table:
         order = np.lexsort((tok, df, who))
         tok, who = tok[order], who[order]
         shared = np.bincount(who, minlength=len(ids))
@@ -248,8 +161,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_shingles), min(total // 4096, 64))
 
-    counted = docs.mapInArrow(_send(k, buckets, batch_shingles), _SENT).groupBy("bucket").applyInArrow(_count, _SENT)
-    index = counted.groupBy("batch").applyInArrow(_index(num, den), "tok long, s1 long, s2 long, n long, pos int")
+    index = shared_tokens(docs, lambda it: _batches_of_sets(it, k, batch_shingles), buckets, _index(num, den), "tok long, s1 long, s2 long, n long, pos int")
     key = ["n", "s1", "s2"]
     index = stage(index.distinct().join(classes, key).select("tok", "cid", "n", "pos"), "prefixes")
 

@@ -17,8 +17,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.repeats import remove_repeats
+
+    spans = "aggregate(removed, 0L, (n, s) -> n + s.end - s.start) as n_removed"
+    return remove_repeats(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "n_bytes", spans, "cast(size(removed) as long) as n_spans", "sha2(kept, 256) as kept_sha256")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_jaccard_join,)}
+    return {f.__name__: f for f in (op3_repeats, op8_jaccard_join)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
