@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barwright.plans.shared import shared_dir
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "start", "length", "crc32(ids) as ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.token_files import read_token_files, write_token_files
+
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(_table(spark, sf_dir, "documents"), folder)
+    return read_token_files(spark, folder).selectExpr("doc_id", "start", "n_tokens", "crc32(ids) as ids_crc32")
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.repeats import remove_repeats
 
@@ -25,7 +42,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repeats, op8_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_files, op3_repeats, op4_pack, op8_jaccard_join)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
