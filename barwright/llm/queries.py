@@ -20,12 +20,24 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "start", "length", "crc32(ids) as ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.jaccard_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.token_files import read_token_files, write_token_files
 
@@ -41,8 +53,14 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "n_bytes", spans, "cast(size(removed) as long) as n_spans", "sha2(kept, 256) as kept_sha256")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.language import identify_languages
+
+    return identify_languages(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_repeats, op4_pack, op8_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op8_jaccard_join, op10_language)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
