@@ -53,6 +53,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "n_bytes", spans, "cast(size(removed) as long) as n_spans", "sha2(kept, 256) as kept_sha256")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.secrets import KINDS, find_secrets, joined
+
+    counts = [f"cast(size(filter(base, s -> s.kind = {i})) as long) as n_{KINDS[i]}" for i in range(3)]
+    return find_secrets(_table(spark, sf_dir, "documents")).selectExpr("doc_id", *counts, f"sha2({joined('base')}, 256) as base_sha256", f"{joined('spans')} as spans")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.language import identify_languages
 
@@ -60,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op8_jaccard_join, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op8_jaccard_join, op9_secrets, op10_language)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
