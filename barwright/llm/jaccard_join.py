@@ -6,9 +6,9 @@ The join keeps links exact while it skips work by relations among sets and insid
 2. Shingles are counted over all documents. Batches of texts count their own first, so a shingle of a third of
    all rows sends one entry a batch. A set's prefix, rarest shingles first, is all that is indexed, and shingles
    of one document need no entry: most documents drop out here.
-3. Star step: in every index list each set is compared with the list's smallest member. Of a group of near
-   copies this finds nearly all links with one comparison a set, and gives each set a *leader* with a known
-   distance.
+3. Star step: each index list has a head, a member of its smallest component. A set is compared with the one head
+   that most of its lists share. Of a group of near copies this finds nearly all links with one comparison a set,
+   and gives each set a *leader* with a known distance. It is done a few times, on the lists that are still mixed.
 4. Lists whose members are in one component are done. The rest are cut into blocks by set size and by the
    position that the shingle has in the set; pairs of blocks that cannot reach the overlap, given the sizes and
    positions, are skipped whole, as are pairs of blocks of one component.
@@ -36,6 +36,8 @@ from barwright.plans.shared import stage
 BATCH_SHINGLES, BUCKET_SHINGLES = 1_000_000, 1_500_000
 #: Entries of an index block (about).
 BLOCK = 256
+#: Times that sets are compared with heads of lists; what these leave open is settled pair by pair.
+STAR_ROUNDS = 3
 
 
 def prefix_length(n, num: int, den: int):
@@ -142,6 +144,13 @@ def _block_pairs(num: int, den: int):
     return run
 
 
+def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The index with each set's component so far."""
+    if labels is None:
+        return index.withColumn("label", F.col("cid"))
+    return index.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, bucket_shingles: int = BUCKET_SHINGLES, batch_shingles: int = BATCH_SHINGLES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
@@ -165,25 +174,33 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
     key = ["n", "s1", "s2"]
     index = stage(index.distinct().join(classes, key).select("tok", "cid", "n", "pos"), "prefixes")
 
-    lists = index.groupBy("tok").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    met = stage(index.join(lists, "tok").select("cid", "n", "head"), "met")
-    star = met.where(f"cid <> head.cid and {den} * least(n, head.n) >= {num} * greatest(n, head.n)")
-    star = star.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    wanted = stage(met.select("cid").distinct().join(classes, "cid"), "wanted")
+    lists = index.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    index = stage(index.join(lists, "tok"), "lists")
+    wanted = stage(index.select("cid").distinct().join(classes, "cid"), "wanted")
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = texts.mapInArrow(_sets(k), "n long, s1 long, s2 long, items binary").join(wanted, key).select("cid", "items")
     chosen = stage(chosen.dropDuplicates(["cid"]), "sets")
     link = f"{num + den} * overlap >= {num} * (na + nb)"
-    checked = stage(overlaps(star, chosen), "overlaps")
-    links = checked.where(link).select("a", "b")
-    labels = connected_components(links)
+    checked, labels = None, None
+    for _ in range(STAR_ROUNDS):
+        named = _named(index, labels)
+        head = named.groupBy("tok").agg(F.min(F.struct("label", "cid", "n")).alias("head"), F.max("label").alias("hi")).where("head.label < hi")
+        met = named.join(head, "tok").where(f"label <> head.label and {den} * least(n, head.n) >= {num} * greatest(n, head.n)")
+        # with the one head that most of its lists share, a set has the best chance to link
+        shared = met.groupBy("cid", F.col("head.cid").alias("h")).agg(F.count("*").alias("c"))
+        star = shared.groupBy("cid").agg(F.max_by("h", F.struct("c", -F.col("h"))).alias("h")).select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b"))
+        star = star.distinct() if checked is None else star.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = stage(overlaps(star, chosen), "overlaps")
+        checked = found if checked is None else stage(checked.union(found), "checked")
+        links = checked.where(link).select("a", "b")
+        labels = connected_components(links)
 
     # a set's leader: of the heads that it links with, the nearest
-    near = F.min(F.struct((F.col("na") + F.col("nb") - 2 * F.col("overlap")).alias("d"), F.col("a").alias("leader")))
-    leaders = checked.where(link).groupBy(F.col("b").alias("cid")).agg(near.alias("l")).select("cid", "l.leader", "l.d")
+    distance = (F.col("na") + F.col("nb") - 2 * F.col("overlap")).alias("d")
+    both = checked.where(link).select(F.col("b").alias("cid"), distance, F.col("a").alias("leader"))
+    leaders = both.groupBy("cid").agg(F.min(F.struct("d", "leader")).alias("l")).select("cid", "l.leader", "l.d")
 
-    named = index.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = stage(named, "named")
+    named = stage(_named(index, labels), "named")
     mixed = named.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     size = F.ceil(F.col("m") / BLOCK)
     cut = named.join(mixed.select("tok", F.col("lo").alias("first"), "m"), "tok").withColumns({

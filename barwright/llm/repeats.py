@@ -26,9 +26,9 @@ from barwright.llm.shared_tokens import MOST_SETS, coarse, shared_tokens
 from barwright.llm.textarrays import _BYTE, U64, Texts, binary, mix, powers, slices
 
 #: Anchors of a batch; bytes of text behind a bucket (about); documents from which an anchor is frequent; windows of a piece.
-BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 1_000_000, 6 << 20, 4096, 512
+BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 3 << 20, 4096, 512
 #: Bytes of text that are hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = 0x9FB21C651E98DF25 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _cache: dict[int, np.ndarray] = {}
