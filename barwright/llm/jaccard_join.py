@@ -6,14 +6,15 @@ The join keeps links exact while it skips work by relations among sets and insid
 2. Shingles are counted over all documents. Batches of texts count their own first, so a shingle of a third of
    all rows sends one entry a batch. A set's prefix, rarest shingles first, is all that is indexed, and shingles
    of one document need no entry: most documents drop out here.
-3. Star step: each index list has a head, a member of its smallest component. A set is compared with the one head
-   that most of its lists share. Of a group of near copies this finds nearly all links with one comparison a set,
-   and gives each set a *leader* with a known distance. It is done a few times, on the lists that are still mixed.
+3. Star step: each index list has a head, and a set is compared with the one head, of another component, that most of
+   its lists share. It is repeated with other heads on the lists that still mix components. Of a group of near copies
+   this finds nearly all links with a comparison a set and round, and gives each set a *leader* with a known distance.
 4. Lists whose members are in one component are done. The rest are cut into blocks by set size and by the
    position that the shingle has in the set; pairs of blocks that cannot reach the overlap, given the sizes and
    positions, are skipped whole, as are pairs of blocks of one component.
 5. The pairs that remain get their answers from those of their leaders: with the distance of two leaders known,
-   the triangle inequality on symmetric differences settles most members; the others are compared exactly.
+   the triangle inequality on symmetric differences settles most members; the others are compared exactly. Where a
+   large component is involved, only the pair of components is noted, and their sets are compared in blocks.
 
 No pair within a component is formed on purpose, and no partner or candidate is capped.
 """
@@ -36,8 +37,11 @@ from barwright.plans.shared import stage
 BATCH_SHINGLES, BUCKET_SHINGLES = 1_000_000, 1_500_000
 #: Entries of an index block (about).
 BLOCK = 256
-#: Times that sets are compared with heads of lists; what these leave open is settled pair by pair.
-STAR_ROUNDS = 3
+#: Times that sets are compared with heads of lists, at most; another round follows while the pairs that are left in
+#: mixed lists fall to this share.
+STAR_ROUNDS, ENOUGH = 12, 0.7
+#: Pairs of components with more pairs of members than this are compared block by block, others pair by pair; bytes of a block.
+PAIRWISE, BLOCK_BYTES = 64, 256 << 10
 
 
 def prefix_length(n, num: int, den: int):
@@ -127,23 +131,79 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_pairs(num: int, den: int):
-    """Within two blocks of an index list, the pairs of different components that sizes and positions allow."""
+    """Within two blocks of an index list, the pairs of different components that sizes and positions allow: as members
+    (a, b), or where the two components have many members, as the components (p, q) alone, p the smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = [[np.array([e[c] for e in row[side]], np.int64) for c in ("cid", "n", "pos", "label")] for side in ("e1", "e2")]
-                (n1, p1, l1), (n2, p2, l2) = [v[:, None] for v in ends[0][1:]], [v[None, :] for v in ends[1][1:]]
+                ends = [[np.array([e[c] for e in row[side]], np.int64) for c in ("cid", "n", "pos", "label", "size")] for side in ("e1", "e2")]
+                (n1, p1, l1), (n2, p2, l2) = [v[:, None] for v in ends[0][1:4]], [v[None, :] for v in ends[1][1:4]]
                 # no shingle before the first common one is common: the overlap has at most this and what follows
                 fits = (l1 != l2) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & ((num + den) * np.minimum(n1 - p1, n2 - p2) >= num * (n1 + n2))
                 i, j = np.nonzero(fits)
-                if len(i):
-                    a, b = ends[0][0][i], ends[1][0][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if not len(i):
+                    continue
+                (a, _, _, p, x), (b, _, _, q, y) = (v[i] for v in ends[0]), (v[j] for v in ends[1])
+                many = x * y > PAIRWISE
+                turned = (x > y) | (x == y) & (p > q)
+                both = np.unique(np.stack([np.where(turned, q, p), np.where(turned, p, q)], axis=1)[many], axis=0)
+                few = ~many
+                m, k = int(few.sum()), len(both)
+                cells = [pa.array(np.minimum(a, b)[few]), pa.array(np.maximum(a, b)[few])]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, pa.nulls(k, pa.int64())]) for c in cells] + [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(both[:, c])]) for c in (0, 1)], ["a", "b", "p", "q"])
 
     return run
 
 
+def _met(num: int, den: int):
+    """Links between two blocks of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                mine, theirs = batch.column("mine")[r].as_py(), batch.column("theirs")[r].as_py()
+                sets = [np.frombuffer(e["items"], np.uint64) for e in theirs]
+                sizes = np.array([len(s) for s in sets])
+                tok, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(tok, kind="stable")
+                tok, owner = tok[order], owner[order]
+                a, b = [], []
+                for e in mine:
+                    own = np.frombuffer(e["items"], np.uint64)
+                    low, high = np.searchsorted(tok, own, "left"), np.searchsorted(tok, own, "right")
+                    count = high - low
+                    at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    common = np.bincount(owner[at], minlength=len(sets))
+                    for j in np.flatnonzero((num + den) * common >= num * (len(own) + sizes)):
+                        a.append(e["cid"])
+                        b.append(theirs[j]["cid"])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _members_met(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between the members of components p and q, for distinct ``pairs(p, q)``, without a row for a pair of members.
+
+    The members of q, and those of all p that meet q, are dealt into blocks of about ``BLOCK_BYTES`` of sets; each pair of
+    blocks is a row, compared as a whole.
+    """
+    pairs = stage(pairs.distinct(), "components")
+    named = members.join(sets, "cid").select("label", "cid", "items")
+    of_q = named.join(pairs.select(F.col("q").alias("label")).distinct(), "label").select(F.col("label").alias("q"), "cid", "items")
+    of_p = named.join(pairs.withColumnRenamed("p", "label"), "label").select("q", "cid", "items")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        parts = df.groupBy("q").agg(F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES).alias("parts"))
+        dealt = df.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+        return stage(dealt.groupBy("q", "part").agg(F.collect_list(F.struct("cid", "items")).alias(name)).select("q", name), name)
+
+    both = blocks(of_p, "mine").join(blocks(of_q, "theirs"), "q").select("mine", "theirs").repartition(F.xxhash64(F.monotonically_increasing_id()))
+    return both.mapInArrow(_met(num, den), "a long, b long")
+
+
 def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The index with each set's component so far."""
     if labels is None:
@@ -175,32 +235,48 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
     index = stage(index.distinct().join(classes, key).select("tok", "cid", "n", "pos"), "prefixes")
 
     lists = index.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
-    index = stage(index.join(lists, "tok"), "lists")
+    index = index.join(lists, "tok")
+    # the part of its prefix that a set shares: near 1 in the middle of a group of near copies, less with every change
+    central = index.groupBy("cid").agg((F.count("*") / (F.max("n") * (den - num) / den + 1)).alias("central"))
+    index = stage(index.join(central, "cid"), "lists")
     wanted = stage(index.select("cid").distinct().join(classes, "cid"), "wanted")
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = texts.mapInArrow(_sets(k), "n long, s1 long, s2 long, items binary").join(wanted, key).select("cid", "items")
     chosen = stage(chosen.dropDuplicates(["cid"]), "sets")
     link = f"{num + den} * overlap >= {num} * (na + nb)"
-    checked, labels = None, None
-    for _ in range(STAR_ROUNDS):
+    checked, labels, before = None, None, None
+    for turn in range(STAR_ROUNDS):
         named = _named(index, labels)
-        head = named.groupBy("tok").agg(F.min(F.struct("label", "cid", "n")).alias("head"), F.max("label").alias("hi")).where("head.label < hi")
-        met = named.join(head, "tok").where(f"label <> head.label and {den} * least(n, head.n) >= {num} * greatest(n, head.n)")
+        # first the most central member of each list, then others that are central, drawn anew in every round
+        drawn = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1000)) / 1000
+        order = F.struct(F.col("central") * (1 - (0.4 * drawn if turn else F.lit(0.0))), "cid")
+        lists = named.groupBy("tok", "label").agg(F.count("*").alias("c"), F.max_by(F.struct("label", "cid", "n"), order).alias("head"), F.max(order).alias("o"))
+        lists = lists.groupBy("tok").agg(F.max_by("head", "o").alias("head"), F.count("*").alias("labels"), (F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("pairs")).where("labels > 1")
+        lists = stage(lists.select("tok", "head", "pairs"), "heads")
+        left = lists.agg(F.sum("pairs")).first()[0] or 0
+        if not left or turn and left > ENOUGH * before:
+            break
+        before = left
+        met = named.join(lists, "tok").where(f"label <> head.label and {den} * least(n, head.n) >= {num} * greatest(n, head.n)")
         # with the one head that most of its lists share, a set has the best chance to link
         shared = met.groupBy("cid", F.col("head.cid").alias("h")).agg(F.count("*").alias("c"))
-        star = shared.groupBy("cid").agg(F.max_by("h", F.struct("c", -F.col("h"))).alias("h")).select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b"))
-        star = star.distinct() if checked is None else star.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = stage(overlaps(star, chosen), "overlaps")
-        checked = found if checked is None else stage(checked.union(found), "checked")
+        star = shared.groupBy("cid").agg(F.max_by("h", F.struct("c", "h")).alias("h")).select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()
+        found = overlaps(star if checked is None else star.join(checked.select("a", "b"), ["a", "b"], "left_anti"), chosen)
+        checked = stage(found if checked is None else checked.union(found), "checked")
         links = checked.where(link).select("a", "b")
         labels = connected_components(links)
+    if checked is None:
+        checked = stage(overlaps(wanted.where("false").select(F.col("cid").alias("a"), F.col("cid").alias("b")), chosen), "checked")
+        links = checked.select("a", "b")
 
     # a set's leader: of the heads that it links with, the nearest
     distance = (F.col("na") + F.col("nb") - 2 * F.col("overlap")).alias("d")
     both = checked.where(link).select(F.col("b").alias("cid"), distance, F.col("a").alias("leader"))
     leaders = both.groupBy("cid").agg(F.min(F.struct("d", "leader")).alias("l")).select("cid", "l.leader", "l.d")
 
-    named = stage(_named(index, labels), "named")
+    members = stage(_named(wanted.select("cid", "n"), labels), "members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
+    named = stage(_named(index, labels).join(sizes, "label"), "named")
     mixed = named.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     size = F.ceil(F.col("m") / BLOCK)
     cut = named.join(mixed.select("tok", F.col("lo").alias("first"), "m"), "tok").withColumns({
@@ -210,7 +286,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
         "sub": F.pmod(F.xxhash64("cid"), size),
     })
     blocks = cut.groupBy("tok", "sb", "pb", "own", "sub").agg(
-        F.collect_list(F.struct("cid", "n", "pos", "label")).alias("e"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        F.collect_list(F.struct("cid", "n", "pos", "label", "size")).alias("e"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("label").alias("lo"), F.max("label").alias("hi")
     )
     blocks = stage(blocks.withColumn("key", F.struct("sb", "pb", "own", "sub")), "blocks")
     facts = ("e", "key", "n_lo", "n_hi", "reach", "lo", "hi")
@@ -220,12 +296,13 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
         f"""key1 <= key2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2) and {den} * least(n_hi1, n_hi2) >= {num} * greatest(n_lo1, n_lo2)
         and {num + den} * least(reach1, reach2) >= {num} * (n_lo1 + n_lo2)"""
     )
-    pairs = stage(beside.select("e1", "e2").mapInArrow(_block_pairs(num, den), "a long, b long").distinct(), "pairs")
-    pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stage(beside.select("e1", "e2").mapInArrow(_block_pairs(num, den), "a long, b long, p long, q long").distinct(), "pairs")
+    met = _members_met(pairs.where("a is null").select("p", "q"), members, chosen, num, den)
+    pairs = pairs.where("a is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
     lead = lambda side: leaders.select(F.col("cid").alias(side), F.col("leader").alias(f"l{side}"), F.col("d").alias(f"d{side}"))
     held = pairs.join(lead("a"), "a", "left").join(lead("b"), "b", "left")
-    sizes = wanted.select("cid", "n")
-    held = held.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    count = wanted.select("cid", "n")
+    held = held.join(count.toDF("a", "na"), "a").join(count.toDF("b", "nb"), "b")
     held = held.select("a", "b", "na", "nb", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("da", F.lit(0)).alias("da"), F.coalesce("db", F.lit(0)).alias("db"))
     held = stage(held.withColumns({"t1": F.least("la", "lb"), "t2": F.greatest("la", "lb")}), "held")
     tops = overlaps(held.where("t1 <> t2").select(F.col("t1").alias("a"), F.col("t2").alias("b")).distinct(), chosen)
@@ -238,7 +315,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
     rows = signs.where("n > 0 and doc_id is not null").join(classes, key).select("doc_id", "n", "cid")
     several = rows.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z")
     several = rows.join(several, "doc_id").select("a", F.col("cid").alias("b"))
-    labels = connected_components(links.union(held.where("said = 1").select("a", "b")).union(exact).union(several))
+    labels = connected_components(links.union(held.where("said = 1").select("a", "b")).union(exact).union(met).union(several))
     grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(*key, "rep", F.coalesce("label", "cid").alias("label"))
     grouped = stage(grouped, "grouped")
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
