@@ -26,6 +26,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.topk import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.jaccard_join import jaccard_components
 
@@ -67,8 +73,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op8_jaccard_join, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op6_topk, op8_jaccard_join, op9_secrets, op10_language)}
+
+
+OP6_SQL = """
+with p as (
+    select cast(vec_id as bigint) as vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as query_id, b.vec_id as vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+    from p a join p b on b.vec_id <> a.vec_id where a.vec_id % 50 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": OP6_SQL}
