@@ -32,6 +32,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.jaccard_join import jaccard_components
 
@@ -73,7 +79,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op6_topk, op8_jaccard_join, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op6_topk, op7_url_filter, op8_jaccard_join, op9_secrets, op10_language)}
 
 
 OP6_SQL = """
