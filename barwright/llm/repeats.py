@@ -26,7 +26,7 @@ from barwright.llm.shared_tokens import MOST_SETS, coarse, shared_tokens
 from barwright.llm.textarrays import _BYTE, U64, Texts, binary, mix, powers, slices
 
 #: Anchors of a batch; bytes of text behind a bucket (about); documents from which an anchor is frequent; windows of a piece.
-BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 3 << 20, 4096, 512
+BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 1 << 20, 4096, 512
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 _BASE = 0x9FB21C651E98DF25 | 1
@@ -201,11 +201,10 @@ def _previous_factors(width: int):
         lens = lens.astype(np.int64)
         at = np.cumsum(lens) - lens
         count = lens - width + 1
-        piece = np.repeat(np.arange(len(lens)), count)
-        nth = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        piece = np.repeat(np.arange(len(lens), dtype=np.int32), count)
+        nth = (np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
         window = at[piece] + nth
-        rolling = Rolling(data)
-        own = rolling.some(window, window + width)
+        own = Rolling(data).all(width)[window]
         # a window whose hash only one document has cannot match
         order = np.argsort(own, kind="stable")
         new = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
