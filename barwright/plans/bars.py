@@ -69,8 +69,8 @@ def asof_backward(left: DataFrame, right: DataFrame, values: list[str], names: l
     return both.where("__bw_side = 1").select("series_id", "ts", *[F.col(f"__bw_left.{c}").alias(c) for c in own], *[F.col(f"__bw_m.{v}").alias(n) for v, n in zip(values, names or values, strict=True)])
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance: str, names: list[str] | None = None) -> DataFrame:
-    """As ``asof_backward``, with the nearest row within ``tolerance`` (inclusive); of two equally near, the later one."""
+def asof_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance_s: int, names: list[str] | None = None) -> DataFrame:
+    """As ``asof_backward``, with the nearest row within ``tolerance_s`` seconds (inclusive); of two equally near, the later one."""
     w = Window.partitionBy("series_id").orderBy("ts", "__bw_side", "__bw_right")
     both = _sides(left, right, values).withColumns({
         "__bw_b": F.last("__bw_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
@@ -78,7 +78,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance
     })
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     back, ahead = micros("ts") - micros("__bw_b.__bw_at"), micros("__bw_f.__bw_at") - micros("ts")
-    most = F.expr(f"cast(extract(second from interval {tolerance}) * 1000000 + extract(minute from interval {tolerance}) * 60000000 + extract(hour from interval {tolerance}) * 3600000000 as bigint)")
+    most = F.lit(tolerance_s * 1_000_000)
     pick = F.when(ahead.isNotNull() & (back.isNull() | (ahead <= back)) & (ahead <= most), F.col("__bw_f")).when(back <= most, F.col("__bw_b"))
     own = [c for c in left.columns if c not in ("series_id", "ts")]
     both = both.where("__bw_side = 1").withColumn("__bw_m", pick)
@@ -99,5 +99,5 @@ def build_dataset(klines: DataFrame, funding: DataFrame | None = None, open_inte
     else:
         df = df.withColumn("funding_rate", F.lit(None).cast("double"))
     if open_interest is not None:
-        return asof_nearest(df, open_interest, ["open_interest"], "1 hour")
+        return asof_nearest(df, open_interest, ["open_interest"], 3600)
     return df.withColumn("open_interest", F.lit(None).cast("double"))
