@@ -82,9 +82,9 @@ class Items:
         return np.concatenate(at), np.concatenate(item)
 
 
-def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
+def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     """The stretch with the largest (equal - penalty * substituted): (begin, end, equal)."""
-    score = np.where(same, 1, -penalty)
+    score = np.where(same, 1.0, -penalty)
     total = np.concatenate([[0], np.cumsum(score)])
     lowest = np.minimum.accumulate(total)
     end = int(np.argmax(total - lowest))
@@ -92,7 +92,7 @@ def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return begin, end, int(same[begin:end].sum())
 
 
-def _find(items: Items, min_words: int, penalty: int):
+def _find(items: Items, min_words: int, penalty: float):
     def run(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("matched", pa.int32()), ("item_start", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
         out = []
@@ -112,7 +112,7 @@ def _find(items: Items, min_words: int, penalty: int):
                         if a >= b:
                             continue
                         x, y, matched = best_stretch(h[a:b] == own[a - begin : b - begin], penalty)
-                        if matched >= min(min_words, len(own) - len(own) // 5):
+                        if matched >= min(min_words, len(own) - len(own) // 5) and 3 * matched >= 2 * (y - x):
                             got = (matched, -(a - int(first[d]) + x), len(own), int(a - begin) + x, y - x)
                             if got > found[d].get(items.ids[number], (0,)):
                                 found[d][items.ids[number]] = got
@@ -123,11 +123,12 @@ def _find(items: Items, min_words: int, penalty: int):
     return run
 
 
-def leak_column(benchmark: DataFrame, text: str | Column = "text", masks: tuple[str, ...] = MASKS, min_words: int = 13, min_item_words: int = 5, penalty: int = 2, block_bytes: int = 8 << 20) -> Column:
+def leak_column(benchmark: DataFrame, text: str | Column = "text", masks: tuple[str, ...] = MASKS, min_words: int = 13, min_item_words: int = 5, penalty: float = 0.5, block_bytes: int = 8 << 20) -> Column:
     """A column with a text's leaks of ``benchmark(item_id, text)``: one entry an item, the best stretch of it.
 
-    A stretch counts if min(``min_words``, four fifths of the item's words) of its words are equal; a substituted word
-    costs ``penalty`` equal ones, so at most about a third of a stretch is substituted. Words are runs of non-blank
+    A stretch counts if min(``min_words``, four fifths of the item's words) of its words are equal, and two thirds of its
+    own; a stretch grows while a substituted word costs less, at ``penalty`` equal ones, than what follows brings. Items
+    shorter than the shortest mask are found where they stand whole. Words are runs of non-blank
     characters, A-Z lower-cased. ``start_word`` and ``end_word`` (exclusive) are places in the text, ``item_start``
     in the item.
 
@@ -142,7 +143,8 @@ def leak_column(benchmark: DataFrame, text: str | Column = "text", masks: tuple[
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = Items([r.item_id for r in rows], [r.text for r in rows], masks, min_item_words)
-        found.append(F.arrow_udf(_find(block, min_words, penalty), LEAKS)(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+        find = F.arrow_udf(_find(block, min_words, penalty), LEAKS).asNondeterministic()  # so that a filter does not repeat it
+        found.append(find(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
     return F.flatten(F.array(*found)) if blocks > 1 else found[0]
 
 

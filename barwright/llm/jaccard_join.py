@@ -197,7 +197,8 @@ def _members_met(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         parts = df.groupBy("q").agg(F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES).alias("parts"))
-        dealt = df.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+        # (dealt by both, since one component may have most of the members)
+        dealt = df.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).repartition("q", "part")
         return stage(dealt.groupBy("q", "part").agg(F.collect_list(F.struct("cid", "items")).alias(name)).select("q", name), name)
 
     both = blocks(of_p, "mine").join(blocks(of_q, "theirs"), "q").select("mine", "theirs").repartition(F.xxhash64(F.monotonically_increasing_id()))
