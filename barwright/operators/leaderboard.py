@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
-from barwright.functions.compiler import evaluate
 from barwright.operators import backtest
 from barwright.operators.definitions import SignalDef, parse_signal
-from barwright.operators.signals import combine, discretize
+from barwright.operators.signals import combine, discretize, min_hold
 from barwright.plans.config import BacktestConfig, RiskConfig
 
 
@@ -28,18 +27,26 @@ def read_signals(spark: SparkSession, path: str) -> tuple[dict[str, SignalDef],
 
 
 def positions(bars: DataFrame, signals: dict[str, SignalDef], cfg: BacktestConfig | None = None) -> DataFrame:
-    """Long form: a row for each bar and strategy, with its position."""
+    """Long form: a row for each bar and strategy, with its position.
+
+    All strategies are columns of one plan over the bars, which are read and sorted once; then the columns are stood on end.
+    """
     cfg = cfg or BacktestConfig()
-    base = [c for c in (W.SERIES, W.TIME, "close", "high", "low", "funding_rate") if c in bars.columns]
-    out = None
-    for name, s in signals.items():
-        own = BacktestConfig(cfg.symbol, cfg.timeframe, s.long_threshold, s.short_threshold, cfg.min_hold_bars, cfg.costs)
-        df = evaluate(bars, s.score) if s.score else combine(bars, s.weights) if "regime" in bars.columns else bars.withColumn("score", F.lit(0.0))
-        df = discretize(df, own, s.long_when, s.short_when).select(*base, F.lit(name).alias("strategy"), "signal")
-        out = df if out is None else out.unionByName(df)
-    if out is None:
+    if not signals:
         raise ValueError("no strategy")
-    return out
+    base = [c for c in (W.SERIES, W.TIME, "close", "high", "low", "funding_rate") if c in bars.columns]
+    df, cells = bars, []
+    for i, (name, s) in enumerate(signals.items()):
+        score, signal = f"__bw_score_{i}", f"__bw_signal_{i}"
+        own = BacktestConfig(cfg.symbol, cfg.timeframe, s.long_threshold, s.short_threshold, 0, cfg.costs)
+        if s.score or "regime" in bars.columns:
+            df = combine(df, s.weights, s.score or None, score)
+        else:
+            df = df.withColumn(score, F.lit(0.0))
+        df = discretize(df, own, s.long_when, s.short_when, score, signal)
+        cells.append(F.struct(F.lit(name).alias("strategy"), F.col(signal).alias("signal")))
+    long = df.select(*base, F.explode(F.array(*cells)).alias("__bw_cell")).select(*base, "__bw_cell.strategy", "__bw_cell.signal")
+    return min_hold(long, cfg.min_hold_bars, "signal", (W.SERIES, "strategy")) if cfg.min_hold_bars > 0 else long
 
 
 def leaderboard(bars: DataFrame, signals: dict[str, SignalDef], per_year: float = 8760, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None) -> DataFrame:
