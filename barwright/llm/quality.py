@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.textarrays import SPACE, U64, mix, slices, word_hashes, words
+from barwright.llm.textarrays import U64, mix, slices, word_hashes, words
 
 #: Hashed word features (a power of two), factors of a feature, and labelled rows that a fit takes at most.
 WORDS, FACTORS, MOST_LABELLED = 1 << 15, 8, 6000
