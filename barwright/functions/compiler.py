@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
-from barwright.functions.expressions import MOST_DEPTH, EvalError, Name, Node, Number, Operation, parse
+from barwright.functions.expressions import MOST_DEPTH, EvalError, Name, Node, Number, parse
 from barwright.functions.sequential import ewm, span, wilder
 
 #: Factors (columns ``f_...``) that expressions may name.

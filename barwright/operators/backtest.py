@@ -35,7 +35,7 @@ def policy_mask(policy: PolicyConfig, ts: str = W.TIME) -> Column:
 
 
 def epoch_ms(ts: str = W.TIME) -> Column:
-    """Milliseconds since 1970 of a timestamp read as UTC, whatever the session's zone."""
+    """Milliseconds since 1970. A timestamp without a zone is read as UTC; one with a zone is seen in the session's, which should be UTC."""
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{ts}` as timestamp_ntz))")
 
 
