@@ -81,7 +81,8 @@ def runs(t: Texts, width: int, k: int) -> tuple[Rolling, np.ndarray, np.ndarray,
     stop[-1] = True
     bounds = np.flatnonzero(stop)
     last = bounds[np.searchsorted(bounds, first, "right")] - 1
-    return rolling, first, last, np.searchsorted(t.offs, first, "right") - 1, low[first]
+    # (mixed once more: smallest hashes are small, and would crowd into the first buckets)
+    return rolling, first, last, np.searchsorted(t.offs, first, "right") - 1, mix(low[first])
 
 
 def _anchor_batches(width: int, k: int, most: int):
@@ -223,6 +224,7 @@ def _previous_factors(width: int):
         same = np.concatenate([[False], (parts[1:] == parts[:-1]).all(axis=1)])
         smallest = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the smallest position of the windows with width bytes in common
         gone = pick[doc[piece[pick]] > doc[piece[pick[smallest]]]]
+        del wide, parts, order, begin
         gone.sort()
         p, w = piece[gone], nth[gone]
         new = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1)]) if len(gone) else np.zeros(0, bool)
