@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barwright.llm.textarrays import binary, slices
 
 #: Pieces that a worker remembers at most: words with their marks, and the parts these are made of.
-MOST_WORDS, MOST_PARTS = 200_000, 600_000
+MOST_WORDS, MOST_PARTS = 250_000, 700_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -106,7 +106,7 @@ def encoder(path: str) -> Encoder:
 def _run(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        for t in slices(batches, most=2 << 20):
+        for t in slices(batches, most=4 << 20):
             ids, counts = encoder(path).encode(t.rows.column("text").cast(pa.large_string()).fill_null(""))
             ids = ids.astype(np.uint16 if ids.max(initial=0) < 65536 and end_id < 65536 else np.uint32)
             ends = np.cumsum(counts)
