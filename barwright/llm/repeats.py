@@ -26,9 +26,9 @@ from barwright.llm.shared_tokens import MOST_SETS, coarse, shared_tokens
 from barwright.llm.textarrays import _BYTE, U64, Texts, binary, mix, powers, slices
 
 #: Anchors of a batch; bytes of text behind a bucket (about); documents from which an anchor is frequent; windows of a piece.
-BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 1 << 20, 4096, 512
-#: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 4 << 20, 4096, 512
+#: Bytes of text that are hashed at once, for anchors and for pieces.
+SLICE, SENT = 1 << 20, 4 << 20
 _BASE = 0x9FB21C651E98DF25 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _cache: dict[int, np.ndarray] = {}
@@ -124,14 +124,15 @@ def _to_documents(frequent: int):
     return run
 
 
-_PIECES = "bucket long, docs binary, keys binary, starts binary, lens binary, body binary"
+_PIECES = "bucket long, count long, size long, docs binary, keys binary, starts binary, lens binary, body binary"
+_KINDS = {"docs": np.int64, "keys": np.int64, "starts": np.int32, "lens": np.int32}
 
 
 def _pieces(width: int, k: int, buckets: int):
     """The pieces of text that may match, by bucket, equal ones once; spans that an earlier document of the batch settles go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in slices(batches, most=SLICE):
+        for t in slices(batches, most=SENT):
             rolling, first, last, text, anchor = runs(t, width, k)
             anchor = coarse(anchor, buckets)
             keep, hot = np.zeros(len(first), bool), np.zeros(len(first), bool)
@@ -176,8 +177,16 @@ def _pieces(width: int, k: int, buckets: int):
     return run
 
 
+def _zip(arrays) -> pa.Array:
+    """Arrays as compressed bytes: fragments of text and their places make up most of what is shuffled."""
+    return pa.array([pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if len(a) else b"" for a in arrays], pa.binary())
+
+
+def _unzip(data: bytes, kind, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=count * np.dtype(kind).itemsize, codec="zstd"), kind) if count else np.zeros(0, kind)
+
+
 def _packed(bucket, doc, key, start, lens, begin, data) -> pa.RecordBatch:
-    names = ["bucket", "docs", "keys", "starts", "lens", "body"]
     values = np.unique(bucket)
     cuts = np.append(np.searchsorted(bucket, values), len(bucket))
     spans = [slice(cuts[i], cuts[i + 1]) for i in range(len(values))]
@@ -188,18 +197,21 @@ def _packed(bucket, doc, key, start, lens, begin, data) -> pa.RecordBatch:
         else:
             n = lens[s].astype(np.int64)
             body.append(data[np.arange(n.sum()) + np.repeat(begin[s] - (np.cumsum(n) - n), n)])
-    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), *(binary(x[s].astype(kind) for s in spans) for x, kind in ((doc, np.int64), (key, np.int64), (start, np.int64), (lens, np.int32))), binary(body)], names)
+    cells = [_zip(x[s].astype(kind) for s in spans) for x, kind in zip((doc, key, start, lens), _KINDS.values(), strict=True)]
+    sizes = [pa.array(np.diff(cuts)), pa.array([len(x) for x in body], pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), *sizes, *cells, _zip(body)], ["bucket", "count", "size", *_KINDS, "body"])
 
 
 def _previous_factors(width: int):
     """One bucket: the spans of windows that have an earlier document's window as their previous factor."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, key, start, lens = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("docs", np.int64), ("keys", np.int64), ("starts", np.int64), ("lens", np.int32)))
+        counts = table.column("count").to_pylist()
+        doc, key, start, lens = (np.concatenate([_unzip(x.as_py(), kind, n) for x, n in zip(table.column(c), counts, strict=True)]) for c, kind in _KINDS.items())
+        start, lens = start.astype(np.int64), lens.astype(np.int64)
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"doc_id": doc, "key": key, "start": start, "end": start + lens})
-        data = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("body")])
-        lens = lens.astype(np.int64)
+        data = np.concatenate([_unzip(x.as_py(), np.uint8, n) for x, n in zip(table.column("body"), table.column("size").to_pylist(), strict=True)])
         at = np.cumsum(lens) - lens
         count = lens - width + 1
         piece = np.repeat(np.arange(len(lens), dtype=np.int32), count)
