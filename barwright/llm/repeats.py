@@ -125,7 +125,7 @@ def _to_documents(frequent: int):
 
 
 _PIECES = "bucket long, count long, size long, docs binary, keys binary, starts binary, lens binary, body binary"
-_KINDS = {"docs": np.int64, "keys": np.int64, "starts": np.int32, "lens": np.int32}
+_KINDS = {"docs": np.int64, "keys": np.int32, "starts": np.int32, "lens": np.int32}
 
 
 def _pieces(width: int, k: int, buckets: int):
@@ -179,7 +179,8 @@ def _pieces(width: int, k: int, buckets: int):
 
 def _zip(arrays) -> pa.Array:
     """Arrays as compressed bytes: fragments of text and their places make up most of what is shuffled."""
-    return pa.array([pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if len(a) else b"" for a in arrays], pa.binary())
+    codec = pa.Codec("zstd", compression_level=6)
+    return pa.array([codec.compress(np.ascontiguousarray(a).tobytes(), asbytes=True) if len(a) else b"" for a in arrays], pa.binary())
 
 
 def _unzip(data: bytes, kind, count: int) -> np.ndarray:
@@ -208,7 +209,7 @@ def _previous_factors(width: int):
     def run(table: pa.Table) -> pa.Table:
         counts = table.column("count").to_pylist()
         doc, key, start, lens = (np.concatenate([_unzip(x.as_py(), kind, n) for x, n in zip(table.column(c), counts, strict=True)]) for c, kind in _KINDS.items())
-        start, lens = start.astype(np.int64), lens.astype(np.int64)
+        key, start, lens = (x.astype(np.int64) for x in (key, start, lens))
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"doc_id": doc, "key": key, "start": start, "end": start + lens})
         data = np.concatenate([_unzip(x.as_py(), np.uint8, n) for x, n in zip(table.column("body"), table.column("size").to_pylist(), strict=True)])
@@ -283,11 +284,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 24, bucket_bytes:
     in a document with a smaller doc_id; strings are judged on the input and never cross documents. ``removed`` has the
     maximal removed runs in order, ``kept`` the remaining bytes, which need not be valid UTF-8.
 
-    Rows that share a doc_id, repeated ones too, do not remove from each other, and all of them lose what an earlier
+    Rows that share a doc_id (told apart by a 32-bit hash of their texts), repeated ones too, do not remove from each other, and all of them lose what an earlier
     document has. A null doc_id is neither smaller nor larger than another: such a row loses nothing and removes nothing.
     Other columns are not looked at. No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("key"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes), min(total // 65536, 64))
     anchors = shared_tokens(docs, _anchor_batches(width, k, BATCH_ANCHORS), buckets, _to_documents(frequent), "doc_id long, key long, anchors binary, hot binary")
