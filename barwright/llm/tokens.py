@@ -39,7 +39,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # ids as the bytes of 32-bit integers: a fifth of the memory that tuples of integers take
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}

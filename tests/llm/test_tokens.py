@@ -38,6 +38,17 @@ def test_any_text(texts):
     check([t.encode("utf-8", "ignore").decode() for t in texts])
 
 
+def test_strings_of_special_tokens_as_the_library_alone():
+    from tokenizers import Tokenizer
+
+    alone = Tokenizer.from_file(tokenizer_path())
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [*ODD, f"end {end} go", f"end{end}go", f"{end}{end}", f"Don't{start}'s.{end}!", f"{end.upper()} <|endof text|>", f"e{end}\u0301 \n{start}\t{end}", f"...{end}...", "<" + end + ">"]
+    for _ in range(2):
+        ids, counts = ENCODER.encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [alone.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_round_trip(values):
