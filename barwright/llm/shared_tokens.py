@@ -33,9 +33,17 @@ def coarse(tok: np.ndarray, buckets: int) -> np.ndarray:
     return ((tok >> U64(32)) * U64(buckets) >> U64(32)) << U64(32) | tok & U64(0xFFFFFFFF)
 
 
+def _name(ids: np.ndarray, sizes: np.ndarray) -> int:
+    """A number for a batch, by the ids and sizes of all its sets in their order: a repeated task gives the same."""
+    each = np.arange(1, len(ids) + 1, dtype=np.uint64)
+    for column in (*ids.T, sizes):
+        each = mix(mix(each) ^ column.astype(np.int64).view(np.uint64))
+    return int(mix(each).sum() >> U64(1))
+
+
 def _send(groups: Iterable[Batch], buckets: int) -> Iterator[pa.RecordBatch]:
     for ids, sizes, toks in groups:
-        batch = int(mix(np.array([*ids[0], *ids[-1], len(ids), len(toks)]).view(np.uint64)).sum() >> U64(1))
+        batch = _name(ids, sizes)
         idx = segments(sizes).astype(np.uint16)
         toks = coarse(toks, buckets)
         order = np.argsort(toks, kind="stable")
@@ -90,11 +98,22 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _answered(table: pa.Table):
-    """One batch: ids, sizes, and the shared tokens as (set number, coarse token, count)."""
+    """One batch: ids, sizes, and the shared tokens as (set number, coarse token, count).
+
+    Batches of the same sets in the same order are one batch: their rows are equal, and one of each bucket is read.
+    """
     ids, (sizes, m_tok, m_idx) = np.zeros((0, 2), np.int64), (np.zeros(0, kind) for kind in (np.int64, np.uint64, np.uint16))
     toks, idx, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
+    seen, own = set(), set()
     for i in range(table.num_rows):
         row = {c: table.column(c)[i].as_py() for c in ("bucket", "tok", "idx", "cnt", "ids", "sizes")}
+        if row["bucket"] < 0:
+            own.add((row["ids"], row["sizes"]))
+            if len(own) > 1:
+                raise ValueError("two batches of different sets have one name")
+        if row["bucket"] in seen:
+            continue
+        seen.add(row["bucket"])
         if row["bucket"] < 0:
             ids, sizes = np.frombuffer(row["ids"], np.int64).reshape(-1, 2), np.frombuffer(row["sizes"], np.int64)
             m_tok, m_idx = np.frombuffer(row["tok"], np.uint64), np.frombuffer(row["idx"], np.uint16)

@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from barwright.llm import jaccard_join as J
 from barwright.llm.components import connected_components
+from barwright.llm.shared_tokens import _answered, _send
 
 SCHEMA = "doc_id long, text string"
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -78,6 +81,27 @@ def test_a_cloud_of_near_copies_block_by_block(spark, monkeypatch):
         same(spark, rows, batch_shingles=500, bucket_shingles=300)
 
 
+def test_batches_with_the_same_ends_and_sizes(spark):
+    rng = random.Random(5)
+    texts = {c: [f"{c}{rng.randrange(10**6)}" for _ in range(40)] for c in "abxyz"}
+    near = {c: " ".join([*texts[c][:-1], "other"]) for c in "xy"}
+    whole = {c: " ".join(t) for c, t in texts.items()}
+    for second in ("ayb", "bya", "axb"):
+        parts = [[whole[c] for c in "axb"], [whole[c] for c in second], [near["x"], near["y"], whole["z"]]]
+        rows = [(3 * p + i, t) for p, part in enumerate(parts) for i, t in enumerate(part)]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), SCHEMA)
+        assert sorted(tuple(r) for r in J.jaccard_components(df).collect()) == brute(rows)
+
+
+def test_names_of_batches():
+    batch = lambda *signs: (np.array([(s, s) for s in signs]), np.full(len(signs), 9), np.arange(9 * len(signs), dtype=np.uint64))
+    names = [next(_send([batch(*signs)], 1)).column("batch")[0].as_py() for signs in ((1, 2, 3), (1, 4, 3), (3, 4, 1), (3, 2, 1), (1, 2, 3))]
+    assert len(set(names)) == 4 and names[0] == names[-1]
+    parts = [pa.Table.from_batches([list(_send([batch(*signs)], 1))[1]]) for signs in ((1, 2, 3), (1, 4, 3))]
+    with pytest.raises(ValueError, match="one name"):
+        _answered(pa.concat_tables(parts))
+
+
 def test_other_columns_do_not_matter(spark):
     rows = corpus(random.Random(4), 3, 3)
     df = spark.createDataFrame(rows, SCHEMA)
