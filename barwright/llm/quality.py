@@ -139,14 +139,20 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12
 
 
 def _gather(batches):
+    best = {}  # an id's least key so far: rows of the task that cannot stand for their id go no further
     for b in batches:
+        keep = {}
+        for i, (doc, key) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), strict=True)):
+            if doc not in best or key < best[doc]:
+                best[doc], keep[doc] = key, i
+        b = b.take(pa.array(sorted(keep.values()), pa.int64()))
         at = 0
         for code, counts, stats in features(b.column("text"), b.column("n_chars")):
             cuts = np.concatenate([[0], np.cumsum(counts)])
             n = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(at, n), b.column("label").slice(at, n), pa.array([code[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(n)], pa.binary()), pa.array([stats[i].tobytes() for i in range(n)], pa.binary())],
-                ["doc_id", "label", "code", "stats"],
+                [b.column("doc_id").slice(at, n), b.column("key").slice(at, n), b.column("label").slice(at, n), pa.array([code[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(n)], pa.binary()), pa.array([stats[i].tobytes() for i in range(n)], pa.binary())],
+                ["doc_id", "key", "label", "code", "stats"],
             )
             at += n
 
@@ -165,15 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_ou
 
     At most ``most`` labelled ids are taken, in the order of a hash of the id; their texts are read whole. A null
     label or id is not learnt from; an id with several labels counts as 1 if any is 1. Of rows that share an
-    id, all are learnt from. Without labelled rows the model gives every text the same score.
+    id, the one with the least hash of its text and n_chars is learnt from. Without labelled rows the model gives every text the same score.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     ids = ids.where(fold(of=of) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by ``most``, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), with_n_chars(docs).alias("n_chars")).join(F.broadcast(ids), "doc_id")
-    got = rows.mapInArrow(_gather, "doc_id long, label int, code binary, stats binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["code"], r["stats"]))
-    return fit_machine([(np.frombuffer(r["code"], np.int32).astype(np.int64), np.frombuffer(r["stats"], np.float64), int(r["label"] == 1)) for r in got[: 2 * most]])
+    rows = rows.withColumn("key", F.xxhash64("text", "n_chars")).mapInArrow(_gather, "doc_id long, key long, label int, code binary, stats binary")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("key", "label", "code", "stats")).alias("r"))
+    got = one.select("doc_id", "r.label", "r.code", "r.stats").toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])
+    return fit_machine([(np.frombuffer(r["code"], np.int32).astype(np.int64), np.frombuffer(r["stats"], np.float64), int(r["label"] == 1)) for r in got])
 
 
 def score_column(machine: Machine, docs: DataFrame) -> Column:

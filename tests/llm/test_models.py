@@ -56,6 +56,17 @@ def test_quality_edges(spark):
     assert Q.score_quality(df.select("doc_id", "text"), none).count() == 6
 
 
+def test_quality_learns_one_row_an_id(spark, monkeypatch):
+    seen, fit = [], Q.fit_machine
+    monkeypatch.setattr(Q, "fit_machine", lambda rows: seen.append(rows) or fit(rows))
+    rows = [(1, f"row {i} of the id that repeats", i) for i in range(60)] + [(1, "twice", 5)] * 9 + [(i, f"good text {i}", i) for i in range(2, 9)]
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 9)], "doc_id long, quality int")
+    for order, parts in ((rows, 1), (rows[::-1], 3)):
+        Q.train(spark.createDataFrame(order, "doc_id long, text string, n_chars long").repartition(parts), labels, most=8, held_out=1, of=1)
+    assert [r[2] for r in seen[0]] == [0] + [1] * 7
+    assert [[(*code, *stats) for code, stats, _ in s] for s in seen[:1]] == [[(*code, *stats) for code, stats, _ in s] for s in seen[1:]]
+
+
 def test_the_identity_equals_all_pairs():
     rng = np.random.default_rng(2)
     m = Q.fit_machine([])
