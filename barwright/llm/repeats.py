@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from barwright.llm.shared_tokens import MOST_SETS, coarse, shared_tokens
 from barwright.llm.textarrays import _BYTE, U64, Texts, binary, mix, powers, slices
+from barwright.plans.shared import stage
 
 #: Anchors of a batch; bytes of text behind a bucket (about); documents from which an anchor is frequent; windows of a piece.
 BATCH_ANCHORS, BUCKET_BYTES, FREQUENT, PIECE = 500_000, 4 << 20, 4096, 512
 #: Bytes of text that are hashed at once, for anchors and for pieces.
 SLICE, SENT = 1 << 20, 4 << 20
+#: Slots by which ids that stand more than once are known.
+SLOTS = 1 << 17
 _BASE = 0x9FB21C651E98DF25 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _cache: dict[int, np.ndarray] = {}
@@ -125,7 +128,7 @@ def _to_documents(frequent: int):
 
 
 _PIECES = "bucket long, count long, size long, docs binary, keys binary, starts binary, lens binary, body binary"
-_KINDS = {"docs": np.int64, "keys": np.int32, "starts": np.int32, "lens": np.int32}
+_KINDS = {"docs": np.int64, "keys": np.int64, "starts": np.int32, "lens": np.int32}
 
 
 def _pieces(width: int, k: int, buckets: int):
@@ -209,7 +212,7 @@ def _previous_factors(width: int):
     def run(table: pa.Table) -> pa.Table:
         counts = table.column("count").to_pylist()
         doc, key, start, lens = (np.concatenate([_unzip(x.as_py(), kind, n) for x, n in zip(table.column(c), counts, strict=True)]) for c, kind in _KINDS.items())
-        key, start, lens = (x.astype(np.int64) for x in (key, start, lens))
+        start, lens = start.astype(np.int64), lens.astype(np.int64)
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"doc_id": doc, "key": key, "start": start, "end": start + lens})
         data = np.concatenate([_unzip(x.as_py(), np.uint8, n) for x, n in zip(table.column("body"), table.column("size").to_pylist(), strict=True)])
@@ -277,6 +280,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.rows.column("doc_id"), pa.array(np.diff(t.offs)), removed, binary(kept)], ["doc_id", "n_bytes", "removed", "kept"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Add ``key``, which tells the rows of one doc_id apart: a hash of the text, and 0 where a doc_id stands once.
+
+    Zeros are compressed away. Ids that stand more than once are known by slots of a hash, ``SLOTS`` at most, so
+    that these may be broadcast; an id that only shares a slot with such a one has the hash as well.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    several = stage(several.select(slot.alias("slot")).distinct(), "several")
+    docs = docs.withColumn("slot", slot).join(F.broadcast(several.select("slot", F.lit(True).alias("several"))), "slot", "left")
+    return docs.select("doc_id", F.when(F.col("several") | F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("key"), "text")
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, k: int = 24, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, removed (array of start, end), kept (binary).
 
@@ -284,11 +300,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 24, bucket_bytes:
     in a document with a smaller doc_id; strings are judged on the input and never cross documents. ``removed`` has the
     maximal removed runs in order, ``kept`` the remaining bytes, which need not be valid UTF-8.
 
-    Rows that share a doc_id (told apart by a 32-bit hash of their texts), repeated ones too, do not remove from each other, and all of them lose what an earlier
-    document has. A null doc_id is neither smaller nor larger than another: such a row loses nothing and removes nothing.
+    Rows that share a doc_id (told apart by a 64-bit hash of their texts), repeated ones too, do not remove from each other,
+    and all of them lose what an earlier document has. A null doc_id is neither smaller nor larger than another: such a row loses nothing and removes nothing.
     Other columns are not looked at. No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("key"), "text")
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes), min(total // 65536, 64))
     anchors = shared_tokens(docs, _anchor_batches(width, k, BATCH_ANCHORS), buckets, _to_documents(frequent), "doc_id long, key long, anchors binary, hot binary")

@@ -62,6 +62,21 @@ def test_frequent_anchors_go_by_windows(spark):
     same(spark, rows, frequent=3)
 
 
+def test_texts_of_one_id_whose_32_bit_hashes_meet(spark):
+    hot = "This passage stands in very many of the documents here, with other words around."
+    texts = [f"{i} {'y' * (i % 7)}{hot}" for i in (5733, 162104)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    same(spark, [(1, hot), *[(2, t) for t in texts], (3, texts[0]), (None, texts[1])])
+
+
+def test_keys_only_for_ids_that_repeat(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, "other"), (8, "text 8"), (None, "x"), (None, "y")]
+    got = [(r.doc_id, r.key, r.text) for r in R._keyed(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    assert sorted((str(i), t) for i, _, t in got) == sorted((str(i), t) for i, t in rows)
+    assert {i for i, k, _ in got if k} == {7, 8, None} and len({k for i, k, _ in got if i == 7}) == 2
+
+
 def test_long_text(spark):
     body = " ".join(str(i * 7919 % 10007) for i in range(30000))
     got = R.remove_repeats(spark.createDataFrame([(1, body), (2, "x" + body[1000:150000])], SCHEMA)).orderBy("doc_id").collect()
