@@ -8,7 +8,9 @@ A token folder has two Parquet data sets, so that Spark's commit protocol, its r
 
 - ``ranks``: id, rank, count; one row for each id that occurs.
 - ``blocks``: documents in ascending doc_id order in rows of about ``BLOCK_TOKENS`` ids: shard and block (their
-  order is the order of documents), first_token (ids before the block), doc_ids, lengths, control, data.
+  order is the order of documents), first_token (ids of the shard before the block), n_tokens, doc_ids, lengths, control, data.
+
+Texts are tokenized where they are read, and only ids, two bytes each, are sorted.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.tokens import as_ids, tokenize, with_starts
+from barwright.llm.tokens import as_ids, tokenize
 from barwright.plans.shared import stage
 
 BLOCK_TOKENS = 1 << 16
-BLOCKS = "shard int, block long, first_token long, doc_ids array<long>, lengths array<long>, control binary, data binary"
+BLOCKS = "shard int, block long, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
@@ -70,32 +73,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(ranks: np.ndarray, most: int):
-    def row(shard, block, docs, lens, first, values):
-        control, data = encode(ranks[np.concatenate(values)])
-        return [shard], [block], [first], [docs], [lens], [control.tobytes()], [data.tobytes()]
-
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    names = ["shard", "block", "first_token", "doc_ids", "lengths", "control", "data"]
-    pack = lambda cells: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    names = ["shard", "block", "first_token", "n_tokens", "doc_ids", "lengths", "control", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, docs, lens, values, first, block, total = None, [], [], [], 0, 0, 0
+        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        docs, lens, values, total = [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            control, data = encode(ranks[np.concatenate(values)])
+            cells = (shard, block, first, total, docs, lens, control.tobytes(), data.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names)
+
         for batch in batches:
-            part, seq, doc, start, n, width = (batch.column(c).to_pylist() for c in ("part", "seq", "doc_id", "start", "n_tokens", "width"))
+            doc, n, width = (batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "width"))
             ids = batch.column("ids")
             for i in range(batch.num_rows):
-                # a block ends where it is full, and where another part, or another stretch of the part, begins
-                if docs and (part[i] != shard or total >= most or start[i] != first + total):
-                    yield pack(row(shard, block, docs, lens, first, values))
+                if total >= most:
+                    yield packed()
+                    block, first = block + 1, first + total
                     docs, lens, values, total = [], [], [], 0
-                if not docs:
-                    shard, first, block = part[i], start[i], seq[i]
                 docs.append(doc[i])
                 lens.append(n[i])
                 values.append(as_ids(ids[i].as_buffer(), width[i]))
                 total += n[i]
         if docs:
-            yield pack(row(shard, block, docs, lens, first, values))
+            yield packed()
 
     return run
 
@@ -104,13 +107,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Encode ``docs(doc_id, text)`` and write ``ranks`` and ``blocks`` below ``folder``, in ascending doc_id order.
 
     Null texts are empty: they have ``end_id`` alone. Null doc_ids come first; rows that share a doc_id are in
-    the order of their texts, repeated rows each keep their own place. Other columns are not looked at. Without rows both
-    data sets are written with no row. The rank table has at most one row for each id of the vocabulary and is
+    the order of a hash of their texts, repeated rows each keep their own place. Other columns are not looked at. Without
+    rows both data sets are written with no row. The rank table has at most one row for each id of the vocabulary and is
     the only thing that reaches the driver.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    tokens = stage(tokenize(ordered, path, end_id), "tokens")
+    tokens = stage(tokenize(docs, path, end_id), "tokens")
     counts = tokens.select("ids", "width").mapInArrow(_counts, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     ranks = counts.select("id", (F.row_number().over(Window.orderBy(F.desc("count"), "id")) - 1).alias("rank"), "count")
     ranks.write.parquet(f"{folder}/ranks")
@@ -118,7 +119,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     if found := docs.sparkSession.read.parquet(f"{folder}/ranks").select("id", "rank").collect():
         table = np.zeros(max(r.id for r in found) + 1, np.uint32)
         table[[r.id for r in found]] = [r.rank for r in found]
-    with_starts(tokens).select("part", "seq", "doc_id", "start", "n_tokens", "width", "ids").mapInArrow(_blocks(table, block_tokens), BLOCKS).write.parquet(f"{folder}/blocks")
+    # (part and seq split equal rows, however many there are, over tasks)
+    order = [F.col("doc_id").asc_nulls_first(), "key", "part", "seq"]
+    ordered = tokens.select("doc_id", "key", "part", "seq", "n_tokens", "width", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n_tokens", "width", "ids").mapInArrow(_blocks(table, block_tokens), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def _read(ids_of: np.ndarray):
@@ -141,4 +145,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ids_of = np.zeros(len(found), "<u4")
     ids_of[[r["rank"] for r in found]] = [r["id"] for r in found]
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    # of the shards one row each, of 16 bytes, is summed up and broadcast
+    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
+    blocks = blocks.join(F.broadcast(before), "shard").withColumn("first_token", F.col("before") + F.col("first_token"))
     return blocks.select("first_token", "doc_ids", "lengths", "control", "data").mapInArrow(_read(ids_of), "doc_id long, start long, n_tokens long, ids binary")

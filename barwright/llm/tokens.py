@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +14,10 @@ from pyspark.sql import functions as F
 
 from barwright.llm.textarrays import binary, slices
 
-#: Pieces that a worker remembers at most: words with their marks, and the parts these are made of.
-MOST_WORDS, MOST_PARTS = 250_000, 700_000
+#: Bytes of pieces and their ids that a worker remembers at most; pieces that are encoded as one text.
+ROOM, JOINED = 12 << 20, 512
+#: Marks that end a word.
+_ENDS = r"([A-Za-z])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,66 +27,95 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file whose pre-tokenizer never joins text across white space.
+    """Encodes texts with a tokenizer file whose pre-tokenizer never joins text across white space and lower-cases it.
 
-    A text is cut at blanks and line feeds, where the tokenizer cuts too, and only the distinct pieces of a
-    slice are looked at. An ASCII piece of letters and then marks (no apostrophe) is looked up by its two parts,
-    lower-cased, as the tokenizer's own rules cut and lower-case it. What is not remembered goes through the library.
+    A slice of texts is lower-cased (A-Z), cut at blanks and line feeds and before the marks that end a word, where the
+    tokenizer cuts too, and each distinct piece is encoded once. Pieces of letters alone are encoded many at a time, as
+    one text with blanks between, and told apart by the ids that end a word. A slice in which a special token
+    could stand is cut at blanks and line feeds only, so that the library finds these tokens. Pieces are
+    remembered, the first ones up to ``ROOM`` bytes; any other is encoded anew in each slice.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = ROOM):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # ids as the bytes of 32-bit integers: a fifth of the memory that tuples of integers take
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.shape = re.compile(r"([a-z]+)([^a-z0-9'\s\x00-\x1f\x7f]*)", re.A)
-
-    def _lookup(self, pieces: list[str]) -> list[bytes]:
-        cut, need = [], {}
-        for piece in pieces:
-            parts = (piece,)
-            if piece.isascii() and (m := self.shape.fullmatch(piece.lower())):
-                parts = (m[1], m[2]) if m[2] else (m[1],)
-            cut.append(parts)
-            for x in parts:
-                if x not in self.parts:
-                    need[x] = b""
-        names = list(need)
-        for i in range(0, len(names), 4096):
-            for name, got in zip(names[i : i + 4096], self.tokenizer.encode_batch_fast(names[i : i + 4096], add_special_tokens=False), strict=True):
-                need[name] = array("I", got.ids).tobytes()
-        room = MOST_PARTS - len(self.parts)
-        known = self.parts
-        if len(need) <= room:
-            known.update(need)
-        else:
-            known = self.parts | need
-            for name in names[: max(0, room)]:
-                self.parts[name] = need[name]
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in cut]
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.pieces = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.full = False
+        vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=False), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(1 + max(vocabulary.values()), bool)
+        if mark:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+
+    def _through_library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), 4096):
+            for got in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False):
+                ids.append(np.array(got.ids, np.uint32))
+                counts.append(np.array([len(got.ids)]))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of letters alone."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for own, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[np.minimum(found, len(self.closes) - 1)]) + 1
+            if len(ends) == len(own) and ends[-1] == len(found):
+                ids.append(found)
+                counts.append(np.diff(ends, prepend=0))
+            else:  # a tokenizer without marks of word ends, or one that cuts words elsewhere
+                one, n = self._through_library(own)
+                ids.append(one)
+                counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _places(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct pieces: ids, and where in them each piece begins and how many it has."""
+        at = pc.index_in(names, self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        begin, count = self.ends[np.maximum(at, 0)], np.zeros(len(names), np.int64)
+        count[~new] = (self.ends[1:] - self.ends[:-1])[at[~new]]
+        if not new.any():
+            return self.ids, begin, count
+        fresh = names.filter(pa.array(new))
+        letters = pc.utf8_is_alpha(fresh).to_numpy(zero_copy_only=False)
+        fresh = pa.concat_arrays([fresh.filter(pa.array(letters)), fresh.filter(pa.array(~letters))])
+        where = np.flatnonzero(new)
+        where = np.concatenate([where[letters], where[~letters]])
+        n = int(letters.sum())
+        (ids, c), (more, d) = self._letters(fresh[:n].to_pylist()), self._through_library(fresh[n:].to_pylist())
+        c = np.concatenate([c, d])
+        ids = np.concatenate([self.ids, ids, more])
+        ends = len(self.ids) + np.cumsum(c)
+        begin[where], count[where] = ends - c, c
+        if not self.full:
+            fits = np.cumsum(pc.binary_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64) + 20) + 4 * (ends - len(self.ids)) <= self.room
+            m = int(fits.sum())
+            self.full = m < len(fresh)
+            if m:
+                self.room -= int(pc.sum(pc.binary_length(fresh[:m])).as_py()) + 20 * m + 4 * int(ends[m - 1] - len(self.ids))
+                self.pieces = pa.concat_arrays([self.pieces, fresh[:m]])
+                self.ids, self.ends = ids[: ends[m - 1]], np.concatenate([self.ends, ends[:m]])
+        return ids, begin, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            # (in this order: Arrow lower-cases an array wrongly whose first offset is not 0)
+            texts = pc.ascii_lower(pc.replace_substring_regex(texts, _ENDS, r"\1 \2\3"))
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        ids = [self.words.get(x) for x in names]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            for i, got in zip(missing, self._lookup([names[i] for i in missing]), strict=True):
-                ids[i] = got
-                if len(self.words) < MOST_WORDS:
-                    self.words[names[i]] = got
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
+        ids, begin, count = self._places(coded.dictionary)
         codes = coded.indices.to_numpy()
-        each = lens[codes]
+        each = count[codes]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - each), each) + np.arange(total)]
+        out = ids[np.repeat(begin[codes] - (ends - each), each) + np.arange(total)]
         cuts = np.diff(pieces.offsets.to_numpy())
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(cuts)])]
         return out, np.diff(bounds)
@@ -102,7 +131,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _run(path: str, end_id: int):
+SCHEMA = "part int, seq long, doc_id long, key long, local long, n_tokens long, width byte, ids binary"
+
+
+def _run(path: str, end_id: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         for t in slices(batches, most=4 << 20):
@@ -114,8 +146,8 @@ def _run(path: str, end_id: int):
             n = counts + 1
             start = before + np.cumsum(n) - n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(t), part, np.int32)), pa.array(seq + np.arange(len(t))), t.rows.column("doc_id"), pa.array(start), pa.array(n), pa.array(np.full(len(t), ids.itemsize, np.int8)), pa.array(own, pa.binary())],
-                ["part", "seq", "doc_id", "local", "n_tokens", "width", "ids"],
+                [pa.array(np.full(len(t), part, np.int32)), pa.array(seq + np.arange(len(t))), *[t.rows.column(c) for c in keep], pa.array(start), pa.array(n), pa.array(np.full(len(t), ids.itemsize, np.int8)), pa.array(own, pa.binary())],
+                ["part", "seq", *keep, "local", "n_tokens", "width", "ids"],
             )
             seq += len(t)
             before += int(n.sum())
@@ -123,18 +155,15 @@ def _run(path: str, end_id: int):
     return run
 
 
-SCHEMA = "part int, seq long, doc_id long, local long, n_tokens long, width byte, ids binary"
-
-
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
     """Ids of every whole text of ``docs(doc_id, text)`` with ``end_id`` after them; a null text has that id alone.
 
     ``part`` and ``seq`` are the task and the row's place in it, ``local`` the ids of the task's rows before it,
-    ``ids`` little-endian unsigned integers of ``width`` bytes (2, or 4 in a slice with larger ids). Write the
-    result before using ``part``: the numbers belong to one run.
+    ``ids`` little-endian unsigned integers of ``width`` bytes (2, or 4 in a slice with larger ids), ``key`` a hash of
+    the text. Write the result before using ``part``: the numbers belong to one run.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_run(path or tokenizer_path(), end_id), SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return docs.mapInArrow(_run(path or tokenizer_path(), end_id, ["doc_id", "key"]), SCHEMA)
 
 
 def with_starts(tokens: DataFrame) -> DataFrame:
