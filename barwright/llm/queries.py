@@ -95,5 +95,81 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 
+#: Decisions of pages and link targets, and components of equal nodes and links by the least node that is reached.
+OP7_SQL = r"""
+with recursive urls as (
+    select url, html, page_id, coalesce(case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end, '') as rest from pages
+), p as (
+    select *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from urls
+), found as (
+    select url, host, path, unnest(list_concat(
+        list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+        list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1))
+    )) as target from p where url is not null
+), linked as (
+    select distinct url as source, case when contains(t, '://') then t when t like '//%' then scheme || ':' || t when t like '/%' then scheme || '://' || host || t
+        else scheme || '://' || host || '/' || regexp_extract(path, '^/?(.*/)?[^/]*$', 1) || t end as target
+    from (select *, replace(target, '&amp;', '&') as t, regexp_extract(url, '^([^:]*)://', 1) as scheme from found where target <> '')
+), every_url as (select url as u from p where url is not null union select source from linked union select target from linked
+), parts as (
+    select u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(?:utm_[^=&]*|ref|fbclid|gclid)(?:=|$)')), '&') as kept
+    from (select u, coalesce(case when position('://' in u) > 0 then substr(u, position('://' in u) + 3) end, '') as rest from every_url)
+), rules(allow, rule_host, prefix) as (values (true, 'org', '/'), (false, 'example.org', '/es/'), (false, 'example.org', '/en/1'), (true, 'com', '/fr/'), (false, 'com', '/de/')
+), best as (
+    select u, arg_max(rule_host || prefix, 2 * length(rule_host || prefix) + allow::int) as rule, arg_max(allow, 2 * length(rule_host || prefix) + allow::int) as allow
+    from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, prefix) group by u
+), judged as (
+    select parts.u, host, path, rule, allow, case when host <> '' then host || regexp_replace(path, '/+$', '') || case when kept <> '' then '?' || kept else '' end end as node
+    from parts left join best using (u)
+), edges as (
+    select a.node as x, b.node as y from linked join judged a on a.u = source join judged b on b.u = target where a.node <> b.node
+), both_ways as (select x, y from edges union select y, x from edges
+), reach(node, label) as (select distinct x, x from both_ways union select b.y, r.label from reach r join both_ways b on b.x = r.node
+), labels as (select node, min(label) as label from reach group by node
+), said as (
+    select coalesce(label, judged.node) as label, bool_or(allow) as allow from judged left join labels using (node) where judged.node is not null group by 1
+)
+select p.page_id, p.host, p.path, judged.rule as rule,
+    case when coalesce(judged.allow, said.allow) then 'allow' when not coalesce(judged.allow, said.allow) then 'block' else 'allow' end as verdict
+from p left join judged on judged.u = p.url left join labels using (node) left join said on said.label = coalesce(labels.label, judged.node)
+"""
+
+#: Shared shingles of all pairs, and the least document that links reach.
+OP8_SQL = r"""
+with recursive d as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+    select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from d
+), one as (select min(doc_id) as doc_id, s from (select doc_id, list_sort(s) as s from s) where len(s) > 0 group by s
+), e as (select doc_id, len(s) as n, unnest(s) as g from one
+), links as (select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(x, label) as (select doc_id, doc_id from one union select l.y, r.label from reach r join links l on l.x = r.x
+), labels as (select x, min(label) as label from reach group by x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(labels.label, s.doc_id) as component_id
+from s left join one on one.s = list_sort(s.s) left join labels on labels.x = one.doc_id
+"""
+
+#: All 50-byte strings by their hexadecimal digits.
+OP3_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d)
+), early as (select s, min(doc_id) as least from w group by s having min(doc_id) < max(doc_id)
+), gone as (select w.doc_id, i from w join early using (s) where w.doc_id > least
+), steps as (select *, lag(i) over (partition by doc_id order by i) as before from gone
+), runs as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as run from steps
+), spans as (select doc_id, run, min(i) as a, max(i) + 50 as b from runs group by doc_id, run
+), cut as (
+    select doc_id, list(struct_pack(a := a, b := b) order by a) as spans, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id
+)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+    sha256(unhex(case when spans is null then h else array_to_string(list_transform(range(0, len(spans) + 1),
+        lambda j: substr(h, case when j = 0 then 1 else 2 * spans[j].b + 1 end, case when j = len(spans) then len(h) else 2 * spans[j + 1].a end - case when j = 0 then 0 else 2 * spans[j].b end)), '') end)) as kept_sha256
+from d left join cut using (doc_id)
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op3_repeats": OP3_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_jaccard_join": OP8_SQL}
