@@ -1,16 +1,19 @@
-"""Removal of repeated byte strings by longest previous factors, over all documents.
+"""Removal of repeated byte strings by longest-previous-factor arrays, over all documents.
 
 A string of ``width`` bytes that a document shares with an earlier one (a smaller doc_id) is removed from the later
-one. No suffix array of the whole corpus is built; windows that can match are first brought together:
+one. A suffix array of the whole corpus would not spread over a cluster, so the suffixes that can match are first
+brought together, and each bucket of them has its own arrays:
 
 1. Of every window of ``width`` bytes, the smallest hash among its k-byte strings is its anchor. Equal windows have
    equal anchors, and neighbouring windows mostly share theirs: a document becomes a few runs of windows.
 2. Anchors are counted over all documents (``shared_tokens``). A run whose anchor no other document has cannot match.
 3. The remaining runs, as short pieces of text, go to buckets by anchor. Equal pieces of a batch travel once, under
-   their smallest doc_id. A run whose anchor is very frequent goes by its windows instead, one by one, so that
-   a bucket's group does not grow with a hot string.
-4. A bucket sorts the windows of its pieces in suffix order, ties by doc_id: the previous smaller position, if it
-   has ``width`` bytes in common, is the longest previous factor, and the window is removed.
+   their smallest doc_id and with all places that this document has them at; the places of later documents are
+   settled there. A run whose anchor is very frequent goes by its windows instead, one by one, so that a bucket's
+   group does not grow with a hot string.
+4. A bucket puts the suffixes of its pieces in order, with the lengths that neighbours have in common. The previous and the
+   next suffix of a smaller document give each suffix its longest previous factor; where that has ``width`` bytes,
+   these bytes go.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.shared_tokens import MOST_SETS, coarse, shared_tokens
-from barwright.llm.textarrays import _BYTE, U64, Texts, binary, mix, powers, slices
+from barwright.llm.textarrays import _BYTE, _STEP, U64, Texts, binary, mix, powers, slices
 from barwright.plans.shared import stage
 
 #: Anchors of a batch; bytes of text behind a bucket (about); documents from which an anchor is frequent; windows of a piece.
@@ -127,8 +130,34 @@ def _to_documents(frequent: int):
     return run
 
 
-_PIECES = "bucket long, count long, size long, docs binary, keys binary, starts binary, lens binary, body binary"
-_KINDS = {"docs": np.int64, "keys": np.int64, "starts": np.int32, "lens": np.int32}
+_PIECES = "bucket long, count long, places long, size long, docs binary, keys binary, lens binary, times binary, starts binary, body binary"
+_SPANS = "doc_id long, key long, start long, end long"
+
+
+def _same(data: np.ndarray, x: np.ndarray, y: np.ndarray, lens: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """Whether data[x : x + lens] and data[y : y + lens] are equal, pair by pair."""
+    out, i = np.zeros(len(x), bool), 0
+    ends = np.cumsum(lens)
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        n = lens[i:j]
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(first, n)
+        out[i:j] = np.logical_and.reduceat(data[at + np.repeat(x[i:j], n)] == data[at + np.repeat(y[i:j], n)], first)
+        i = j
+    return out
+
+
+def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The union of spans, row by row of (doc, key): spans that touch or overlap become one."""
+    if not len(doc):
+        return doc, key, start, end
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], end[order]
+    row = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    top = np.maximum.accumulate(end + row * (int(end.max()) + 1)) - row * (int(end.max()) + 1)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > top[:-1])]))
+    return doc[new], key[new], start[new], top[np.append(new[1:], len(top)) - 1]
 
 
 def _pieces(width: int, k: int, buckets: int):
@@ -163,19 +192,27 @@ def _pieces(width: int, k: int, buckets: int):
             begin, end, own, bucket, doc, key, start = (x[order] for x in (begin, end, own, bucket, doc, key, start))
             if not len(own):
                 continue
+            lens = end - begin
             new = np.concatenate([[True], own[1:] != own[:-1]])
-            group = np.cumsum(new) - 1
-            head = np.flatnonzero(new)[group]
-            later = np.flatnonzero(doc > doc[head])
-            for i in later:
-                if t.data[begin[i] : end[i]].tobytes() != t.data[begin[head[i]] : end[head[i]]].tobytes():
-                    head[i] = i  # hashes met by chance: the piece travels on its own
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            rest = np.flatnonzero(~new)
+            met = lens[rest] == lens[head[rest]]
+            met[met] = _same(t.data, begin[rest[met]], begin[head[rest[met]]], lens[rest[met]])
+            head[rest[~met]] = rest[~met]  # hashes met by chance: the piece travels on its own
             settled = doc > doc[head]
-            yield _packed(np.full(settled.sum(), -1 - int(own[0] % U64(buckets))), doc[settled], key[settled], start[settled], (end - begin)[settled], None, None)
-            go = ~settled
-            by = np.argsort(bucket[go], kind="stable")
-            pick = np.flatnonzero(go)[by]
-            yield _packed(bucket[pick], doc[pick], key[pick], start[pick], (end - begin)[pick], begin[pick], t.data)
+            gone = merged(doc[settled], key[settled], start[settled], end[settled] - begin[settled] + start[settled])
+            yield _settled(-1 - int(own[0] % U64(buckets)), *gone)
+            # equal pieces of one row travel once, with all their places
+            go = np.flatnonzero(~settled)
+            lead = head[go]
+            again = np.concatenate([[False], (lead[1:] == lead[:-1]) & (doc[go][1:] == doc[go][:-1]) & (key[go][1:] == key[go][:-1])])
+            rep = go[~again]
+            which = np.cumsum(~again) - 1
+            times = np.bincount(which, minlength=len(rep))
+            by = np.lexsort((start[rep], key[rep], doc[rep], bucket[rep]))
+            places = start[go][np.argsort(np.argsort(by)[which], kind="stable")]
+            pick = rep[by]
+            yield _packed(bucket[pick], doc[pick], key[pick], lens[pick], times[by], places, begin[pick], t.data)
 
     return run
 
@@ -190,67 +227,171 @@ def _unzip(data: bytes, kind, count: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=count * np.dtype(kind).itemsize, codec="zstd"), kind) if count else np.zeros(0, kind)
 
 
-def _packed(bucket, doc, key, start, lens, begin, data) -> pa.RecordBatch:
+def _row(values: pa.Array, *cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values, *cells], ["bucket", "count", "places", "size", "docs", "keys", "lens", "times", "starts", "body"])
+
+
+def _settled(bucket: int, doc, key, start, end) -> pa.RecordBatch:
+    """Spans that need no bucket's answer: ends are carried as lengths, each span has one place."""
+    n = [pa.array([x], pa.int64()) for x in (len(doc), len(doc), 0)]
+    none = pa.array([b""], pa.binary())
+    return _row(pa.array([bucket]), *n, _zip([_steps(doc)]), _zip([key]), _zip([(end - start).astype(np.int32)]), none, _zip([_steps(start)]), none)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which compress better than the values."""
+    return np.diff(values, prepend=0)
+
+
+def _packed(bucket, doc, key, lens, times, places, begin, data) -> pa.RecordBatch:
     values = np.unique(bucket)
     cuts = np.append(np.searchsorted(bucket, values), len(bucket))
     spans = [slice(cuts[i], cuts[i + 1]) for i in range(len(values))]
+    at = np.concatenate([[0], np.cumsum(times)])
     body = []
     for s in spans:
-        if data is None:
-            body.append(np.zeros(0, np.uint8))
-        else:
-            n = lens[s].astype(np.int64)
-            body.append(data[np.arange(n.sum()) + np.repeat(begin[s] - (np.cumsum(n) - n), n)])
-    cells = [_zip(x[s].astype(kind) for s in spans) for x, kind in zip((doc, key, start, lens), _KINDS.values(), strict=True)]
-    sizes = [pa.array(np.diff(cuts)), pa.array([len(x) for x in body], pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), *sizes, *cells, _zip(body)], ["bucket", "count", "size", *_KINDS, "body"])
+        n = lens[s]
+        body.append(data[np.arange(n.sum()) + np.repeat(begin[s] - (np.cumsum(n) - n), n)])
+    sizes = [pa.array(x, pa.int64()) for x in (np.diff(cuts), [at[s.stop] - at[s.start] for s in spans], [len(x) for x in body])]
+    cells = [_zip([_steps(doc[s]) for s in spans]), _zip([key[s] for s in spans])]
+    cells += [_zip([x[s].astype(np.int32) for s in spans]) for x in (lens, times)]
+    return _row(pa.array(values), *sizes, *cells, _zip([_steps(places[at[s.start] : at[s.stop]]) for s in spans]), _zip(body))
+
+
+class Windows:
+    """Strings of ``width`` bytes of ``data`` as a few numbers each, of up to 8 bytes, the last one overlapping."""
+
+    def __init__(self, data: np.ndarray, width: int):
+        self.values, self.size, self.width = data.astype(np.uint64), 1, width
+        while self.size < 8 and 2 * self.size <= width:
+            self.values = self.values[: max(0, len(self.values) - self.size)] << U64(8 * self.size) | self.values[self.size :]
+            self.size *= 2
+        self.offsets = [min(i, width - self.size) for i in range(0, width, self.size)]
+
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for i, at in enumerate(self.offsets):
+            out += mix(self.values[starts + at] ^ _STEP[i % len(_STEP)]) * _STEP[i % len(_STEP)]
+        return mix(out)
+
+
+def suffix_order(windows: Windows, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts`` by their first ``width`` bytes, and how many of these neighbours in that
+    order have in common. All ``starts`` have ``width`` bytes after them; ``own`` are their hashes.
+
+    Equal strings are brought together by their hashes, compared byte by byte, and one of each is put in order.
+    """
+    by = np.argsort(own)
+    new = np.concatenate([[True], own[by[1:]] != own[by[:-1]]])[: len(by)]
+    group = np.cumsum(new) - 1
+    odd, lead = np.zeros(len(by), bool), by[new]
+    for at in windows.offsets:
+        value = windows.values[starts + at]
+        odd |= value[by] != value[lead][group]
+    if odd.any():  # hashes met by chance: such a string stands alone, next to its equals
+        again = np.lexsort((odd, group))
+        by, new = by[again], new | odd[again]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(by)))
+    keys = [windows.values[starts[by[first]] + at] for at in windows.offsets]
+    rank = np.lexsort(keys[::-1])
+    between = np.full(max(0, len(rank) - 1), windows.width)
+    for at, key in reversed(list(zip(windows.offsets, keys, strict=True))):
+        differ = key[rank[1:]] ^ key[rank[:-1]]
+        hit = np.flatnonzero(differ)
+        between[hit] = at + sum((differ[hit] >> U64(8 * (windows.size - 1 - i)) == 0).astype(np.int64) for i in range(windows.size - 1))
+    size = size[rank]
+    ends = np.cumsum(size)
+    order = by[np.repeat(first[rank] - (ends - size), size) + np.arange(len(by))]
+    common = np.full(max(0, len(by) - 1), windows.width)
+    common[ends[:-1] - 1] = between
+    return order, common
+
+
+def longest_previous(document: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order: what it has in common with the nearest suffix of a smaller
+    document before or after it, whichever is more; 0 where that is below ``least``.
+
+    Both neighbours are found by jumps: a suffix that is not of a smaller document passes on its own nearest one so far, with the
+    least length in common on the way.
+    """
+    n, out = len(document), np.zeros(len(document), np.int64)
+    for own, lengths in ((document, common), (document[::-1], common[::-1])):
+        to, held = np.arange(n) - 1, np.concatenate([[0], lengths]).astype(np.int64)[:n]
+        found = np.zeros(n, np.int64)
+        left = np.flatnonzero(held >= least)
+        while len(left):
+            smaller = own[to[left]] < own[left]
+            found[left[smaller]] = held[left[smaller]]
+            left = left[~smaller]
+            over = to[left]
+            to[left], held[left] = to[over], np.minimum(held[left], held[over])
+            left = left[held[left] >= least]
+        out = np.maximum(out, found if own is document else found[::-1])
+    return out
 
 
 def _previous_factors(width: int):
-    """One bucket: the spans of windows that have an earlier document's window as their previous factor."""
+    """One bucket: the spans that have a previous factor of ``width`` bytes in an earlier document."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts = table.column("count").to_pylist()
-        doc, key, start, lens = (np.concatenate([_unzip(x.as_py(), kind, n) for x, n in zip(table.column(c), counts, strict=True)]) for c, kind in _KINDS.items())
-        start, lens = start.astype(np.int64), lens.astype(np.int64)
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.table({"doc_id": doc, "key": key, "start": start, "end": start + lens})
-        data = np.concatenate([_unzip(x.as_py(), np.uint8, n) for x, n in zip(table.column("body"), table.column("size").to_pylist(), strict=True)])
-        at = np.cumsum(lens) - lens
-        count = lens - width + 1
-        piece = np.repeat(np.arange(len(lens), dtype=np.int32), count)
-        nth = (np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-        window = at[piece] + nth
-        own = Rolling(data).all(width)[window]
-        # a window whose hash only one document has cannot match
-        order = np.argsort(own, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
-        low, high = np.minimum.reduceat(doc[piece[order]], new), np.maximum.reduceat(doc[piece[order]], new)
-        pick = order[np.repeat(low < high, np.diff(np.append(new, len(order))))]
-        if not len(pick):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "key", "start", "end")})
-        # suffix order up to width bytes, ties by doc_id
-        wide = np.zeros((len(pick), -(-width // 8) * 8), np.uint8)
-        begin = window[pick]
-        for j in range(width):
-            wide[:, j] = data[begin + j]
-        parts = wide.view(">u8").astype(np.uint64)
-        order = np.lexsort((doc[piece[pick]], *parts.T[::-1]))
-        pick, parts = pick[order], parts[order]
-        same = np.concatenate([[False], (parts[1:] == parts[:-1]).all(axis=1)])
-        smallest = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the smallest position of the windows with width bytes in common
-        gone = pick[doc[piece[pick]] > doc[piece[pick[smallest]]]]
-        del wide, parts, order, begin
+        cell = lambda name, r: table.column(name)[r].as_py()
+        rows = range(table.num_rows)
+        counts, places = ([cell(c, r) for r in rows] for c in ("count", "places"))
+        got = lambda name, kind, sizes: [_unzip(cell(name, r), kind, n) for r, n in zip(rows, sizes, strict=True)]
+        docs, keys, lens = [np.cumsum(x) for x in got("docs", np.int64, counts)], got("keys", np.int64, counts), got("lens", np.int32, counts)
+        if cell("bucket", 0) < 0:
+            doc, key, n = (np.concatenate(x) for x in (docs, keys, lens))
+            start = np.concatenate([np.cumsum(x) for x in got("starts", np.int64, places)])
+            return _table(doc, key, start, start + n)
+        data = np.concatenate(got("body", np.uint8, [cell("size", r) for r in rows]))
+        size = np.concatenate(lens).astype(np.int64)
+        count = size - width + 1
+        first = np.cumsum(count) - count
+        piece = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        nth = np.arange(len(piece)) - np.repeat(first, count)
+        starts = np.repeat(np.cumsum(size) - size, count) + nth
+        _, number = np.unique(np.concatenate(docs), return_inverse=True)
+        windows = Windows(data, width)
+        own = windows.hashes(starts)
+        # a window that only one document has, by its hash, has no previous factor of its length and need not be put in order
+        order = np.argsort(own)
+        new = np.flatnonzero(np.concatenate([[True], own[order[1:]] != own[order[:-1]]]))
+        ranked = number[piece[order]]
+        mixed = np.minimum.reduceat(ranked, new) < np.maximum.reduceat(ranked, new)
+        pick = order[np.repeat(mixed, np.diff(np.append(new, len(order))))]
+        order, common = suffix_order(windows, starts[pick], own[pick])
+        order = pick[order]
+        gone = order[longest_previous(number[piece[order]], common, width) >= width]
+        del windows, own, order, common, starts, data
         gone.sort()
         p, w = piece[gone], nth[gone]
         new = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1)]) if len(gone) else np.zeros(0, bool)
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(gone)) - 1 if len(a) else a
-        return pa.table({"doc_id": doc[p[a]], "key": key[p[a]], "start": start[p[a]] + w[a], "end": start[p[a]] + w[b] + width})
+        p, low, high = p[a], w[a], w[b] + width
+        # spans of pieces become spans of texts, for each of the piece's places, row by row of the table
+        out, at = [], 0
+        for r in rows:
+            lo, hi = np.searchsorted(p, [at, at + counts[r]])
+            if lo < hi:
+                own, times = p[lo:hi] - at, _unzip(cell("times", r), np.int32, counts[r]).astype(np.int64)
+                begins = np.cumsum(_unzip(cell("starts", r), np.int64, places[r]))
+                n = times[own]
+                span = np.repeat(np.arange(lo, hi), n)
+                place = begins[np.repeat((np.cumsum(times) - times)[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                row = own[span - lo]
+                out.append(merged(docs[r][row], keys[r][row], place + low[span], place + high[span]))
+            at += counts[r]
+        return _table(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else _table(*(np.zeros(0, np.int64) for _ in range(4)))
 
     return run
 
 
+def _table(doc, key, start, end) -> pa.Table:
+    return pa.table({"doc_id": pa.array(doc), "key": pa.array(key), "start": pa.array(start), "end": pa.array(end)})
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in slices(batches):
         found = t.rows.column("spans")
@@ -310,6 +451,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 24, bucket_bytes:
     anchors = shared_tokens(docs, _anchor_batches(width, k, BATCH_ANCHORS), buckets, _to_documents(frequent), "doc_id long, key long, anchors binary, hot binary")
     anchors = anchors.dropDuplicates(["doc_id", "key"])
     pieces = docs.join(anchors, ["doc_id", "key"], "left").select("doc_id", "key", "text", "anchors", "hot").mapInArrow(_pieces(width, k, buckets), _PIECES)
-    spans = pieces.groupBy("bucket").applyInArrow(_previous_factors(width), "doc_id long, key long, start long, end long")
+    spans = pieces.groupBy("bucket").applyInArrow(_previous_factors(width), _SPANS)
     spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return docs.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
