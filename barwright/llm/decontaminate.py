@@ -1,85 +1,135 @@
 """Benchmark decontamination by spaced seeds, tolerant of substituted words.
 
 A seed is a mask over a few consecutive words: the hash takes the words at the marked places and ignores the others,
-so a substituted word at an ignored place does no harm. Each mask's hashes of the benchmark's items meet those
-of every document; around a hit, item and document are laid side by side and the stretch with the best balance of
-equal and substituted words is measured.
+so a substituted word at an ignored place does no harm.
 
-The items are few beside the documents, but not assumed to be: they are dealt by their id into blocks of at most
-about ``block_bytes``, each of which travels with the tasks of one pass over the documents.
+1. All seeds of all items become a table (hash, item, place), made and kept by the cluster. A table of bits, of a size
+   with a fixed bound, says which hashes it may have.
+2. One pass over the documents hashes their words under the same masks. Texts of which some hash is in the bits, few in
+   the usual case, are written with the hashes of their words; all others are done.
+3. Their seeds and the items' are joined on the hash. Each distinct (text, item, alignment) lays text and item side by side,
+   and the equal words, or the stretch with the best balance of equal and substituted ones, are measured.
+
+Neither items nor documents reach the driver: only the bits do. With more items than the bits can tell apart, more
+texts go through the join, and the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.textarrays import _STEP, U64, mix, slices, word_hashes, words
+from barwright.llm.textarrays import _STEP, U64, binary, mix, slices, word_hashes, words
+from barwright.plans.shared import stage
 
 #: Marked places. Together they find any 16 aligned words with up to 3 substituted ones, wherever these are.
 MASKS = ("101001011", "1000011011", "11001101")
-LEAKS = "array<struct<item_id:long,item_words:int,matched:int,item_start:int,start_word:int,end_word:int>>"
-_BITS = 22
+#: For items of fewer words (from 5, 7, 10, 12 on; from 13 on the above), so that a fifth of an item may be substituted.
+SHORT = ((5, ("1101", "1011")), (7, ("11011",)), (10, ("1101",)), (12, ("11011",)))
+#: Bits that tell hashes apart: 2 ** least to 2 ** most, 512 times the seeds between; 2 ** 27 bits are 16 MB. Each hash has
+#: three of them, by its upper, middle and lower part: by chance two words in ten million pass.
+LEAST_BITS, MOST_BITS, PAGE_BITS, TIMES, PARTS = 16, 27, 15, 512, (0, 20, 37)
+
+
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words; below 5 words it is found only where it stands whole."""
+    if n >= 13:
+        return MASKS
+    return next((masks for least, masks in reversed(SHORT) if n >= least), ("1" * n,))
 
 
-def seeds(h: np.ndarray, mask: str, which: int) -> np.ndarray:
+_KINDS = sorted({m for _, masks in SHORT for m in masks} | set(MASKS) | {"1" * n for n in range(1, 5)}, key=lambda m: (len(m), m))
+
+
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """The seed hash at every word with room for the mask."""
     n = max(0, len(h) - len(mask) + 1)
-    acc = np.full(n, which + 1, np.uint64)
+    acc = np.full(n, _KINDS.index(mask) + 1, np.uint64)
     for j, at in enumerate(i for i, c in enumerate(mask) if c == "1"):
         acc += h[at : at + n] * _STEP[j]
     return mix(acc)
 
 
-class Items:
-    """A block of benchmark items, looked up by seed."""
+def _hashed(t) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = words(t)
+    return word_hashes(t.data, starts, ends), first
+
+
+def _items(least: int):
+    """Items with the hashes of their words, and their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...], min_item_words: int):
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        self.ids, self.hashes = [], []
-        at = 0
-        for t in slices([batch]):
-            starts, ends, first = words(t)
-            h = word_hashes(t.data, starts, ends)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in slices(batches):
+            h, first = _hashed(t)
+            item, item_id = t.column("item"), t.column("item_id")
             for i in range(len(t)):
                 own = h[first[i] : first[i + 1]]
-                if len(own) >= min_item_words:
-                    self.ids.append(ids[at + i])
-                    self.hashes.append(own)
-            at += len(t)
-        found = []
-        for number, h in enumerate(self.hashes):
-            spans = [m for m in masks if len(m) <= len(h)] or ["1" * len(h)]
-            for m in spans:
-                which = masks.index(m) if m in masks else len(masks) + len(m)
-                own = seeds(h, m, which)
-                found.append(np.stack([own, np.full(len(own), number, np.uint64), np.arange(len(own)).astype(np.uint64)]))
-        table = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)
-        table = table[:, np.argsort(table[0], kind="stable")]
-        self.seed, self.item, self.place = table[0], table[1].astype(np.int64), table[2].astype(np.int64)
-        lens = {len(h) for h in self.hashes if len(h) < min(map(len, masks))}
-        self.masks = [(m, i) for i, m in enumerate(masks)] + [("1" * n, len(masks) + n) for n in sorted(lens)]
-        self.filter = None
-
-    def hits(self, h: np.ndarray, text_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of words with hashes h, text_end the end of each word's text: (document word of the item's word 0, item)."""
-        if self.filter is None:
-            self.filter = np.zeros(1 << _BITS, bool)
-            self.filter[self.seed >> U64(64 - _BITS)] = True
-        at, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mask, which in self.masks:
-            own = seeds(h, mask, which)
-            near = np.flatnonzero(self.filter[own >> U64(64 - _BITS)])
-            near = near[near + len(mask) <= text_end[near]]
-            low, high = (np.searchsorted(self.seed, own[near], side) for side in ("left", "right"))
-            count = high - low
-            row = np.repeat(np.arange(len(near)), count)
-            entry = np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at.append(near[row] - self.place[entry])
-            item.append(self.item[entry])
-        return np.concatenate(at), np.concatenate(item)
+                if len(own) < max(1, least):
+                    continue
+                masks = [m for m in masks_for(len(own)) if len(m) <= len(own)]
+                found = [seeds(own, m) for m in masks]
+                place, kind = np.concatenate([np.arange(len(x)) for x in found]), np.repeat([_KINDS.index(m) for m in masks], [len(x) for x in found])
+                cells = [pa.array([x], k) for x, k in zip((np.concatenate(found).view(np.int64), place.astype(np.int32), kind.astype(np.int32)), (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([item[i]]), pa.array([item_id[i]]), pa.array([own.tobytes()]), *cells], ["item", "item_id", "words", "hash", "place", "kind"])
+
+    return run
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            page = np.zeros(1 << PAGE_BITS, np.uint8)
+            page[b.column("own")[i].values.to_numpy()] = 1
+            yield pa.RecordBatch.from_arrays([b.column("page").slice(i, 1), pa.array([np.packbits(page, bitorder="little").tobytes()])], ["page", "bits"])
+
+
+def _bits(table: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """The bits of all hashes of ``table``, and how many of a hash's own bits name one."""
+    n = min(MOST_BITS, max(LEAST_BITS, int(TIMES * count).bit_length()))
+    parts = F.array(*[F.shiftrightunsigned(F.shiftleft("hash", part), 64 - n) for part in PARTS])
+    slots = table.select(F.explode(parts).alias("slot")).distinct()
+    pages = slots.groupBy(F.shiftright("slot", PAGE_BITS).alias("page")).agg(F.collect_list(F.col("slot").bitwiseAND((1 << PAGE_BITS) - 1)).alias("own"))
+    bits = np.zeros((1 << n) // 8, np.uint8)
+    for r in pages.mapInArrow(_pages, "page long, bits binary").collect():  # 2 ** (n - PAGE_BITS) rows at most
+        at = r["page"] << (PAGE_BITS - 3)
+        bits[at : at + (1 << (PAGE_BITS - 3))] = np.frombuffer(r["bits"], np.uint8)
+    return bits, n
+
+
+def _suspects(bits: np.ndarray, n: int, masks: list[str], keep: list[str]):
+    """Texts with a hash among the bits: the kept columns, the hashes of their words, and these seeds with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for t in slices(batches):
+            h, first = _hashed(t)
+            end = first[1:][np.repeat(np.arange(len(t)), np.diff(first))]
+            own, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for mask in masks:
+                found = seeds(h, mask)
+                near = np.flatnonzero(np.arange(len(found)) + len(mask) <= end[: len(found)])
+                for part in PARTS:
+                    slot = found[near] << U64(part) >> U64(64 - n)
+                    near = near[bits[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8) & 1 > 0]
+                own.append(found[near])
+                at.append(near)
+            own, at = np.concatenate(own), np.concatenate(at)
+            order = np.argsort(at, kind="stable")
+            own, at = own[order], at[order]
+            cuts = np.searchsorted(at, first)
+            rows = np.flatnonzero(np.diff(cuts))
+            if len(rows):
+                pick = pa.array(rows)
+                lists = [pa.array([x[cuts[i] : cuts[i + 1]] for i in rows], pa.list_(pa.int64())) for x in (own.view(np.int64), at - np.repeat(first[:-1], np.diff(cuts)))]
+                yield pa.RecordBatch.from_arrays([pa.array(row + rows), *[t.rows.column(c).take(pick) for c in keep], binary(h[first[i] : first[i + 1]] for i in rows), *lists], ["row", *keep, "words", "hash", "at"])
+            row += len(t)
+
+    return run
 
 
 def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
@@ -92,67 +142,94 @@ def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     return begin, end, int(same[begin:end].sum())
 
 
-def _find(items: Items, min_words: int, penalty: float):
-    def run(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("matched", pa.int32()), ("item_start", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
-        out = []
-        for t in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
-            starts, ends, first = words(t)
-            h = word_hashes(t.data, starts, ends)
-            text = np.repeat(np.arange(len(t)), np.diff(first))
-            at, item = items.hits(h, first[1:][text])
-            found: list[dict[int, tuple]] = [{} for _ in range(len(t))]
-            if len(at):
-                for begin, number in np.unique(np.stack([at, item], axis=1), axis=0):
-                    own = items.hashes[number]
-                    # the diagonal may touch several texts; each part in one text is measured by itself
-                    lo, hi = max(int(begin), 0), min(int(begin) + len(own), len(h))
-                    for d in range(text[lo], text[hi - 1] + 1):
-                        a, b = max(lo, int(first[d])), min(hi, int(first[d + 1]))
-                        if a >= b:
-                            continue
-                        x, y, matched = best_stretch(h[a:b] == own[a - begin : b - begin], penalty)
-                        if matched >= min(min_words, len(own) - len(own) // 5) and 3 * matched >= 2 * (y - x):
-                            got = (matched, -(a - int(first[d]) + x), len(own), int(a - begin) + x, y - x)
-                            if got > found[d].get(items.ids[number], (0,)):
-                                found[d][items.ids[number]] = got
-            for f in found:
-                out.append([{"item_id": i, "item_words": n, "matched": m, "item_start": s, "start_word": -neg, "end_word": w - neg} for i, (m, neg, n, s, w) in sorted(f.items())])
-        return pa.array(out, kind)
+def measure(own: np.ndarray, item: np.ndarray, item_words: int, min_words: int, penalty: float) -> tuple[int, int, int] | None:
+    """Of aligned words of a text and an item: (begin, end, equal) of the leak, if it is one."""
+    same = own == item
+    equal = np.flatnonzero(same)
+    if len(equal) and len(equal) >= item_words - item_words // 5:
+        return int(equal[0]), int(equal[-1]) + 1, len(equal)
+    begin, end, matched = best_stretch(same, penalty)
+    return (begin, end, matched) if matched >= min_words and 3 * matched >= 2 * (end - begin) else None
+
+
+def _measured(keep: list[str], min_words: int, penalty: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, lo, skip = (b.column(c).to_numpy() for c in ("n", "lo", "skip"))
+            rows, out = [], []
+            for i in range(b.num_rows):
+                own, item = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("own", "words"))
+                item = item[skip[i] : skip[i] + len(own)]
+                if found := measure(own[: len(item)], item, int(n[i]), min_words, penalty):
+                    rows.append(i)
+                    out.append((n[i], found[2], skip[i] + found[0], lo[i] + found[0], lo[i] + found[1]))
+            if rows:
+                pick = pa.array(rows, pa.int64())
+                cells = [pa.array([o[c] for o in out], pa.int32()) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pick) for c in ("row", *keep, "item_id")] + cells, ["row", *keep, "item_id", "item_words", "matched", "item_start", "start_word", "end_word"])
 
     return run
 
 
-def leak_column(benchmark: DataFrame, text: str | Column = "text", masks: tuple[str, ...] = MASKS, min_words: int = 13, min_item_words: int = 5, penalty: float = 0.5, block_bytes: int = 8 << 20) -> Column:
-    """A column with a text's leaks of ``benchmark(item_id, text)``: one entry an item, the best stretch of it.
+def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], min_words: int = 13, min_item_words: int = 5, penalty: float = 0.5) -> DataFrame:
+    """One row for each row of ``docs`` and item of ``benchmark(item_id, text)`` that leaked into its ``text``: the columns
+    ``keep`` of the row, item_id, item_words, matched, item_start, start_word, end_word. See ``find_leaks``."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").where("text is not null").distinct()
+    items = items.withColumn("item", F.monotonically_increasing_id())
+    items = stage(items.mapInArrow(_items(min_item_words), "item long, item_id long, words binary, hash array<long>, place array<int>, kind array<int>"), "items")
+    table = stage(items.select("item", (F.octet_length("words") / 8).cast("int").alias("n"), F.explode(F.arrays_zip("hash", "place", "kind")).alias("s")).select("item", "n", "s.hash", "s.place", "s.kind"), "seeds")
+    kinds = [r["kind"] for r in table.select("kind").distinct().collect()]  # a few masks
+    bits, n = _bits(table, table.count())
+    types = dict(docs.dtypes)
+    fields = "".join(f"{c} {types[c]}, " for c in keep)
+    suspects = docs.select(*keep, "text").mapInArrow(_suspects(bits, n, [_KINDS[k] for k in sorted(kinds)], list(keep)), f"row long, {fields}words binary, hash array<long>, at array<long>")
+    suspects = stage(suspects, "suspects")
+    own = suspects.select("row", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("row", "s.hash", "s.at")
+    met = own.join(table, "hash").select("row", "item", "n", (F.col("at") - F.col("place")).alias("begin")).distinct()
+    met = met.join(items.select("item", "item_id", "words"), "item")
+    rows = suspects.select("row", *keep, F.col("words").alias("text_words"))
+    # the words of the text that lie beside the item's
+    lo = F.greatest(F.col("begin"), F.lit(0))
+    beside = met.join(rows, "row").withColumns({"lo": lo, "skip": lo - F.col("begin")})
+    window = F.expr("substring(text_words, cast(8 * lo + 1 as int), cast(8 * (n - skip) as int))")
+    beside = beside.select("row", *keep, "item_id", "n", "lo", "skip", "words", window.alias("own"))
+    out = "item_id long, item_words int, matched int, item_start int, start_word int, end_word int"
+    found = beside.mapInArrow(_measured(list(keep), min_words, penalty), f"row long, {fields}{out}")
+    # of several alignments with one item, the one with most equal words, then the first in the text, then the longest item
+    rank = F.struct("matched", -F.col("start_word"), "item_words", -F.col("item_start"), -F.col("end_word"))
+    best = found.groupBy("row", "item_id").agg(F.max_by(F.struct(*keep, "item_words", "matched", "item_start", "start_word", "end_word"), rank).alias("b"))
+    return best.select(*[f"b.{c}" for c in keep], "item_id", "b.item_words", "b.matched", "b.item_start", "b.start_word", "b.end_word")
 
-    A stretch counts if min(``min_words``, four fifths of the item's words) of its words are equal, and two thirds of its
-    own; a stretch grows while a substituted word costs less, at ``penalty`` equal ones, than what follows brings. Items
-    shorter than the shortest mask are found where they stand whole. Words are runs of non-blank
-    characters, A-Z lower-cased. ``start_word`` and ``end_word`` (exclusive) are places in the text, ``item_start``
-    in the item.
 
-    Null and empty texts have no leaks. Items with fewer than ``min_item_words`` words (null ones too) carry too
-    little to tell a leak and are not looked for; a null item_id counts as -1. Items that are repeated, or share an
-    id, are all looked for, and the best is kept.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Pairs of ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` items that leaked into them, one row a pair and row of docs:
+    doc_id, item_id, item_words, matched, item_start, start_word, end_word.
+
+    Text and item are aligned; a leak has four fifths of the item's words equal, or a stretch with ``min_words`` equal words that
+    are two thirds of its own; a stretch grows while a substituted word costs less, at ``penalty`` equal ones, than
+    what follows brings. All items of 5 to 16 words are found with a fifth of their words substituted, wherever
+    these are; in longer ones some window of 16 words needs to have no more than 3 substituted. Words are runs of
+    non-blank characters, A-Z lower-cased. ``start_word`` and ``end_word`` (exclusive) are places in the
+    text, ``item_start`` in the item; of several alignments with most equal words the first in the text is reported.
+
+    Null and empty texts have no leaks; texts of any length are read whole. Items with fewer than ``min_item_words`` words
+    (null ones too) carry too little to tell a leak and are not looked for; with a smaller ``min_item_words`` those
+    below 5 words are found where they stand whole. A null item_id counts as -1. Items that are repeated, or
+    share an id, are all looked for, and the best is kept. Rows that repeat, or share a doc_id, report each their own; a
+    null doc_id reports as null. Other columns are not looked at. Empty inputs give no rows.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    found = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = Items([r.item_id for r in rows], [r.text for r in rows], masks, min_item_words)
-        find = F.arrow_udf(_find(block, min_words, penalty), LEAKS).asNondeterministic()  # so that a filter does not repeat it
-        found.append(find(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
-    return F.flatten(F.array(*found)) if blocks > 1 else found[0]
+    return leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ("doc_id",), **options)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Pairs of ``docs(doc_id, text)`` and benchmark items that leaked into them, one row a pair and row of docs.
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` has no leak of ``benchmark``, with all their columns; null texts stay.
 
-    Options as for ``leak_column``. Rows that repeat, or share a doc_id, report each their own; a null doc_id
-    reports as null. Other columns are not looked at. Empty inputs give no rows.
+    Rows are matched by two 64-bit hashes of the text, whatever their other columns hold.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leak_column(benchmark, "text", **options).alias("leaks"))
-    return rows.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    used = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in used else free(f"_{name}")
+    one, two = free("text_hash"), free("text_hash_2")
+    keys = {one: F.xxhash64("text"), two: F.xxhash64(F.lit(1), "text")}
+    found = leaks(docs.select("text").withColumns(keys), benchmark, (one, two), **options)
+    found = stage(found.select(one, two).distinct(), "leaky")
+    return docs.withColumns(keys).join(found, [one, two], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
