@@ -1,16 +1,20 @@
 """Exact top-k inner products with KD-trees, one tree a shard.
 
 Vectors are dealt to shards by a hash. A shard's tree splits at the median of its widest dimension; every node has
-the tight box of its vectors and their smallest id. Queries come in blocks. A query visits a tree's nodes best first,
-by the largest inner product that the node's box allows, and stops when that cannot enter its k best. The kth
-score is carried from shard to shard: each query first meets its home shard, and what it found there bounds the search in
-all others; within a task it grows further from tree to tree.
+the tight box of its vectors and their smallest id. Queries go through a tree in blocks, best first: of all nodes whose box
+was looked at, the one with the largest inner product that it allows a query of the block is next, and only those
+queries enter it whose k best it can still change. The kth score is carried from shard to shard: each query first meets the
+shard it belongs to, and what it found there bounds the search in all others.
+
+A shard and a slab of queries, both of bounded size, are a group of the cluster: a tree is built once for a slab, and the
+queries, not the products, are what is sent around. In few dimensions, or with clustered vectors, most nodes are passed
+over. In dozens of dimensions boxes of independent components allow nearly everything; then all products are computed,
+as matrix products of a leaf and a block.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from barwright.plans.shared import stage
 
-#: Vectors of a shard (about), of a leaf (at most), and queries of a block (about).
-SHARD, LEAF, BLOCK = 4096, 32, 512
+#: Vectors of a shard and queries of a slab (at most, about); vectors of a leaf and queries of a block.
+SHARD, SLAB, LEAF, BLOCK = 65536, 65536, 256, 256
+#: Shards that a smaller table has, at most, so that more than one task works on it; vectors of such a shard at least.
+LEAST_SHARDS, LEAST = 32, 1024
 NOTHING = -(2**62)
 
 
@@ -42,8 +48,8 @@ class Tree:
             own = order[lo:hi]
             low, high = vectors[own].min(axis=0), vectors[own].max(axis=0)
             nodes.append((lo, hi, low, high, ids[own].min()))
-            wide = int(np.argmax(high - low))
-            if hi - lo > leaf and high[wide] > low[wide]:
+            wide = int(np.argmax(high - low)) if len(low) else 0
+            if hi - lo > leaf and len(low) and high[wide] > low[wide]:
                 mid = (hi - lo) // 2
                 order[lo:hi] = own[np.argpartition(vectors[own, wide], mid)]
                 self.child.append(len(todo))
@@ -55,130 +61,118 @@ class Tree:
         self.lo, self.hi = (np.array([n[i] for n in nodes]) for i in (0, 1))
         self.low, self.high = (np.stack([n[i] for n in nodes]) for i in (2, 3))
         self.least = np.array([n[4] for n in nodes])
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product that each node's box allows each query."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-
-    def search(self, query: np.ndarray, query_id: int, bound: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
-        """Add to ``best``, a heap of (score, -id) with at most k entries of real vectors."""
-        todo = [(-bound[0], 0)]
+        self.visited = 0
+
+    def search(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best of each query (ids ``own`` do not count), best first, ties to smaller ids; ``NOTHING``
+        where there are fewer, or none that reaches the query's floor."""
+        n = len(queries)
+        scores, ids = np.full((n, k), NOTHING, queries.dtype), np.full((n, k), 2**62)
+        least = floors.astype(queries.dtype)  # what a score must reach
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        root = up @ self.high[0] + down @ self.low[0]
+        todo = [(-root.max(), 0, np.arange(n), root)]
         while todo:
-            over, node = heapq.heappop(todo)
-            if len(best) == k and (-over, -self.least[node]) <= best[0]:
-                if -over < best[0][0]:
-                    return
-                continue  # equal score, but no smaller id
+            _, node, rows, bound = heapq.heappop(todo)
+            # a bound equal to the kth score is of use for a smaller id only
+            enter = (bound > least[rows]) | (bound == least[rows]) & ((scores[rows, -1] < least[rows]) | (self.least[node] < ids[rows, -1]))
+            rows = rows[enter]
+            if not len(rows):
+                continue
             child = self.child[node]
             if child >= 0:
                 for c in (child, child + 1):
-                    if len(best) < k or bound[c] >= best[0][0]:
-                        heapq.heappush(todo, (-bound[c], c))
+                    reach = up[rows] @ self.high[c] + down[rows] @ self.low[c]
+                    heapq.heappush(todo, (-reach.max(), c, rows, reach))
                 continue
             lo, hi = self.lo[node], self.hi[node]
-            scores = self.vectors[lo:hi] @ query
-            order = np.lexsort((self.ids[lo:hi], -scores))[: k + 1] if hi - lo > k + 1 else np.arange(hi - lo)
-            for i in order:
-                own = int(self.ids[lo + i])
-                if own == query_id:
-                    order = np.arange(hi - lo)  # its own rows take no place
-                    break
-            for i in order:
-                own = int(self.ids[lo + i])
-                if own == query_id:
-                    continue
-                entry = (int(scores[i]), -own)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-
-
-def _matrix(rows) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_py(), np.int64) for x in rows])
-
-
-def _binary(column: Column) -> Column:
-    """A bigint array as little-endian bytes."""
+            self.visited += (hi - lo) * len(rows)
+            found = queries[rows] @ self.vectors[lo:hi].T
+            found[own[rows][:, None] == self.ids[lo:hi]] = NOTHING
+            some = (found.max(axis=1) >= least[rows]).nonzero()[0]
+            rows, found = rows[some], found[some]
+            if not len(rows):
+                continue
+            both = np.concatenate([scores[rows], found], axis=1)
+            named = np.concatenate([ids[rows], np.broadcast_to(self.ids[lo:hi], found.shape)], axis=1)
+            best = np.lexsort((named, -both), axis=1)[:, :k]
+            scores[rows], ids[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(named, best, 1)
+            least[rows] = np.maximum(least[rows], scores[rows, -1])
+        return np.where(scores >= floors[:, None].astype(queries.dtype), scores, NOTHING), ids
+
+
+def _packed(column: Column, size: int, kind: str) -> Column:
+    """A bigint array as the bytes of ``size`` integers, zeros after the last one."""
 
     def run(values: pa.Array) -> pa.Array:
-        cuts, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False).astype("<i8")
-        return pa.array([flat[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(values))], pa.binary())
+        cuts, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False).astype(kind)
+        lens = np.diff(cuts)
+        out = np.zeros((len(lens), size), kind)
+        out[np.arange(size) < lens[:, None]] = flat[cuts[0] : cuts[-1]]
+        return pa.array([row.tobytes() for row in out], pa.binary())
 
     return F.arrow_udf(run, "binary")(column)
 
 
-def _blocks(df: DataFrame, keys: list[str], bounds: bool = False) -> DataFrame:
-    """Rows (vec_id, v[, bound]) of a key as arrays in one row."""
-    fields = ["vec_id", "v"] + (["bound"] if bounds else [])
-    return df.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("rows"))
-
-
-def _search(k: int):
-    """Rows (block of queries, shard): the shard's candidates for each query, with the bounds that the queries bring."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[int, Tree] = {}
-        carried: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                shard, block = batch.column("shard")[r].as_py(), batch.column("block")[r].as_py()
-                if shard not in trees:
-                    trees.clear()
-                    points = batch.column("points")[r].values
-                    trees[shard] = Tree(points.field("vec_id").to_numpy(), _matrix(points.field("v")).astype(np.float64))
-                tree, asked = trees[shard], batch.column("asked")[r].values
-                ids, queries = asked.field("vec_id").to_numpy(), _matrix(asked.field("v")).astype(np.float64)
-                floors = asked.field("bound").to_numpy()
-                bound = tree.bounds(queries)
-                out = []
-                for i in range(len(ids)):
-                    key = (block, int(ids[i]))
-                    known = carried.get(key, [(int(floors[i]), NOTHING)] * k if floors[i] > NOTHING else [])
-                    best = list(known)
-                    heapq.heapify(best)
-                    tree.search(queries[i], int(ids[i]), bound[i], best, k)
-                    carried[key] = best
-                    old = set(known)
-                    out += [(int(ids[i]), -e[1], e[0]) for e in best if e[1] != NOTHING and e not in old]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+def _matrix(column: pa.ChunkedArray, size: int, kind: str, work: str) -> np.ndarray:
+    data = b"".join(x.as_py() for x in column)
+    return np.frombuffer(data, kind).reshape(-1, size).astype(work)
+
+
+def _search(k: int, size: int, kind: str, work: str, leaf: int, block: int):
+    """One shard and one slab of queries: the shard's candidates for each query."""
+
+    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if points.num_rows and asked.num_rows:
+            tree = Tree(points.column("vec_id").to_numpy(), _matrix(points.column("v"), size, kind, work), leaf)
+            own, queries, floors = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), size, kind, work), asked.column("bound").to_numpy()
+            # neighbours in direction share a block: they reach for the same nodes
+            order = np.lexsort((own, queries.argmax(axis=1) if size else own))
+            for i in range(0, len(own), block):
+                rows = order[i : i + block]
+                scores, ids = tree.search(queries[rows], own[rows], floors[rows], k)
+                row, at = np.nonzero(scores > NOTHING)
+                for o, x in zip(out, (own[rows][row], ids[row, at], scores[row, at].astype(np.int64)), strict=True):
+                    o.append(x)
+        return pa.table({c: pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for c, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     return run
 
 
-def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, shard: int = SHARD, slab: int = SLAB, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The k highest inner products of each query of ``vectors(vec_id, embedding)``: (query_id, rank, vec_id, score).
 
     Components x become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``; candidates all rows
     but those with the query's vec_id. Ranks start at 1, ties go to the smaller vec_id; a query with fewer than k
     candidates has them all. Vectors that are null, hold a null or non-finite component, or have a null vec_id, take no
-    part. Rows that repeat a vec_id are each candidates; as queries, the one with the smallest vector asks. All vectors
-    need one length: other lengths than the most frequent (the longest of these) take no part. No rows give no rows.
-    Products are summed in double precision, exact while they stay below 2 ** 53.
+    part. Rows that repeat a vec_id are each candidates; as queries, the one with the smallest vector (component by
+    component) asks. A shorter vector counts as one with zeros after its last component. Other columns are not looked
+    at. No rows give no rows. Sums are exact while they stay below 2 ** 63.
     """
-    spark = vectors.sparkSession
     points = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(scale=scale).alias("q")).where("vec_id is not null and q is not null")
-    sizes = points.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not sizes or not sizes[0]["d"]:
-        return empty
-    points = points.where(F.size("q") == sizes[0]["d"])
-    total = sizes[0]["count"]
-    shards = max(1, -(-total // shard))
-    points = stage(points.select("vec_id", _binary(F.col("q")).alias("v"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)).cast("long").alias("shard")), "points")
-    asked = points.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "shard")).alias("m")).select("vec_id", "m.v", F.col("m.shard").alias("home"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-total // every // block)))).cast("long"))
-    asked = stage(asked, "asked")
-    trees = stage(_blocks(points, ["shard"]).withColumnRenamed("rows", "points"), "shards")
+    largest = F.max(F.greatest(-F.coalesce(F.array_min("q"), F.lit(0)), F.coalesce(F.array_max("q"), F.lit(0))))
+    total, size, top = points.agg(F.count("*"), F.max(F.size("q")), largest).first()
     found = "query_id long, vec_id long, score long"
-
-    at_home = _blocks(asked.select("home", "block", "vec_id", "v", F.lit(NOTHING).alias("bound")), ["home", "block"], True).select(F.col("home").alias("shard"), "block", F.col("rows").alias("asked"))
-    first = stage(at_home.join(trees, "shard").select("shard", "block", "asked", "points").mapInArrow(_search(k), found), "home")
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kind = "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8"
+    work = "f8" if max(1, size) * top * top < 2**53 else "i8"
+    shards = max(-(-total // shard), min(LEAST_SHARDS, total // LEAST), 1)
+    slabs = -(-total // every // slab) or 1
+    points = points.select("vec_id", "q", _packed(F.col("q"), size, kind).alias("v"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)).cast("long").alias("shard"))
+    asked = points.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("q", "v", "shard")).alias("m"))
+    asked = asked.select("vec_id", "m.v", F.col("m.shard").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slabs)).cast("long").alias("slab"))
+    asked, points = stage(asked, "asked"), stage(points.select("vec_id", "v", "shard"), "points")
+    many = points.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)).cast("array<long>"))) if slabs > 1 else points.withColumn("slab", F.lit(0).cast("long"))
+
+    def searched(queries: DataFrame) -> DataFrame:
+        sides = many.groupBy("shard", "slab"), queries.select("shard", "slab", "vec_id", "v", "bound").groupBy("shard", "slab")
+        return sides[0].cogroup(sides[1]).applyInArrow(_search(k, size, kind, work, leaf, block), found)
+
+    first = stage(searched(asked.withColumns({"shard": F.col("home"), "bound": F.lit(NOTHING)})), "home")
     floors = first.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("c")).where(f"c = {k}").select(F.col("query_id").alias("vec_id"), "bound")
     others = asked.join(floors, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(NOTHING)))
     others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).where("shard <> home")
-    others = _blocks(others.select("shard", "block", "vec_id", "v", "bound"), ["shard", "block"], True).select("shard", "block", F.col("rows").alias("asked"))
-    rest = others.join(trees, "shard").select("shard", "block", "asked", "points").mapInArrow(_search(k), found)
-    every_hit = first.union(rest)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every_hit.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return first.union(searched(others)).withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
