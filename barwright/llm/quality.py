@@ -112,6 +112,7 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12
     m = Machine(0.0, np.zeros(size, np.float32), rng.normal(0, 0.02, (size, FACTORS)).astype(np.float32), stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6))
     labels = np.array([r[2] for r in rows], np.float64)
     if not rows:
+        m.factors[:] = 0  # nothing is known: 0.5 for every text
         return m
     p = np.clip(labels.mean(), 0.01, 0.99)
     m.bias = float(np.log(p / (1 - p)))
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_ou
 
     At most ``most`` labelled ids are taken, in the order of a hash of the id; their texts are read whole. A null
     label or id is not learnt from; an id with several labels counts as 1 if any is 1. Of rows that share an
-    id, the one with the least hash of its text and n_chars is learnt from. Without labelled rows the model gives every text the same score.
+    id, the one with the least hash of its text and n_chars is learnt from. Without labelled rows the model gives every text the score 0.5.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     ids = ids.where(fold(of=of) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
