@@ -35,3 +35,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not after.where("moved").limit(1).count():
             return labels
     raise RuntimeError(f"labels still move after {rounds} rounds")
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of ``links(a, b)`` and of what ``labels(node, label)``, an earlier result, already joins.
+
+    Only the components that the links connect are looked at, as single nodes, not the links that made them.
+    """
+    if labels is None:
+        return connected_components(links)
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    labels = stage(labels.select("node", "label").union(new.select("node", F.col("node").alias("label"))), "joined")
+    named = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    between = links.join(named("a"), "a").join(named("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    over = connected_components(between.where("a <> b").distinct())
+    out = labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    return stage(out.select("node", F.coalesce("least", "label").alias("label")), "joined")

@@ -13,8 +13,9 @@ The join keeps links exact while it skips work by relations among sets and insid
    position that the shingle has in the set; pairs of blocks that cannot reach the overlap, given the sizes and
    positions, are skipped whole, as are pairs of blocks of one component.
 5. The pairs that remain get their answers from those of their leaders: with the distance of two leaders known,
-   the triangle inequality on symmetric differences settles most members; the others are compared exactly. Where a
-   large component is involved, only the pair of components is noted, and their sets are compared in blocks.
+   the triangle inequality on symmetric differences settles some; for the others the leader's overlap is computed once, and
+   each set that it leads corrects it by the few members in which the two differ. Where a large component is involved,
+   only the pair of components is noted, and their sets are compared in blocks.
 
 No pair within a component is formed on purpose, and no partner or candidate is capped.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.components import connected_components
+from barwright.llm.components import joined_components
 from barwright.llm.shared_tokens import MOST_SETS, shared_tokens
 from barwright.llm.textarrays import U64, binary, mix, per_text_sets, shingles, slices
 from barwright.plans.shared import stage
@@ -130,6 +131,40 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, overlap long, na long, nb long")
 
 
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a set has more and less than its leader."""
+    for b in batches:
+        own, head = ([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(c)] for c in ("own", "head"))
+        sides = [binary(np.setdiff1d(x, y, assume_unique=True) for x, y in zip(*pair, strict=True)) for pair in ((own, head), (head, own))]
+        yield pa.RecordBatch.from_arrays([b.column("a"), pa.array([len(x) for x in own], pa.int64()), *sides], ["a", "na", "more", "less"])
+
+
+def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of a set with another: its leader's, and what the changes add and take away."""
+    for b in batches:
+        got, sizes = b.column("head_overlap").to_numpy().copy(), np.zeros(b.num_rows, np.int64)
+        for i in range(b.num_rows):
+            other, more, less = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("items", "more", "less"))
+            for change, sign in ((more, 1), (less, -1)):
+                at = np.minimum(np.searchsorted(other, change), len(other) - 1)
+                got[i] += sign * int((other[at] == change).sum())
+            sizes[i] = len(other)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got), b.column("na"), pa.array(sizes)], ["a", "b", "overlap", "na", "nb"])
+
+
+def derived(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact overlaps of ``pairs(a, b, la)`` from those of la, the leader of a, with b: (a, b, overlap, na, nb).
+
+    A leader is compared with b once for all sets that it leads; these differ from it in few members, and only those
+    are looked up in b. A set without a leader is its own.
+    """
+    heads = stage(overlaps(pairs.select(F.col("la").alias("a"), "b").distinct(), sets).select(F.col("a").alias("la"), "b", F.col("overlap").alias("head_overlap")), "answers")
+    led = pairs.select("a", "la").distinct().join(sets.toDF("a", "own"), "a").join(sets.toDF("la", "head"), "la")
+    changes = stage(led.select("a", "own", "head").mapInArrow(_changes, "a long, na long, more binary, less binary"), "changes")
+    rows = pairs.join(heads, ["la", "b"]).join(changes, "a").join(sets.toDF("b", "items"), "b")
+    return rows.select("a", "b", "na", "head_overlap", "more", "less", "items").mapInArrow(_corrected, "a long, b long, overlap long, na long, nb long")
+
+
 def _block_pairs(num: int, den: int):
     """Within two blocks of an index list, the pairs of different components that sizes and positions allow: as members
     (a, b), or where the two components have many members, as the components (p, q) alone, p the smaller one."""
@@ -199,9 +234,9 @@ def _members_met(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int
         parts = df.groupBy("q").agg(F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES).alias("parts"))
         # (dealt by both, since one component may have most of the members)
         dealt = df.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).repartition("q", "part")
-        return stage(dealt.groupBy("q", "part").agg(F.collect_list(F.struct("cid", "items")).alias(name)).select("q", name), name)
+        return stage(dealt.groupBy("q", "part").agg(F.collect_list(F.struct("cid", "items")).alias(name)).select("q", F.col("part").alias(f"{name}_part"), name), name)
 
-    both = blocks(of_p, "mine").join(blocks(of_q, "theirs"), "q").select("mine", "theirs").repartition(F.xxhash64(F.monotonically_increasing_id()))
+    both = blocks(of_p, "mine").join(blocks(of_q, "theirs"), "q").repartition("q", "mine_part", "theirs_part").select("mine", "theirs")
     return both.mapInArrow(_met(num, den), "a long, b long")
 
 
@@ -212,7 +247,7 @@ def _named(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return index.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
-def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, bucket_shingles: int = BUCKET_SHINGLES, batch_shingles: int = BATCH_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, bucket_shingles: int = BUCKET_SHINGLES, batch_shingles: int = BATCH_SHINGLES, tally: dict | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
     A document's set has its distinct ``k``-word shingles (words: runs of non-blank characters, A-Z
@@ -222,7 +257,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
 
     Repeated rows, and rows that share a doc_id, are one node with the links of all its texts. A null doc_id
     cannot be named: such rows report their n_shingles and a null component_id, and link nothing. Columns other
-    than the two are not looked at, so their names cannot clash. No rows give no rows.
+    than the two are not looked at, so their names cannot clash. No rows give no rows. ``tally``, if given, is filled with the
+    numbers of pairs that each way has settled.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = stage(docs.mapInArrow(_signatures(k), "doc_id long, n long, s1 long, s2 long"), "signatures")
@@ -262,13 +298,11 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
         # with the one head that most of its lists share, a set has the best chance to link
         shared = met.groupBy("cid", F.col("head.cid").alias("h")).agg(F.count("*").alias("c"))
         star = shared.groupBy("cid").agg(F.max_by("h", F.struct("c", "h")).alias("h")).select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()
-        found = overlaps(star if checked is None else star.join(checked.select("a", "b"), ["a", "b"], "left_anti"), chosen)
-        checked = stage(found if checked is None else checked.union(found), "checked")
-        links = checked.where(link).select("a", "b")
-        labels = connected_components(links)
+        found = stage(overlaps(star if checked is None else star.join(checked.select("a", "b"), ["a", "b"], "left_anti"), chosen), "checked")
+        checked = found if checked is None else checked.union(found)
+        labels = joined_components(labels, found.where(link).select("a", "b"))
     if checked is None:
         checked = stage(overlaps(wanted.where("false").select(F.col("cid").alias("a"), F.col("cid").alias("b")), chosen), "checked")
-        links = checked.select("a", "b")
 
     # a set's leader: of the heads that it links with, the nearest
     distance = (F.col("na") + F.col("nb") - 2 * F.col("overlap")).alias("d")
@@ -297,9 +331,9 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
         f"""key1 <= key2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2) and {den} * least(n_hi1, n_hi2) >= {num} * greatest(n_lo1, n_lo2)
         and {num + den} * least(reach1, reach2) >= {num} * (n_lo1 + n_lo2)"""
     )
-    pairs = stage(beside.select("e1", "e2").mapInArrow(_block_pairs(num, den), "a long, b long, p long, q long").distinct(), "pairs")
-    met = _members_met(pairs.where("a is null").select("p", "q"), members, chosen, num, den)
-    pairs = pairs.where("a is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    all_pairs = stage(beside.select("e1", "e2").mapInArrow(_block_pairs(num, den), "a long, b long, p long, q long").distinct(), "pairs")
+    met = _members_met(all_pairs.where("a is null").select("p", "q"), members, chosen, num, den)
+    pairs = all_pairs.where("a is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
     lead = lambda side: leaders.select(F.col("cid").alias(side), F.col("leader").alias(f"l{side}"), F.col("d").alias(f"d{side}"))
     held = pairs.join(lead("a"), "a", "left").join(lead("b"), "b", "left")
     count = wanted.select("cid", "n")
@@ -310,13 +344,17 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5,
     tops = tops.select(F.col("a").alias("t1"), F.col("b").alias("t2"), (F.col("na") + F.col("nb") - 2 * F.col("overlap")).alias("dl"))
     most = f"(na + nb) - 2 * ceil({num} * (na + nb) / {num + den}.0D - 1e-9)"  # the largest distance of a link
     held = held.join(tops, ["t1", "t2"], "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
-    held = stage(held.selectExpr("a", "b", f"case when dl - da - db > {most} then 0 when dl + da + db <= {most} then 1 else 2 end as said"), "derived")
-    exact = overlaps(held.where("said = 2").select("a", "b"), chosen).where(link).select("a", "b")
+    held = stage(held.selectExpr("a", "b", "la", f"case when dl - da - db > {most} then 0 when dl + da + db <= {most} then 1 else 2 end as said"), "derived")
+    undecided = stage(held.where("said = 2").select("a", "b", "la"), "undecided")
+    exact = stage(derived(undecided, chosen), "exact")
+    if tally is not None:
+        said = {r["said"]: r["n"] for r in held.groupBy("said").agg(F.count("*").alias("n")).collect()}
+        tally |= {"compared with heads": checked.count(), "derived: no link": said.get(0, 0), "derived: link": said.get(1, 0), "derived from the leader's overlap": exact.count(), "pairs of components": all_pairs.where("a is null").count()}
 
     rows = signs.where("n > 0 and doc_id is not null").join(classes, key).select("doc_id", "n", "cid")
     several = rows.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z")
     several = rows.join(several, "doc_id").select("a", F.col("cid").alias("b"))
-    labels = connected_components(links.union(held.where("said = 1").select("a", "b")).union(exact).union(met).union(several))
+    labels = joined_components(labels, held.where("said = 1").select("a", "b").union(exact.where(link).select("a", "b")).union(met).union(several))
     grouped = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(*key, "rep", F.coalesce("label", "cid").alias("label"))
     grouped = stage(grouped, "grouped")
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
