@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.llm import jaccard_join as J
-from barwright.llm.components import connected_components
+from barwright.llm.components import connected_components, joined_components
 from barwright.llm.shared_tokens import _answered, _send
 
 SCHEMA = "doc_id long, text string"
@@ -115,3 +115,36 @@ def test_components(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_joined_by_later_links(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = None
+    for at in (0, 25, 50):
+        labels = joined_components(labels, frame([(a, b) for a, b in links[at : at + 25] if a != b]))
+    as_map = lambda df: {r.node: r.label for r in df.collect()}
+    assert as_map(labels) == as_map(connected_components(frame(links)))
+    assert as_map(joined_components(labels, frame([]))) == as_map(labels)
+
+
+def test_overlaps_derived_from_a_leader(spark):
+    rng = random.Random(6)
+    of = {0: set(range(100))}
+    for i in range(1, 12):
+        of[i] = (of[0] - set(rng.sample(range(100), rng.randrange(5)))) | set(rng.sample(range(100, 140), rng.randrange(5)))
+    sets = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in of.items()], "cid long, items binary")
+    pairs = spark.createDataFrame([(a, b, 0 if a % 3 else a) for a in range(1, 12) for b in range(1, a)], "a long, b long, la long")
+    got = J.derived(pairs, sets).collect()
+    assert len(got) == 55 and all((r.overlap, r.na, r.nb) == (len(of[r.a] & of[r.b]), len(of[r.a]), len(of[r.b])) for r in got)
+
+
+def test_a_long_text_and_how_pairs_were_settled(spark):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60000))
+    rows = [(1, long), (2, long.upper() + " end"), (3, long[: len(long) // 2]), *[(i + 10, t) for i, t in corpus(rng, 4, 5)]]
+    tally = {}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in J.jaccard_components(df, tally=tally).collect()) == brute(rows)
+    assert tally["compared with heads"] > 0

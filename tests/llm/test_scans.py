@@ -91,29 +91,37 @@ def test_topk_equals_all_products(spark, monkeypatch):
     rows = [(int(i), rng.normal(size=6).round(1).tolist()) for i in range(300)] + [(int(i), [0.5] * 6) for i in range(300, 420)]
     rows += [(500, None), (550, [1.0, None, 0, 0, 0, 0]), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (None, [1.0] * 6), (50, [9.0] * 6), (7, rows[7][1]), (700, [1.0])]
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit("x")})
-    fine = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) == 6 and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, np.pad(v, (0, 6 - len(v)))) for i, v in fine]
     want = []
     for q in sorted({i for i, _ in fine if i % 50 == 0}):
-        own = min((v.astype("<i8").tobytes(), i) for i, v in fine if i == q)[0]
-        own = np.frombuffer(own, "<i8")
+        own = np.array(min(v.tolist() for i, v in fine if i == q))
         ranked = sorted(((-int(own @ v), i) for i, v in fine if i != q))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)]
-    for shard, block in ((4096, 512), (40, 2)):
-        got = sorted(tuple(r) for r in K.top_inner_products(df, shard=shard, block=block).collect())
+    monkeypatch.setattr(K, "LEAST_SHARDS", 1)
+    for sizes in ({}, {"shard": 40, "slab": 3, "leaf": 4, "block": 2}):
+        got = sorted(tuple(r) for r in K.top_inner_products(df, **sizes).collect())
         assert got == want
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in K.top_inner_products(few).collect()] == [(0, 1, 1, 131072)]
     assert K.top_inner_products(few.where("false")).count() == 0
+    big = spark.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 3.0]), (2, [1e6, 2.0]), (3, [])], "vec_id long, embedding array<double>")
+    score = lambda a, b: (256 * 10**6) ** 2 + 256 * a * 256 * b
+    assert [tuple(r)[2:] for r in K.top_inner_products(big).orderBy("rank").collect()] == [(1, score(3, 3)), (2, score(3, 2)), (3, 0)]  # beyond what doubles hold
 
 
 def test_a_tree_visits_little():
     rng = np.random.default_rng(2)
-    points = rng.normal(size=(4000, 3)).round(3)
-    tree = K.Tree(np.arange(4000), points)
+    points = rng.normal(size=(20000, 3)).round(3)
+    tree = K.Tree(np.arange(20000), points, 32)
     assert all((points[tree.ids[a:b]] >= lo).all() and (points[tree.ids[a:b]] <= hi).all() for a, b, lo, hi in zip(tree.lo, tree.hi, tree.low, tree.high, strict=True))
-    best, q = [], np.array([1.0, -2.0, 0.5])
-    tree.search(q, -1, tree.bounds(q[None])[0], best, 5)
-    assert sorted(-i for _, i in best) == sorted(np.argsort(-(points @ q))[:5].tolist())
+    queries = np.array([[1.0, -2.0, 0.5], [1.0, -2.0, 0.4], [-3.0, 0.1, 0.1]])
+    scores, ids = tree.search(queries, np.array([-1, -1, -1]), np.full(3, K.NOTHING), 5)
+    for q, i in zip(queries, ids, strict=True):
+        assert sorted(i.tolist()) == sorted(np.argsort(-(points @ q))[:5].tolist())
+    assert tree.visited < 0.1 * len(points) * len(queries)
+    scores, _ = tree.search(queries[:1], np.array([-1]), np.array([1e9]), 5)  # a floor that nothing reaches
+    assert (scores == K.NOTHING).all()
 
 
 def test_urls(spark):
@@ -317,3 +325,23 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
         stages = f(spark, stages, str(tmp_path))
         assert stages.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert stages.where("doc_id = 103").first().text.endswith("[secret]")
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as C
+
+    rng = random.Random(10)
+    one, two, three = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(1, one, "x"), (1, one, "x"), (1, two, "x"), (2, one + " end", "y"), (None, two, "z"), (None, None, "z"), (3, None, "z"), (3, None, "z"), (4, "", "z"), (5, three, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumns({"many": F.lit(1), "lang": F.lit("en")})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = C.one_of_each_group(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text)
+    assert [t for _, t in got].count(three) == 1 and len(got) == 3 and sum(t in (one, one + " end") for _, t in got) == 1 and sum(t == two for _, t in got) == 1
+    assert sorted(str(r.doc_id) for r in kept.collect() if not r.text) == ["3", "4", "None"]
+    for _, f in C.STAGES[:-1]:
+        assert f(spark, df.where("false"), str(tmp_path)).count() == 0 and f(spark, df, str(tmp_path)).columns == df.columns
+    assert C.good_quality(spark, df, str(tmp_path)).count() == len(rows) == C.no_leaks(spark, df, str(tmp_path)).count()
