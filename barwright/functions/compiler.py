@@ -307,13 +307,13 @@ def _arithmetic(op: str, args: list[Value]) -> Value:
     if isinstance(a, Scalar) and isinstance(b, Scalar):
         if op == "/":
             if float(b.value) == 0:
-                raise EvalError("Division by zero literal.")
+                raise EvalError("Cannot divide by a literal 0.")
             return Scalar(float(a.value) / float(b.value))
         return Scalar(_FOLD[op](float(a.value), float(b.value)))
     if op == "/":
         if isinstance(b, Scalar):
             if float(b.value) == 0:
-                raise EvalError("Division by zero literal.")
+                raise EvalError("Cannot divide by a literal 0.")
             return Series(numeric(a) / F.lit(float(b.value)))
         if isinstance(a, Series) and a.boolean and b.boolean:
             raise EvalError("Conditions cannot be divided.")

@@ -42,22 +42,22 @@ def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
     inputs = {
         "up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
         "tr": W.true_range(), "plus": W.directional(True), "minus": W.directional(False), "ret": W.pct_change(close),
-        "vol_z": W.zscore(F.col("volume"), cfg.vol_z_window), "oi_step": oi - W.previous(oi), "close": close,
+        "vol_z": W.zscore(F.col("volume"), cfg.usual[0]), "oi_step": oi - W.previous(oi), "close": close,
     }
     df = df.withColumns({_P + k: v.cast("double") for k, v in inputs.items()})
-    df = df.withColumn(_P + "oi_z", W.zscore(_c("oi_step"), cfg.oi_z_window))
-    first = {f"e{n}": ("close", span(n)) for n in (cfg.ema_fast, cfg.ema_slow, cfg.ema_trend, cfg.macd_fast, cfg.macd_slow)}
-    first |= {"rsi_up": ("up", wilder(cfg.rsi_period)), "rsi_down": ("down", wilder(cfg.rsi_period))}
-    first |= {f"{k}_{n}": (k, wilder(n)) for k, n in (("tr", cfg.atr_period), ("tr", cfg.adx_period), ("plus", cfg.adx_period), ("minus", cfg.adx_period))}
+    df = df.withColumn(_P + "oi_z", W.zscore(_c("oi_step"), cfg.usual[1]))
+    first = {f"e{n}": ("close", span(n)) for n in (cfg.means[0], cfg.means[1], cfg.means[2], cfg.macd[0], cfg.macd[1])}
+    first |= {"rsi_up": ("up", wilder(cfg.rsi)), "rsi_down": ("down", wilder(cfg.rsi))}
+    first |= {f"{k}_{n}": (k, wilder(n)) for k, n in (("tr", cfg.atr), ("tr", cfg.adx), ("plus", cfg.adx), ("minus", cfg.adx))}
     first |= {"direction": ("ret", span(smooth))}
     df = ewm(df, {_P + k: (_P + c, a) for k, (c, a) in first.items()})
     sign = F.coalesce(F.signum(_c("direction")), F.lit(0.0))
     df = df.withColumns({
-        _P + "dx": dx_value(_c(f"tr_{cfg.adx_period}"), _c(f"plus_{cfg.adx_period}"), _c(f"minus_{cfg.adx_period}")),
-        _P + "line": _c(f"e{cfg.macd_fast}") - _c(f"e{cfg.macd_slow}"),
+        _P + "dx": dx_value(_c(f"tr_{cfg.adx}"), _c(f"plus_{cfg.adx}"), _c(f"minus_{cfg.adx}")),
+        _P + "line": _c(f"e{cfg.macd[0]}") - _c(f"e{cfg.macd[1]}"),
         _P + "vol_s": _third(_c("vol_z")) * sign, _P + "oi_s": _third(_c("oi_z")) * sign,
     })
-    second = {"adx": ("dx", wilder(cfg.adx_period)), "signal": ("line", span(cfg.macd_signal)), "vol_e": ("vol_s", span(smooth)), "oi_e": ("oi_s", span(smooth))}
+    second = {"adx": ("dx", wilder(cfg.adx)), "signal": ("line", span(cfg.macd[2])), "vol_e": ("vol_s", span(smooth)), "oi_e": ("oi_s", span(smooth))}
     return ewm(df, {_P + k: (_P + c, a) for k, (c, a) in second.items()}).withColumn(_P + "adx", F.coalesce(_c("adx"), F.lit(0.0)))
 
 
@@ -72,21 +72,21 @@ def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> Dat
         raise ValueError(f"the bars have columns {taken} already")
     df = smoothed(bars, cfg)
     close, volume = F.col("close"), F.col("volume")
-    trend = _c(f"e{cfg.ema_trend}")
-    atr = _c(f"tr_{cfg.atr_period}")
+    trend = _c(f"e{cfg.means[2]}")
+    atr = _c(f"tr_{cfg.atr}")
     df = df.withColumns({
-        _P + "rsi": rsi_value(_c("rsi_up"), _c("rsi_down")), _P + "slope": W.raw_slope(close, F.row_number().over(W.line()).cast("double"), cfg.slope_lookback),
-        _P + "fund_z": W.zscore(F.col("funding_rate"), cfg.funding_z_window), _P + "width": W.bb_width(close, cfg.bb_period, cfg.bb_num_std),
-        _P + "vwap": W.vwap_core(cfg.vwap_period), _P + "atr_mid": F.median(atr).over(Window.partitionBy(W.SERIES)),
+        _P + "rsi": rsi_value(_c("rsi_up"), _c("rsi_down")), _P + "slope": W.raw_slope(close, F.row_number().over(W.line()).cast("double"), cfg.slope),
+        _P + "fund_z": W.zscore(F.col("funding_rate"), cfg.usual[2]), _P + "width": W.bb_width(close, cfg.bands[0], cfg.bands[1]),
+        _P + "vwap": W.vwap_core(cfg.vwap), _P + "atr_mid": F.median(atr).over(Window.partitionBy(W.SERIES)),
     })
-    base = W.rolling(lambda x: F.percentile(x, 0.5), _c("width"), cfg.bb_period * 4)
+    base = W.rolling(lambda x: F.percentile(x, 0.5), _c("width"), cfg.bands[0] * 4)
     df = df.withColumns({_P + "rsi_was": W.previous(_c("rsi")), _P + "atr_step": F.abs(atr - W.previous(atr)), _P + "width_mid": base})
     eps = F.when(_c("atr_mid") > 0, _c("atr_mid") * 0.0001).otherwise(1e-6)
     stable = W.clip(1.0 - _c("atr_step") / F.when(atr.isNotNull(), F.greatest(atr, eps)), 0, 1)
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     out = {
         "rsi": W.clip((50.0 - _c("rsi")) / 50.0, -1, 1),
-        "ema_cross": _tanh(W.ratio(_c(f"e{cfg.ema_fast}") - _c(f"e{cfg.ema_slow}"), close), 50.0),
+        "ema_cross": _tanh(W.ratio(_c(f"e{cfg.means[0]}") - _c(f"e{cfg.means[1]}"), close), 50.0),
         "macd": _tanh(W.ratio(_c("line") - _c("signal"), close), 200.0),
         "trend": zero(F.tanh(W.ratio(close - trend, trend) * 30.0) * W.clip((_c("adx") - 15.0) / 25.0, 0, 1)),
         "volume": zero(_c("vol_e")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,12 @@ def read_signals(spark: SparkSession, path: str) -> tuple[dict[str, SignalDef],
     return good, bad
 
 
-def positions(bars: DataFrame, signals: dict[str, SignalDef], cfg: BacktestConfig | None = None) -> DataFrame:
+def positions(bars: DataFrame, signals: dict[str, SignalDef], cfg: BacktestConfig | None = None, failed: dict[str, str] | None = None) -> DataFrame:
     """Long form: a row for each bar and strategy, with its position.
 
+    A strategy whose expressions cannot be evaluated on these bars stops all, or, where ``failed`` is given, is left out and
+    named there with the reason.
+
     All strategies are columns of one plan over the bars, which are read and sorted once; then the columns are stood on end.
     """
     cfg = cfg or BacktestConfig()
@@ -39,24 +43,29 @@ def positions(bars: DataFrame, signals: dict[str, SignalDef], cfg: BacktestConfi
     for i, (name, s) in enumerate(signals.items()):
         score, signal = f"__bw_score_{i}", f"__bw_signal_{i}"
         own = BacktestConfig(cfg.symbol, cfg.timeframe, s.long_threshold, s.short_threshold, 0, cfg.costs)
-        if s.score or "regime" in bars.columns:
-            df = combine(df, s.weights, s.score or None, score)
-        else:
-            df = df.withColumn(score, F.lit(0.0))
-        df = discretize(df, own, s.long_when, s.short_when, score, signal)
+        try:
+            scored = combine(df, s.weights, s.score or None, score) if s.score or "regime" in bars.columns else df.withColumn(score, F.lit(0.0))
+            df = discretize(scored, own, s.long_when, s.short_when, score, signal)
+        except (ValueError, AnalysisException) as e:
+            if failed is None:
+                raise
+            failed[name] = str(e)
+            continue
         cells.append(F.struct(F.lit(name).alias("strategy"), F.col(signal).alias("signal")))
+    if not cells:
+        raise ValueError("no strategy could be evaluated")
     long = df.select(*base, F.explode(F.array(*cells)).alias("__bw_cell")).select(*base, "__bw_cell.strategy", "__bw_cell.signal")
     return min_hold(long, cfg.min_hold_bars, "signal", (W.SERIES, "strategy")) if cfg.min_hold_bars > 0 else long
 
 
-def leaderboard(bars: DataFrame, signals: dict[str, SignalDef], per_year: float = 8760, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None) -> DataFrame:
+def leaderboard(bars: DataFrame, signals: dict[str, SignalDef], per_year: float = 8760, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, failed: dict[str, str] | None = None) -> DataFrame:
     """Metrics of every series and strategy, best Sharpe ratio first, without one last.
 
     By default all strategies trade with leverage 1 and the default stops and holding time, whatever they state.
     """
     cfg, risk = cfg or BacktestConfig(), risk or RiskConfig(leverage=1.0)
     keys = [W.SERIES, "strategy"]
-    rows = positions(bars, signals, cfg)
+    rows = positions(bars, signals, cfg, failed)
     done = backtest.run(rows, cfg, risk, keys=keys)
     return backtest.metrics(done, per_year, cfg.costs.per_side, risk.leverage, keys).orderBy(F.desc_nulls_last("sharpe"), *keys)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
@@ -88,6 +89,19 @@ def fold_bounds(n: int, train: int, test: int, step: int) -> int:
     return max(0, math.floor((n - train - test) / step) + 1) if n >= train + test else 0
 
 
+def _fold_trials(spark: SparkSession, folds: int, n_trials: int, seed: int) -> DataFrame:
+    """(fold, trial, knobs) for all folds, drawn in the tasks: fold i has the draws of seed + i."""
+    kind = "struct<" + ",".join(f"{k}:double" for k in KNOB_BOUNDS) + ">"
+
+    def draw(frames):
+        for frame in frames:
+            for i in frame["id"]:
+                drawn = sample_knobs(n_trials, seed + int(i))
+                yield pd.DataFrame({"fold": np.full(n_trials, i, np.int32), "trial": np.arange(n_trials, dtype=np.int32), "knobs": drawn})
+
+    return spark.range(max(folds, 0)).mapInPandas(draw, f"fold int, trial int, knobs {kind}")
+
+
 def walk_forward(df: DataFrame, train: int, test: int, step: int, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, per_year: float = 8760, n_trials: int = 300, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Fit on ``train`` bars, test on the next ``test``, move on by ``step``: (folds, per-bar results of the tests).
 
@@ -97,15 +111,11 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int, cfg: BacktestC
     cfg, risk = cfg or BacktestConfig(), risk or RiskConfig()
     numbered = df.withColumn("rn", F.row_number().over(W.line()) - 1).withColumn("n", F.count("*").over(Window.partitionBy(W.SERIES)))
     most = df.groupBy(W.SERIES).count().agg(F.max("count")).first()[0] or 0
-    count = fold_bounds(most, train, test, step)
-    spark = df.sparkSession
-    if not count:
-        count = 1
-    drawn = [(i, j, tuple(t.values())) for i in range(count) for j, t in enumerate(sample_knobs(n_trials, seed + i))]
-    kind = "struct<" + ",".join(f"{k}:double" for k in KNOB_BOUNDS) + ">"
-    trials = spark.createDataFrame(drawn, f"fold int, trial int, knobs {kind}")
-    own = numbered.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    own = own.where((F.col("fold") * step + train + test <= F.col("n")) & (F.col("rn") >= F.col("fold") * step) & (F.col("rn") < F.col("fold") * step + train + test))
+    trials = _fold_trials(df.sparkSession, fold_bounds(most, train, test, step), n_trials, seed)
+    # the folds that a bar is in follow from its number
+    first = F.greatest(F.lit(0), F.ceil((F.col("rn") - (train + test - 1)) / step)).cast("int")
+    last = F.least(F.floor(F.col("rn") / step), F.floor((F.col("n") - (train + test)) / step)).cast("int")
+    own = numbered.withColumns({"first": first, "last": last}).where("first <= last").withColumn("fold", F.explode(F.sequence("first", "last"))).drop("first", "last")
     own = own.withColumn("in_train", F.col("rn") < F.col("fold") * step + train)
     keys = [W.SERIES, "fold", "trial"]
     _, scored = _trial_metrics(own.where("in_train").join(trials, "fold"), keys, cfg, risk, per_year)

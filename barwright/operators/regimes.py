@@ -18,7 +18,7 @@ def classify(bars: DataFrame, cfg: FactorConfig | None = None, adx_threshold: fl
     """
     cfg = cfg or FactorConfig()
     df = smoothed(bars, cfg)
-    e = F.col(f"{_P}e{cfg.ema_trend}")
+    e = F.col(f"{_P}e{cfg.means[2]}")
     df = df.withColumn(_P + "was", W.previous(e, slope_lookback))
     slope = W.ratio(e - F.col(_P + "was"), F.col(_P + "was"))
     strong = F.col(_P + "adx") >= adx_threshold

@@ -59,20 +59,27 @@ def discretize(df: DataFrame, cfg: BacktestConfig | None = None, long_when: str
 
 
 class _Hold:
+    """Carries the position, and for how many bars it has been held, from batch to batch; goes from change to change."""
+
     def __init__(self, n: int, column: str):
         self.n, self.column, self.now, self.held = n, column, 0, 0
 
     def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
-        wanted = frame[self.column].fillna(0).astype(int).to_numpy()
-        got = np.empty(len(wanted), np.int32)
-        now, held = self.now, self.held
-        for i, x in enumerate(wanted):
-            if x != now and (now == 0 or held >= self.n):
-                now, held = x, 1
-            else:
-                held += 1
-            got[i] = now
-        self.now, self.held = now, held
+        wanted = frame[self.column].fillna(0).to_numpy().astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]]))  # of runs of one wish
+        at, values, since = [0], [self.now], -self.held
+        while True:
+            free = at[-1] if self.now == 0 else max(at[-1], since + self.n)  # the first bar that may change it
+            run = int(np.searchsorted(starts, free, "right")) - 1
+            if free < len(wanted) and wanted[free] == self.now:
+                free = int(starts[run + 1]) if run + 1 < len(starts) else len(wanted)
+            if free >= len(wanted):
+                break
+            self.now, since = int(wanted[free]), free
+            at.append(free)
+            values.append(self.now)
+        self.held = len(wanted) - since
+        got = np.repeat(np.array(values, np.int32), np.diff([*at, len(wanted)]))
         return frame.assign(**{self.column: got})
 
 

@@ -267,8 +267,27 @@ _factor("macd", "tanh(200 * hist / close)", _MACD.replace("z as (select li.*, li
 _factor("trend", "tanh(30 * (close - e) / e) * least(greatest((adx - 15) / 25, 0), 1)", f"{_ADX.replace('z as (', 'za as (')}, {ewm_sql('b', 'close', 2 / 201, 'e3')}, z as (select za.*, e3.y as e from za join e3 using (series_id, ts))")
 _DIRECTION = f", rt as (select *, coalesce(close / nullif(lag(close) over ({LINE}), 0) - 1, 0) as ret, {_z('volume', 48)} as vz from b), {ewm_sql('rt', 'ret', 2 / 5, 'di')}"
 _factor("volume", "y", f"{_DIRECTION}, sg as (select rt.series_id, rt.ts, least(greatest(vz, -3), 3) / 3 * sign(di.y) as s from rt join di using (series_id, ts)), {ewm_sql('sg', 's', 2 / 5, 'z')}")
-_factor("oi", "0.0")
-_factor("funding", "0.0")
+
+
+def _dataset_factor(name: str, value: str, ctes: str = "") -> None:
+    """A factor over bars with funding rates and open interest."""
+    dataset = f"""with {_bars_sql(by_type=False, name='b0')}, {_FUNDING}, {_OI}, c as (select b0.*, f.funding_rate, p.open_interest as po, b0.ts - p.ts as pd, n.open_interest as no, n.ts - b0.ts as nd
+        from b0 asof left join f on b0.ts >= f.ts asof left join o p on b0.ts >= p.ts asof left join o n on b0.ts <= n.ts),
+        b as (select *, case when nd is not null and (pd is null or nd <= pd) and nd <= interval '1 hour' then no when pd <= interval '1 hour' then po end as open_interest from c)"""
+
+    @query(f"factor_{name}", f"{dataset}{ctes}, v as (select series_id, ts, {value} as value from {'z' if ctes else 'b'}) select series_id, ts, round(value, 6) as value from v")
+    def run(spark, d):
+        df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d))
+        return compute_all_factors(df).select("series_id", "ts", r6(f"f_{name}", "value"))
+
+
+_dataset_factor("funding", f"-least(greatest({_z('funding_rate', 168)}, -3), 3) / 3")
+_dataset_factor(
+    "oi", "y",
+    f""", st as (select *, coalesce(close / nullif(lag(close) over ({LINE}), 0) - 1, 0) as ret, open_interest - lag(open_interest) over ({LINE}) as step from b),
+    rt as (select *, {_z('step', 48)} as oz from st), {ewm_sql('rt', 'ret', 2 / 5, 'di')},
+    sg as (select rt.series_id, rt.ts, least(greatest(oz, -3), 3) / 3 * sign(di.y) as s from rt join di using (series_id, ts)), {ewm_sql('sg', 's', 2 / 5, 'z')}""",
+)
 _factor("slope_regression", "tanh(2000 * s / close)", f", i as (select *, cast(row_number() over ({LINE}) as double) as i from b), z as (select *, coalesce(case when {over('count(close)', 20)} = 20 then {over('regr_slope(close, i)', 20)} end, 0) as s from i)")
 _factor("adx_strength", "least(greatest((adx - 27.5) / 12.5, -1), 1)", _ADX)
 _factor("rsi_delta", f"case when lag(r) over ({LINE}) is null then 0 else least(greatest((r - lag(r) over ({LINE})) / 50, -1), 1) end", _RSI)

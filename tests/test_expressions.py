@@ -55,7 +55,7 @@ def test_repair(text, mended, notes):
 
 
 def test_repair_keeps_the_first_error():
-    assert parse_with_repair("sma(close, 5")[1:] == ("sma(close, 5)", ["appended 1 missing closing paren"])
+    assert parse_with_repair("sma(close, 5")[1:] == ("sma(close, 5)", ["closed 1 bracket"])
     with pytest.raises(ParseError, match="column"):
         parse_with_repair("close close (")
 

@@ -69,7 +69,7 @@ BODY = {"name": "x", "score": "sma(close, 5", "long_threshold": 0.3}
 
 def test_definitions():
     s = parse_signal(BODY)
-    assert s.score == "sma(close, 5)" and s.auto_repair_notes == ("score: appended 1 missing closing paren",)
+    assert s.score == "sma(close, 5)" and s.auto_repair_notes == ("score: closed 1 bracket",)
     assert s.signal_id() == parse_signal(BODY | {"name": "y", "score": " sma(close,  5)"}).signal_id()
     assert s.signal_id() != parse_signal(BODY | {"leverage": 4}).signal_id()
     assert json.dumps(s.canonical(), sort_keys=True) and "leverage" not in s.canonical()
@@ -135,3 +135,67 @@ def test_a_trial_is_a_single_backtest(spark):
         own = BacktestConfig(long_threshold=k["long_thr"], short_threshold=k["short_thr"], min_hold_bars=0)
         m = B.metrics(B.run(signals.discretize(one, own), own, risk), 8760, own.costs.per_side, 1.0).first()
         assert m.total_return == pytest.approx(got[i].total_return) and m.trades == got[i].trades
+
+
+def test_min_hold_in_batches_equals_a_loop():
+    import random
+
+    import pandas as pd
+
+    from barwright.operators.signals import _Hold
+
+    rng = random.Random(1)
+    for _ in range(200):
+        n, wanted = rng.randrange(1, 6), [rng.choice([-1, 0, 0, 1, 1, None]) for _ in range(rng.randrange(1, 40))]
+        now, held, want = 0, 0, []
+        for x in wanted:
+            x = x or 0
+            now, held = (x, 1) if x != now and (now == 0 or held >= n) else (now, held + 1)
+            want.append(now)
+        hold, got, at = _Hold(n, "signal"), [], 0
+        while at < len(wanted):
+            size = rng.randrange(1, 9)
+            got += hold(pd.DataFrame({"signal": wanted[at : at + size]}, dtype="float"))["signal"].tolist()
+            at += size
+        assert got == want
+
+
+def test_walk_forward_has_the_bars_of_each_fold(spark):
+    import datetime as dt
+    import math
+
+    from pyspark.sql import functions as F
+
+    from barwright.operators.optimize import _fold_trials, sample_knobs, walk_forward
+    from barwright.plans.config import FACTORS, BacktestConfig, RiskConfig
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(hours=i), 100 + 5 * math.sin(i / 7)) for s, n in (("a", 83), ("b", 60), ("c", 39)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, close double").withColumns({"high": F.col("close"), "low": F.col("close"), "regime": F.lit("chop")})
+    df = df.withColumns({f"f_{n}": F.sin(F.col("close") * (i + 1)) for i, n in enumerate(FACTORS)})
+    folds, tests = walk_forward(df, 30, 10, 10, BacktestConfig(min_hold_bars=0), RiskConfig(1.0, None, None), 8760, 6, 3)
+    got = folds.collect()
+    count = {"a": 5, "b": 3}
+    assert {r.series_id for r in got} <= set(count) and got
+    at = lambda i: start + dt.timedelta(hours=i)
+    for r in got:
+        assert r.fold < count[r.series_id]
+        assert (r.train_start, r.train_end, r.test_start, r.test_end) == (at(10 * r.fold), at(10 * r.fold + 29), at(10 * r.fold + 30), at(10 * r.fold + 39))
+    assert tests.groupBy("series_id", "fold").count().where("count <> 10").count() == 0
+    drawn = {(r.fold, r.trial): r.knobs.asDict() for r in _fold_trials(spark, 3, 4, 5).collect()}
+    assert drawn == {(i, j): k for i in range(3) for j, k in enumerate(sample_knobs(4, 5 + i))}
+
+
+def test_a_strategy_that_fails_is_named(spark):
+    import datetime as dt
+    from dataclasses import replace
+
+    from barwright.operators.definitions import parse_signal
+    from barwright.operators.leaderboard import leaderboard
+
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, i), 100.0 + i % 3, 101.0 + i % 3, 99.0 + i % 3) for i in range(20)], "series_id string, ts timestamp, close double, high double, low double")
+    df = df.withColumns({"open": F.col("close"), "volume": F.lit(1.0)})
+    good = parse_signal({"weights": {r: {} for r in ("trend_up", "trend_down", "chop")}, "score": "close - 101", "long_threshold": 0.2, "short_threshold": -0.2})
+    failed: dict[str, str] = {}
+    out = leaderboard(df, {"good": good, "bad": replace(good, score="no_such_name(close)")}, failed=failed)
+    assert {r.strategy for r in out.collect()} == {"good"} and set(failed) == {"bad"}
