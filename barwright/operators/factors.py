@@ -91,7 +91,7 @@ def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> Dat
         "trend": zero(F.tanh(W.ratio(close - trend, trend) * 30.0) * W.clip((_c("adx") - 15.0) / 25.0, 0, 1)),
         "volume": zero(_c("vol_e")),
         "oi": zero(_c("oi_e")),
-        "funding": zero(-_third(_c("fund_z"))),
+        "funding": zero(0.0 - _third(_c("fund_z"))),
         "slope_regression": _tanh(zero(W.ratio(_c("slope"), close)), 2000.0),
         "adx_strength": zero(W.clip((_c("adx") - 27.5) / 12.5, -1, 1)),
         "rsi_delta": zero(W.clip((_c("rsi") - _c("rsi_was")) / 50.0, -1, 1)),

@@ -281,7 +281,7 @@ def _dataset_factor(name: str, value: str, ctes: str = "") -> None:
         return compute_all_factors(df).select("series_id", "ts", r6(f"f_{name}", "value"))
 
 
-_dataset_factor("funding", f"-least(greatest({_z('funding_rate', 168)}, -3), 3) / 3")
+_dataset_factor("funding", f"0 - least(greatest({_z('funding_rate', 168)}, -3), 3) / 3")
 _dataset_factor(
     "oi", "y",
     f""", st as (select *, coalesce(close / nullif(lag(close) over ({LINE}), 0) - 1, 0) as ret, open_interest - lag(open_interest) over ({LINE}) as step from b),
