@@ -25,7 +25,33 @@ SCHEMAS = {
     "funding": "series_id string, ts timestamp, funding_rate double",
     "open_interest": "series_id string, ts timestamp, open_interest double, open_interest_value double",
 }
+#: Rows of a page, and of a page of the second endpoint.
 PAGE = {"klines": 1500, "funding": 1000, "open_interest": 500}
+FALLBACK_PAGE = {"klines": 5000, "funding": 500, "open_interest": 500}
+#: Names in rows that are objects, in the order of the values: the time in milliseconds first. Fixed by the venues.
+NAMES = {
+    "klines": (("openTime", "t"), ("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"), ("volume", "v"), ("quoteVolume",), ("takerBuyQuote",)),
+    "funding": (("fundingTime", "time"), ("fundingRate",)),
+    "open_interest": (("timestamp",), ("sumOpenInterest",), ("sumOpenInterestValue",)),
+}
+#: Open interest is kept for thirty days only: an earlier start counts as 29 days ago.
+KEPT_MS = 29 * 86_400_000
+
+
+def cells(row: list | dict, kind: str) -> tuple:
+    """Time and values of a row, which may be an array or an object; bars without a quote volume have volume times close."""
+    if isinstance(row, dict):
+        got = [next((row[n] for n in names if n in row), None) for names in NAMES[kind]]
+    elif kind == "klines":
+        got = [*row[:6], row[7] if len(row) > 7 else None, row[10] if len(row) > 10 else None]
+    else:
+        got = list(row[: len(NAMES[kind])])
+    values = [_double(x) for x in got[1:]]
+    if kind == "klines":
+        if values[5] is None and values[4] is not None and values[3] is not None:
+            values[5] = values[4] * values[3]
+        values[6] = values[6] or 0.0
+    return (int(got[0]), *values)
 
 
 def fetch(url: str, attempts: int = 5, pause: float = 1.0, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
@@ -71,39 +97,53 @@ class MarketReader(DataSourceReader):
         self.interval, self.start, self.end = options.get("interval", "1h"), int(options["start"]), int(options["end"])
         self.url, self.fallback = options["url"], options.get("fallback")
         self.pace = float(options.get("pace", "0.1"))
+        self.now = int(options.get("now", time.time() * 1000))
+        if self.kind == "open_interest":
+            self.start = max(self.start, self.now - KEPT_MS)
+            self.symbols = [s for s in self.symbols if ":" not in s]  # namespaced symbols have none
 
     def partitions(self) -> list[Stretch]:
         """A stretch has twenty pages at most, so a long history is read by many tasks."""
         step = TIMEFRAME_MS[self.interval] * PAGE[self.kind] * 20
         return [Stretch(s, a, min(a + step, self.end)) for s in self.symbols for a in range(self.start, self.end, step)]
 
-    def _rows(self, base: str, part: Stretch) -> list:
+    def _rows(self, base: str, part: Stretch, limit: int) -> list[tuple]:
         step = TIMEFRAME_MS[self.interval] if self.kind == "klines" else 1
 
-        def get(start: int, end: int) -> list:
+        def get(start: int, end: int) -> list[tuple]:
             time.sleep(self.pace)
-            return fetch(f"{base}?symbol={part.symbol}&interval={self.interval}&startTime={start}&endTime={end}&limit={PAGE[self.kind]}")
+            found = fetch(f"{base}?symbol={part.symbol}&interval={self.interval}&startTime={start}&endTime={end}&limit={limit}")
+            return [cells(r, self.kind) for r in found]
 
-        return list(pages(get, part.start, part.end, PAGE[self.kind], step))
+        return list(pages(get, part.start, part.end, limit, step))
 
-    def read(self, part: Stretch) -> Iterator[tuple]:
+    def read(self, part: Stretch | None) -> Iterator[tuple]:
+        """The stretch's rows in order of time, the first of those that share one; of bars only those that have closed."""
         import datetime as dt
 
+        if part is None:  # (what Spark asks for where there is no partition)
+            return
         try:
-            rows = self._rows(self.url, part)
+            rows = self._rows(self.url, part, PAGE[self.kind])
         except (OSError, ValueError):
             if not self.fallback:
                 raise
             rows = []
         if not rows and self.fallback:
-            rows = self._rows(self.fallback, part)
+            rows = self._rows(self.fallback, part, FALLBACK_PAGE[self.kind])
+        first: dict[int, tuple] = {}
         for r in rows:
-            at = dt.datetime.fromtimestamp(int(r[0]) / 1000, dt.UTC)
-            if self.kind == "klines":
-                picked = (r[1], r[2], r[3], r[4], r[5], r[7] if len(r) > 7 else float(r[5]) * float(r[4]), r[10] if len(r) > 10 else 0)
-            else:
-                picked = r[1:3] if self.kind == "open_interest" else r[1:2]
-            yield (part.symbol, at, *[_double(x) for x in picked])
+            first.setdefault(r[0], r)
+        closed = self.now - TIMEFRAME_MS[self.interval] if self.kind == "klines" else self.end
+        for at in sorted(first):
+            if at <= closed:
+                yield (part.symbol, dt.datetime.fromtimestamp(at / 1000, dt.UTC), *first[at][1:])
+
+
+def latest_price(url: str, symbol: str, **options) -> tuple[float, int]:
+    """The price of a symbol now, and the server's time in milliseconds; options as for ``fetch``."""
+    got = fetch(f"{url}?symbol={symbol}", **options)
+    return float(got["price"]), int(got["time"])
 
 
 def _double(x) -> float | None:
@@ -114,7 +154,7 @@ def _double(x) -> float | None:
 
 
 class MarketSource(DataSource):
-    """Klines, funding rates or open interest; rows are arrays with the time in milliseconds first."""
+    """Klines, funding rates or open interest; rows are arrays with the time in milliseconds first, or objects (``NAMES``)."""
 
     @classmethod
     def name(cls) -> str:

@@ -50,3 +50,60 @@ def test_symbols(spark):
     df = spark.createDataFrame([("BTCUSDT",), ("xyz:TSLA",), ("ETH",)], "s string")
     got = df.select(files.venue_coin(F.col("s")), files.builder_prefix(F.col("s")), files.funding_per_bar(F.lit(None).cast("double"))).collect()
     assert [tuple(r) for r in got] == [("BTC", "", 0.0), ("xyz:TSLA", "xyz", 0.0), ("ETH", "", 0.0)]
+
+
+@pytest.fixture
+def venue():
+    """Two endpoints on this machine: arrays with a doubled row and an open bar, and objects for what the first does not know."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    hour = 3_600_000
+
+    class Venue(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(at.query).items()}
+            start, end, limit = (int(q[k]) for k in ("startTime", "endTime", "limit"))
+            times = [t for t in range(0, 2000 * hour, hour) if start <= t < end][:limit]
+            if at.path == "/bars":
+                out = [] if q["symbol"] == "B" else [[t, "1", "2", "0.5", "1.5", "10", t + hour - 1, "15", 3, "5", "7"] for t in times]
+                out = [r for t, r in enumerate(out) for _ in range(2 if t == 1 and start == 0 else 1)][:limit]
+            elif at.path == "/objects":
+                out = [{"t": t, "o": "1", "h": "2", "l": "1", "c": "2", "v": "3"} for t in times]
+            elif at.path == "/interest":
+                out = [{"timestamp": t, "sumOpenInterest": "5", "sumOpenInterestValue": "x"} for t in times]
+            else:
+                out = [{"fundingTime": t, "fundingRate": "0.01"} for t in times[::8]]
+            body = json.dumps(out).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Venue)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_market_through_spark(spark, venue):
+    hour = 3_600_000
+    spark.dataSource.register(market.MarketSource)
+    read = lambda kind, path, **more: spark.read.format("market").options(kind=kind, url=venue + path, start=0, end=1800 * hour, pace=0, **more).load()
+    bars = read("klines", "/bars", symbols="A,B", fallback=venue + "/objects", now=1600 * hour + 5)
+    got = {(r.series_id, r.n, r.d) for r in bars.groupBy("series_id").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("d")).collect()}
+    assert got == {("A", 1600, 1600), ("B", 1600, 1600)}  # two pages, no row twice, no open bar
+    assert {tuple(r) for r in bars.select("series_id", "quote_volume", "taker_buy_quote").distinct().collect()} == {("A", 15.0, 7.0), ("B", 6.0, 0.0)}
+    interest = read("open_interest", "/interest", symbols="A,x:Y", now=1800 * hour).collect()
+    assert len(interest) == 29 * 24 and {(r.series_id, r.open_interest, r.open_interest_value) for r in interest} == {("A", 5.0, None)}
+    assert read("funding", "/rates", symbols="A").count() > 0
+    assert read("open_interest", "/interest", symbols="x:Y", now=1800 * hour).count() == 0
+
+
+def test_latest_price():
+    assert market.latest_price("u", "A", opener=lambda u: {"price": "1.5", "time": 7}) == (1.5, 7)
