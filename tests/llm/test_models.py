@@ -106,3 +106,11 @@ def test_language_edges(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in L.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert L.identify_languages(df.where("false")).count() == 0
+
+
+def test_without_labels_every_text_scores_the_same(spark):
+    from barwright.llm.quality import score_quality
+
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["One two three.", "", None, "!!! $$$ 123"])], "doc_id long, text string, n_chars long")
+    got = score_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {(r.score, r.predicted) for r in got} == {(0.5, 1)} and len(got) == 4

@@ -81,3 +81,10 @@ def test_long_text(spark):
     body = " ".join(str(i * 7919 % 10007) for i in range(30000))
     got = R.remove_repeats(spark.createDataFrame([(1, body), (2, "x" + body[1000:150000])], SCHEMA)).orderBy("doc_id").collect()
     assert [len(r.kept) for r in got] == [len(body), 1]
+
+
+def test_texts_that_repeat_themselves(spark):
+    line = "One and the same line stands in this text again and again, with a few more words. "
+    rows = [(1, line * 40 + "a" * 700), (2, "b" + "a" * 900 + line * 25), (3, "ab" * 400), (4, "ba" * 300 + line), (4, "ba" * 300 + line), (5, "c" * 60)]
+    same(spark, rows)
+    same(spark, rows, frequent=1)

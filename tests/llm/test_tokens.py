@@ -32,6 +32,19 @@ def test_pieces_encode_as_the_library_does():
     check(["one"])
 
 
+def test_a_long_text_of_many_pieces_with_little_room():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéñK") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", ",", "!?", "'s", "7"])
+    texts = [" ".join(word() for _ in range(n)) for n in (30000, 0, 1, 500)]
+    small = Encoder(tokenizer_path(), room=5000)
+    for _ in range(2):
+        ids, counts = small.encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == ids_of(texts)
+    assert small.full and len(small.pieces) < 300
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
 def test_any_text(texts):
