@@ -270,6 +270,58 @@ def _if(ctx, args, key):
     return Series(F.when(truth(args[0]), numeric(args[1])).otherwise(numeric(args[2])))
 
 
+def _range_place(name: str, value: Callable[[Column, Column], Column], usage: str) -> None:
+    """A function of the close's distance from the lowest low (first) and of the range (second) of the last n bars."""
+
+    @register(name, 1, 1, usage)
+    def run(ctx, args, key):
+        n = period(args[0], name, 1, 500)
+        top, bottom = ctx.keep(W.highest(F.col("high"), n), ("highest high", n)), ctx.keep(W.lowest(F.col("low"), n), ("lowest low", n))
+        return Series(value(F.col("close") - bottom, top - bottom))
+
+
+_range_place("donchian_pos", W.ratio, "donchian_pos(period)")
+_range_place("stoch", lambda a, r: 100.0 * W.ratio(a, r), "stoch(period)")
+_range_place("williams_r", lambda a, r: 100.0 * W.ratio(a, r) - W.ratio(100.0 * r, r), "williams_r(period)")
+
+
+@register("roc", 2, 2, "roc(series, period)")
+def _roc(ctx, args, key):
+    x = ctx.keep(numeric(args[0]), ("in", key))
+    return Series(W.ratio(x, ctx.keep(W.previous(x, period(args[1], "roc", 1, 500)), key)) - 1.0)
+
+
+@register("cci", 1, 1, "cci(period)")
+def _cci(ctx, args, key):
+    n = period(args[0], "cci", 1, 500)
+    x = ctx.keep(W.typical(), "typical")
+    mean = ctx.keep(W.sma(x, n), ("mean", key))
+    near = ctx.keep(F.collect_list(x).over(W.frame(n)), ("near", key))
+    off = F.aggregate(near, F.lit(0.0), lambda total, v: total + F.abs(v - mean)) / n
+    return Series(W.ratio(x - mean, 0.015 * off))
+
+
+@register("obv", 0, 0, "obv()")
+def _obv(ctx, args, key):
+    step = ctx.keep(F.coalesce(F.signum(F.col("close") - W.previous(F.col("close"))) * F.col("volume"), F.lit(0.0)), ("step", key))
+    return Series(ctx.keep(F.sum(step).over(W.so_far()), key))
+
+
+@register("mfi", 1, 1, "mfi(period)")
+def _mfi(ctx, args, key):
+    n = period(args[0], "mfi", 1, 500)
+    x = ctx.keep(W.typical(), "typical")
+    flow = ctx.keep(F.signum(x - W.previous(x)) * x * F.col("volume"), "typical flow")
+    up, down = (ctx.keep(W.rolling(F.sum, F.when(flow.isNotNull(), F.greatest(f, F.lit(0.0))), n), (side, key)) for side, f in (("up", flow), ("down", -flow)))
+    return Series(rsi_value(up, down))
+
+
+@register("keltner_width", 1, 2, "keltner_width(period, num_atr=2)")
+def _keltner_width(ctx, args, key):
+    n = period(args[0], "keltner_width")
+    return Series(W.ratio(2.0 * _scalar(args, 1, 2.0) * _atr(ctx, [Scalar(n)], None).column, F.col("close")))
+
+
 def list_builtins() -> list[str]:
     """The names of all functions and accessors, each group sorted."""
     return sorted(BUILTINS) + sorted(ACCESSORS)

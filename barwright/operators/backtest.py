@@ -8,6 +8,7 @@ bar before, and everything is windows (``fast``). Otherwise a small state goes t
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,13 +151,19 @@ class Book:
         return pd.concat([frame.drop(columns=[c for c in names if c in frame]), out], axis=1)
 
 
-def stateful(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> DataFrame:
+def machine(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> tuple[DataFrame, Callable[[], Book], str]:
+    """What a pass in order needs: its rows, what makes the state of a new key, the schema of the results."""
     base = _prepared(df, signal).withColumns({"__bw_barred": policy_mask(policy), "__bw_ms": F.coalesce(epoch_ms(), F.lit(0))})
     needed = [*keys, W.TIME, "close", "high", "low", "__bw_funding", "__bw_signal", "__bw_barred", "__bw_ms"]
     base = base.select(*needed).withColumns({c: F.col(c).cast("double") for c in ("close", "high", "low")})
     kinds = dict(base.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, W.TIME, "close"]) + ", " + RESULT
-    return scan(base, keys, [W.TIME], lambda: Book(risk, cost, min_hold, policy), schema)
+    return base, lambda: Book(risk, cost, min_hold, policy), schema
+
+
+def stateful(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> DataFrame:
+    base, start, schema = machine(df, risk, cost, min_hold, policy, keys, signal)
+    return scan(base, keys, [W.TIME], start, schema)
 
 
 def run(df: DataFrame, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, policy: PolicyConfig | None = None, keys: list[str] | None = None, signal: str = "signal") -> DataFrame:

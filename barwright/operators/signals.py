@@ -58,7 +58,7 @@ def discretize(df: DataFrame, cfg: BacktestConfig | None = None, long_when: str
     return min_hold(df, cfg.min_hold_bars, out) if cfg.min_hold_bars > 0 else df
 
 
-class _Hold:
+class Hold:
     """Carries the position, and for how many bars it has been held, from batch to batch; goes from change to change."""
 
     def __init__(self, n: int, column: str):
@@ -86,4 +86,4 @@ class _Hold:
 def min_hold(df: DataFrame, n: int, column: str = "signal", keys: tuple[str, ...] = (W.SERIES,)) -> DataFrame:
     """Positions that are kept for ``n`` bars at least before they change or end."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return scan(df, list(keys), [W.TIME], lambda: _Hold(n, column), schema)
+    return scan(df, list(keys), [W.TIME], lambda: Hold(n, column), schema)

@@ -1,15 +1,24 @@
-"""Streaming: events to closed bars, and smoothed values that carry over between batches."""
+"""Streaming: events to closed bars, and passes in order whose state carries over between batches.
+
+The states are those of the batch operators, so a stream gives the rows that one pass over all of its bars would give, as
+long as a series' bars come in order from batch to batch. In a batch the new bars of a series are sorted first.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barwright.functions.sequential import Ewm
+from barwright.operators import backtest
+from barwright.operators.signals import Hold
 from barwright.plans.bars import interval
+from barwright.plans.config import BacktestConfig, PolicyConfig, RiskConfig
 
 
 def stream_bars(events: DataFrame, timeframe: str, price: Column, size: Column, series: Column, late: str = "10 minutes", ts: str = "ts", order: str = "event_id") -> DataFrame:
@@ -20,22 +29,38 @@ def stream_bars(events: DataFrame, timeframe: str, price: Column, size: Column,
     return out.select("series_id", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def stream_ewm(bars: DataFrame, column: str, alpha: float, out: str = "ewm") -> DataFrame:
-    """An exponential mean of a stream of bars, with the last value of each series as state."""
-    schema = f"series_id string, ts timestamp, {column} double, {out} double"
+def carried(rows: DataFrame, keys: list[str], start: Callable[[], object], schema: str) -> DataFrame:
+    """The stream's counterpart of ``scan``: the attributes of what ``start()`` makes are the state of a key between batches.
+
+    A key's new rows of one batch are in memory together; the state must stay small.
+    """
+    names = [c.name for c in rows.sparkSession.createDataFrame([], schema).schema]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("ts")
-            got = []
-            for x in frame[column]:
-                if pd.notna(x):
-                    value = float(x) if value is None else (1 - alpha) * value + alpha * float(x)
-                got.append(value)
-            yield pd.DataFrame({"series_id": key[0], "ts": frame["ts"], column: frame[column], out: got})
-        if value is not None:
-            state.update((value,))
+        now = start()
+        if state.exists:
+            vars(now).update(pickle.loads(state.get[0]))
+        yield now(pd.concat(list(frames)).sort_values("ts", kind="stable", ignore_index=True))[names]
+        state.update((pickle.dumps(vars(now)),))
+
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
 
+def stream_ewm(bars: DataFrame, column: str, alpha: float, out: str = "ewm") -> DataFrame:
+    """An exponential mean of a stream of bars; gaps count as rows that passed, as in a batch."""
     rows = bars.select("series_id", "ts", F.col(column).cast("double").alias(column))
-    return rows.groupBy("series_id").applyInPandasWithState(step, schema, "value double", "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out}` double"
+    return carried(rows, ["series_id"], lambda: Ewm({out: (column, alpha)}), schema)
+
+
+def stream_min_hold(bars: DataFrame, n: int, column: str = "signal", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Positions of a stream of bars, kept for ``n`` bars at least."""
+    rows = bars.withColumn(column, F.col(column).cast("int"))
+    return carried(rows, list(keys), lambda: Hold(n, column), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+
+
+def stream_backtest(bars: DataFrame, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, policy: PolicyConfig | None = None, keys: tuple[str, ...] = ("series_id",), signal: str = "signal") -> DataFrame:
+    """Per-bar results of a stream of bars and signals, with the columns of ``backtest.run``."""
+    cfg, risk, policy = cfg or BacktestConfig(), risk or RiskConfig(), policy or PolicyConfig()
+    rows, start, schema = backtest.machine(bars, risk, cfg.costs.per_side, cfg.min_hold_bars, policy, list(keys), signal)
+    return carried(rows, list(keys), start, schema)

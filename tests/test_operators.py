@@ -142,7 +142,7 @@ def test_min_hold_in_batches_equals_a_loop():
 
     import pandas as pd
 
-    from barwright.operators.signals import _Hold
+    from barwright.operators.signals import Hold
 
     rng = random.Random(1)
     for _ in range(200):
@@ -152,7 +152,7 @@ def test_min_hold_in_batches_equals_a_loop():
             x = x or 0
             now, held = (x, 1) if x != now and (now == 0 or held >= n) else (now, held + 1)
             want.append(now)
-        hold, got, at = _Hold(n, "signal"), [], 0
+        hold, got, at = Hold(n, "signal"), [], 0
         while at < len(wanted):
             size = rng.randrange(1, 9)
             got += hold(pd.DataFrame({"signal": wanted[at : at + size]}, dtype="float"))["signal"].tolist()
