@@ -238,6 +238,18 @@ _expression("adx", "adx(14)", "adx", ctes=_ADX)
 _MACD = f", {ewm_sql('b', 'close', 2 / 13, 'fa')}, {ewm_sql('b', 'close', 2 / 27, 'sl')}, li as (select fa.series_id, fa.ts, fa.y - sl.y as line from fa join sl using (series_id, ts)), {ewm_sql('li', 'line', 2 / 10, 'si')}, z as (select li.*, line - si.y as hist from li join si using (series_id, ts))"
 _expression("macd", "ema(close, 12) - ema(close, 26) - ema(ema(close, 12) - ema(close, 26), 9)", "hist", ctes=_MACD)
 
+_TOP, _BOTTOM = f"({roll('max', 'high', 14)})", f"({roll('min', 'low', 14)})"
+_expression("roc", "roc(close, 12)", f"close / nullif(lag(close, 12) over ({LINE}), 0) - 1")
+_expression("donchian_pos", "donchian_pos(14)", f"(close - {_BOTTOM}) / nullif({_TOP} - {_BOTTOM}, 0)")
+_expression("stoch", "stoch(14)", f"100 * (close - {_BOTTOM}) / nullif({_TOP} - {_BOTTOM}, 0)")
+_expression("williams_r", "williams_r(14)", f"-100 * ({_TOP} - close) / nullif({_TOP} - {_BOTTOM}, 0)")
+_expression("obv", "obv()", f"sum(x) over ({LINE} rows unbounded preceding)", ctes=f", z as (select *, coalesce(sign(close - lag(close) over ({LINE})) * volume, 0) as x from b)")
+_FLOW = f", y as (select *, {_TYPICAL} as tp from b), f as (select *, sign(tp - lag(tp) over ({LINE})) * tp * volume as fl from y), g as (select *, case when fl is not null then greatest(fl, 0) end as u, case when fl is not null then greatest(-fl, 0) end as d from f), z as (select *, {roll('sum', 'u', 14)} as up, {roll('sum', 'd', 14)} as dn from g)"
+_expression("mfi", "mfi(14)", "coalesce(100 - 100 / (1 + up / nullif(dn, 0)), 50)", ctes=_FLOW)
+_DEVIATION = f""", y as (select *, {_TYPICAL} as tp, row_number() over ({LINE}) as i from b), w as (select *, {roll('avg', 'tp', 20)} as m from y),
+    dv as (select w.series_id, w.ts, avg(abs(y.tp - w.m)) as d from w join y on y.series_id = w.series_id and y.i between w.i - 19 and w.i group by 1, 2), z as (select w.*, d from w join dv using (series_id, ts))"""
+_expression("cci", "cci(20)", "(tp - m) / nullif(0.015 * d, 0)", ctes=_DEVIATION)
+_expression("keltner_width", "keltner_width(14, 2)", "4.0 * y / nullif(close, 0)", ctes=f"{_TR}, {ewm_sql('t', 'tr', 1 / 14, 'a')}, z as (select b.*, a.y from b join a using (series_id, ts))")
 
 @query("dsl_condition", f"{BARS} select series_id, ts, coalesce(close > ({roll('avg', 'close', 10)}), false) as condition from b")
 def _(spark, d):
@@ -253,8 +265,13 @@ def _(spark, d):
 # --- factors, regimes, signals ------------------------------------------------------------------------------------
 
 
+#: SQL of each factor: its value, and the common tables that it needs.
+FACTOR_SQL: dict[str, tuple[str, str]] = {}
+
+
 def _factor(name: str, value: str, ctes: str = "") -> None:
     source = "z" if ctes else "b"
+    FACTOR_SQL[name] = (value, ctes)
 
     @query(f"factor_{name}", f"{BARS}{ctes}, v as (select series_id, ts, {value} as value from {source}) select series_id, ts, round(value, 6) as value from v")
     def run(spark, d):
@@ -428,29 +445,43 @@ def full_bars(spark: SparkSession, d: str, policy: PolicyConfig | None = None) -
     return B.run(df, BacktestConfig(min_hold_bars=3), _RISK, policy)
 
 
-_STEP = f"""{_BARS_R}{_POSITION}, st as (
-    select series_id, ts, i, close, 0 as held_side, s as side, case when s <> 0 then close else 0.0 end as entry, 0 as held, 0.0::double as bar_ret, case when s <> 0 then {_COST * 2!r} else 0.0 end::double as cost, '' as exit from z where i = 1
+def walk_sql(fee: float, hold: int, tp: float, sl: float, lev: float, barred: str = "false", trades: int = 0, losses: int = 0) -> str:
+    """A recursive common table: the state of each series of z (i, ts, close, high, low, s) from bar to bar."""
+    day = "cast(z.ts as date) <> cast(st.ts as date)"
+    recent = "list_filter(entries, lambda x: x >= ts - interval 1 day)"
+    stop = f"""case when st.side = 1 and z.low <= st.entry * (1 - {sl}) or st.side = -1 and z.high >= st.entry * (1 + {sl}) then 'sl'
+        when st.side = 1 and z.high >= st.entry * (1 + {tp}) or st.side = -1 and z.low <= st.entry * (1 - {tp}) then 'tp' else '' end"""
+    price = f"case stop when 'sl' then entry * (1 - was * {sl}) when 'tp' then entry * (1 + was * {tp}) else close end"
+    return f"""st as (
+    select series_id, ts, i, close, 0 as was, case when go then s else 0 end as side, case when go then close else 0.0 end as entry, 0 as held, 0.0::double as pnl, 0 as lost, false as latched,
+        case when go then [ts] else []::timestamp[] end as entries, 0.0::double as bar_ret, case when go then {fee!r} else 0.0 end::double as cost, '' as exit from (select *, s <> 0 and not ({barred}) as go from z where i = 1)
     union all
-    select series_id, ts, i, close, held_side,
-        case when stop <> '' then 0 when held_side <> 0 and s <> held_side and held2 >= 3 then s when held_side = 0 then s else held_side end,
-        case when stop <> '' then 0.0 when (held_side <> 0 and s <> held_side and held2 >= 3) or held_side = 0 then case when s <> 0 then close else 0.0 end else entry end,
-        case when stop <> '' or (held_side <> 0 and s <> held_side and held2 >= 3) or held_side = 0 then 0 else held2 end,
-        case when held_side = 0 then 0.0 when stop = 'sl' then (entry * (1 - held_side * 0.008) - pc) / pc * held_side * 2 when stop = 'tp' then (entry * (1 + held_side * 0.01) - pc) / pc * held_side * 2 else (close - pc) / pc * held_side * 2 end,
-        (case when stop <> '' or (held_side <> 0 and s <> held_side and held2 >= 3) then {_COST * 2!r} else 0.0 end + case when stop = '' and s <> 0 and ((held_side <> 0 and s <> held_side and held2 >= 3) or held_side = 0) then {_COST * 2!r} else 0.0 end)::double,
-        case when stop <> '' then stop when held_side <> 0 and s <> held_side and held2 >= 3 then case when s <> 0 then 'flip' else 'flat' end else '' end
-    from (select z.series_id, z.ts, z.i, z.close, z.s, st.side as held_side, st.entry, st.close as pc, st.held + case when st.side <> 0 then 1 else 0 end as held2,
-        case when st.side = 1 and z.low <= st.entry * (1 - 0.008) or st.side = -1 and z.high >= st.entry * (1 + 0.008) then 'sl' when st.side = 1 and z.high >= st.entry * (1 + 0.01) or st.side = -1 and z.low <= st.entry * (1 - 0.01) then 'tp' else '' end as stop
-        from st join z on z.series_id = st.series_id and z.i = st.i + 1))"""
+    select series_id, ts, i, close, was, case when go then s when ends or was = 0 then 0 else was end, case when go then close when ends or was = 0 then 0.0 else entry end, case when ends or was = 0 then 0 else held end,
+        case when ends or was = 0 then 0.0 else pnl end, lost, latched, case when go then list_append({recent}, ts) else entries end, bar_ret, ({fee!r} * (ends::int + go::int))::double, case when stop <> '' then stop when ends and s <> 0 then 'flip' when ends then 'flat' else '' end
+    from (select *, stop = '' and s <> 0 and (was = 0 or ends) and not bar and not latched and ({trades} = 0 or len({recent}) < {trades}) as go
+    from (select * replace (latched or ({losses} > 0 and ends and lost >= {losses}) as latched)
+    from (select * replace (case when ends then case when pnl < 0 then lost + 1 else 0 end else lost end as lost)
+    from (select * replace (pnl + bar_ret as pnl), stop <> '' or (was <> 0 and s <> was and held >= {hold}) as ends
+    from (select *, case when was = 0 then 0.0 else ({price} - before) / before * was * {lev} end as bar_ret
+    from (select z.series_id, z.ts, z.i, z.close, z.s, {barred} as bar, st.side as was, st.entry, st.close as before, st.pnl, st.entries, {stop} as stop, st.held + case when st.side <> 0 then 1 else 0 end as held,
+        case when {day} then 0 else st.lost end as lost, case when {day} then false else st.latched end as latched from st join z on z.series_id = st.series_id and z.i = st.i + 1)))))))"""
 
 
-@query("bt_full", f"{_STEP} select series_id, ts, cast(held_side * 2.0 as double) as position, round(bar_ret, 6) as bar_ret, round(cost, 6) as trade_cost, exit from st")
+@query("bt_full", f"{_BARS_R}{_POSITION}, {walk_sql(_COST * 2, 3, 0.01, 0.008, 2)} select series_id, ts, cast(was * 2.0 as double) as position, round(bar_ret, 6) as bar_ret, round(cost, 6) as trade_cost, exit from st")
 def _(spark, d):
     return full_bars(spark, d).select("series_id", "ts", "position", r6("bar_ret"), r6("trade_cost"), "exit")
 
 
-@query("bt_policy")
+_BARRED = "hour(z.ts) in (0, 1, 2, 3) or (z.ts between timestamp '2024-01-03 13:45:00' and timestamp '2024-01-03 14:15:00')"
+
+
+@query(
+    "bt_policy",
+    f"""{_BARS_R}{_POSITION}, {walk_sql(_COST * 2, 3, 0.01, 0.008, 2, _BARRED, 4, 2)} select series_id, ts, cast(was * 2.0 as double) as position, round(bar_ret, 6) as bar_ret, round(cost, 6) as trade_cost,
+    round(product(1 + greatest(bar_ret - cost, -1.0)) over ({LINE} rows unbounded preceding), 6) as equity, exit from st""",
+)
 def _(spark, d):
-    """Stops, a holding time and all policies at once; tests compare it with single cases worked out by hand."""
+    """Stops, a holding time and all policies at once."""
     news = int(dt.datetime(2024, 1, 3, 14, tzinfo=dt.UTC).timestamp() * 1000)
     bars = full_bars(spark, d, PolicyConfig((0, 1, 2, 3), (news,), 15, 4, 2))
     return bars.select("series_id", "ts", "position", r6("bar_ret"), r6("trade_cost"), r6("equity"), "exit")
@@ -485,9 +516,21 @@ def _(spark, d):
     return mtf.pick_primary_tf({tf: event_bars(spark, d, tf) for tf in ("1h", "4h", "1d")}, 0.015).select("series_id", "timeframe", r6("volatility"))
 
 
-@query("mtf_features")
+def _tiers_sql() -> str:
+    """Primary bars of 4 hours with factors of the last daily and the last hourly bar that had closed."""
+    tier = {"4h": "time_bucket(interval '4 hours', ts)", "1d": "date_trunc('day', ts)", "1h": "date_trunc('hour', ts)"}
+    part = lambda tf, value, ctes, later: f"(with {_bars_sql(tier[tf], False)}{ctes} select ts + interval '{later}' as ts, {value} as v from z)"
+    parts = {"trend": ("1d", "1 day", *FACTOR_SQL["trend"]), "rsi_slow": ("1d", "1 day", *FACTOR_SQL["rsi"]), "volume": ("1h", "1 hour", *FACTOR_SQL["volume"]), "regime": ("1d", "1 day", "regime", _REGIME)}
+    value, ctes = FACTOR_SQL["vwap_distance"]
+    tables = ", ".join(f"t_{n} as {part(tf, v, c, later)}" for n, (tf, later, v, c) in parts.items())
+    joins = " ".join(f"asof left join t_{n} on p.ts >= t_{n}.ts" for n in parts)
+    shown = ", ".join(f"coalesce(t_{n}.v, 'chop') as regime" if n == "regime" else f"round(coalesce(t_{n}.v, 0), 6) as f_{n}" for n in parts)
+    return f"with p as {part('4h', value, ctes, '0 hours')}, {tables} select p.ts, round(p.v, 6) as f_vwap_distance, {shown} from p {joins}"
+
+
+@query("mtf_features", _tiers_sql())
 def _(spark, d):
-    """Seventeen factors and the regime over three timeframes; alignment and factors have SQL of their own."""
+    """Factors and the regime over three timeframes."""
     own = [event_bars(spark, d, tf, False) for tf in ("4h", "1d", "1h")]
     return mtf.build_mtf_features(own[0], "4h", own[1], own[2]).select("ts", *[r6(f"f_{n}") for n in ("trend", "rsi_slow", "volume", "vwap_distance")], "regime")
 
@@ -498,9 +541,21 @@ STRATEGIES = {
 }
 
 
-@query("leaderboard")
+_RANKED = f"""{ALL.replace("with ", "with recursive ", 1)}, g as (select *, {roll('max', 'high', 20)} as hh, {roll('min', 'low', 20)} as ll, {_SCORE} as score from b),
+    w as (select 'fade' as series_id, ts, close, high, low, case when score <= -0.2 then -1 when score >= 0.2 then 1 else 0 end as s from g
+        union all select 'breakout', ts, close, high, low, case when close >= lag(hh) over ({LINE}) then 1 when close <= lag(ll) over ({LINE}) then -1 else 0 end from g),
+    z1 as (select *, row_number() over ({LINE}) as i from w),
+    h as (select series_id, i, s as now, 1 as held from z1 where i = 1 union all
+        select z1.series_id, z1.i, case when z1.s <> h.now and (h.now = 0 or h.held >= 8) then z1.s else h.now end, case when z1.s <> h.now and (h.now = 0 or h.held >= 8) then 1 else h.held + 1 end
+        from h join z1 on z1.series_id = h.series_id and z1.i = h.i + 1),
+    z as (select z1.series_id, z1.ts, z1.i, z1.close, z1.high, z1.low, h.now as s from z1 join h using (series_id, i)), {walk_sql(_COST, 8, 0.04, 0.015, 1)},
+    n as (select *, greatest(bar_ret - cost, -1.0) as net, was <> 0 and (coalesce(lag(was) over ({LINE}), 0) = 0 or lag(exit) over ({LINE}) <> '') as first from st)
+    select 'all' as series_id, series_id as strategy, count(*) as bars, count(*) filter (first) as trades, round(product(1 + net) - 1, 6) as total_return, round(avg(net) * 8760 / (stddev_samp(net) * sqrt(8760)), 6) as sharpe from n group by series_id"""
+
+
+@query("leaderboard", _RANKED)
 def _(spark, d):
-    """Strategies ranked on the same bars; stops and holding times as in bt_full, which has SQL."""
+    """Strategies ranked on the same bars, with default stops and holding times."""
     found = {k: parse_signal(v) for k, v in STRATEGIES.items()}
     out = L.leaderboard(event_bars(spark, d, by_type=False), found, HOURS_A_YEAR)
     return out.select("series_id", "strategy", "bars", "trades", r6("total_return"), r6("sharpe"))
