@@ -19,7 +19,7 @@ from barwright.operators import mtf, optimize, regimes, signals
 from barwright.operators.definitions import parse_signal
 from barwright.operators.factors import SINGLE, compute_all_factors
 from barwright.plans import bars as P
-from barwright.plans.config import REGIME_WEIGHTS, BacktestConfig, Costs, PolicyConfig, RiskConfig
+from barwright.plans.config import KNOB_BOUNDS, REGIME_WEIGHTS, BacktestConfig, Costs, PolicyConfig, RiskConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,13 +286,17 @@ _DIRECTION = f", rt as (select *, coalesce(close / nullif(lag(close) over ({LINE
 _factor("volume", "y", f"{_DIRECTION}, sg as (select rt.series_id, rt.ts, least(greatest(vz, -3), 3) / 3 * sign(di.y) as s from rt join di using (series_id, ts)), {ewm_sql('sg', 's', 2 / 5, 'z')}")
 
 
+#: Bars with funding rates and open interest, as one common table.
+DATASET = f"""b as (with {_bars_sql(by_type=False, name='b0')}, {_FUNDING}, {_OI}, c as (select b0.*, f.funding_rate, p.open_interest as po, b0.ts - p.ts as pd, n.open_interest as no, n.ts - b0.ts as nd
+    from b0 asof left join f on b0.ts >= f.ts asof left join o p on b0.ts >= p.ts asof left join o n on b0.ts <= n.ts)
+    select *, case when nd is not null and (pd is null or nd <= pd) and nd <= interval '1 hour' then no when pd <= interval '1 hour' then po end as open_interest from c)"""
+
+
 def _dataset_factor(name: str, value: str, ctes: str = "") -> None:
     """A factor over bars with funding rates and open interest."""
-    dataset = f"""with {_bars_sql(by_type=False, name='b0')}, {_FUNDING}, {_OI}, c as (select b0.*, f.funding_rate, p.open_interest as po, b0.ts - p.ts as pd, n.open_interest as no, n.ts - b0.ts as nd
-        from b0 asof left join f on b0.ts >= f.ts asof left join o p on b0.ts >= p.ts asof left join o n on b0.ts <= n.ts),
-        b as (select *, case when nd is not null and (pd is null or nd <= pd) and nd <= interval '1 hour' then no when pd <= interval '1 hour' then po end as open_interest from c)"""
+    FACTOR_SQL[name] = (value, ctes)
 
-    @query(f"factor_{name}", f"{dataset}{ctes}, v as (select series_id, ts, {value} as value from {'z' if ctes else 'b'}) select series_id, ts, round(value, 6) as value from v")
+    @query(f"factor_{name}", f"with {DATASET}{ctes}, v as (select series_id, ts, {value} as value from {'z' if ctes else 'b'}) select series_id, ts, round(value, 6) as value from v")
     def run(spark, d):
         df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d))
         return compute_all_factors(df).select("series_id", "ts", r6(f"f_{name}", "value"))
@@ -317,9 +321,16 @@ _factor("bb_width", "tanh(2 * coalesce((w - md) / nullif(md, 0), 0))", f", w as
 _factor("vwap_distance", "tanh(50 * coalesce((close - c) / nullif(c, 0), 0))", f", z as (select *, {_VWAP} as c from b)")
 
 
-@query("factor_funding_oi")
+def _side_by_side(names: tuple[str, ...], more: dict[str, tuple[str, str]]) -> str:
+    """A common table feat: the dataset's bars with the factors ``names`` as columns f_... and ``more`` columns."""
+    cells = {f"f_{n}": FACTOR_SQL[n] for n in names} | more
+    parts = [f"(with {DATASET}{ctes} select ts, {value} as {n} from {'z' if ctes else 'b'})" for n, (value, ctes) in cells.items()]
+    return f"feat as (select *, row_number() over (order by ts) - 1 as i from (with {DATASET} select ts, close, funding_rate from b) {' '.join(f'join {x} using (ts)' for x in parts)})"
+
+
+@query("factor_funding_oi", f"with {_side_by_side(tuple(SINGLE), {})} select ts, {', '.join(f'round(f_{n}, 6) as f_{n}' for n in SINGLE)} from feat")
 def _(spark, d):
-    """All factors on the dataset with funding and open interest; its parts have SQL of their own."""
+    """All factors on the dataset with funding and open interest."""
     df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d))
     return compute_all_factors(df).select("ts", *[r6(f"f_{n}") for n in SINGLE])
 
@@ -417,13 +428,18 @@ def _(spark, d):
     return B.trades(fast_bars(spark, d), _COST, 2.0).select("series_id", "start", "end", "bars", "side", r6("ret"), "exit")
 
 
+#: Metrics of the fast backtest, not rounded.
+METRICS = f"""{BARS}{_FAST}, {_TRADES}, dd as (select *, equity / nullif(max(equity) over ({LINE} rows unbounded preceding), 0) - 1 as dd, abs(side - lag(side) over ({LINE})) * 2.0 as turn from e),
+    m as (select series_id, count(*) as bars, max_by(equity, ts) as le, avg(net_ret) as mu, stddev_samp(net_ret) as sd, min(dd) as max_drawdown, sum(turn) as turnover, avg(cast(side <> 0 as double)) as exposure, sum(trade_cost) as total_cost from dd group by 1),
+    n as (select series_id, count(*) as trades, avg(cast(ret > 0 as double)) as win_rate, avg(ret) as avg_trade_return, count(*) filter (exit = 'flip') as exits_flip, count(*) filter (exit = 'flat') as exits_flat from t group by 1),
+    metrics as (select series_id, bars, le, le - 1 as total_return, mu * 8760 / (sd * sqrt(8760)) as sharpe, max_drawdown, trades, win_rate, avg_trade_return, cast(turnover as double) as turnover, exposure,
+        cast(total_cost as double) as total_cost, exits_flip, exits_flat, cast(0 as bigint) as exits_sl, cast(0 as bigint) as exits_tp from m join n using (series_id))"""
+
+
 @query(
     "bt_metrics",
-    f"""{BARS}{_FAST}, {_TRADES}, dd as (select *, equity / nullif(max(equity) over ({LINE} rows unbounded preceding), 0) - 1 as dd, abs(side - lag(side) over ({LINE})) * 2.0 as turn from e),
-    m as (select series_id, count(*) as bars, max_by(equity, ts) as le, avg(net_ret) as mu, stddev_samp(net_ret) as sd, min(dd) as max_drawdown, sum(turn) as turnover, avg(cast(side <> 0 as double)) as exposure, sum(trade_cost) as total_cost from dd group by 1),
-    n as (select series_id, count(*) as trades, avg(cast(ret > 0 as double)) as win_rate, avg(ret) as avg_trade_return, count(*) filter (exit = 'flip') as exits_flip, count(*) filter (exit = 'flat') as exits_flat from t group by 1)
-    select series_id, bars, round(le - 1, 6) as total_return, round(log10(pow(le, 8760.0 / bars)), 6) as log_growth, round(mu * 8760 / (sd * sqrt(8760)), 6) as sharpe, round(max_drawdown, 6) as max_drawdown, trades, round(win_rate, 6) as win_rate,
-    round(avg_trade_return, 6) as avg_trade_return, cast(turnover as double) as turnover, round(exposure, 6) as exposure, round(cast(total_cost as double), 6) as total_cost, exits_flip, exits_flat, cast(0 as bigint) as exits_sl, cast(0 as bigint) as exits_tp from m join n using (series_id)""",
+    f"""{METRICS} select series_id, bars, round(total_return, 6) as total_return, round(log10(pow(le, 8760.0 / bars)), 6) as log_growth, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, trades, round(win_rate, 6) as win_rate,
+    round(avg_trade_return, 6) as avg_trade_return, turnover, round(exposure, 6) as exposure, round(total_cost, 6) as total_cost, exits_flip, exits_flat, exits_sl, exits_tp from metrics""",
 )
 def _(spark, d):
     m = B.metrics(fast_bars(spark, d), HOURS_A_YEAR, _COST, 2.0)
@@ -582,15 +598,51 @@ def featured(spark: SparkSession, d: str) -> DataFrame:
     return regimes.classify(compute_all_factors(df))
 
 
-@query("random_search")
+_KNOBS = tuple(KNOB_BOUNDS)
+
+
+def _knobs_sql(draws: dict[int, list[dict[str, float]]]) -> str:
+    """A common table k of all draws by fold and trial."""
+    rows = [f"({fold}, {i}, {', '.join(f'{t[n]!r}::double' for n in _KNOBS)})" for fold, trials in draws.items() for i, t in enumerate(trials)]
+    return f"k(fold, trial, {', '.join(_KNOBS)}) as (values {', '.join(rows)})"
+
+
+def _tried_sql(source: str, name: str) -> str:
+    """Common tables that end in ``name``: number of trades, return and Sharpe ratio of each fold and trial in ``source``."""
+    score = "case regime"
+    for regime, p in (("trend_up", "up"), ("trend_down", "dn"), ("chop", "cp")):
+        score += f" when '{regime}' then coalesce(f_rsi, 0) * {p}_rsi + coalesce(f_funding, 0) * {p}_funding + (coalesce(f_ema_cross, 0) + coalesce(f_macd, 0) + coalesce(f_trend, 0)) * {p}_trend / 3 + (coalesce(f_volume, 0) + coalesce(f_oi, 0)) * {p}_flow / 2"
+    w = "partition by fold, trial order by ts"
+    return f"""{name}_s as (select *, least(greatest({score} else 0 end, -1), 1) as score from {source}),
+    {name}_z as (select *, case when score <= short_thr then -1 when score >= long_thr then 1 else 0 end as s from {name}_s),
+    {name}_p as (select *, coalesce(lag(s) over ({w}), 0) as side, lag(close) over ({w}) as pc from {name}_z),
+    {name}_q as (select *, greatest(coalesce((close - pc) / pc, 0) * side - {_COST!r} * (cast(s <> side and side <> 0 as int) + cast(s <> side and s <> 0 as int)) - side * coalesce(funding_rate, 0) / 8, -1.0) as net, coalesce(lag(side) over ({w}), 0) as was from {name}_p),
+    {name} as (select fold, trial, count(*) filter (side <> 0 and side <> was) as trades, product(1 + net) - 1 as total_return, case when stddev_samp(net) > 0 then avg(net) * 8760 / (stddev_samp(net) * sqrt(8760)) end as sharpe from {name}_q group by 1, 2)"""
+
+
+_VIABLE = "case when trades >= 5 then sharpe * sqrt(least(trades, 30) / 30.0) end"
+_FEATURES = _side_by_side(("rsi", "ema_cross", "macd", "trend", "volume", "oi", "funding"), {"regime": ("regime", _REGIME)})
+
+
+@query(
+    "random_search",
+    f"with {_FEATURES}, {_knobs_sql({0: optimize.sample_knobs(40, 7)})}, x as (select feat.*, k.* from feat, k), {_tried_sql('x', 'm')} select 'all' as series_id, trial, trades, round(total_return, 6) as total_return, round({_VIABLE}, 6) as score from m",
+)
 def _(spark, d):
-    """Forty trials; seeded draws cannot be stated in SQL, tests compare trials with single backtests."""
+    """Forty trials over all bars; the SQL has the same draws as rows."""
     out = optimize.random_search(featured(spark, d), BacktestConfig(min_hold_bars=0), RiskConfig(1.0, None, None), HOURS_A_YEAR, 40, 7)
     return out.select("series_id", "trial", "trades", r6("total_return"), r6("score"))
 
 
-@query("walk_forward")
+@query(
+    "walk_forward",
+    f"""with {_FEATURES}, {_knobs_sql({i: optimize.sample_knobs(12, 3 + i) for i in range(12)})}, y as (select feat.*, k.*, i < fold * 120 + 240 as fit from feat join k on i >= fold * 120 and i < fold * 120 + 360 where fold * 120 + 360 <= (select count(*) from feat)),
+    x as (select * from y where fit), {_tried_sql('x', 'm')}, best as (select fold, trial, score as train_score from (select *, {_VIABLE} as score, row_number() over (partition by fold order by {_VIABLE} desc nulls last, trial) as rn from m) where rn = 1 and score is not null),
+    v as (select y.* from y join best using (fold, trial) where not fit), {_tried_sql('v', 'n')}, spans as (select fold, min(ts) filter (fit) as train_start, max(ts) filter (not fit) as test_end from y group by 1)
+    select 'all' as series_id, fold, trial, round(train_score, 6) as train_score, round(n.total_return, 6) as total_return, train_start, test_end from best join n using (fold, trial) join spans using (fold)""",
+)
 def _(spark, d):
+    """Twelve trials a fold; the SQL has the draws of the first twelve folds as rows."""
     folds, _ = optimize.walk_forward(featured(spark, d), 240, 120, 120, BacktestConfig(min_hold_bars=0), RiskConfig(1.0, None, None), HOURS_A_YEAR, 12, 3)
     return folds.select("series_id", "fold", "trial", r6("train_score"), r6("total_return"), "train_start", "test_end")
 
@@ -636,9 +688,14 @@ def _(spark, d):
     return table(spark, d, "part").select("p_name", venue_coin(s).alias("coin"), is_builder_market(s).alias("builder"))
 
 
-@query("overall_table")
+_PERCENT, _NUMBER = ("total_return", "max_drawdown", "win_rate", "avg_trade_return", "exposure", "total_cost"), ("sharpe", "turnover")
+_SHOWN = [f"coalesce(printf('%7.2f%%', cast({c} * 100 as double)), '  n/a') as {c}" for c in _PERCENT] + [f"coalesce(printf('%7.2f', cast({c} as double)), '    n/a') as {c}" for c in _NUMBER]
+
+
+@query("overall_table", f"{METRICS} select series_id, bars, trades, exits_flip, exits_flat, exits_sl, exits_tp, {', '.join(_SHOWN)} from metrics")
 def _(spark, d):
-    return L.overall_table(B.metrics(fast_bars(spark, d), HOURS_A_YEAR, _COST, 2.0))
+    """Metrics as text; without the growth a year, which is absurd on toy bars."""
+    return L.overall_table(B.metrics(fast_bars(spark, d), HOURS_A_YEAR, _COST, 2.0).drop("cagr"))
 
 
 FLAGSHIP = "bt_metrics"
