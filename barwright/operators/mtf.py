@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import OrderedDict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,23 @@ def build_mtf_features(primary: DataFrame, primary_tf: str, slower: DataFrame |
     return own.withColumn("regime", F.coalesce("regime", F.lit("chop")))
 
 
+def warm_up(primary_tf: str) -> dt.timedelta:
+    """How much earlier than its window a build starts to read, so that the slowest means have settled."""
+    return dt.timedelta(days=60 if TF_TIERS[primary_tf][1] in (None, "1d") else 30)
+
+
+def load_mtf_features(load: Callable[[str, dt.datetime, dt.datetime], DataFrame], primary_tf: str, start: dt.datetime, end: dt.datetime, cfg: FactorConfig | None = None, include_oi: bool = True) -> DataFrame:
+    """``build_mtf_features`` over [start, end), from ``load(timeframe, start, end)``, a dataset of bars of any number of series.
+
+    The three timeframes are read from ``warm_up`` before ``start``; those bars stay in the result, as the caller may need
+    them. Without ``include_oi`` open interest counts as absent. Nothing runs until the result is used.
+    """
+    fast_tf, slow_tf = TF_TIERS[primary_tf]
+    since = start - warm_up(primary_tf)
+    read = lambda tf: load(tf, since, end) if include_oi else load(tf, since, end).drop("open_interest")
+    return build_mtf_features(read(primary_tf), primary_tf, read(slow_tf) if slow_tf else None, read(fast_tf) if fast_tf else None, cfg)
+
+
 class FeatureCache:
     """The last few feature frames of a session by key, persisted while they are in; the least recently used goes first."""
 
@@ -84,4 +103,4 @@ class FeatureCache:
         self.frames.clear()
 
 
-__all__ = ["SINGLE", "FeatureCache", "build_mtf_features", "pick_primary_tf", "tf_volatility"]
+__all__ = ["SINGLE", "FeatureCache", "build_mtf_features", "load_mtf_features", "pick_primary_tf", "tf_volatility", "warm_up"]

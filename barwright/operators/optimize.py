@@ -13,6 +13,7 @@ from barwright.functions import windows as W
 from barwright.operators import backtest
 from barwright.operators.signals import min_hold
 from barwright.plans.config import KNOB_BOUNDS, BacktestConfig, RiskConfig
+from barwright.plans.shared import stage
 
 #: Prefixes of the knobs of each regime.
 _REGIME_KNOBS = {"trend_up": "up", "trend_down": "dn", "chop": "cp"}
@@ -70,10 +71,13 @@ def _knob_structs(trials: list[dict[str, float]]) -> Column:
 
 
 def random_search(df: DataFrame, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, per_year: float = 8760, n_trials: int = 300, seed: int = 0) -> DataFrame:
-    """One row a series and trial: its score (NULL: not viable), metrics and knobs. Rows of ``df``: bars, factors, regime."""
+    """One row a series and trial: its score (NULL: not viable), metrics and knobs. Rows of ``df``: bars, factors, regime.
+
+    The features are written once: results and trades of the trials both read them.
+    """
     cfg, risk = cfg or BacktestConfig(), risk or RiskConfig()
     trials = sample_knobs(n_trials, seed)
-    rows = df.withColumn("knobs", F.explode(_knob_structs(trials))).withColumn("trial", F.col("knobs.trial"))
+    rows = stage(df, "features").withColumn("knobs", F.explode(_knob_structs(trials))).withColumn("trial", F.col("knobs.trial"))
     keys = [W.SERIES, "trial"]
     _, found = _trial_metrics(rows, keys, cfg, risk, per_year)
     return found.withColumn("score", trial_score(F.col("sharpe"), F.col("trades"))).withColumn("knobs", F.element_at(_knob_structs(trials), F.col("trial") + 1))
@@ -106,9 +110,11 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int, cfg: BacktestC
     """Fit on ``train`` bars, test on the next ``test``, move on by ``step``: (folds, per-bar results of the tests).
 
     Fold i draws its trials with seed + i. A series without a viable trial in a fold has no row for it. All folds and
-    trials of all series are one plan; the largest number of bars of a series is counted first.
+    trials of all series are one plan; the largest number of bars of a series is counted first. The features, and each
+    fold's best trial, are written once, since several parts read them.
     """
     cfg, risk = cfg or BacktestConfig(), risk or RiskConfig()
+    df = stage(df, "features")
     numbered = df.withColumn("rn", F.row_number().over(W.line()) - 1).withColumn("n", F.count("*").over(Window.partitionBy(W.SERIES)))
     most = df.groupBy(W.SERIES).count().agg(F.max("count")).first()[0] or 0
     trials = _fold_trials(df.sparkSession, fold_bounds(most, train, test, step), n_trials, seed)
@@ -120,7 +126,7 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int, cfg: BacktestC
     keys = [W.SERIES, "fold", "trial"]
     _, scored = _trial_metrics(own.where("in_train").join(trials, "fold"), keys, cfg, risk, per_year)
     scored = scored.withColumn("score", trial_score(F.col("sharpe"), F.col("trades"))).join(trials, ["fold", "trial"])
-    best = best_trials(scored, [W.SERIES, "fold"])
+    best = stage(best_trials(scored, [W.SERIES, "fold"]), "best")
     keys = [W.SERIES, "fold"]
     tests, found = _trial_metrics(own.where("not in_train").join(best.select(*keys, "knobs"), keys), keys, cfg, risk, per_year)
     span = own.groupBy(*keys).agg(*[f(F.when(F.col("in_train") == flag, F.col(W.TIME))).alias(name) for f, flag, name in ((F.min, True, "train_start"), (F.max, True, "train_end"), (F.min, False, "test_start"), (F.max, False, "test_end"))])

@@ -199,3 +199,42 @@ def test_a_strategy_that_fails_is_named(spark):
     failed: dict[str, str] = {}
     out = leaderboard(df, {"good": good, "bad": replace(good, score="no_such_name(close)")}, failed=failed)
     assert {r.strategy for r in out.collect()} == {"good"} and set(failed) == {"bad"}
+
+
+def test_features_of_three_timeframes_from_one_call(spark, tmp_path):
+    from barwright.operators import mtf
+    from barwright.sources.files import read_store, write_store
+
+    hours = spark.range(24 * 100).select(
+        F.lit("a").alias("series_id"), (F.lit(START).cast("timestamp_ntz") + F.make_interval(hours=F.col("id"))).alias("ts"), (100 + 10 * F.sin(F.col("id") / 17)).alias("close"), (100.0 + F.col("id") % 7).alias("volume"), (1000.0 + F.col("id") % 11).alias("open_interest")
+    )
+    hours = hours.withColumns({"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1})
+    write_store(hours, str(tmp_path), "klines", "1h")
+    asked = []
+
+    def load(tf, start, end):
+        asked.append((tf, start, end))
+        rows = read_store(spark, str(tmp_path), "klines", "1h", "a", str(start), str(end))
+        return rows if tf == "1h" else P.rebucket(rows, tf)
+
+    start, end = START + dt.timedelta(days=70), START + dt.timedelta(days=90)
+    out = mtf.load_mtf_features(load, "4h", start, end, include_oi=False)
+    assert {a[0] for a in asked} == {"4h", "1d", "1h"} and {a[1] for a in asked} == {start - dt.timedelta(days=60)}
+    rows = out.orderBy("ts").collect()
+    assert len(rows) == 80 * 6 and rows[0].ts == START + dt.timedelta(days=10)
+    assert all(r.f_oi == 0.0 for r in rows) and {r.regime for r in rows} <= {"trend_up", "trend_down", "chop"}
+    own = mtf.build_mtf_features(load("4h", *asked[0][1:]), "4h", load("1d", *asked[0][1:]), load("1h", *asked[0][1:]))
+    assert [r.f_trend for r in own.orderBy("ts").collect()] == [r.f_trend for r in rows]
+    assert mtf.warm_up("1h") == dt.timedelta(days=30) and mtf.warm_up("1d") == mtf.warm_up("4h") == dt.timedelta(days=60)
+
+
+def test_frames_in_use_stay_cached(spark):
+    from barwright.operators.mtf import FeatureCache
+
+    cache, built = FeatureCache(2), []
+    make = lambda k: lambda: built.append(k) or spark.range(k)
+    for k in (1, 2, 1, 3, 1, 2):
+        assert cache.get((k,), make(k)).count() == k
+    assert built == [1, 2, 3, 2]
+    cache.clear()
+    assert not cache.frames
