@@ -35,11 +35,8 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_gives_the_same_rows_again(spark, name):
-    text = lambda df: sorted(str(tuple(_cell(x) for x in r)) for r in df.collect())
-    rows = text(QUERIES[name](spark, str(DATA)))
-    assert rows and rows == text(QUERIES[name](spark, str(DATA)))
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_the_entry(spark):
