@@ -78,8 +78,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.sentence_pieces import decode_pieces, encode_pieces
+
+    found = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents")))
+    return found.selectExpr("doc_id", "cast(size(ids) as long) as n_tokens", "sha2(array_join(ids, ','), 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.lexical_search import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barwright.llm.merkle import build, prove, verify
+
+    return verify(prove(build(_table(spark, sf_dir, "documents"))))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op6_topk, op7_url_filter, op8_jaccard_join, op9_secrets, op10_language)}
+    own = (op1_decontaminate, op2_token_files, op3_repeats, op4_pack, op5_quality, op6_topk, op7_url_filter, op8_jaccard_join, op9_secrets, op10_language)
+    return {f.__name__: f for f in (*own, op11_sentence_pieces, op12_lexical_search, op13_merkle_manifest)}
 
 
 OP6_SQL = """
@@ -171,5 +191,64 @@ from d left join cut using (doc_id)
 """
 
 
+#: Counts, integer impacts and sums of them; every document against every item by their terms in common.
+OP12_SQL = r"""
+with words as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null
+), d as (select row_number() over () as r, doc_id, w, len(w) as n from words where len(w) > 0
+), total as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from d
+), i as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark
+), tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) where t in (select t from i) group by r, t
+), df as (select t, count(*) as df from tf group by t
+), w as (select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w from df, total
+), m as (select r, doc_id, 100 - 90 + (90 * n * docs) // terms as m from d, total
+), s as (select item_id, r, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from i join tf using (t) join w using (t) join m using (r) group by item_id, r
+), ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+def _tree_sql(base: str, name: str, deep: int) -> str:
+    """Common tables of a tree over ``base(grp, pos, n, h)``: its levels, and of every node the path to its group's root."""
+    out = [f"{name}0 as (select grp, pos, n, h from {base})"]
+    for k in range(deep):
+        out.append(f"{name}{k + 1} as (select *, sha256(run) as h from (select grp, pos // 16 as pos, (max(n) + 15) // 16 as n, string_agg(h, '' order by pos) as run from {name}{k} where n > 1 group by 1, 2))")
+    return ",\n".join(out)
+
+
+def _path_sql(start: str, name: str, tree: str, deep: int) -> str:
+    """From ``start(..., grp, pos, n, now, proof)`` upward: the last one has the root's digest as ``now``."""
+    out = []
+    for k in range(deep):
+        source = start if not k else f"{name}{k}"
+        left, right = "left(u.run, 64 * (s.pos % 16))", "substr(u.run, 64 * (s.pos % 16) + 65)"
+        out.append(
+            f"""{name}{k + 1} as (select s.* replace (case when u.run is null then s.pos else s.pos // 16 end as pos, (s.n + 15) // 16 as n, case when u.run is null then now else sha256({left} || now || {right}) end as now,
+            case when u.run is null then proof else proof || {left} || {right} end as proof) from {source} s left join {tree}{k + 1} u on s.n > 1 and u.grp = s.grp and u.pos = s.pos // 16)"""
+        )
+    return ",\n".join(out)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+#: The tree's levels and each leaf's path, six levels a source and four over the sources; crc32 by its table.
+OP13_SQL = f"""
+with bits as (select list(c order by k) as t from (select k, list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(k))
+), d as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 5 = 0 as hit from documents, bits
+), leafs as (select doc_id, coalesce('=' || source, '') as grp, sha256({_LEAF}) as h, case when hit then sha256({_LEAF.replace("cast(text as varchar)", _LOWERED)}) end as changed from d
+), base as (select *, row_number() over (partition by grp order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by grp) as n from leafs
+), {_tree_sql("base", "s", 6)}
+, tops as (select '' as grp, grp as member, row_number() over (order by encode(grp)) - 1 as pos, count(*) over () as n, h from ({" union all ".join(f"select grp, h from s{k} where n = 1" for k in range(7))}))
+, {_tree_sql("tops", "r", 4)}
+, start as (select doc_id, h as leaf, grp, pos, n, coalesce(changed, h) as now, '' as proof from base)
+, {_path_sql("start", "p", "s", 6)}
+, upper as (select p.doc_id, p.leaf, t.h as subroot, t.grp, t.pos, t.n, p.now, p.proof from p6 p join tops t on t.member = p.grp)
+, {_path_sql("upper", "q", "r", 4)}
+, top as (select h as root from ({" union all ".join(f"select h from r{k} where n = 1" for k in range(5))}))
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, now as folded_root, now = root as verified from q4, top
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_repeats": OP3_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op3_repeats": OP3_SQL, "op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op12_lexical_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
