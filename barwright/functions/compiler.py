@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barwright.functions import windows as W
 from barwright.functions.expressions import MOST_DEPTH, EvalError, Name, Node, Number, parse
 from barwright.functions.sequential import ewm, span, wilder
+from barwright.plans import blocks
 
 #: Factors (columns ``f_...``) that expressions may name.
 FACTOR_NAMES = ("ema_cross", "macd", "trend", "rsi_slow", "ema_cross_slow", "macd_slow", "slope_regression", "adx_strength", "rsi_delta", "volume_zscore", "atr_stability", "vwap_distance")
@@ -51,8 +52,12 @@ Value = Scalar | Series
 class Context:
     """The frame that an expression is compiled onto, which grows temporary columns."""
 
-    def __init__(self, df: DataFrame, funding_alias: bool = False):
+    def __init__(self, df: DataFrame, funding_alias: bool = False, reach: int | None = None):
         self.df, self.names, self.memo = df, list(df.columns), {}
+        #: For a laid-out frame: the rows before a block that its windows need; None if only that is to be found out.
+        self.blocks, self.reach = blocks.is_laid_out(df), reach
+        if self.blocks and reach is not None:
+            self.df = blocks.halo(df, reach)
         self.timed = W.TIME in df.columns and dict(df.dtypes)[W.TIME].startswith(("timestamp", "date"))
         self.funding_alias = funding_alias
         self.count = 0
@@ -75,15 +80,42 @@ class Context:
     def has(self, name: str) -> bool:
         return name in self.names
 
-    def smooth(self, x: Column, alpha: float, key: object) -> Column:
-        """An exponential mean; equal ones are computed once."""
+    def _endless(self, key: object, x: Column, column: Callable[[Column], Column], step: Callable[[DataFrame, str, str], DataFrame]) -> Column:
+        """What looks back without an end: ``column`` over whole series, or ``step`` over the own rows of blocks."""
         if key in self.memo:
             return self.memo[key]
+        if not self.blocks:
+            return self.keep(column(x), key)
+        name, source = self.fresh(), self.fresh()
+        df = self.df.withColumn(source, x.cast("double"))
+        if self.reach is None:
+            self.df = df.withColumn(name, F.lit(None).cast("double"))
+        else:
+            self.df = blocks.halo(step(blocks.own(df), source, name).drop(source), self.reach)
+        self.memo[key] = F.col(name)
+        return self.memo[key]
+
+    def smooth(self, x: Column, alpha: float, key: object) -> Column:
+        """An exponential mean; equal ones are computed once."""
+        if key in self.memo or self.blocks:
+            return self._endless(key, x, lambda x: x, lambda df, source, name: ewm(df, {name: (source, alpha)}))
         name, source = self.fresh(), self.fresh()
         self.df = ewm(self.df.withColumn(source, x.cast("double")), {name: (source, alpha)}).drop(source)
         self.memo[key] = F.col(name)
         return self.memo[key]
 
+    def filled(self, x: Column, key: object) -> Column:
+        """The last value that is not missing."""
+        return self._endless(key, x, W.forward_fill, lambda df, source, name: blocks.last_known(df, source).withColumnRenamed("__bw_value", name))
+
+    def total(self, x: Column, key: object, daily: bool = False) -> Column:
+        """The sum so far, of a bar's day or of all."""
+        by = F.to_date(W.TIME) if daily else None
+        return self._endless(key, x, lambda x: F.sum(x).over(W.today() if daily else W.so_far()), lambda df, source, name: blocks.running_sum(df, source, by).withColumnRenamed("__bw_value", name))
+
+    def index(self) -> Column:
+        return F.col(blocks.PLACE).cast("double") if self.blocks else self.keep(W.bar_index(), "bar_index")
+
 
 def numeric(v: Value) -> Column:
     if isinstance(v, Scalar):
@@ -188,7 +220,7 @@ def dx_value(atr: Column, plus: Column, minus: Column) -> Column:
 def _slope(ctx, args, key):
     n = period(args[1], "slope") if len(args) == 2 else 20
     x = ctx.keep(numeric(args[0]), ("in", key))
-    index = ctx.keep(W.bar_index(), "bar_index")
+    index = ctx.index()
     return Series(W.ratio(ctx.keep(W.raw_slope(x, index, n), key), x))
 
 
@@ -201,15 +233,16 @@ def _corr(ctx, args, key):
 @register("vwap", 0, 1, "vwap(period=96)")
 def _vwap(ctx, args, key):
     core = ctx.keep(W.vwap_core(period(args[0], "vwap") if args else 96), ("core", key))
-    return Series(F.coalesce(ctx.keep(W.forward_fill(core), key), F.col("close")))
+    return Series(F.coalesce(ctx.filled(core, key), F.col("close")))
 
 
 @register("session_vwap", 0, 0, "session_vwap()")
 def _session_vwap(ctx, args, key):
     if not ctx.timed:
         return _vwap(ctx, [], ("vwap", key))
-    core = ctx.keep(W.session_vwap_core(), ("core", key))
-    return Series(F.coalesce(ctx.keep(W.forward_fill(core), key), F.col("close")))
+    # since 00:00 UTC of the bar's day, on timestamps in the session's zone; the session runs in UTC
+    paid, traded = ctx.total(W.typical() * F.col("volume"), ("paid", key), True), ctx.total(F.col("volume"), ("traded", key), True)
+    return Series(F.coalesce(ctx.filled(ctx.keep(W.ratio(paid, traded), ("core", key)), key), F.col("close")))
 
 
 def _band(name: str, pick: Callable[[Column, int, float], Column]) -> None:
@@ -304,7 +337,7 @@ def _cci(ctx, args, key):
 @register("obv", 0, 0, "obv()")
 def _obv(ctx, args, key):
     step = ctx.keep(F.coalesce(F.signum(F.col("close") - W.previous(F.col("close"))) * F.col("volume"), F.lit(0.0)), ("step", key))
-    return Series(ctx.keep(F.sum(step).over(W.so_far()), key))
+    return Series(ctx.total(step, key))
 
 
 @register("mfi", 1, 1, "mfi(period)")
@@ -331,7 +364,7 @@ def _access(ctx: Context, name: str) -> Value:
     if name not in ACCESSORS:
         raise EvalError(f"Unknown identifier {name!r}.")
     if name == "bar_index":
-        return Series(ctx.keep(W.bar_index(), "bar_index"))
+        return Series(ctx.index())
     if name in ("hour_utc", "minute_utc", "dayofweek_utc"):
         if not ctx.timed:
             return Series(F.lit(0.0))
@@ -412,26 +445,43 @@ def build(ctx: Context, node: Node, depth: int = 0) -> Value:
     return fn(ctx, args, (name, node.args))
 
 
+def _compiled(df: DataFrame, expression: str, funding_alias: bool, out: str, finish: Callable[[Value], Column]) -> DataFrame:
+    """``df`` with what ``finish`` makes of the expression; the rows of a laid-out frame in their blocks, halos dropped again."""
+    node = parse(expression)
+    keep = [c for c in df.columns if c != out]
+    if not blocks.is_laid_out(df):
+        ctx = _context(df, funding_alias)
+        value = finish(build(ctx, node))
+        return ctx.df.withColumn(out, value).select(*keep, out)
+    with W.keyed(W.SERIES, blocks.BLOCK):
+        with W.noted() as seen:
+            build(_context(df, funding_alias), node)
+        ctx = _context(df, funding_alias, sum(seen))
+        value = finish(build(ctx, node))
+        return blocks.own(ctx.df.withColumn(out, value)).select(*keep, out)
+
+
 def evaluate(df: DataFrame, expression: str, out: str = "score", limit: bool = True, funding_alias: bool = False) -> DataFrame:
     """``df`` (series_id, ts, open, high, low, close, volume, ...) with the expression's value in ``out``.
 
-    Missing and infinite values become 0; ``limit`` clips to -1..1. Columns that the frame lacks count as 0.
+    Missing and infinite values become 0; ``limit`` clips to -1..1. Columns that the frame lacks count as 0. Of a laid-out
+    frame (``plans.blocks``) each block is a task's work of its own.
     """
-    ctx = _context(df, funding_alias)
-    value = numeric(build(ctx, parse(expression)))
-    value = F.coalesce(W.finite(value.cast("double")), F.lit(0.0))
-    return ctx.df.withColumn(out, W.clip(value, -1, 1) if limit else value).select(*[c for c in df.columns if c != out], out)
+
+    def finish(value: Value) -> Column:
+        x = F.coalesce(W.finite(numeric(value).cast("double")), F.lit(0.0))
+        return W.clip(x, -1, 1) if limit else x
+
+    return _compiled(df, expression, funding_alias, out, finish)
 
 
 def evaluate_bool(df: DataFrame, expression: str, out: str = "condition", funding_alias: bool = False) -> DataFrame:
     """``df`` with the truth of an entry condition in ``out``, never NULL."""
-    ctx = _context(df, funding_alias)
-    value = truth(build(ctx, parse(expression)))
-    return ctx.df.withColumn(out, value).select(*[c for c in df.columns if c != out], out)
+    return _compiled(df, expression, funding_alias, out, truth)
 
 
-def _context(df: DataFrame, funding_alias: bool) -> Context:
+def _context(df: DataFrame, funding_alias: bool, reach: int | None = None) -> Context:
     missing = [c for c in ("series_id", "ts", "open", "high", "low", "close", "volume") if c not in df.columns]
     if missing:
         raise EvalError(f"The frame lacks the columns {missing}.")
-    return Context(df, funding_alias)
+    return Context(df, funding_alias, reach)

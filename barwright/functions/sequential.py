@@ -1,18 +1,22 @@
-"""Order-dependent passes over series, in bounded memory.
+"""Order-dependent passes over series.
 
-Rows are brought together by key and sorted within partitions; a task then reads them batch by batch and carries a small
-state from batch to batch, so a long series needs no more memory than a short one. A worker that is lost costs
-its partitions, which Spark computes again from their beginning.
+A ``scan`` brings rows together by key, sorted within partitions; a task reads them batch by batch with a small state, so a
+long series needs no more memory than a short one. A worker that is lost costs its partitions, which Spark computes again
+from their beginning. ``means`` are exponential means as columns: each row is an affine map of the mean before it,
+and running products and sums of these maps over stretches, in which no product leaves the range of doubles, give all
+means without a loop, for whole series or for blocks of one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], schema: str, last: Callable | None = None) -> DataFrame:
@@ -78,12 +82,80 @@ class Ewm:
         return frame.assign(**new)
 
 
+#: Decay (in powers of e) of a stretch at most; means whose rates differ more than ``ALIKE`` times do not share stretches.
+DECAY, ALIKE = 600.0, 12.0
+
+
+def _together(specs: dict[str, tuple[str, float]]) -> list[tuple[str, float, list[str]]]:
+    """Means that share their stretches: (input, the quickest one's alpha, names), quickest first."""
+    groups: list[tuple[str, float, list[str]]] = []
+    for name, (column, alpha) in sorted(specs.items(), key=lambda s: (s[1][0], -s[1][1], s[0])):
+        if groups and groups[-1][0] == column and math.log1p(-groups[-1][1]) / math.log1p(-alpha) <= ALIKE:
+            groups[-1][2].append(name)
+        else:
+            groups.append((column, alpha, [name]))
+    return groups
+
+
+def means(df: DataFrame, specs: dict[str, tuple[str, float]], keys: list[str], maps: bool = False) -> DataFrame:
+    """``df`` with the exponential means ``specs`` over its rows of each of ``keys``, in the order of ``ts``.
+
+    With ``maps`` the mean is taken as a function of its first value y, m = v + p * y: columns ``v_...`` and ``p_...``.
+
+    A row that follows k rows after the last one with a value makes of a mean m: (w * m + alpha * x) / (w + alpha), w = (1 - alpha) ** k.
+    A stretch ends where its maps have decayed by ``DECAY``. The mean at a row is what its stretch gives from nothing, plus what was
+    before it, times the stretch's decay up to the row; of that, one stretch is enough, since an older one weighs less than e ** -50.
+    """
+    by = ", ".join(f"`{k}`" for k in keys)
+    line = f"partition by {by} order by ts"
+    upto, before = f"over ({line} rows unbounded preceding)", f"over ({line} rows between unbounded preceding and 1 preceding)"
+    inputs = {column: i for i, column in enumerate(dict.fromkeys(column for column, _ in specs.values()))}
+    kept = df.columns
+    # (SQL text: one call a step, where columns would be thousands)
+    df = df.selectExpr("*", f"row_number() over ({line}) as __bw_at", *[f"cast(`{x}` as double) as __bw_x{i}" for x, i in inputs.items()])
+    df = df.selectExpr("*", *[f"__bw_at - last(if(__bw_x{i} is not null, __bw_at, null), true) {before} as __bw_k{i}" for i in inputs.values()])
+    number = {name: i for i, name in enumerate(specs)}
+    steps: list[str] = []
+    for name, (column, alpha) in specs.items():
+        i, n = inputs[column], number[name]
+        x, k, w = f"__bw_x{i}", f"__bw_k{i}", f"pow({1.0 - alpha!r}D, __bw_k{i})"
+        steps.append(f"if({x} is null or {k} is null, 1D, greatest({w} / ({w} + {alpha!r}D), 1e-300D)) as __bw_a{n}")
+        steps.append(f"if({x} is null, 0D, if({k} is null, {'0D' if maps else x}, {alpha!r}D * {x} / ({w} + {alpha!r}D))) as __bw_b{n}")
+    df = df.selectExpr("*", *steps)
+    groups = [(g, number[names[0]], [number[n] for n in names]) for g, (_, _, names) in enumerate(_together({n: s for n, s in specs.items() if s[1] < 1.0}))]
+    df = df.selectExpr("*", *[f"floor(sum(-ln(__bw_a{quick})) {upto} / {DECAY}D) as __bw_s{g}" for g, quick, _ in groups])
+    stretch = {g: f"partition by {by}, __bw_s{g} order by ts" for g, _, _ in groups}
+    df = df.selectExpr("*", *[f"row_number() over ({stretch[g]}) = 1 as __bw_f{g}" for g, _, _ in groups])
+    running = lambda x, *also: F.product(F.expr(x)).over(Window.partitionBy(*keys, *also).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    df = df.select("*", *[running(f"if(__bw_f{g}, 1D, __bw_a{n})", f"__bw_s{g}").alias(f"__bw_q{n}") for g, _, own in groups for n in own])
+    df = df.selectExpr("*", *[f"__bw_q{n} * sum(__bw_b{n} / __bw_q{n}) over ({stretch[g]} rows unbounded preceding) as __bw_v{n}" for g, _, own in groups for n in own])
+    df = df.selectExpr("*", *[f"if(__bw_f{g}, __bw_a{n} * lag(__bw_v{n}) over ({line}), null) as __bw_c{n}" for g, _, own in groups for n in own])
+    out: list[str] = []
+    for name, (column, alpha) in specs.items():
+        x, n = f"__bw_x{inputs[column]}", number[name]
+        seen = f"count({x}) {upto}"
+        if alpha >= 1.0:
+            value = f"last({x}, true) {upto}"
+            value = f"if({seen} > 1, {value}, 0D)" if maps else value
+        else:
+            value = f"__bw_v{n} + __bw_q{n} * coalesce(last(__bw_c{n}, true) {upto}, 0D)"
+        out.append(f"if({seen} > 0, {value}, null) as `{'v_' if maps else ''}{name}`")
+    # (the first value has a = 1, and a quickest mean 0 for all later ones)
+    decay = [F.when(F.col(f"__bw_x{inputs[column]}").isNotNull() | (running(f"__bw_a{number[name]}") >= 0), running(f"__bw_a{number[name]}")).alias(f"p_{name}") for name, (column, _) in specs.items()] if maps else []
+    return df.select(*[F.col(f"`{k}`") for k in kept], *map(F.expr, out), *decay)
+
+
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """``df`` (series_id, ts, ...) with a column for each of ``specs``: name -> (input column, alpha).
 
     A value repeats over missing inputs and weighs less the more rows have passed, as many means as there are specs in one pass.
-    NULL before the first input.
+    NULL before the first input. A laid-out frame (own rows) is done by columns, block by block; else a series is one task's scan,
+    which costs a fraction of the plan where series are short.
     """
+    from barwright.plans import blocks
+
+    if blocks.is_laid_out(df):
+        return blocks.ewm(df, specs)
     kept = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     schema = kept + "".join(f", `{n}` double" for n in specs)
     return scan(df, ["series_id"], ["ts"], lambda: Ewm(specs), schema)

@@ -7,19 +7,52 @@ would otherwise return a value for a part of the frame.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES, TIME = "series_id", "ts"
+#: What windows are partitioned by, and where they note how far they look back.
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("keys", default=(SERIES,))
+_REACH: ContextVar[list[int] | None] = ContextVar("reach", default=None)
+
+
+@contextmanager
+def keyed(*keys: str) -> Iterator[None]:
+    """Windows built inside run over rows of equal ``keys``: over blocks of series, say."""
+    token = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
+
+
+@contextmanager
+def noted() -> Iterator[list[int]]:
+    """A list of how many rows back each window looks that is built inside."""
+    seen: list[int] = []
+    token = _REACH.set(seen)
+    try:
+        yield seen
+    finally:
+        _REACH.reset(token)
+
+
+def _note(n: int) -> None:
+    if (seen := _REACH.get()) is not None:
+        seen.append(n)
 
 
 def line() -> WindowSpec:
     """All bars of a series in order."""
-    return Window.partitionBy(SERIES).orderBy(TIME)
+    return Window.partitionBy(*_KEYS.get()).orderBy(TIME)
 
 
 def frame(n: int) -> WindowSpec:
+    _note(n - 1)
     return line().rowsBetween(-(n - 1), 0)
 
 
@@ -81,6 +114,7 @@ def raw_slope(x: Column, index: Column, n: int) -> Column:
 
 
 def previous(x: Column, n: int = 1) -> Column:
+    _note(n)
     return F.lag(x, n).over(line())
 
 
@@ -107,10 +141,9 @@ def vwap_core(n: int) -> Column:
     return ratio(rolling(F.sum, typical() * F.col("volume"), n), rolling(F.sum, F.col("volume"), n))
 
 
-def session_vwap_core() -> Column:
-    """Since 00:00 UTC of the bar's day, on timestamps in the session's zone; the session runs in UTC."""
-    day = Window.partitionBy(SERIES, F.to_date(TIME)).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    return ratio(F.sum(typical() * F.col("volume")).over(day), F.sum("volume").over(day))
+def today() -> WindowSpec:
+    """The bars of a bar's day so far."""
+    return Window.partitionBy(*_KEYS.get(), F.to_date(TIME)).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def bb_width(x: Column, n: int, k: float) -> Column:
