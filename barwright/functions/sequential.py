@@ -15,10 +15,30 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where in a batch another key begins, with 0 and the batch's length."""
+    new = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for key in keys:
+        column = batch.column(key)
+        a, b = column[:-1], column[1:]
+        differs = pc.or_kleene(pc.not_equal(a, b).fill_null(False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new |= differs.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+
+
+def _emitter(schema: str) -> tuple[pa.Schema, Callable[[pd.DataFrame], pa.RecordBatch]]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    return target, lambda frame: pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], schema: str, last: Callable | None = None) -> DataFrame:
     """Run a stateful function over every key's rows in order.
 
@@ -26,27 +46,16 @@ def scan(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
     there are batches, and returns a frame with the columns of ``schema`` (or None). ``last`` (state, keys) may give a
     closing frame when the key ends.
     """
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    struct = _parse_datatype_string(schema)
-    target = to_arrow_schema(struct)
-
-    def emit(frame: pd.DataFrame) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pandas(frame[target.names], schema=target, preserve_index=False)
+    _, emit = _emitter(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            frame = batch.to_pandas()
-            marks = frame[keys].astype(object).where(frame[keys].notna(), None)
-            new = np.flatnonzero((marks != marks.shift()).any(axis=1).to_numpy())
-            if not len(new) or new[0] != 0:
-                new = np.concatenate([[0], new])
-            for a, b in zip(new, np.append(new[1:], len(frame)), strict=True):
-                own = tuple(marks.iloc[a])
+            frame, at = batch.to_pandas(), _runs(batch, keys)
+            for a, b in zip(at, at[1:], strict=False):
+                own = tuple(batch.column(k)[a].as_py() for k in keys)
                 if state is None or own != now:
                     if state is not None and last is not None and (out := last(state, now)) is not None:
                         yield emit(out)

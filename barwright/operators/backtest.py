@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
 from barwright.functions.sequential import scan
+from barwright.plans import blocks
 from barwright.plans.bars import validate_bars
+from barwright.plans.chains import chained
 from barwright.plans.config import BacktestConfig, PolicyConfig, RiskConfig
 
 DAY_MS = 86_400_000
@@ -82,6 +84,25 @@ class Book:
         self.side, self.entry, self.held, self.pnl, self.trade = 0, 0.0, 0, 0.0, 0
         self.equity, self.day, self.losses, self.latched = 1.0, None, 0, False
         self.entries: deque[int] = deque()
+        self.ms: int | None = None
+
+    def hand_over(self) -> tuple:
+        """What later bars depend on, but for the equity and the number of the last trade."""
+        recent = tuple(t for t in self.entries if self.ms is None or t >= self.ms - DAY_MS)
+        day = (self.day, self.latched, self.losses) if self.most_losses else None
+        if not self.side:
+            return self.close, 0, 0.0, 0, 0.0, day, recent, self.ms
+        return self.close, self.side, self.entry, min(self.held, max(self.min_hold, 0)), self.pnl if self.most_losses else 0.0, day, recent, self.ms
+
+    def totals(self) -> list[float]:
+        """Trades begun, and growth, since this state was made."""
+        return [float(self.trade), self.equity]
+
+    def take_over(self, state: tuple) -> None:
+        self.close, self.side, self.entry, self.held, self.pnl, day, recent, self.ms = state
+        if day is not None:
+            self.day, self.latched, self.losses = day
+        self.entries = deque(recent)
 
     def _stopped(self, high: float, low: float) -> tuple[float, str] | None:
         """The price and kind of a stop or target that the bar reaches; a stop comes before a target."""
@@ -113,7 +134,7 @@ class Book:
 
     def bar(self, close: float, high: float, low: float, funding: float, wanted: int, barred: bool, ms: int) -> tuple:
         before = self.close if self.close is not None else close
-        self.close = close
+        self.close, self.ms = close, ms
         if self.most_losses and ms // DAY_MS != self.day:
             self.day, self.latched, self.losses = ms // DAY_MS, False, 0
         side, trade = self.side, self.trade
@@ -154,16 +175,28 @@ class Book:
 def machine(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> tuple[DataFrame, Callable[[], Book], str]:
     """What a pass in order needs: its rows, what makes the state of a new key, the schema of the results."""
     base = _prepared(df, signal).withColumns({"__bw_barred": policy_mask(policy), "__bw_ms": F.coalesce(epoch_ms(), F.lit(0))})
-    needed = [*keys, W.TIME, "close", "high", "low", "__bw_funding", "__bw_signal", "__bw_barred", "__bw_ms"]
+    placed = [c for c in (blocks.PLACE, blocks.BLOCK) if c in df.columns]
+    needed = [*keys, W.TIME, *placed, "close", "high", "low", "__bw_funding", "__bw_signal", "__bw_barred", "__bw_ms"]
     base = base.select(*needed).withColumns({c: F.col(c).cast("double") for c in ("close", "high", "low")})
     kinds = dict(base.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, W.TIME, "close"]) + ", " + RESULT
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, W.TIME, *placed, "close"]) + ", " + RESULT
     return base, lambda: Book(risk, cost, min_hold, policy), schema
 
 
 def stateful(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> DataFrame:
+    """A scan of each series; of a laid-out frame block by block, each block from the state in which the one before ends."""
     base, start, schema = machine(df, risk, cost, min_hold, policy, keys, signal)
-    return scan(base, keys, [W.TIME], start, schema)
+    if not blocks.is_laid_out(base):
+        return scan(base, keys, [W.TIME], start, schema)
+    done, ends = chained(base, keys, start, schema)
+    # trades are numbered, and equity grows, from each block's beginning: what the blocks before have of both comes on top
+    before = Window.partitionBy(*keys).orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"__bw_k_{k}") for k in keys], F.col(blocks.BLOCK).alias("__bw_of"), F.sum(F.col("totals")[0]).over(before).alias("__bw_trades"), F.product(F.col("totals")[1]).over(before).alias("__bw_grown"))
+    same = F.col(blocks.BLOCK) == F.col("__bw_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__bw_k_{k}"))
+    done = done.join(ends, same).withColumns({"trade": F.col("trade") + F.coalesce("__bw_trades", F.lit(0)).cast("long"), "equity": F.col("equity") * F.coalesce("__bw_grown", F.lit(1.0))})
+    return done.select(*[c.split()[0].strip("`") for c in schema.split(", ")])
 
 
 def run(df: DataFrame, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, policy: PolicyConfig | None = None, keys: list[str] | None = None, signal: str = "signal") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from barwright.functions import windows as W
 from barwright.functions.compiler import evaluate, evaluate_bool
 from barwright.functions.sequential import scan
+from barwright.plans import blocks
+from barwright.plans.chains import chained
 from barwright.plans.config import REGIME_WEIGHTS, BacktestConfig
 
 
@@ -64,6 +66,13 @@ class Hold:
     def __init__(self, n: int, column: str):
         self.n, self.column, self.now, self.held = n, column, 0, 0
 
+    def hand_over(self) -> tuple:
+        """What later bars depend on: how long beyond ``n`` bars does not matter, nor for how long there was no position."""
+        return self.now, min(self.held, self.n) if self.now else 0
+
+    def take_over(self, state: tuple) -> None:
+        self.now, self.held = state
+
     def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
         wanted = frame[self.column].fillna(0).to_numpy().astype(np.int32)
         starts = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]]))  # of runs of one wish
@@ -86,4 +95,6 @@ class Hold:
 def min_hold(df: DataFrame, n: int, column: str = "signal", keys: tuple[str, ...] = (W.SERIES,)) -> DataFrame:
     """Positions that are kept for ``n`` bars at least before they change or end."""
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    if blocks.is_laid_out(df):
+        return chained(df, list(keys), lambda: Hold(n, column), schema)[0]
     return scan(df, list(keys), [W.TIME], lambda: Hold(n, column), schema)
