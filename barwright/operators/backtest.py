@@ -50,8 +50,10 @@ def _prepared(df: DataFrame, signal: str) -> DataFrame:
 
 def fast(df: DataFrame, leverage: float, cost: float, keys: list[str], signal: str = "signal") -> DataFrame:
     """Windows only: no stops, no holding time, no policy."""
-    w = Window.partitionBy(*keys).orderBy(W.TIME)
-    base = _prepared(df, signal)
+    laid = blocks.is_laid_out(df) and keys == [W.SERIES]
+    base = blocks.halo(_prepared(df, signal), 1) if laid else _prepared(df, signal)
+    placed = [c for c in (blocks.PLACE, blocks.BLOCK) if c in df.columns]
+    w = Window.partitionBy(*keys, *([blocks.BLOCK] if laid else [])).orderBy(W.TIME)
     was = F.coalesce(F.lag("__bw_signal").over(w), F.lit(0))
     base = base.withColumns({"__bw_was": was, "__bw_before": F.lag("close").over(w)})
     base = base.withColumn("__bw_flip", (F.col("__bw_signal") != F.col("__bw_was")).cast("int"))
@@ -64,13 +66,19 @@ def fast(df: DataFrame, leverage: float, cost: float, keys: list[str], signal: s
         "trade_cost": F.when(changed & (side != 0), c).otherwise(0.0) + F.when(changed & (now != 0), c).otherwise(0.0),
         "funding_cost": side * leverage * F.col("__bw_funding") / 8.0,
         "exit": F.when(changed & (side != 0), F.when(now != 0, "flip").otherwise("flat")).otherwise(""),
-        "trade": F.sum("__bw_flip").over(w.rowsBetween(Window.unboundedPreceding, -1)),
         "side": side,
     })
+    if laid:
+        base = blocks.running_sum(blocks.own(base), "__bw_flip").withColumn("trade", F.col("__bw_value") - F.col("__bw_flip")).drop("__bw_value")
+    else:
+        base = base.withColumn("trade", F.sum("__bw_flip").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     base = base.withColumn("net_ret", F.greatest(F.col("bar_ret") - F.col("trade_cost") - F.col("funding_cost"), F.lit(-1.0)))
-    base = base.withColumn("equity", F.greatest(F.product(1.0 + F.col("net_ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    if laid:
+        base = blocks.running(base.withColumn("__bw_grown", 1.0 + F.col("net_ret")), "__bw_grown", "product").withColumnRenamed("__bw_value", "equity")
+    else:
+        base = base.withColumn("equity", F.greatest(F.product(1.0 + F.col("net_ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     base = base.withColumn("trade", F.when(side != 0, F.col("trade")).cast("long"))
-    return base.select(*keys, W.TIME, "close", "position", "bar_ret", "trade_cost", "funding_cost", "net_ret", "equity", "exit", "trade", F.col("side").cast("int").alias("side"))
+    return base.select(*keys, W.TIME, *placed, "close", "position", "bar_ret", "trade_cost", "funding_cost", "net_ret", "equity", "exit", "trade", F.col("side").cast("int").alias("side"))
 
 
 class Book:
@@ -234,6 +242,9 @@ def _sharpe(x: str, per_year: float) -> Column:
 
 
 def drawdowns(df: DataFrame, keys: list[str], equity: str = "equity") -> DataFrame:
+    if blocks.is_laid_out(df) and keys == [W.SERIES]:
+        df = blocks.running(df, equity, "max")
+        return df.withColumn("__bw_dd", W.ratio(F.col(equity), F.col("__bw_value")) - 1).drop("__bw_value")
     peak = F.max(equity).over(Window.partitionBy(*keys).orderBy(W.TIME).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("__bw_peak", peak).withColumn("__bw_dd", W.ratio(F.col(equity), F.col("__bw_peak")) - 1).drop("__bw_peak")
 
@@ -242,7 +253,12 @@ def metrics(bars: DataFrame, per_year: float, cost: float, leverage: float, keys
     """Fifteen numbers for each key: returns, risk, trades, costs. NULL where a number has no value."""
     keys = keys or [W.SERIES]
     w = Window.partitionBy(*keys).orderBy(W.TIME)
-    moved = drawdowns(bars, keys).withColumn("__bw_turn", F.abs(F.col("position") - F.lag("position").over(w)))
+    moved = drawdowns(bars, keys)
+    if blocks.is_laid_out(bars) and keys == [W.SERIES]:
+        w = Window.partitionBy(W.SERIES, blocks.BLOCK).orderBy(W.TIME)
+        moved = blocks.own(blocks.halo(moved, 1).withColumn("__bw_turn", F.abs(F.col("position") - F.lag("position").over(w))))
+    else:
+        moved = moved.withColumn("__bw_turn", F.abs(F.col("position") - F.lag("position").over(w)))
     last = F.max_by("equity", W.TIME)
     own = moved.groupBy(*keys).agg(
         F.count("*").alias("bars"), (last - 1).alias("total_return"), _cagr(last, F.count("*"), per_year).alias("cagr"), _sharpe("net_ret", per_year).alias("sharpe"), F.min("__bw_dd").alias("max_drawdown"),

@@ -6,12 +6,15 @@ rest are windows over the same order.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
 from barwright.functions.compiler import dx_value, rsi_value
 from barwright.functions.sequential import ewm, span, wilder
+from barwright.plans import blocks
 from barwright.plans.config import FactorConfig
 
 #: What ``compute_all_factors`` adds, in order.
@@ -31,8 +34,32 @@ def _third(z: Column) -> Column:
     return W.clip(z, -3, 3) / 3.0
 
 
+def reach(cfg: FactorConfig) -> int:
+    """Rows before a block that the factors' windows need at most, one window upon another."""
+    return sum(cfg.usual) + 5 * cfg.bands[0] + cfg.vwap + cfg.slope + 8
+
+
+def in_blocks(df: DataFrame):
+    """Windows by series, or by block of a laid-out frame."""
+    return W.keyed(W.SERIES, blocks.BLOCK) if blocks.is_laid_out(df) else nullcontext()
+
+
+def _ewm(df: DataFrame, specs: dict[str, tuple[str, float]], cfg: FactorConfig) -> DataFrame:
+    """Means; of a laid-out frame over own rows, after which each block gets its rows before again."""
+    return blocks.halo(ewm(blocks.own(df), specs), reach(cfg)) if blocks.is_laid_out(df) else ewm(df, specs)
+
+
 def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
-    """``df`` with the smoothed inputs of all factors in temporary columns."""
+    """``df`` with the smoothed inputs of all factors in temporary columns; a laid-out frame gets the halos of the factors' windows."""
+    with in_blocks(df):
+        return _smoothed(df, cfg, smooth)
+
+
+def _smoothed(df: DataFrame, cfg: FactorConfig, smooth: int) -> DataFrame:
+    if blocks.is_laid_out(df):
+        df = blocks.halo(blocks.last_known(df, "close").withColumnRenamed("__bw_value", _P + "known"), reach(cfg))
+    else:
+        df = df.withColumn(_P + "known", W.forward_fill(F.col("close")))
     close = F.col("close")
     for name in ("open_interest", "funding_rate"):
         if name not in df.columns:
@@ -41,7 +68,7 @@ def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
     oi = F.col("open_interest")
     inputs = {
         "up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
-        "tr": W.true_range(), "plus": W.directional(True), "minus": W.directional(False), "ret": W.pct_change(close),
+        "tr": W.true_range(), "plus": W.directional(True), "minus": W.directional(False), "ret": F.coalesce(W.ratio(_c("known"), W.previous(_c("known"))) - 1, F.lit(0.0)),
         "vol_z": W.zscore(F.col("volume"), cfg.usual[0]), "oi_step": oi - W.previous(oi), "close": close,
     }
     df = df.withColumns({_P + k: v.cast("double") for k, v in inputs.items()})
@@ -50,7 +77,7 @@ def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
     first |= {"rsi_up": ("up", wilder(cfg.rsi)), "rsi_down": ("down", wilder(cfg.rsi))}
     first |= {f"{k}_{n}": (k, wilder(n)) for k, n in (("tr", cfg.atr), ("tr", cfg.adx), ("plus", cfg.adx), ("minus", cfg.adx))}
     first |= {"direction": ("ret", span(smooth))}
-    df = ewm(df, {_P + k: (_P + c, a) for k, (c, a) in first.items()})
+    df = _ewm(df, {_P + k: (_P + c, a) for k, (c, a) in first.items()}, cfg)
     sign = F.coalesce(F.signum(_c("direction")), F.lit(0.0))
     df = df.withColumns({
         _P + "dx": dx_value(_c(f"tr_{cfg.adx}"), _c(f"plus_{cfg.adx}"), _c(f"minus_{cfg.adx}")),
@@ -58,7 +85,7 @@ def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
         _P + "vol_s": _third(_c("vol_z")) * sign, _P + "oi_s": _third(_c("oi_z")) * sign,
     })
     second = {"adx": ("dx", wilder(cfg.adx)), "signal": ("line", span(cfg.macd[2])), "vol_e": ("vol_s", span(smooth)), "oi_e": ("oi_s", span(smooth))}
-    return ewm(df, {_P + k: (_P + c, a) for k, (c, a) in second.items()}).withColumn(_P + "adx", F.coalesce(_c("adx"), F.lit(0.0)))
+    return _ewm(df, {_P + k: (_P + c, a) for k, (c, a) in second.items()}, cfg).withColumn(_P + "adx", F.coalesce(_c("adx"), F.lit(0.0)))
 
 
 def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> DataFrame:
@@ -70,15 +97,25 @@ def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> Dat
     taken = [f"f_{c}" for c in SINGLE if f"f_{c}" in bars.columns]
     if taken:
         raise ValueError(f"the bars have columns {taken} already")
-    df = smoothed(bars, cfg)
+    with in_blocks(bars):
+        found = _factors(smoothed(bars, cfg), cfg)
+        found = blocks.own(found) if blocks.is_laid_out(bars) else found
+        return found.select(*bars.columns, *[f"f_{n}" for n in SINGLE])
+
+
+def _factors(df: DataFrame, cfg: FactorConfig) -> DataFrame:
     close, volume = F.col("close"), F.col("volume")
     trend = _c(f"e{cfg.means[2]}")
     atr = _c(f"tr_{cfg.atr}")
     df = df.withColumns({
-        _P + "rsi": rsi_value(_c("rsi_up"), _c("rsi_down")), _P + "slope": W.raw_slope(close, F.row_number().over(W.line()).cast("double"), cfg.slope),
+        _P + "rsi": rsi_value(_c("rsi_up"), _c("rsi_down")), _P + "slope": W.raw_slope(close, F.col(blocks.PLACE).cast("double") if blocks.is_laid_out(df) else F.row_number().over(W.line()).cast("double"), cfg.slope),
         _P + "fund_z": W.zscore(F.col("funding_rate"), cfg.usual[2]), _P + "width": W.bb_width(close, cfg.bands[0], cfg.bands[1]),
-        _P + "vwap": W.vwap_core(cfg.vwap), _P + "atr_mid": F.median(atr).over(Window.partitionBy(W.SERIES)),
+        _P + "vwap": W.vwap_core(cfg.vwap),
     })
+    if blocks.is_laid_out(df):
+        df = blocks.with_median(df, _P + f"tr_{cfg.atr}", _P + "atr_mid")
+    else:
+        df = df.withColumn(_P + "atr_mid", F.median(atr).over(Window.partitionBy(W.SERIES)))
     base = W.rolling(lambda x: F.percentile(x, 0.5), _c("width"), cfg.bands[0] * 4)
     df = df.withColumns({_P + "rsi_was": W.previous(_c("rsi")), _P + "atr_step": F.abs(atr - W.previous(atr)), _P + "width_mid": base})
     eps = F.when(_c("atr_mid") > 0, _c("atr_mid") * 0.0001).otherwise(1e-6)
@@ -100,4 +137,4 @@ def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> Dat
         "bb_width": _tanh(zero(W.ratio(_c("width") - _c("width_mid"), _c("width_mid"))), 2.0),
         "vwap_distance": _tanh(zero(W.ratio(close - _c("vwap"), _c("vwap"))), 50.0),
     }
-    return df.select(*bars.columns, *[out[n].alias(f"f_{n}") for n in SINGLE])
+    return df.withColumns({f"f_{n}": out[n] for n in SINGLE})

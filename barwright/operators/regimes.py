@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
-from barwright.operators.factors import _P, smoothed
+from barwright.operators.factors import _P, in_blocks, reach, smoothed
+from barwright.plans import blocks
 from barwright.plans.config import REGIMES, FactorConfig
 
 
@@ -17,13 +18,19 @@ def classify(bars: DataFrame, cfg: FactorConfig | None = None, adx_threshold: fl
     ahead within the run; ``causal`` takes it over when the run has lasted so long.
     """
     cfg = cfg or FactorConfig()
-    df = smoothed(bars, cfg)
+    with in_blocks(bars):
+        df = _labelled(smoothed(bars, cfg), bars.columns, cfg, adx_threshold, slope_lookback, out)
+    return dwell(blocks.own(df) if blocks.is_laid_out(bars) else df, min_dwell, out, causal)
+
+
+def _labelled(df: DataFrame, columns: list[str], cfg: FactorConfig, adx_threshold: float, slope_lookback: int, out: str) -> DataFrame:
+    if blocks.is_laid_out(df) and slope_lookback > reach(cfg):
+        df = blocks.halo(blocks.own(df), slope_lookback)
     e = F.col(f"{_P}e{cfg.means[2]}")
     df = df.withColumn(_P + "was", W.previous(e, slope_lookback))
     slope = W.ratio(e - F.col(_P + "was"), F.col(_P + "was"))
     strong = F.col(_P + "adx") >= adx_threshold
-    df = df.select(*bars.columns, F.when(strong & (slope > 0), "trend_up").when(strong & (slope < 0), "trend_down").otherwise("chop").alias(out))
-    return dwell(df, min_dwell, out, causal)
+    return df.select(*columns, F.when(strong & (slope > 0), "trend_up").when(strong & (slope < 0), "trend_down").otherwise("chop").alias(out))
 
 
 def dwell(df: DataFrame, min_dwell: int, out: str = "regime", causal: bool = False) -> DataFrame:
@@ -31,6 +38,8 @@ def dwell(df: DataFrame, min_dwell: int, out: str = "regime", causal: bool = Fal
     if min_dwell <= 1:
         return df
     columns = df.columns
+    if blocks.is_laid_out(df):
+        return _dwell_in_blocks(df, min_dwell, out, causal)
     df = df.withColumn(_P + "new", (F.col(out) != W.previous(F.col(out))).cast("int"))
     df = df.withColumn(_P + "run", F.sum(F.coalesce(_P + "new", F.lit(0))).over(W.so_far()))
     run = Window.partitionBy(W.SERIES, _P + "run")
@@ -41,6 +50,21 @@ def dwell(df: DataFrame, min_dwell: int, out: str = "regime", causal: bool = Fal
     return df.select(*[F.col(_P + "kept").alias(c) if c == out else c for c in columns])
 
 
+def _dwell_in_blocks(df: DataFrame, min_dwell: int, out: str, causal: bool) -> DataFrame:
+    """The same over own rows of a laid-out frame: with ``min_dwell`` rows on either side a block sees as much of each run as matters."""
+    columns = df.columns
+    with W.keyed(W.SERIES, blocks.BLOCK):
+        wide = blocks.halo(df, min_dwell, min_dwell)
+        wide = wide.withColumn(_P + "new", (F.col(out) != W.previous(F.col(out))).cast("int"))
+        wide = wide.withColumn(_P + "run", F.sum(F.coalesce(_P + "new", F.lit(0))).over(W.so_far()))
+        run = Window.partitionBy(W.SERIES, blocks.BLOCK, _P + "run")
+        length = F.row_number().over(run.orderBy(W.TIME)) if causal else F.count("*").over(run)
+        wide = wide.withColumns({_P + "len": length, _P + "from": F.min(blocks.PLACE).over(run)})
+        taken = F.when((F.col(_P + "len") >= min_dwell) | (F.col(_P + "from") == 0), F.col(out))
+        wide = blocks.own(wide.select(*columns, taken.alias(_P + "taken")))
+    return blocks.last_known(wide, _P + "taken").select(*[F.col("__bw_value").alias(c) if c == out else c for c in columns])
+
+
 def regime_stats(df: DataFrame, column: str = "regime") -> DataFrame:
     """Bars and percentage (one decimal) of every regime, absent ones with 0: one aggregate, stood on end."""
     counts = df.agg(*[F.count_if(F.col(column) == r).alias(r) for r in REGIMES], F.count("*").alias("total"))

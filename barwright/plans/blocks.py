@@ -84,30 +84,37 @@ def _joined(df: DataFrame, small: DataFrame, more: tuple[str, ...] = ()) -> Data
 def carried(df: DataFrame, summary: Column, before: Column, local: Column, value: Column, by: Column | None = None) -> DataFrame:
     """``df`` (own rows) with ``__bw_value``: a running quantity of the whole series.
 
-    ``summary`` is an aggregate of a block (named ``__bw_sum``), ``before`` an aggregate of the summaries of earlier blocks (``__bw_before``),
-    ``local`` the quantity within the block (``__bw_local``), and ``value`` combines the two. With ``by`` the quantity starts anew with each value of it.
+    ``summary`` is an aggregate of a block (named ``__bw_b_sum``), ``before`` an aggregate of the summaries of earlier blocks (``__bw_b_prior``),
+    ``local`` the quantity within the block (``__bw_b_local``), and ``value`` combines the two. With ``by`` the quantity starts anew with each value of it.
     """
     group = F.lit(None).cast("date") if by is None else by
-    df = stage(df.withColumn("__bw_by", group), "blocks")
-    line = Window.partitionBy(SERIES, BLOCK, "__bw_by").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(SERIES, "__bw_by").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    small = df.groupBy(SERIES, BLOCK, "__bw_by").agg(summary.alias("__bw_sum"))
-    small = small.select(SERIES, BLOCK, "__bw_by", before.over(earlier).alias("__bw_before"))
-    got = _joined(df.withColumn("__bw_local", local.over(line)), small, ("__bw_by",))
-    return got.withColumn("__bw_value", value).drop("__bw_by", "__bw_local", "__bw_before")
+    df = stage(df.withColumn("__bw_b_by", group), "blocks")
+    line = Window.partitionBy(SERIES, BLOCK, "__bw_b_by").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(SERIES, "__bw_b_by").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    small = df.groupBy(SERIES, BLOCK, "__bw_b_by").agg(summary.alias("__bw_b_sum"))
+    small = small.select(SERIES, BLOCK, "__bw_b_by", before.over(earlier).alias("__bw_b_prior"))
+    got = _joined(df.withColumn("__bw_b_local", local.over(line)), small, ("__bw_b_by",))
+    return got.withColumn("__bw_value", value).drop("__bw_b_by", "__bw_b_local", "__bw_b_prior")
 
 
 def last_known(df: DataFrame, column: str) -> DataFrame:
     """``__bw_value``: the last value of ``column`` that is not NULL, at or before the row."""
     return carried(
-        df, F.max_by(column, F.when(F.col(column).isNotNull(), F.col(PLACE))), F.last("__bw_sum", ignorenulls=True), F.last(column, ignorenulls=True), F.coalesce("__bw_local", "__bw_before")
+        df, F.max_by(column, F.when(F.col(column).isNotNull(), F.col(PLACE))), F.last("__bw_b_sum", ignorenulls=True), F.last(column, ignorenulls=True), F.coalesce("__bw_b_local", "__bw_b_prior")
     )
 
 
 def running_sum(df: DataFrame, column: str, by: Column | None = None) -> DataFrame:
     """``__bw_value``: the sum of ``column`` up to the row; NULL before the first value."""
-    both = F.when(F.col("__bw_local").isNull(), F.col("__bw_before")).otherwise(F.col("__bw_local") + F.coalesce("__bw_before", F.lit(0.0)))
-    return carried(df, F.sum(column), F.sum("__bw_sum"), F.sum(column), both, by)
+    both = F.when(F.col("__bw_b_local").isNull(), F.col("__bw_b_prior")).otherwise(F.col("__bw_b_local") + F.coalesce("__bw_b_prior", F.lit(0.0)))
+    return carried(df, F.sum(column), F.sum("__bw_b_sum"), F.sum(column), both, by)
+
+
+def running(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """``__bw_value``: the ``product`` or ``max`` of ``column`` up to the row."""
+    of = {"product": F.product, "max": F.max}[kind]
+    both = F.greatest("__bw_b_local", "__bw_b_prior") if kind == "max" else F.coalesce("__bw_b_local", F.lit(1.0)) * F.coalesce("__bw_b_prior", F.lit(1.0))
+    return carried(df, of(F.col(column)), of(F.col("__bw_b_sum")), of(F.col(column)), both)
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
@@ -134,7 +141,42 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     small = small.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("parts"))
     small = small.selectExpr(SERIES, "transform(parts, p -> p.block) as blocks", *folds)
     small = small.selectExpr(SERIES, f"explode(arrays_zip(blocks, {', '.join(f'o{i}' for i in range(len(specs)))})) as z")
-    found = [F.col(f"z.o{i}.{part}").alias(f"__bw_{part}{i}") for i in range(len(specs)) for part in ("before", "first")]
+    found = [F.col(f"z.o{i}.{part}").alias(f"__bw_b_{part}{i}") for i in range(len(specs)) for part in ("before", "first")]
     got = _joined(local, small.select(SERIES, F.col("z.blocks").alias(BLOCK), *found))
-    value = lambda i, n: F.when(F.col(f"v_{n}").isNull(), F.col(f"__bw_before{i}")).otherwise(F.col(f"v_{n}") + F.col(f"p_{n}") * F.col(f"__bw_first{i}"))
+    value = lambda i, n: F.when(F.col(f"v_{n}").isNull(), F.col(f"__bw_b_before{i}")).otherwise(F.col(f"v_{n}") + F.col(f"p_{n}") * F.col(f"__bw_b_first{i}"))
     return got.select(*kept, *[value(i, n).alias(n) for i, n in enumerate(specs)])
+
+
+def _value_at(values: DataFrame, ranks: DataFrame, bins: int = 1024) -> DataFrame:
+    """(series_id, which, value): of ``values(series_id, x)`` the order statistics ``ranks(series_id, which, rank, lo, hi)``.
+
+    A round counts what lies in each of ``bins`` equal parts between lo and hi, and goes on in the part that holds the rank, between
+    its own least and largest value, until these are one: a few rounds, each a small aggregate, no group in one place.
+    """
+    wanted = stage(ranks, "ranks")
+    while not wanted.where("lo < hi").isEmpty():
+        other = wanted.where("lo < hi").withColumnRenamed(SERIES, "__bw_of")
+        near = values.join(other, F.col(SERIES).eqNullSafe(F.col("__bw_of")) & F.col("x").between(F.col("lo"), F.col("hi")))
+        # (halves, so that the width of all doubles stays a double)
+        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        counts = near.groupBy("__bw_of", "which", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("__bw_of", "which").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        hit = hit.select(F.col("__bw_of").alias(SERIES), "which", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "lo", "hi")
+        wanted = stage(wanted.where("lo = hi").unionByName(hit), "ranks")
+    return wanted.select(SERIES, "which", F.col("lo").alias("value"))
+
+
+def medians(df: DataFrame, column: str) -> DataFrame:
+    """(series_id, median) of the values of ``column`` that are not NULL, exact, in bounded memory; NULL where there is none."""
+    values = stage(df.select(SERIES, F.col(column).cast("double").alias("x")).where("x is not null"), "values")
+    some = values.groupBy(SERIES).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranks = some.selectExpr(SERIES, "explode(array(0, 1)) as which", "n", "lo", "hi").selectExpr(SERIES, "which", "(n - 1 + which) div 2 as rank", "lo", "hi")
+    return _value_at(values, ranks).groupBy(SERIES).agg((F.sum("value") / 2).alias("median"))
+
+
+def with_median(df: DataFrame, column: str, out: str) -> DataFrame:
+    """A laid-out frame (halos and all) with the series' median of ``column`` over own rows as ``out``."""
+    df = stage(df, "rows")
+    found = medians(own(df), column).select(F.col(SERIES).alias("__bw_of"), F.col("median").alias(out))
+    return df.join(found, F.col(SERIES).eqNullSafe(F.col("__bw_of")), "left").drop("__bw_of")

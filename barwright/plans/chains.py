@@ -96,4 +96,7 @@ def chained(df: DataFrame, keys: list[str], start: Callable[[], object], schema:
         again = rows.join(due.drop(_ENTRY), _same(rows, due, keys), "left_semi")
         new = _in_order(again, due, keys).mapInArrow(states, ends)
         found = stage(found.join(due, _same(found, due, keys), "left_anti").unionByName(new), "chain-ends")
-    return _in_order(rows, found, keys).mapInArrow(results, schema), found.select(*keys, BLOCK, "totals")
+    done = _in_order(rows, found, keys).mapInArrow(results, schema)
+    if PLACE in done.columns:
+        done = done.withMetadata(PLACE, df.schema[PLACE].metadata)
+    return done, found.select(*keys, BLOCK, "totals")

@@ -19,6 +19,7 @@ from barwright.operators import mtf, optimize, regimes, signals
 from barwright.operators.definitions import parse_signal
 from barwright.operators.factors import SINGLE, compute_all_factors
 from barwright.plans import bars as P
+from barwright.plans.blocks import lay_out
 from barwright.plans.config import KNOB_BOUNDS, REGIME_WEIGHTS, BacktestConfig, Costs, PolicyConfig, RiskConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,7 +443,11 @@ METRICS = f"""{BARS}{_FAST}, {_TRADES}, dd as (select *, equity / nullif(max(equ
     round(avg_trade_return, 6) as avg_trade_return, turnover, round(exposure, 6) as exposure, round(total_cost, 6) as total_cost, exits_flip, exits_flat, exits_sl, exits_tp from metrics""",
 )
 def _(spark, d):
-    m = B.metrics(fast_bars(spark, d), HOURS_A_YEAR, _COST, 2.0)
+    return _metrics_of(fast_bars(spark, d))
+
+
+def _metrics_of(bars: DataFrame) -> DataFrame:
+    m = B.metrics(bars, HOURS_A_YEAR, _COST, 2.0)
     m = m.withColumn("cagr", F.log10(1 + F.col("cagr"))).withColumnRenamed("cagr", "log_growth")  # (toy bars grow absurdly)
     rounded = ("total_return", "log_growth", "sharpe", "max_drawdown", "win_rate", "avg_trade_return", "exposure", "total_cost")
     return m.select(*[r6(c) if c in rounded else c for c in m.columns])
@@ -510,6 +515,70 @@ def _(spark, d):
     return event_bars(spark, d).select("series_id", "ts", mask.alias("blocked"))
 
 
+# --- long series in blocks ------------------------------------------------------------------------------------------
+
+#: Rows of a block in these queries; so few, so that the driver's series have many blocks.
+_BLOCK_ROWS = 64
+
+
+def laid_out(spark: SparkSession, d: str) -> DataFrame:
+    return lay_out(event_bars(spark, d), _BLOCK_ROWS)
+
+
+def _in_blocks(base: str, text: str) -> None:
+    """The query ``base`` over laid-out bars: the SQL is the same."""
+
+    @query(f"{base}_blocks", SQL[base])
+    def run(spark, d):
+        return evaluate(laid_out(spark, d), text, "value", limit=False).select("series_id", "ts", r6("value"))
+
+
+for _base, _text in (
+    ("zscore", "z_score(close, 30)"), ("corr", "corr(close, volume, 24)"), ("slope", "slope(close, 20)"), ("highest", "highest(high, 20)"), ("ema", "ema(close, 20)"), ("rsi", "rsi(close, 14)"),
+    ("adx", "adx(14)"), ("macd", "ema(close, 12) - ema(close, 26) - ema(ema(close, 12) - ema(close, 26), 9)"), ("vwap", "vwap(96)"), ("session_vwap", "session_vwap()"), ("obv", "obv()"),
+):
+    _in_blocks(_base, _text)
+
+
+@query("factor_funding_oi_blocks", SQL["factor_funding_oi"])
+def _(spark, d):
+    """All factors over blocks, the whole-series median among them."""
+    df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d))
+    return compute_all_factors(lay_out(df, _BLOCK_ROWS)).select("ts", *[r6(f"f_{n}") for n in SINGLE])
+
+
+@query("regime_classify_blocks", SQL["regime_classify"])
+def _(spark, d):
+    return regimes.classify(laid_out(spark, d)).select("series_id", "ts", "regime")
+
+
+def scored_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate(laid_out(spark, d), "zscore(close, 48) * -1")
+
+
+@query("min_hold_blocks", SQL["min_hold"])
+def _(spark, d):
+    return signals.discretize(scored_blocks(spark, d), BacktestConfig(min_hold_bars=8)).select("series_id", "ts", "signal")
+
+
+@query("bt_full_blocks", SQL["bt_full"])
+def _(spark, d):
+    bars = B.run(signals.discretize(scored_blocks(spark, d), _NO_HOLD), BacktestConfig(min_hold_bars=3), _RISK)
+    return bars.select("series_id", "ts", "position", r6("bar_ret"), r6("trade_cost"), "exit")
+
+
+@query("bt_policy_blocks", SQL["bt_policy"])
+def _(spark, d):
+    policy = PolicyConfig((0, 1, 2, 3), (int(dt.datetime(2024, 1, 3, 14, tzinfo=dt.UTC).timestamp() * 1000),), 15, 4, 2)
+    bars = B.run(signals.discretize(scored_blocks(spark, d), _NO_HOLD), BacktestConfig(min_hold_bars=3), _RISK, policy)
+    return bars.select("series_id", "ts", "position", r6("bar_ret"), r6("trade_cost"), r6("equity"), "exit")
+
+
+@query("bt_metrics_blocks", SQL["bt_metrics"])
+def _(spark, d):
+    return _metrics_of(B.run(signals.discretize(scored_blocks(spark, d), _NO_HOLD), _NO_HOLD, _PLAIN))
+
+
 # --- timeframes, leaderboard, optimiser ----------------------------------------------------------------------------
 
 _VOLATILITY = f"t as (select *, greatest(high - low, abs(high - lag(close) over ({LINE})), abs(low - lag(close) over ({LINE}))) as tr from b), v as (select series_id, median(a / nullif(close, 0)) as volatility from (select *, {roll('avg', 'tr', 14)} as a from t) group by 1)"

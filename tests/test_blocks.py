@@ -122,3 +122,39 @@ def test_plans_have_no_exchange_on_the_series_alone_and_no_python(both):
         assert rows and "Python" not in plan and "MapInArrow" not in plan
         if "zscore" in text:
             assert rows == hashed
+
+
+def same(a, b, columns):
+    a, b = (x.toPandas().sort_values(["series_id", "ts"]).reset_index(drop=True) for x in (a, b))
+    for c in columns:
+        if a[c].dtype == object or b[c].dtype == object:
+            assert a[c].astype(str).tolist() == b[c].astype(str).tolist(), c
+        else:
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_factors(spark):
+    from barwright.operators.factors import SINGLE, compute_all_factors
+
+    df = bars(spark, (("a", 700), ("b", 30)), 5).withColumn("open_interest", F.col("volume") * 3).withColumn("close", F.when(F.col("volume") > 3, F.col("close")))
+    laid = B.lay_out(df, 64)
+    same(compute_all_factors(laid), compute_all_factors(df), [f"f_{n}" for n in SINGLE])
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_regimes(both, causal):
+    from barwright.operators.regimes import classify, dwell
+
+    df, laid = both
+    label = F.when(F.pmod(F.hash("volume"), F.lit(5)) > 2, "x").otherwise("y")
+    for d in (2, 5, 20):
+        same(dwell(laid.withColumn("regime", label), d, causal=causal), dwell(df.withColumn("regime", label), d, causal=causal), ["regime"])
+    same(classify(laid, adx_threshold=15, causal=causal), classify(df, adx_threshold=15, causal=causal), ["regime"])
+
+
+def test_medians(spark):
+    rng = random.Random(8)
+    rows = [("a", rng.gauss(0, 1) * 10 ** rng.randrange(-3, 6)) for _ in range(3001)] + [("b", float(rng.randrange(3))) for _ in range(500)] + [("c", 1.5), (None, -2.0), (None, 3.0), ("d", None), ("e", -1.7e308), ("e", 1.7e308), ("e", 4.0)]
+    got = {r[0]: r[1] for r in B.medians(spark.createDataFrame(rows, "series_id string, x double"), "x").collect()}
+    want = pd.DataFrame(rows, columns=["s", "x"]).dropna(subset="x").groupby("s", dropna=False)["x"].median()
+    assert got == {None if s != s else s: v for s, v in want.items()}

@@ -47,6 +47,7 @@ CASES = [
     (RiskConfig(1.0, None, 0.03), BacktestConfig(min_hold_bars=20), PolicyConfig(skip_hours_utc=(3, 9))),
     (RiskConfig(2.0, 0.01, 0.01), BacktestConfig(min_hold_bars=0), PolicyConfig(max_trades_per_24h=2, max_consecutive_losses=2)),
     (RiskConfig(2.0, 0.5, 0.5), BacktestConfig(min_hold_bars=2), PolicyConfig()),
+    (RiskConfig(2.0, None, None), BacktestConfig(min_hold_bars=0), PolicyConfig()),
 ]
 
 
