@@ -269,7 +269,10 @@ def metrics(bars: DataFrame, per_year: float, cost: float, leverage: float, keys
         F.count("*").alias("trades"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("avg_trade_return"),
         *[F.count_if(F.col("exit") == k).alias(f"exits_{k}") for k in ("sl", "tp", "flip", "flat")],
     )
-    out = own.join(per, keys, "left")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__bw_p_{k}"))
+    out = own.join(per.withColumnsRenamed({k: f"__bw_p_{k}" for k in keys}), same, "left")
     zero = ("trades", "exits_sl", "exits_tp", "exits_flip", "exits_flat")
     order = ("bars", "total_return", "cagr", "sharpe", "max_drawdown", "trades", "win_rate", "avg_trade_return", "turnover", "exposure", "total_cost", "exits_sl", "exits_tp", "exits_flip", "exits_flat")
     return out.select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) if n in zero else n for n in order])

@@ -88,15 +88,19 @@ def _smoothed(df: DataFrame, cfg: FactorConfig, smooth: int) -> DataFrame:
     return _ewm(df, {_P + k: (_P + c, a) for k, (c, a) in second.items()}, cfg).withColumn(_P + "adx", F.coalesce(_c("adx"), F.lit(0.0)))
 
 
+def free(bars: DataFrame) -> None:
+    taken = [f"f_{c}" for c in SINGLE if f"f_{c}" in bars.columns]
+    if taken:
+        raise ValueError(f"the bars have columns {taken} already")
+
+
 def compute_all_factors(bars: DataFrame, cfg: FactorConfig | None = None) -> DataFrame:
     """``bars`` with fourteen factor columns, named ``f_`` and the factor. Missing funding and open interest give 0.
 
     ``atr_stability`` looks at the median of the whole series, as its definition says; all others look back only.
     """
     cfg = cfg or FactorConfig()
-    taken = [f"f_{c}" for c in SINGLE if f"f_{c}" in bars.columns]
-    if taken:
-        raise ValueError(f"the bars have columns {taken} already")
+    free(bars)
     with in_blocks(bars):
         found = _factors(smoothed(bars, cfg), cfg)
         found = blocks.own(found) if blocks.is_laid_out(bars) else found

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
 from barwright.operators.factors import SINGLE, compute_all_factors
-from barwright.operators.regimes import classify
+from barwright.operators.regimes import features
 from barwright.plans.bars import asof_closed
 from barwright.plans.config import FACTORS, TF_CANDIDATES, TF_TIERS, FactorConfig
 
@@ -50,13 +50,12 @@ def build_mtf_features(primary: DataFrame, primary_tf: str, slower: DataFrame |
     """
     cfg = cfg or FactorConfig()
     fast_tf, slow_tf = TF_TIERS[primary_tf]
-    own = compute_all_factors(primary, cfg)
     if slower is not None and slow_tf is not None:
-        other = classify(compute_all_factors(slower, cfg), cfg)
+        own, other = compute_all_factors(primary, cfg), features(slower, cfg)
         names = ["f_trend", *[f"f_{c}" for c in SLOW.values()], "regime"]
         own = asof_closed(own.drop("f_trend"), other, slow_tf, names, ["f_trend", *[f"f_{n}" for n in SLOW], "regime"])
     else:
-        own = classify(own, cfg).withColumns({f"f_{n}": F.col(f"f_{c}") for n, c in SLOW.items()})
+        own = features(primary, cfg).withColumns({f"f_{n}": F.col(f"f_{c}") for n, c in SLOW.items()})
     if faster is not None and fast_tf is not None:
         other = compute_all_factors(faster, cfg)
         own = asof_closed(own.drop("f_volume", "f_oi"), other, fast_tf, ["f_volume", "f_oi"])

@@ -5,20 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
 from barwright.operators import backtest
 from barwright.operators.signals import min_hold
+from barwright.operators.trials import REGIME_KNOBS, searched
 from barwright.plans.config import KNOB_BOUNDS, BacktestConfig, RiskConfig
 from barwright.plans.shared import stage
 
-#: Prefixes of the knobs of each regime.
-_REGIME_KNOBS = {"trend_up": "up", "trend_down": "dn", "chop": "cp"}
-
-
 def sample_knobs(n: int, seed: int) -> list[dict[str, float]]:
     """n draws, uniform within the bounds, knob by knob in their fixed order from one generator."""
     rng = np.random.default_rng(seed)
@@ -28,7 +24,7 @@ def sample_knobs(n: int, seed: int) -> list[dict[str, float]]:
 def knobs_to_weights(knobs: dict[str, float]) -> dict[str, dict[str, float]]:
     """The weight matrix of a draw: the trend weight in three equal parts, the flow weight in two."""
     out = {}
-    for regime, p in _REGIME_KNOBS.items():
+    for regime, p in REGIME_KNOBS.items():
         trend, flow = knobs[f"{p}_trend"] / 3.0, knobs[f"{p}_flow"] / 2.0
         out[regime] = {"rsi": knobs[f"{p}_rsi"], "ema_cross": trend, "macd": trend, "trend": trend, "volume": flow, "oi": flow, "funding": knobs[f"{p}_funding"]}
     return out
@@ -38,7 +34,7 @@ def _score_of(knob: str, regime: Column) -> Column:
     """The weighted score with weights from the struct column ``knob``."""
     term = lambda f, w: F.coalesce(F.col(f"f_{f}") * w, F.lit(0.0))
     out = F.lit(0.0)
-    for name, p in _REGIME_KNOBS.items():
+    for name, p in REGIME_KNOBS.items():
         k = lambda x, p=p: F.col(f"{knob}.{p}_{x}")
         total = term("rsi", k("rsi")) + term("funding", k("funding"))
         for f in ("ema_cross", "macd", "trend"):
@@ -66,21 +62,13 @@ def _trial_metrics(df: DataFrame, keys: list[str], cfg: BacktestConfig, risk: Ri
     return bars, backtest.metrics(bars, per_year, cfg.costs.per_side, risk.leverage, keys)
 
 
-def _knob_structs(trials: list[dict[str, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(v).alias(k) for k, v in t.items()]) for i, t in enumerate(trials)])
-
-
 def random_search(df: DataFrame, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, per_year: float = 8760, n_trials: int = 300, seed: int = 0) -> DataFrame:
     """One row a series and trial: its score (NULL: not viable), metrics and knobs. Rows of ``df``: bars, factors, regime.
 
-    The features are written once: results and trades of the trials both read them.
+    One shuffle of the bars, whatever the number of trials.
     """
-    cfg, risk = cfg or BacktestConfig(), risk or RiskConfig()
-    trials = sample_knobs(n_trials, seed)
-    rows = stage(df, "features").withColumn("knobs", F.explode(_knob_structs(trials))).withColumn("trial", F.col("knobs.trial"))
-    keys = [W.SERIES, "trial"]
-    _, found = _trial_metrics(rows, keys, cfg, risk, per_year)
-    return found.withColumn("score", trial_score(F.col("sharpe"), F.col("trades"))).withColumn("knobs", F.element_at(_knob_structs(trials), F.col("trial") + 1))
+    found = searched(df, [W.SERIES], lambda key: sample_knobs(n_trials, seed), cfg or BacktestConfig(), risk or RiskConfig(), per_year)
+    return found.withColumn("score", trial_score(F.col("sharpe"), F.col("trades")))
 
 
 def best_trials(trials: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,39 +81,23 @@ def fold_bounds(n: int, train: int, test: int, step: int) -> int:
     return max(0, math.floor((n - train - test) / step) + 1) if n >= train + test else 0
 
 
-def _fold_trials(spark: SparkSession, folds: int, n_trials: int, seed: int) -> DataFrame:
-    """(fold, trial, knobs) for all folds, drawn in the tasks: fold i has the draws of seed + i."""
-    kind = "struct<" + ",".join(f"{k}:double" for k in KNOB_BOUNDS) + ">"
-
-    def draw(frames):
-        for frame in frames:
-            for i in frame["id"]:
-                drawn = sample_knobs(n_trials, seed + int(i))
-                yield pd.DataFrame({"fold": np.full(n_trials, i, np.int32), "trial": np.arange(n_trials, dtype=np.int32), "knobs": drawn})
-
-    return spark.range(max(folds, 0)).mapInPandas(draw, f"fold int, trial int, knobs {kind}")
-
-
 def walk_forward(df: DataFrame, train: int, test: int, step: int, cfg: BacktestConfig | None = None, risk: RiskConfig | None = None, per_year: float = 8760, n_trials: int = 300, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Fit on ``train`` bars, test on the next ``test``, move on by ``step``: (folds, per-bar results of the tests).
 
     Fold i draws its trials with seed + i. A series without a viable trial in a fold has no row for it. All folds and
-    trials of all series are one plan; the largest number of bars of a series is counted first. The features, and each
+    trials of all series are one plan, in which a bar travels once for each fold that trains on it. The features, and each
     fold's best trial, are written once, since several parts read them.
     """
     cfg, risk = cfg or BacktestConfig(), risk or RiskConfig()
     df = stage(df, "features")
     numbered = df.withColumn("rn", F.row_number().over(W.line()) - 1).withColumn("n", F.count("*").over(Window.partitionBy(W.SERIES)))
-    most = df.groupBy(W.SERIES).count().agg(F.max("count")).first()[0] or 0
-    trials = _fold_trials(df.sparkSession, fold_bounds(most, train, test, step), n_trials, seed)
     # the folds that a bar is in follow from its number
     first = F.greatest(F.lit(0), F.ceil((F.col("rn") - (train + test - 1)) / step)).cast("int")
     last = F.least(F.floor(F.col("rn") / step), F.floor((F.col("n") - (train + test)) / step)).cast("int")
     own = numbered.withColumns({"first": first, "last": last}).where("first <= last").withColumn("fold", F.explode(F.sequence("first", "last"))).drop("first", "last")
     own = own.withColumn("in_train", F.col("rn") < F.col("fold") * step + train)
-    keys = [W.SERIES, "fold", "trial"]
-    _, scored = _trial_metrics(own.where("in_train").join(trials, "fold"), keys, cfg, risk, per_year)
-    scored = scored.withColumn("score", trial_score(F.col("sharpe"), F.col("trades"))).join(trials, ["fold", "trial"])
+    scored = searched(own.where("in_train"), [W.SERIES, "fold"], lambda key: sample_knobs(n_trials, seed + key[1]), cfg, risk, per_year)
+    scored = scored.withColumn("score", trial_score(F.col("sharpe"), F.col("trades")))
     best = stage(best_trials(scored, [W.SERIES, "fold"]), "best")
     keys = [W.SERIES, "fold"]
     tests, found = _trial_metrics(own.where("not in_train").join(best.select(*keys, "knobs"), keys), keys, cfg, risk, per_year)

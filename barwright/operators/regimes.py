@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
-from barwright.operators.factors import _P, in_blocks, reach, smoothed
+from barwright.operators.factors import _P, SINGLE, _factors, free, in_blocks, reach, smoothed
 from barwright.plans import blocks
 from barwright.plans.config import REGIMES, FactorConfig
 
@@ -23,6 +23,15 @@ def classify(bars: DataFrame, cfg: FactorConfig | None = None, adx_threshold: fl
     return dwell(blocks.own(df) if blocks.is_laid_out(bars) else df, min_dwell, out, causal)
 
 
+def features(bars: DataFrame, cfg: FactorConfig | None = None, adx_threshold: float = 25.0, slope_lookback: int = 24, min_dwell: int = 6, out: str = "regime") -> DataFrame:
+    """``bars`` with all factors and the regime, which share the means: ``compute_all_factors`` and ``classify`` in one."""
+    cfg = cfg or FactorConfig()
+    free(bars)
+    with in_blocks(bars):
+        df = _labelled(_factors(smoothed(bars, cfg), cfg), [*bars.columns, *[f"f_{n}" for n in SINGLE]], cfg, adx_threshold, slope_lookback, out)
+    return dwell(blocks.own(df) if blocks.is_laid_out(bars) else df, min_dwell, out)
+
+
 def _labelled(df: DataFrame, columns: list[str], cfg: FactorConfig, adx_threshold: float, slope_lookback: int, out: str) -> DataFrame:
     if blocks.is_laid_out(df) and slope_lookback > reach(cfg):
         df = blocks.halo(blocks.own(df), slope_lookback)

@@ -202,6 +202,7 @@ _expression("dsl_bool_arith", "(close > open) + (high > close) + 2 * (close < op
 _expression("dsl_if", "if(close - open, close, open)", "case when close - open <> 0 then close else open end")
 _expression("dsl_clip", "clip(close - open, -0.5, 0.25)", "least(greatest(close - open, -0.5), 0.25)")
 _expression("dsl_minmax", "max(open, close, low + 1) - min(open, close)", "greatest(open, close, low + 1) - least(open, close)")
+_expression("dsl_minmax_missing", "max(prev(close, 5), open) - min(prev(low, 30), close, prev(high, 12))", f"greatest(lag(close, 5) over ({LINE}), open) - least(lag(low, 30) over ({LINE}), close, lag(high, 12) over ({LINE}))")
 _expression("dsl_log_sqrt_tanh", "log(volume) + sqrt(close - open) + tanh(close - open, 2) + sign(close - open) + abs(open - close)", "coalesce(case when volume > 0 then ln(volume) end, 0) + sqrt(greatest(close - open, 0)) + tanh((close - open) * 2) + sign(close - open) + abs(open - close)")
 _expression("dsl_prev", "prev(close, 3)", f"lag(close, 3) over ({LINE})")
 _expression("dsl_time_accessors", "hour_utc * 100 + minute_utc * 10 + dayofweek_utc", "hour(ts) * 100 + minute(ts) * 10 + (isodow(ts) - 1)")
@@ -329,6 +330,13 @@ def _side_by_side(names: tuple[str, ...], more: dict[str, tuple[str, str]]) -> s
     return f"feat as (select *, row_number() over (order by ts) - 1 as i from (with {DATASET} select ts, close, funding_rate from b) {' '.join(f'join {x} using (ts)' for x in parts)})"
 
 
+@query("dsl_funding_oi", f"with {DATASET} select ts, round(coalesce(coalesce(funding_rate, 0) * 1000000 + open_interest / 10 - open_interest, 0), 6) as value from b")
+def _(spark, d):
+    """The accessors of funding rate and open interest, both names of the latter, with values."""
+    df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d)).withColumn("funding_rate", F.coalesce("funding_rate", F.lit(0.0)))
+    return evaluate(df, "funding * 1000000 + oi / 10 - open_interest", "value", limit=False, funding_alias=True).select("ts", r6("value"))
+
+
 @query("factor_funding_oi", f"with {_side_by_side(tuple(SINGLE), {})} select ts, {', '.join(f'round(f_{n}, 6) as f_{n}' for n in SINGLE)} from feat")
 def _(spark, d):
     """All factors on the dataset with funding and open interest."""
@@ -508,6 +516,16 @@ def _(spark, d):
     return bars.select("series_id", "ts", "position", r6("bar_ret"), r6("trade_cost"), r6("equity"), "exit")
 
 
+@query(
+    "bt_exits",
+    f"{_BARS_R}{_POSITION}, {walk_sql(_COST * 2, 3, 0.01, 0.008, 2)} select series_id, count(*) filter (exit = 'sl') as exits_sl, count(*) filter (exit = 'tp') as exits_tp, count(*) filter (exit = 'flip') as exits_flip, count(*) filter (exit = 'flat') as exits_flat from st group by 1",
+)
+def _(spark, d):
+    """How trades ended, stops and targets among them."""
+    found = B.metrics(full_bars(spark, d), HOURS_A_YEAR, _COST, 2.0)
+    return found.select("series_id", "exits_sl", "exits_tp", "exits_flip", "exits_flat")
+
+
 @query("policy_mask", f"{BARS} select series_id, ts, hour(ts) in (0, 1, 22) or (ts between timestamp '2024-01-05 13:45:00' and timestamp '2024-01-05 14:15:00') as blocked from b")
 def _(spark, d):
     news = int(dt.datetime(2024, 1, 5, 14, tzinfo=dt.UTC).timestamp() * 1000)
@@ -605,7 +623,7 @@ def _tiers_sql() -> str:
     """Primary bars of 4 hours with factors of the last daily and the last hourly bar that had closed."""
     tier = {"4h": "time_bucket(interval '4 hours', ts)", "1d": "date_trunc('day', ts)", "1h": "date_trunc('hour', ts)"}
     part = lambda tf, value, ctes, later: f"(with {_bars_sql(tier[tf], False)}{ctes} select ts + interval '{later}' as ts, {value} as v from z)"
-    parts = {"trend": ("1d", "1 day", *FACTOR_SQL["trend"]), "rsi_slow": ("1d", "1 day", *FACTOR_SQL["rsi"]), "volume": ("1h", "1 hour", *FACTOR_SQL["volume"]), "regime": ("1d", "1 day", "regime", _REGIME)}
+    parts = {"trend": ("1d", "1 day", *FACTOR_SQL["trend"]), "rsi_slow": ("1d", "1 day", *FACTOR_SQL["rsi"]), "ema_cross_slow": ("1d", "1 day", *FACTOR_SQL["ema_cross"]), "macd_slow": ("1d", "1 day", *FACTOR_SQL["macd"]), "volume": ("1h", "1 hour", *FACTOR_SQL["volume"]), "regime": ("1d", "1 day", "regime", _REGIME)}
     value, ctes = FACTOR_SQL["vwap_distance"]
     tables = ", ".join(f"t_{n} as {part(tf, v, c, later)}" for n, (tf, later, v, c) in parts.items())
     joins = " ".join(f"asof left join t_{n} on p.ts >= t_{n}.ts" for n in parts)
@@ -617,7 +635,7 @@ def _tiers_sql() -> str:
 def _(spark, d):
     """Factors and the regime over three timeframes."""
     own = [event_bars(spark, d, tf, False) for tf in ("4h", "1d", "1h")]
-    return mtf.build_mtf_features(own[0], "4h", own[1], own[2]).select("ts", *[r6(f"f_{n}") for n in ("trend", "rsi_slow", "volume", "vwap_distance")], "regime")
+    return mtf.build_mtf_features(own[0], "4h", own[1], own[2]).select("ts", *[r6(f"f_{n}") for n in ("trend", "rsi_slow", "ema_cross_slow", "macd_slow", "volume", "vwap_distance")], "regime")
 
 
 STRATEGIES = {
@@ -664,7 +682,7 @@ def _(spark, d):
 
 def featured(spark: SparkSession, d: str) -> DataFrame:
     df = P.build_dataset(event_bars(spark, d, by_type=False), funding(spark, d), open_interest(spark, d))
-    return regimes.classify(compute_all_factors(df))
+    return regimes.features(df)
 
 
 _KNOBS = tuple(KNOB_BOUNDS)
@@ -695,11 +713,11 @@ _FEATURES = _side_by_side(("rsi", "ema_cross", "macd", "trend", "volume", "oi",
 
 @query(
     "random_search",
-    f"with {_FEATURES}, {_knobs_sql({0: optimize.sample_knobs(40, 7)})}, x as (select feat.*, k.* from feat, k), {_tried_sql('x', 'm')} select 'all' as series_id, trial, trades, round(total_return, 6) as total_return, round({_VIABLE}, 6) as score from m",
+    f"with {_FEATURES}, {_knobs_sql({0: optimize.sample_knobs(300, 7)})}, x as (select feat.*, k.* from feat, k), {_tried_sql('x', 'm')} select 'all' as series_id, trial, trades, round(total_return, 6) as total_return, round({_VIABLE}, 6) as score from m",
 )
 def _(spark, d):
-    """Forty trials over all bars; the SQL has the same draws as rows."""
-    out = optimize.random_search(featured(spark, d), BacktestConfig(min_hold_bars=0), RiskConfig(1.0, None, None), HOURS_A_YEAR, 40, 7)
+    """Three hundred trials over all bars; the SQL has the same draws as rows."""
+    out = optimize.random_search(featured(spark, d), BacktestConfig(min_hold_bars=0), RiskConfig(1.0, None, None), HOURS_A_YEAR, 300, 7)
     return out.select("series_id", "trial", "trades", r6("total_return"), r6("score"))
 
 

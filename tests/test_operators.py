@@ -113,12 +113,47 @@ def test_knobs():
 
     first = optimize.sample_knobs(2, 3)
     rng = np.random.default_rng(3)
+    # the first numbers of the generator, as numbers
+    assert [round(v, 12) for v in list(first[0].values())[:4]] == [0.085649167144, -0.157913696042, 0.400637232603, 0.049297221639]
     assert first[0]["up_trend"] == rng.uniform(0.0, 1.0) and first[0]["up_rsi"] == rng.uniform(-0.3, 0.3)
     w = optimize.knobs_to_weights(first[1])
     assert w["chop"]["macd"] == first[1]["cp_trend"] / 3 and w["trend_down"]["oi"] == first[1]["dn_flow"] / 2
     assert optimize.fold_bounds(500, 200, 100, 100) == 3 and optimize.fold_bounds(299, 200, 100, 100) == 0
 
 
+@pytest.mark.parametrize(("hold", "tp", "sl", "lev"), [(0, None, None, 1.0), (8, 0.04, 0.015, 3.0), (3, 0.01, None, 2.0), (0, None, 0.02, 1.0)])
+def test_all_trials_at_once_are_single_backtests(spark, hold, tp, sl, lev, monkeypatch):
+    import random
+
+    from barwright.operators import backtest as B
+    from barwright.operators import trials
+    from barwright.plans.config import RiskConfig
+
+    monkeypatch.setattr(trials, "STRETCH", 37)
+    rng, rows = random.Random(4), []
+    names = ("rsi", "ema_cross", "macd", "trend", "volume", "oi", "funding")
+    for s, n in (("a", 260), ("b", 1), (None, 90)):
+        close = 100.0
+        for i in range(n):
+            close *= 1 + rng.gauss(0, 0.01)
+            factors = [rng.choice([None, rng.uniform(-1, 1), rng.uniform(-1, 1)]) for _ in names]
+            rows.append((s, START + dt.timedelta(hours=i), close, close * 1.005, close * 0.995, rng.choice([None, 1e-4]), rng.choice(["chop", "trend_up", "trend_down", "none"]), *factors))
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, close double, high double, low double, funding_rate double, regime string, " + ", ".join(f"f_{n} double" for n in names))
+    cfg, risk = BacktestConfig(min_hold_bars=hold), RiskConfig(lev, tp, sl)
+    found = optimize.random_search(df.repartition(3), cfg, risk, 8760, 4, 1)
+    got = {(r.series_id, r.trial): r for r in found.collect()}
+    assert len(got) == 12
+    for i, k in enumerate(optimize.sample_knobs(4, 1)):
+        own = BacktestConfig(long_threshold=k["long_thr"], short_threshold=k["short_thr"], min_hold_bars=hold)
+        one = signals.discretize(signals.combine(df, optimize.knobs_to_weights(k)), own)
+        for m in B.metrics(B.run(one, own, risk), 8760, own.costs.per_side, lev).collect():
+            mine = got[m.series_id, i]
+            assert mine.knobs.asDict() == k
+            for c in m.asDict():
+                if c != "series_id":
+                    assert getattr(mine, c) == (None if m[c] is None else pytest.approx(m[c], rel=1e-8, abs=1e-12)), (c, m.series_id, i)
+
+
 def test_a_trial_is_a_single_backtest(spark):
     from barwright.operators import backtest as B
     from barwright.plans.config import RiskConfig
@@ -166,7 +201,7 @@ def test_walk_forward_has_the_bars_of_each_fold(spark):
 
     from pyspark.sql import functions as F
 
-    from barwright.operators.optimize import _fold_trials, sample_knobs, walk_forward
+    from barwright.operators.optimize import sample_knobs, walk_forward
     from barwright.plans.config import FACTORS, BacktestConfig, RiskConfig
 
     start = dt.datetime(2024, 1, 1)
@@ -182,8 +217,7 @@ def test_walk_forward_has_the_bars_of_each_fold(spark):
         assert r.fold < count[r.series_id]
         assert (r.train_start, r.train_end, r.test_start, r.test_end) == (at(10 * r.fold), at(10 * r.fold + 29), at(10 * r.fold + 30), at(10 * r.fold + 39))
     assert tests.groupBy("series_id", "fold").count().where("count <> 10").count() == 0
-    drawn = {(r.fold, r.trial): r.knobs.asDict() for r in _fold_trials(spark, 3, 4, 5).collect()}
-    assert drawn == {(i, j): k for i in range(3) for j, k in enumerate(sample_knobs(4, 5 + i))}
+    assert all(r.best_knobs.asDict() == sample_knobs(6, 3 + r.fold)[r.trial] for r in got)
 
 
 def test_a_strategy_that_fails_is_named(spark):
