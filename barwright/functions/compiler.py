@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.functions import long_windows as L
 from barwright.functions import windows as W
 from barwright.functions.expressions import MOST_DEPTH, EvalError, Name, Node, Number, parse
 from barwright.functions.sequential import ewm, span, wilder
@@ -113,6 +114,14 @@ class Context:
         by = F.to_date(W.TIME) if daily else None
         return self._endless(key, x, lambda x: F.sum(x).over(W.today() if daily else W.so_far()), lambda df, source, name: blocks.running_sum(df, source, by).withColumnRenamed("__bw_value", name))
 
+    def frame(self, kind: str, n: int, key: object, x: Column, y: Column | None = None) -> Column:
+        """What the last n rows hold, for long frames (``functions.long_windows``); equal frames of one series are computed once."""
+        if key not in self.memo:
+            name, index = self.fresh(), self.index()
+            self.df = L.with_frames(self.df, kind, n, index, name, x, y)
+            self.memo[key] = F.col(name)
+        return self.memo[key]
+
     def index(self) -> Column:
         return F.col(blocks.PLACE).cast("double") if self.blocks else self.keep(W.bar_index(), "bar_index")
 
@@ -157,20 +166,35 @@ def register(name: str, fewest: int, most: int, usage: str) -> Callable[[Builtin
     return add
 
 
-def _window(name: str, make: Callable[..., Column], usage: str, hi: int = 1000) -> None:
-    """A rolling function of (series, n)."""
+def _window(name: str, make: Callable[..., Column], usage: str, kind: str, long: Callable[[Column, Column, int], Column], hi: int = 1000) -> None:
+    """A rolling function of (series, n): ``make`` frame by frame, ``long`` from what a long frame holds."""
 
     @register(name, 2, 2, usage)
     def run(ctx, args, key):
-        x = ctx.keep(numeric(args[0]), ("in", key))
-        return Series(ctx.keep(make(x, period(args[1], name, 1, hi)), key))
+        x, n = ctx.keep(numeric(args[0]), ("in", args_of(key))), period(args[1], name, 1, hi)
+        if n >= L.LONG:
+            return Series(long(ctx.frame(kind, n, (kind, n, args_of(key)), x), x, n))
+        return Series(ctx.keep(make(x, n), key))
+
+
+def args_of(key: object) -> object:
+    """What tells the first argument of equal calls: functions of one series share its column and frames."""
+    return key[1][0] if isinstance(key, tuple) and isinstance(key[1], tuple) else key
+
 
+def _mean(f: Column, x: Column, n: int) -> Column:
+    return L.full(f, n, f["mx"])
 
-_window("sma", W.sma, "sma(series, period)")
-_window("stdev", W.stdev, "stdev(series, window)")
-_window("zscore", W.zscore, "zscore(series, window)")
-_window("highest", W.highest, "highest(series, lookback)", 500)
-_window("lowest", W.lowest, "lowest(series, lookback)", 500)
+
+def _deviation(f: Column, x: Column, n: int) -> Column:
+    return L.full(f, n, L.deviation(f))
+
+
+_window("sma", W.sma, "sma(series, period)", "moments", _mean)
+_window("stdev", W.stdev, "stdev(series, window)", "moments", _deviation)
+_window("zscore", W.zscore, "zscore(series, window)", "moments", lambda f, x, n: F.coalesce(W.ratio(x - _mean(f, x, n), _deviation(f, x, n)), F.lit(0.0)))
+_window("highest", W.highest, "highest(series, lookback)", "max", lambda f, x, n: L.full(f, n, f["top"]), 500)
+_window("lowest", W.lowest, "lowest(series, lookback)", "min", lambda f, x, n: L.full(f, n, f["low"]), 500)
 
 
 @register("ema", 2, 2, "ema(series, period)")
@@ -221,13 +245,20 @@ def _slope(ctx, args, key):
     n = period(args[1], "slope") if len(args) == 2 else 20
     x = ctx.keep(numeric(args[0]), ("in", key))
     index = ctx.index()
+    if n >= L.LONG:
+        f = ctx.frame("pairs", n, ("slope", n, key), x, index)
+        return Series(W.ratio(F.coalesce(L.full(f, n, W.ratio(f["c"], f["sy"])), F.lit(0.0)), x))
     return Series(W.ratio(ctx.keep(W.raw_slope(x, index, n), key), x))
 
 
 @register("corr", 3, 3, "corr(s1, s2, window)")
 def _corr(ctx, args, key):
     a, b = ctx.keep(numeric(args[0]), ("a", key)), ctx.keep(numeric(args[1]), ("b", key))
-    return Series(ctx.keep(W.corr(a, b, period(args[2], "corr")), key))
+    n = period(args[2], "corr")
+    if n >= L.LONG:
+        f = ctx.frame("pairs", n, ("corr", n, key), a, b)
+        return Series(L.full(f, n, f["c"] / F.nullif(F.sqrt(f["sx"]) * F.sqrt(f["sy"]), F.lit(0.0))))
+    return Series(ctx.keep(W.corr(a, b, n), key))
 
 
 @register("vwap", 0, 1, "vwap(period=96)")
@@ -245,17 +276,23 @@ def _session_vwap(ctx, args, key):
     return Series(F.coalesce(ctx.filled(ctx.keep(W.ratio(paid, traded), ("core", key)), key), F.col("close")))
 
 
-def _band(name: str, pick: Callable[[Column, int, float], Column]) -> None:
+def _band(name: str, pick: Callable[[Column, int, float], Column], long: Callable[[Column, Column, Column, float], Column]) -> None:
+    """A band: ``pick`` frame by frame, ``long`` from the mean and deviation of a long frame."""
+
     @register(name, 1, 3, f"{name}(series, period=20, num_std=2)")
     def run(ctx, args, key):
-        x = ctx.keep(numeric(args[0]), ("in", key))
-        return Series(ctx.keep(pick(x, period(args[1], name) if len(args) > 1 else 20, _scalar(args, 2, 2.0)), key))
-
-
-_band("bb_width", W.bb_width)
-_band("bb_lower", lambda x, n, k: W.bands(x, n, k)[0])
-_band("bb_mid", lambda x, n, k: W.bands(x, n, k)[1])
-_band("bb_upper", lambda x, n, k: W.bands(x, n, k)[2])
+        x = ctx.keep(numeric(args[0]), ("in", args_of(key)))
+        n, k = period(args[1], name) if len(args) > 1 else 20, _scalar(args, 2, 2.0)
+        if n >= L.LONG:
+            f = ctx.frame("moments", n, ("moments", n, args_of(key)), x)
+            return Series(long(x, _mean(f, x, n), _deviation(f, x, n), k))
+        return Series(ctx.keep(pick(x, n, k), key))
+
+
+_band("bb_width", W.bb_width, lambda x, mid, sd, k: W.ratio(2.0 * k * sd, x))
+_band("bb_lower", lambda x, n, k: W.bands(x, n, k)[0], lambda x, mid, sd, k: mid - k * sd)
+_band("bb_mid", lambda x, n, k: W.bands(x, n, k)[1], lambda x, mid, sd, k: mid)
+_band("bb_upper", lambda x, n, k: W.bands(x, n, k)[2], lambda x, mid, sd, k: mid + k * sd)
 
 
 @register("prev", 1, 2, "prev(series, n=1)")

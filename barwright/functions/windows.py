@@ -41,7 +41,11 @@ def noted() -> Iterator[list[int]]:
         _REACH.reset(token)
 
 
-def _note(n: int) -> None:
+def keys() -> tuple[str, ...]:
+    return _KEYS.get()
+
+
+def note(n: int) -> None:
     if (seen := _REACH.get()) is not None:
         seen.append(n)
 
@@ -52,7 +56,7 @@ def line() -> WindowSpec:
 
 
 def frame(n: int) -> WindowSpec:
-    _note(n - 1)
+    note(n - 1)
     return line().rowsBetween(-(n - 1), 0)
 
 
@@ -114,7 +118,7 @@ def raw_slope(x: Column, index: Column, n: int) -> Column:
 
 
 def previous(x: Column, n: int = 1) -> Column:
-    _note(n)
+    note(n)
     return F.lag(x, n).over(line())
 
 
