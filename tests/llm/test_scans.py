@@ -225,8 +225,8 @@ def S_text(spans):
     return ",".join(f"{S.KINDS[s.kind]}:{s.start}:{s.end}" for s in spans)
 
 
-def battery(token):
-    """The p-value of the three tests, in plain Python."""
+def battery(token, pairs=None):
+    """The p-value of the tests, in plain Python."""
     import math
 
     tail = lambda z: 1 / (1 + math.exp(min(700.0, max(-700.0, 0.07056 * z**3 + 1.5976 * z))))
@@ -246,7 +246,15 @@ def battery(token):
     turns = 1 + sum(a != b for a, b in itertools.pairwise(up))
     runs = 40.0 if h in (0, n) else (turns - (2 * h * (n - h) / n + 1)) / math.sqrt(max(1e-9, 2 * h * (n - h) * (2 * h * (n - h) - n) / (n * n * (n - 1))))
     serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in itertools.pairwise(v)) / math.sqrt(n - 1) / ((k * k - 1) / 12)
-    return min(1, 3 * min(tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial))))
+    if pairs is None:
+        return min(1, 3 * min(tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial))))
+    letters = range(6 if k == 16 else 26)
+    own = [pairs[a * 26 + b] for a in letters for b in letters]
+    seen = [pairs[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in itertools.pairwise(u.lower()) if "a" <= a <= "z" and "a" <= b <= "z"]
+    mean = sum(own) / len(own)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in own) / len(own))
+    words = 1.0 if len(seen) < 6 else tail((sum(seen) - len(seen) * mean) / (math.sqrt(len(seen)) * sd))
+    return min(1, 4 * min(tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial)), words))
 
 
 def keys_and_plain(rng, n):
@@ -267,6 +275,40 @@ def test_the_battery_in_sql_equals_the_plain_one(spark):
     tokens = [*keys, *plain, "01234567890123456789", "a1" * 4000]
     got = spark.createDataFrame([(t,) for t in tokens], "t string").selectExpr("t", S.randomness("t") + " as p").collect()
     assert all(abs(r.p - battery(r.t)) < 1e-9 for r in got)
+    pairs = [random.Random(i).gauss(0, 1) for i in range(676)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").selectExpr("t", S.randomness("t", pairs) + " as p").collect()
+    assert all(abs(r.p - battery(r.t, pairs)) < 1e-9 for r in got)
+
+
+WORDS = "the of and key scan alpha node stream config merge sort cache write table user token reader index value handler request session manager storage bucket local remote update delete insert column window number result buffer thread memory public private final static factory builder service client server socket channel message queue worker task".split()
+
+
+def identifier(rng):
+    some = [rng.choice(WORDS) for _ in range(rng.randrange(4, 7))]
+    title = "".join(x.capitalize() for x in some)
+    return rng.choice([title, some[0] + "".join(x.capitalize() for x in some[1:]), "-".join(some) + str(rng.randrange(99)), f"{title}-{rng.randrange(99):02}", f"{title[0].lower()}{title[1:]}/v{rng.randrange(9)}", "_".join(some) + "_2", "/".join(some) + "/a1"])
+
+
+def texts_with(rng, n, each, more=()):
+    prose = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    return [(i, " ".join([prose(40), *[f"{identifier(rng)} {prose(3)}" for _ in range(each)], *[x for j, x in enumerate(more) if j == i], prose(40)])) for i in range(n)]
+
+
+def test_identifiers_without_any_key(spark):
+    for n in (60, 500):
+        rows = texts_with(random.Random(n), n, 4)
+        got = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sum(s.kind == 3 for r in got for s in r.spans) <= n * 4 / 1000
+
+
+def test_a_key_among_a_thousand_identifiers(spark):
+    import base64
+
+    rng = random.Random(12)
+    keys = [base64.b64encode(rng.randbytes(n)).decode() for n in (24, 30, 48)]
+    rows = texts_with(rng, 750, 4, keys)
+    got = [s.token for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() for s in r.spans if s.kind == 3]
+    assert len(set(got) & set(keys)) >= 2 and len(got) <= 5
 
 
 def test_false_discoveries_among_what_is_reported(spark):
