@@ -1,20 +1,23 @@
-"""Market data over HTTP as a Spark data source: one partition for each symbol and stretch of time.
+"""Market data over HTTP as a Spark data source, for batches and for streams.
 
 ``spark.read.format("market").option("kind", "klines")...``; register it with ``spark.dataSource.register(MarketSource)``.
-A partition pages through its own stretch, paces its calls, retries with growing pauses, and falls back to a second
-endpoint when the first has nothing or fails; a task that fails is run again by Spark.
+Symbols are cut into stretches of time, which are dealt to a few lanes; a lane is a partition and pages through its
+stretches. Calls are spaced over all lanes (``Slots``) and tried again after growing pauses. Where a second endpoint is
+given, each symbol is read as a whole from it when the first has nothing for it or fails, so that no series mixes venues.
+A task that fails is run again by Spark. ``spark.readStream`` goes on from an offset for each symbol.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from barwright.plans.bars import TIMEFRAME_MS
 
@@ -35,7 +38,43 @@ NAMES = {
     "open_interest": (("timestamp",), ("sumOpenInterest",), ("sumOpenInterestValue",)),
 }
 #: Open interest is kept for thirty days only: an earlier start counts as 29 days ago.
-KEPT_MS = 29 * 86_400_000
+DAY_MS = 86_400_000
+KEPT_MS = 29 * DAY_MS
+
+
+def closed_until(timeframe: str, now: int) -> int:
+    """The first time, in milliseconds, at which a bar may open that has not closed at ``now``; bars open on multiples of
+    their timeframe, or of a day if they are longer."""
+    step = TIMEFRAME_MS[timeframe]
+    grid = min(step, DAY_MS)
+    return (now - step) // grid * grid + grid
+
+
+@dataclass
+class Slots:
+    """The times at which a lane may call: ``lanes`` take turns by the clock, every ``pace`` seconds.
+
+    Lanes share nothing and still keep the spacing together, on one machine or on several (as well as their clocks agree);
+    a task that runs again takes the same slots. Two reads at once each have their own spacing.
+    """
+
+    pace: float
+    lane: int = 0
+    lanes: int = 1
+    clock: Callable[[], float] = time.time
+    sleep: Callable[[float], None] = time.sleep
+    last: float = field(default=-math.inf)
+
+    def wait(self) -> None:
+        if self.pace <= 0:
+            return
+        period, now = self.pace * self.lanes, self.clock()
+        turn = self.lane * self.pace
+        at = math.ceil((now - turn) / period) * period + turn
+        if at - self.last < period / 2:  # the slot used before, by rounding
+            at += period
+        self.last = at
+        self.sleep(max(0.0, at - now))
 
 
 def cells(row: list | dict, kind: str) -> tuple:
@@ -54,10 +93,13 @@ def cells(row: list | dict, kind: str) -> tuple:
     return (int(got[0]), *values)
 
 
-def fetch(url: str, attempts: int = 5, pause: float = 1.0, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
-    """JSON from a URL, tried again after rate limits, server and transport errors, each time after twice the pause."""
+def fetch(url: str, attempts: int = 5, pause: float = 1.0, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep, turn: Callable[[], None] | None = None):
+    """JSON from a URL, tried again after rate limits, server and transport errors, each time after twice the pause;
+    ``turn`` is called before every attempt, to wait for it."""
     opener = opener or (lambda u: json.load(urllib.request.urlopen(u, timeout=30)))  # noqa: S310
     for i in range(attempts):
+        if turn:
+            turn()
         try:
             return opener(url)
         except urllib.error.HTTPError as e:
@@ -81,63 +123,133 @@ def pages(get: Callable[[int, int], list], start: int, end: int, limit: int, ste
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
+    """What one endpoint is asked for: a symbol in [start, end), in milliseconds."""
+
     symbol: str
     start: int
     end: int
+    second: bool = False
 
-    def __init__(self, symbol: str, start: int, end: int):
-        super().__init__((symbol, start, end))
-        self.symbol, self.start, self.end = symbol, start, end
 
+@dataclass
+class Lane(InputPartition):
+    """The stretches of one task, and the time as of which bars have closed."""
 
-class MarketReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.kind, self.symbols = options.get("kind", "klines"), options["symbols"].split(",")
-        self.interval, self.start, self.end = options.get("interval", "1h"), int(options["start"]), int(options["end"])
-        self.url, self.fallback = options["url"], options.get("fallback")
-        self.pace = float(options.get("pace", "0.1"))
-        self.now = int(options.get("now", time.time() * 1000))
-        if self.kind == "open_interest":
-            self.start = max(self.start, self.now - KEPT_MS)
-            self.symbols = [s for s in self.symbols if ":" not in s]  # namespaced symbols have none
+    lane: int
+    lanes: int
+    stretches: list[Stretch]
+    now: int
 
-    def partitions(self) -> list[Stretch]:
-        """A stretch has twenty pages at most, so a long history is read by many tasks."""
-        step = TIMEFRAME_MS[self.interval] * PAGE[self.kind] * 20
-        return [Stretch(s, a, min(a + step, self.end)) for s in self.symbols for a in range(self.start, self.end, step)]
+    def __init__(self, lane: int, lanes: int, stretches: list[Stretch], now: int):
+        super().__init__(lane)
+        self.lane, self.lanes, self.stretches, self.now = lane, lanes, stretches, now
 
-    def _rows(self, base: str, part: Stretch, limit: int) -> list[tuple]:
-        step = TIMEFRAME_MS[self.interval] if self.kind == "klines" else 1
 
-        def get(start: int, end: int) -> list[tuple]:
-            time.sleep(self.pace)
-            found = fetch(f"{base}?symbol={part.symbol}&interval={self.interval}&startTime={start}&endTime={end}&limit={limit}")
-            return [cells(r, self.kind) for r in found]
+class MarketReader(DataSourceReader):
+    """Options: ``url``, ``fallback``, ``kind``, ``interval``, ``pace`` (seconds between calls), ``lanes`` (tasks at most), ``now``, and
+    either ``symbols``, ``start`` and ``end`` or ``spans``, a JSON list of symbol, start and end.
 
-        return list(pages(get, part.start, part.end, limit, step))
+    With a ``fallback`` the driver asks the first endpoint for one row of each symbol, to choose the symbol's venue.
+    """
 
-    def read(self, part: Stretch | None) -> Iterator[tuple]:
-        """The stretch's rows in order of time, the first of those that share one; of bars only those that have closed."""
+    def __init__(self, options: dict):
+        self.kind, self.interval = options.get("kind", "klines"), options.get("interval", "1h")
+        if "spans" in options:
+            self.spans = [(s, int(a), int(b)) for s, a, b in json.loads(options["spans"])]
+        else:
+            self.spans = [(s, int(options["start"]), int(options.get("end", 2**62))) for s in options["symbols"].split(",")]
+        if self.kind == "open_interest":
+            self.spans = [x for x in self.spans if ":" not in x[0]]  # namespaced symbols have none
+        self.url, self.fallback = options["url"], options.get("fallback")
+        self.pace, self.lanes = float(options.get("pace", "0.1")), int(options.get("lanes", "8"))
+        self.fixed_now = int(options["now"]) if "now" in options else None
+
+    def now(self) -> int:
+        return int(time.time() * 1000) if self.fixed_now is None else self.fixed_now
+
+    def until(self, now: int) -> int:
+        """The end of what is final at ``now``."""
+        return closed_until(self.interval, now) if self.kind == "klines" else now
+
+    def _limit(self, second: bool) -> int:
+        return (FALLBACK_PAGE if second else PAGE)[self.kind]
+
+    def _get(self, symbol: str, second: bool, slots: Slots, start: int, end: int, limit: int) -> list[tuple]:
+        found = fetch(f"{self.fallback if second else self.url}?symbol={symbol}&interval={self.interval}&startTime={start}&endTime={end}&limit={limit}", turn=slots.wait)
+        return [cells(r, self.kind) for r in found]
+
+    def _second(self, spans: list[tuple[str, int, int]]) -> set[str]:
+        """The symbols for which the first endpoint has nothing or fails."""
+        if not self.fallback:
+            return set()
+        slots, has = Slots(self.pace), set()
+        for symbol, start, end in spans:
+            try:
+                if symbol not in has and self._get(symbol, False, slots, start, end, 1):
+                    has.add(symbol)
+            except (OSError, ValueError):
+                pass
+        return {s for s, _, _ in spans} - has
+
+    def lay(self, spans: list[tuple[str, int, int]], now: int) -> list[Lane]:
+        """Lanes of the final part of ``spans``; a stretch has twenty pages at most, so a long history spreads over all lanes."""
+        first = now - KEPT_MS if self.kind == "open_interest" else 0
+        spans = [(s, max(a, first), min(b, self.until(now))) for s, a, b in spans]
+        spans = [x for x in spans if x[1] < x[2]]
+        second, out = self._second(spans), []
+        for s, start, end in spans:
+            step = TIMEFRAME_MS[self.interval] * self._limit(s in second) * 20
+            out += [Stretch(s, a, min(a + step, end), s in second) for a in range(start, end, step)]
+        n = min(self.lanes, len(out))
+        return [Lane(i, n, out[i::n], now) for i in range(n)]
+
+    def partitions(self) -> list[Lane]:
+        return self.lay(self.spans, self.now())
+
+    def read(self, part: Lane | None) -> Iterator[tuple]:
+        """Each stretch's rows in order of time, the first of those that share one; of bars only those that have closed."""
         import datetime as dt
 
         if part is None:  # (what Spark asks for where there is no partition)
             return
-        try:
-            rows = self._rows(self.url, part, PAGE[self.kind])
-        except (OSError, ValueError):
-            if not self.fallback:
-                raise
-            rows = []
-        if not rows and self.fallback:
-            rows = self._rows(self.fallback, part, FALLBACK_PAGE[self.kind])
-        first: dict[int, tuple] = {}
-        for r in rows:
-            first.setdefault(r[0], r)
-        closed = self.now - TIMEFRAME_MS[self.interval] if self.kind == "klines" else self.end
-        for at in sorted(first):
-            if at <= closed:
-                yield (part.symbol, dt.datetime.fromtimestamp(at / 1000, dt.UTC), *first[at][1:])
+        slots = Slots(self.pace, part.lane, part.lanes)
+        span = TIMEFRAME_MS[self.interval] if self.kind == "klines" else 0
+        for x in part.stretches:
+            limit, first = self._limit(x.second), {}
+            for r in pages(lambda a, b, x=x, n=limit: self._get(x.symbol, x.second, slots, a, b, n), x.start, x.end, limit, max(span, 1)):
+                first.setdefault(r[0], r)
+            for at in sorted(first):
+                if at + span <= part.now:
+                    yield (x.symbol, dt.datetime.fromtimestamp(at / 1000, dt.UTC), *first[at][1:])
+
+
+class MarketStream(DataSourceStreamReader):
+    """Bars as they close, or rates as they come: an offset is the time for each symbol up to which it has been read.
+
+    A symbol that joins ``symbols`` later starts at ``start``; one that leaves keeps its offset.
+    """
+
+    def __init__(self, options: dict):
+        self.reader = MarketReader(options)
+
+    def initialOffset(self) -> dict:
+        return {s: start for s, start, _ in self.reader.spans}
+
+    def latestOffset(self) -> dict:
+        until = self.reader.until(self.reader.now())
+        return {s: max(start, min(end, until)) for s, start, end in self.reader.spans}
+
+    def partitions(self, start: dict, end: dict) -> list[Lane]:
+        began = self.initialOffset()
+        spans = [(s, start.get(s, began.get(s, at)), at) for s, at in sorted(end.items())]
+        return self.reader.lay([x for x in spans if x[1] < x[2]], self.reader.now())
+
+    def read(self, part: Lane | None) -> Iterator[tuple]:
+        return self.reader.read(part)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept that could be let go."""
 
 
 def latest_price(url: str, symbol: str, **options) -> tuple[float, int]:
@@ -165,3 +277,6 @@ class MarketSource(DataSource):
 
     def reader(self, schema) -> MarketReader:
         return MarketReader(self.options)
+
+    def streamReader(self, schema) -> MarketStream:
+        return MarketStream(self.options)
