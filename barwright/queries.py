@@ -785,5 +785,43 @@ def _(spark, d):
     return L.overall_table(B.metrics(fast_bars(spark, d), HOURS_A_YEAR, _COST, 2.0).drop("cagr"))
 
 
+@query("missing_spans", """with e as (select event_type as s, epoch_us(ts) // 1000 as a, epoch_us(ts) // 1000 + 180000 as b from events),
+    p as (select s, a, max(b) over (partition by s order by a, b rows between unbounded preceding and 1 preceding) as was from e),
+    ends as (select s, min(a) // 86400000 * 86400000 as lo, max(b) as b, (max(a) // 86400000 + 1) * 86400000 as hi from e group by s)
+    select p.s as series_id, coalesce(was, lo) as "start", a as "end" from p join ends on p.s = ends.s where a > coalesce(was, lo)
+    union all select s, b, hi from ends where b < hi""")
+def _(spark, d):
+    """What a store of three minutes from every event on would lack of all days."""
+    from barwright.sources.store import millis, missing
+
+    e = table(spark, d, "events")
+    e = e.select(F.col("event_type").alias("series_id"), millis(e, "ts").alias("start"))
+    day = F.floor(F.col("start") / 86_400_000)
+    wanted = e.groupBy("series_id").agg((F.min(day) * 86_400_000).alias("start"), ((F.max(day) + 1) * 86_400_000).alias("end"))
+    return missing(wanted, e.withColumn("end", F.col("start") + 180_000))
+
+
+@query("store_read_through", f"""{BARS}, t as (select (epoch_us(min(ts)) // 1000 + epoch_us(max(ts)) // 1000) // 2 as half, epoch_us(max(ts)) // 1000 + 3600000 as last from events)
+    select series_id, ts, round(close, 6) as close, round(volume, 6) as volume, case when epoch_us(ts) // 1000 + 3600000 <= half then half else last end as fetched from b, t""")
+def _(spark, d):
+    """Hourly bars through a store that has been read at half time: the second read gets the rest, and the bar open then."""
+    from barwright.plans.shared import new_path
+    from barwright.sources.store import millis, read_through
+
+    e, bars = table(spark, d, "events"), event_bars(spark, d)
+    ends = e.select(F.min(millis(e, "ts")), F.max(millis(e, "ts"))).first()
+    wanted = e.select(F.col("event_type").alias("series_id")).distinct().withColumns({"start": F.lit(ends[0] - 3_600_000), "end": F.lit(ends[1] + 1)})
+    schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes)
+
+    def fetch(gaps):
+        at = millis(bars, "ts")
+        return bars.join(gaps.withColumnRenamed("series_id", "s"), (F.col("series_id") == F.col("s")) & (at >= F.col("start")) & (at < F.col("end")), "leftsemi")
+
+    path = new_path(spark, "store")
+    for now in ((ends[0] + ends[1]) // 2, ends[1] + 3_600_000):
+        got = read_through(spark, path, "klines", "1h", schema, wanted, fetch, now)
+    return got.select("series_id", "ts", r6("close"), r6("volume"), "fetched")
+
+
 FLAGSHIP = "bt_metrics"
 __all__ = ["FLAGSHIP", "QUERIES", "SQL", "Costs"]

@@ -1,6 +1,6 @@
 """A store of bars that is read through: only what it lacks is fetched, and what was fetched once stays.
 
-A store is two Parquet tables: ``rows``, partitioned by kind, timeframe, series and day, and ``spans``, the stretches of time
+A store is two Parquet tables: ``rows``, partitioned by kind, timeframe, series and month, and ``spans``, the stretches of time
 that have been asked for, whether or not they held rows. Times are milliseconds. Bars that have not closed are never stored,
 so a later read gets them then.
 """
@@ -27,6 +27,10 @@ def millis(df: DataFrame, name: str) -> Column:
     return F.unix_millis(F.col(name).cast("timestamp"))
 
 
+def _month(at: Column) -> Column:
+    return F.trunc(F.date_from_unix_date(F.floor(at / DAY_MS).cast("int")), "month")
+
+
 def missing(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """The parts of ``wanted`` spans that no ``held`` span covers: series_id, start, end, as few spans as possible.
 
@@ -52,7 +56,7 @@ def missing(wanted: DataFrame, held: DataFrame) -> DataFrame:
 def _tables(spark: SparkSession, path: str, schema: str, kind: str, timeframe: str) -> tuple[DataFrame, DataFrame]:
     """The rows and spans of a kind and timeframe; a store that is not there is made, with nothing in it."""
     spans = f"{_STORED}{SPAN_SCHEMA}, fetched long"
-    rows = f"{_STORED}day date, at long, fetched long, {schema}"
+    rows = f"{_STORED}month date, at long, fetched long, {schema}"
     for name, columns in (("spans", spans), ("rows", rows)):
         spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/{name}")
     chosen = (F.col("kind") == kind) & (F.col("timeframe") == timeframe)
@@ -78,18 +82,17 @@ def read_through(spark: SparkSession, path: str, kind: str, timeframe: str, sche
     if not gaps.isEmpty():
         got = fetch(gaps)
         got = got.withColumn("at", millis(got, "ts")).where("series_id is not null and at is not null")
-        day = F.date_from_unix_date(F.floor(F.col("at") / DAY_MS).cast("int"))
         named = {"kind": F.lit(kind), "timeframe": F.lit(timeframe), "fetched": F.lit(now).cast("long")}
-        got.withColumns({**named, "day": day}).write.partitionBy("kind", "timeframe", "series_id", "day").mode("append").parquet(f"{path}/rows")
+        got.withColumns({**named, "month": _month(F.col("at"))}).repartition("series_id", "month").write.partitionBy("kind", "timeframe", "series_id", "month").mode("append").parquet(f"{path}/rows")
         gaps.withColumns(named).write.mode("append").parquet(f"{path}/spans")
         rows, _ = _tables(spark, path, schema, kind, timeframe)
     wanted = stage(wanted, "wanted")
     first, last = wanted.agg(F.min("start"), F.max("end")).first()
-    in_days = F.col("day").between(*[F.date_from_unix_date(F.lit((x or 0) // DAY_MS).cast("int")) for x in (first, last)])
-    names = [c for c in rows.columns if c not in ("kind", "timeframe", "day")]
+    in_months = F.col("month").between(*[_month(F.lit(x or 0)) for x in (first, last)])
+    names = [c for c in rows.columns if c not in ("kind", "timeframe", "month")]
     spans = wanted.withColumnRenamed("series_id", "__bw_series")
     asked = (F.col("series_id") == F.col("__bw_series")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))
-    mine = rows.where(in_days).select(*names).join(spans, asked, "leftsemi")
+    mine = rows.where(in_months).select(*names).join(spans, asked, "leftsemi")
     values = [c for c in names if c not in ("series_id", "at", "fetched")]
     kept = mine.groupBy("series_id", "at").agg(F.min(F.struct("fetched", *values)).alias("row"))
     return kept.select("series_id", *[F.col("row")[c].alias(c) for c in values], F.col("row")["fetched"].alias("fetched"))

@@ -206,7 +206,7 @@ def test_read_through(spark, venue, tmp_path):
     assert len(got) == 13 and asked == [("A", 50, 52)]
     assert read(52 * HOUR)[0] == [] and CALLS[venue] == []
     # a read that ended between rows and spans: the rows are there twice, and counted once
-    spark.read.parquet(path + "/rows").where("fetched = 3600000000").write.partitionBy("kind", "timeframe", "series_id", "day").mode("append").parquet(path + "/rows")
+    spark.read.parquet(path + "/rows").where("fetched = 3600000000").write.partitionBy("kind", "timeframe", "series_id", "month").mode("append").parquet(path + "/rows")
     assert len(read(60 * HOUR, ("A", 0, 40 * HOUR))[0]) == 40 and CALLS[venue] == []
 
 
