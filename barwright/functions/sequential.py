@@ -91,6 +91,53 @@ class Ewm:
         return frame.assign(**new)
 
 
+class Medians:
+    """Medians of the last n rows, without a value unless all n have one: name -> (column, n).
+
+    A window in order, with one insertion and one removal a row (log n steps); the last n - 1 values are carried on.
+    """
+
+    def __init__(self, specs: dict[str, tuple[str, int]]):
+        self.specs, self.tails = specs, {out: np.empty(0) for out in specs}
+
+    def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
+        new, top = {}, np.finfo("float64").max
+        for out, (column, n) in self.specs.items():
+            tail = self.tails[out]
+            x = np.concatenate([tail, frame[column].astype("float64").to_numpy()])
+            y = pd.Series(np.clip(x, -top, top)).rolling(n, min_periods=n).median().to_numpy()[len(tail) :]  # (infinite values would count as missing)
+            new[out] = np.where(np.abs(y) > top / 4, np.copysign(np.inf, y), y)
+            self.tails[out] = x[max(len(x) - n + 1, 0) :]
+        return frame.assign(**new)
+
+
+def rolling_medians(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
+    """``df`` (series_id, ts, ...) with the medians of the last n rows for each of ``specs``: name -> (column, n).
+
+    NULL until n rows have a value; 0 midway between the two infinities. A scan of each series; of a laid-out frame, of each block, which has the n - 1 rows before
+    it already or gets them here: own rows come back.
+    """
+    from barwright.plans import blocks
+
+    if not blocks.is_laid_out(df):
+        return scan(df, ["series_id"], ["ts"], lambda: Medians(specs), _widened(df, specs))
+    df = blocks.halo(blocks.own(df), max(n for _, n in specs.values()) - 1)
+    return blocks.own(block_medians(df, specs))
+
+
+def block_medians(df: DataFrame, specs: dict[str, tuple[str, int]]) -> DataFrame:
+    """``rolling_medians`` of a laid-out frame whose blocks have their rows before; right for own rows."""
+    from barwright.plans import blocks
+
+    marks = df.schema[blocks.PLACE].metadata
+    got = scan(df, [blocks.SERIES, blocks.BLOCK], [blocks.PLACE], lambda: Medians(specs), _widened(df, specs))
+    return got.withMetadata(blocks.PLACE, marks)
+
+
+def _widened(df: DataFrame, more: dict) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n not in more) + "".join(f", `{n}` double" for n in more)
+
+
 #: Decay (in powers of e) of a stretch at most; means whose rates differ more than ``ALIKE`` times do not share stretches.
 DECAY, ALIKE = 600.0, 12.0
 
@@ -154,20 +201,24 @@ def means(df: DataFrame, specs: dict[str, tuple[str, float]], keys: list[str], m
     return df.select(*[F.col(f"`{k}`") for k in kept], *map(F.expr, out), *decay)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], medians: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """``df`` (series_id, ts, ...) with a column for each of ``specs``: name -> (input column, alpha).
 
     A value repeats over missing inputs and weighs less the more rows have passed, as many means as there are specs in one pass.
     NULL before the first input. A laid-out frame (own rows) is done by columns, block by block; else a series is one task's scan,
-    which costs a fraction of the plan where series are short.
+    which costs a fraction of the plan where series are short. Such a scan may take ``rolling_medians`` along.
     """
     from barwright.plans import blocks
 
     if blocks.is_laid_out(df):
-        return blocks.ewm(df, specs)
-    kept = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    schema = kept + "".join(f", `{n}` double" for n in specs)
-    return scan(df, ["series_id"], ["ts"], lambda: Ewm(specs), schema)
+        got = blocks.ewm(df, specs)
+        return rolling_medians(got, medians) if medians else got
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        means_, medians_ = Ewm(specs), Medians(medians or {})
+        return lambda frame: medians_(means_(frame))
+
+    return scan(df, ["series_id"], ["ts"], start, _widened(df, specs | (medians or {})))
 
 
 def span(n: int) -> float:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import windows as W
 from barwright.functions.compiler import dx_value, rsi_value
-from barwright.functions.sequential import ewm, span, wilder
+from barwright.functions.sequential import block_medians, ewm, span, wilder
 from barwright.plans import blocks
 from barwright.plans.config import FactorConfig
 
@@ -44,9 +44,12 @@ def in_blocks(df: DataFrame):
     return W.keyed(W.SERIES, blocks.BLOCK) if blocks.is_laid_out(df) else nullcontext()
 
 
-def _ewm(df: DataFrame, specs: dict[str, tuple[str, float]], cfg: FactorConfig) -> DataFrame:
-    """Means; of a laid-out frame over own rows, after which each block gets its rows before again."""
-    return blocks.halo(ewm(blocks.own(df), specs), reach(cfg)) if blocks.is_laid_out(df) else ewm(df, specs)
+def _ewm(df: DataFrame, specs: dict[str, tuple[str, float]], cfg: FactorConfig, medians: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Means and rolling medians; of a laid-out frame over own rows, after which each block gets its rows before again."""
+    if not blocks.is_laid_out(df):
+        return ewm(df, specs, medians)
+    df = blocks.halo(ewm(blocks.own(df), specs), reach(cfg))
+    return block_medians(df, medians) if medians else df
 
 
 def smoothed(df: DataFrame, cfg: FactorConfig, smooth: int = 4) -> DataFrame:
@@ -69,7 +72,7 @@ def _smoothed(df: DataFrame, cfg: FactorConfig, smooth: int) -> DataFrame:
     inputs = {
         "up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))),
         "tr": W.true_range(), "plus": W.directional(True), "minus": W.directional(False), "ret": F.coalesce(W.ratio(_c("known"), W.previous(_c("known"))) - 1, F.lit(0.0)),
-        "vol_z": W.zscore(F.col("volume"), cfg.usual[0]), "oi_step": oi - W.previous(oi), "close": close,
+        "vol_z": W.zscore(F.col("volume"), cfg.usual[0]), "oi_step": oi - W.previous(oi), "close": close, "width": W.bb_width(close, cfg.bands[0], cfg.bands[1]),
     }
     df = df.withColumns({_P + k: v.cast("double") for k, v in inputs.items()})
     df = df.withColumn(_P + "oi_z", W.zscore(_c("oi_step"), cfg.usual[1]))
@@ -77,7 +80,7 @@ def _smoothed(df: DataFrame, cfg: FactorConfig, smooth: int) -> DataFrame:
     first |= {"rsi_up": ("up", wilder(cfg.rsi)), "rsi_down": ("down", wilder(cfg.rsi))}
     first |= {f"{k}_{n}": (k, wilder(n)) for k, n in (("tr", cfg.atr), ("tr", cfg.adx), ("plus", cfg.adx), ("minus", cfg.adx))}
     first |= {"direction": ("ret", span(smooth))}
-    df = _ewm(df, {_P + k: (_P + c, a) for k, (c, a) in first.items()}, cfg)
+    df = _ewm(df, {_P + k: (_P + c, a) for k, (c, a) in first.items()}, cfg, {_P + "width_mid": (_P + "width", cfg.bands[0] * 4)})
     sign = F.coalesce(F.signum(_c("direction")), F.lit(0.0))
     df = df.withColumns({
         _P + "dx": dx_value(_c(f"tr_{cfg.adx}"), _c(f"plus_{cfg.adx}"), _c(f"minus_{cfg.adx}")),
@@ -113,15 +116,13 @@ def _factors(df: DataFrame, cfg: FactorConfig) -> DataFrame:
     atr = _c(f"tr_{cfg.atr}")
     df = df.withColumns({
         _P + "rsi": rsi_value(_c("rsi_up"), _c("rsi_down")), _P + "slope": W.raw_slope(close, F.col(blocks.PLACE).cast("double") if blocks.is_laid_out(df) else F.row_number().over(W.line()).cast("double"), cfg.slope),
-        _P + "fund_z": W.zscore(F.col("funding_rate"), cfg.usual[2]), _P + "width": W.bb_width(close, cfg.bands[0], cfg.bands[1]),
-        _P + "vwap": W.vwap_core(cfg.vwap),
+        _P + "fund_z": W.zscore(F.col("funding_rate"), cfg.usual[2]), _P + "vwap": W.vwap_core(cfg.vwap),
     })
     if blocks.is_laid_out(df):
         df = blocks.with_median(df, _P + f"tr_{cfg.atr}", _P + "atr_mid")
     else:
         df = df.withColumn(_P + "atr_mid", F.median(atr).over(Window.partitionBy(W.SERIES)))
-    base = W.rolling(lambda x: F.percentile(x, 0.5), _c("width"), cfg.bands[0] * 4)
-    df = df.withColumns({_P + "rsi_was": W.previous(_c("rsi")), _P + "atr_step": F.abs(atr - W.previous(atr)), _P + "width_mid": base})
+    df = df.withColumns({_P + "rsi_was": W.previous(_c("rsi")), _P + "atr_step": F.abs(atr - W.previous(atr))})
     eps = F.when(_c("atr_mid") > 0, _c("atr_mid") * 0.0001).otherwise(1e-6)
     stable = W.clip(1.0 - _c("atr_step") / F.when(atr.isNotNull(), F.greatest(atr, eps)), 0, 1)
     zero = lambda x: F.coalesce(x, F.lit(0.0))

@@ -823,5 +823,28 @@ def _(spark, d):
     return got.select("series_id", "ts", r6("close"), r6("volume"), "fetched")
 
 
+_MEDIANS = f"{BARS} select series_id, ts, case when count(*) over w = 200 then round(median(close) over w, 6) end as mid, case when count(*) over v = 21 then round(median(volume) over v, 6) end as usual from b window w as (partition by series_id order by ts rows 199 preceding), v as (partition by series_id order by ts rows 20 preceding)"
+
+
+def _medians(spark, d, rows=None):
+    from barwright.functions.sequential import rolling_medians
+
+    bars = event_bars(spark, d)
+    got = rolling_medians(lay_out(bars, rows) if rows else bars, {"mid": ("close", 200), "usual": ("volume", 21)})
+    return got.select("series_id", "ts", r6("mid"), r6("usual"))
+
+
+@query("rolling_median", _MEDIANS)
+def _(spark, d):
+    """Medians of long frames, an insertion and a removal a bar."""
+    return _medians(spark, d)
+
+
+@query("rolling_median_blocks", _MEDIANS)
+def _(spark, d):
+    """The same inside blocks of fewer rows than the frame."""
+    return _medians(spark, d, 64)
+
+
 FLAGSHIP = "bt_metrics"
 __all__ = ["FLAGSHIP", "QUERIES", "SQL", "Costs"]

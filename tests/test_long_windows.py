@@ -54,3 +54,30 @@ def test_frames_of_missing_values(spark):
                     assert r.mx == pytest.approx(np.mean(own)) and r.sx == pytest.approx(np.var(own) * len(own))
                 else:
                     assert r[{"max": "top", "min": "low"}[kind]] == (max if kind == "max" else min)(own)
+
+
+@pytest.mark.parametrize("laid", (None, 7, 50))
+def test_rolling_medians(spark, laid):
+    """Odd and even frames, missing and infinite values, frames longer than series and blocks, several batches."""
+    from barwright.functions.sequential import rolling_medians
+
+    rng = np.random.default_rng(5)
+    rows = [(s, int(i), None if rng.random() < 0.02 else float(rng.choice([rng.normal(), 1.0, np.inf, -np.inf], p=[0.6, 0.3, 0.05, 0.05]))) for s, n in (("a", 200), ("b", 3), ("c", 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, n int, x double").selectExpr("series_id", "timestamp_seconds(n) as ts", "n", "x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = rolling_medians(lay_out(df, laid) if laid else df, {"m1": ("x", 1), "m4": ("x", 4), "m25": ("x", 25)}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    series = {s: [x for t, _, x in rows if t == s] for s in "abc"}
+    assert len(got) == len(rows)
+    for r in got:
+        for n in (1, 4, 25):
+            frame = series[r.series_id][max(r.n - n + 1, 0) : r.n + 1]
+            full = len(frame) == n and None not in frame
+            mid = sorted(frame)[(n - 1) // 2 : n // 2 + 1] if full else []
+            want = sum(mid) / len(mid) if full else None
+            have = r[f"m{n}"]
+            want = 0.0 if want is not None and want != want else want  # (midway between the infinities)
+            assert have == (None if want is None else pytest.approx(want, abs=1e-12))
+    assert rolling_medians(df.limit(0), {"m": ("x", 3)}).count() == 0
