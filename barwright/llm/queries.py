@@ -47,7 +47,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.llm.decontaminate import find_leaks
 
-    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), min_item_words=1)  # items of 1 to 4 words where they stand whole
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
