@@ -72,6 +72,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
 class Ewm:
     """Exponential means of columns without adjustment; gaps count as rows that passed."""
 
+    KEPT = ("state",)
+
     def __init__(self, specs: dict[str, tuple[str, float]]):
         self.specs, self.state = specs, {}
 

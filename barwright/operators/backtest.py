@@ -84,6 +84,8 @@ def fast(df: DataFrame, leverage: float, cost: float, keys: list[str], signal: s
 class Book:
     """The state of one series and strategy between bars."""
 
+    KEPT = ("close", "side", "entry", "held", "pnl", "trade", "equity", "day", "losses", "latched", "entries", "ms")
+
     def __init__(self, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig):
         self.lev, self.tp, self.sl = float(risk.leverage), risk.take_profit_pct, risk.stop_loss_pct
         self.fee, self.min_hold = cost * self.lev, min_hold

@@ -63,6 +63,8 @@ def discretize(df: DataFrame, cfg: BacktestConfig | None = None, long_when: str
 class Hold:
     """Carries the position, and for how many bars it has been held, from batch to batch; goes from change to change."""
 
+    KEPT = ("now", "held")
+
     def __init__(self, n: int, column: str):
         self.n, self.column, self.now, self.held = n, column, 0, 0
 

@@ -49,6 +49,13 @@ def closed_bars(bars: DataFrame, timeframe: str, now: Column) -> DataFrame:
     return bars.where(F.col("ts") <= now - F.expr(f"interval {interval(timeframe)}"))
 
 
+def with_sessions(bars: DataFrame, gap: str, keys: tuple[str, ...] = ("series_id",), out: str = "session") -> DataFrame:
+    """When each bar's session began: one begins with a series and with every bar more than ``gap`` (an interval) after the one before."""
+    w = Window.partitionBy(*keys).orderBy("ts")
+    began = F.when(F.lag("ts").over(w).isNull() | (F.col("ts") > F.lag("ts").over(w) + F.expr(f"interval {gap}")), F.col("ts"))
+    return bars.withColumn("__bw_began", began).withColumn(out, F.last("__bw_began", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__bw_began")
+
+
 def _sides(left: DataFrame, right: DataFrame, values: list[str]) -> DataFrame:
     """Both sides in one table: the bars' rows carry their columns, the others' a struct of values."""
     own = [c for c in left.columns if c not in ("series_id", "ts")]

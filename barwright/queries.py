@@ -846,5 +846,51 @@ def _(spark, d):
     return _medians(spark, d, 64)
 
 
+# --- streams ------------------------------------------------------------------------------------------------------
+
+_GAP = f"""{BARS}, g as (select *, case when ts - lag(ts) over ({LINE}) <= interval '1 hour' then 0 else 1 end as fresh from b),
+    n as (select *, sum(fresh) over ({LINE} rows unbounded preceding) as n from g), s as (select *, min(ts) over (partition by series_id, n) as session from n)"""
+
+
+@query("sessions", f"{_GAP} select series_id, session, count(*) as bars, max(ts) as \"end\", round(sum(volume), 6) as volume from s group by 1, 2")
+def _(spark, d):
+    """Stretches of bars without a missing hour."""
+    by = P.with_sessions(event_bars(spark, d), "1 hour").groupBy("series_id", "session")
+    return by.agg(F.count("*").alias("bars"), F.max("ts").alias("end"), r6(F.sum("volume"), "volume"))
+
+
+@query("stream_closed_bars", f"{BARS} select series_id, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 6) as volume from b where ts + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)")
+def _(spark, d):
+    """Events as a stream: the bars that have closed when the watermark gets to the last event less ten minutes."""
+    from barwright.streaming.closed_bars import stream_bars
+    from barwright.streaming.processors import written
+
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = written(stream_bars(events, "1h", 100 + F.col("value") / 100, F.col("value"), F.col("event_type")), "closed")
+    return bars.select("series_id", F.col("ts").cast(schema["ts"].dataType), *[r6(c) for c in P.BAR_COLUMNS])
+
+
+@query("stream_sessions", f"""{_GAP}, k as (select series_id as series, session, series_id || n as series_id, ts, close from s), {ewm_sql('k', 'close', 0.2, 'z')}
+    select k.series as series_id, k.ts, k.session, round(z.y, 6) as mean from k join z using (series_id, ts) where k.ts <= (select max(ts) - interval '2 hours' from b)""")
+def _(spark, d):
+    """Exponential means by session of a stream of bars that is stopped at half time and goes on from its checkpoint."""
+    from barwright.plans.shared import new_path, stage
+    from barwright.streaming.closed_bars import stream_ewm
+    from barwright.streaming.processors import start_query
+
+    bars = event_bars(spark, d)
+    kind = bars.schema["ts"].dataType
+    bars = stage(bars.select("series_id", F.col("ts").cast("timestamp"), "close"), "bars")
+    half = bars.select(F.timestamp_millis(F.floor((F.unix_millis(F.min("ts")) + F.unix_millis(F.max("ts"))) / 2)).alias("half"))
+    source, path, checkpoint = (new_path(spark, f"sessions-{x}") for x in ("in", "out", "checkpoint"))
+    for early in (True, False):
+        part = bars.join(F.broadcast(half), (F.col("ts") < F.col("half")) == F.lit(early)).select(*bars.columns)  # (half is one row)
+        part.write.mode("append").parquet(source)
+        means = stream_ewm(spark.readStream.schema(bars.schema).parquet(source), "close", 0.2, "mean", "2 hours", "1 hour")
+        start_query(means, path, checkpoint).awaitTermination()
+    return spark.read.schema(means.schema).parquet(path).select("series_id", *[F.col(c).cast(kind) for c in ("ts", "session")], r6("mean"))
+
+
 FLAGSHIP = "bt_metrics"
 __all__ = ["FLAGSHIP", "QUERIES", "SQL", "Costs"]
