@@ -10,18 +10,20 @@ so a substituted word at an ignored place does no harm.
 3. Their seeds and the items' are joined on the hash. Each distinct (text, item, alignment) lays text and item side by side,
    and the equal words, or the stretch with the best balance of equal and substituted ones, are measured.
 
+Seeds that many items share (items made from a template) are not enough to lay every text beside every item: see ``_shared``.
+
 Neither items nor documents reach the driver: only the bits do. With more items than the bits can tell apart, more
 texts go through the join, and the result is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.textarrays import _STEP, U64, binary, mix, slices, word_hashes, words
@@ -34,6 +36,8 @@ SHORT = ((5, ("1101", "1011")), (7, ("11011",)), (10, ("1101",)), (12, ("11011",
 #: Bits that tell hashes apart: 2 ** least to 2 ** most, 512 times the seeds between; 2 ** 27 bits are 16 MB. Each hash has
 #: three of them, by its upper, middle and lower part: by chance two words in ten million pass.
 LEAST_BITS, MOST_BITS, PAGE_BITS, TIMES, PARTS = 16, 27, 15, 512, (0, 20, 37)
+#: Items that may share a seed before more than the seed is asked for.
+HOT = 64
 
 
 def masks_for(n: int) -> tuple[str, ...]:
@@ -132,6 +136,73 @@ def _suspects(bits: np.ndarray, n: int, masks: list[str], keep: list[str]):
     return run
 
 
+def _features(hashes: np.ndarray, places: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """What names a word at a place counted from a seed."""
+    return mix(hashes * _STEP[0] + places.astype(np.int64).view(np.uint64) * _STEP[1] + words_ * _STEP[2])
+
+
+def _with_features(keep: list[str], of: Callable[[pa.RecordBatch], Callable[[int], np.ndarray]]):
+    """For each row its kept columns beside each of its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, held, at = of(b), [], 0
+            for i in range(b.num_rows):
+                held.append(names(i))
+                if i + 1 == b.num_rows or sum(map(len, held[-64:])) > 1 << 16 or len(held) >= 4096:
+                    rows = pa.array(np.repeat(np.arange(at, i + 1), [len(x) for x in held]))
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in keep], pa.array(np.concatenate(held).view(np.int64))], [*keep, "feature"])
+                    held, at = [], i + 1
+
+    return run
+
+
+def _beside_in_items(b: pa.RecordBatch) -> Callable[[int], np.ndarray]:
+    """The words of an item beside those that its seed has."""
+    hashes, place, kind = b.column("hash").to_numpy().view(np.uint64), b.column("place").to_numpy(), b.column("kind").to_numpy()
+
+    def names(i: int) -> np.ndarray:
+        own = np.frombuffer(b.column("words")[i].as_buffer(), np.uint64)
+        at = np.delete(np.arange(len(own)), [place[i] + j for j, c in enumerate(_KINDS[kind[i]]) if c == "1"])
+        return _features(np.full(len(at), hashes[i]), at - place[i], own[at])
+
+    return names
+
+
+def _beside_in_texts(b: pa.RecordBatch) -> Callable[[int], np.ndarray]:
+    """The words of a text around a seed."""
+    hashes, first = b.column("hash").to_numpy().view(np.uint64), b.column("first").to_numpy()
+
+    def names(i: int) -> np.ndarray:
+        own = np.frombuffer(b.column("near")[i].as_buffer(), np.uint64)
+        return _features(np.full(len(own), hashes[i]), np.arange(len(own)) + first[i], own)
+
+    return names
+
+
+def _shared(table: DataFrame, items: DataFrame, own: DataFrame, suspects: DataFrame) -> DataFrame:
+    """Alignments (row, item, n, begin) by seeds that many items share, without those that cannot be leaks.
+
+    A leak needs ``need`` equal words beside the seed's own, at the same distance from it. Of an item's other words all but
+    ``need`` - 1 are looked up, those that most items with the seed have left out: with ``need`` equal ones, one of
+    the rest is equal. What a template's items have in common, unless it is a leak, is thus never looked up.
+    """
+    keep = ["hash", "item", "n", "place", "need"]
+    features = table.join(items.select("item", "words"), "item").mapInArrow(_with_features(keep, _beside_in_items), "hash long, item long, n int, place int, need int, feature long")
+    features = stage(features, "seed_words")
+    usual = features.groupBy("feature").agg(F.count("*").alias("usual"))
+    whole = Window.partitionBy("hash", "item", "place")  # as many rows as an item has words
+    one = whole.orderBy("usual", "feature")
+    rare = features.join(usual, "feature").withColumns({"rank": F.row_number().over(one), "words": F.count("*").over(whole)}).where(F.col("rank") <= F.col("words") - F.col("need") + 1)
+    reach = table.groupBy("hash").agg(F.min(-F.col("place")).alias("lo"), F.max(F.col("n") - 1 - F.col("place")).alias("hi"))
+    lo = F.greatest(F.col("at") + F.col("lo"), F.lit(0))
+    near = F.expr("substring(words, cast(8 * begin + 1 as int), cast(8 * (at + hi + 1 - begin) as int))")
+    around = own.join(reach, "hash").join(suspects.select("row", "words"), "row").withColumn("begin", lo)
+    around = around.select("row", "at", "hash", (F.col("begin") - F.col("at")).alias("first"), near.alias("near"))
+    around = around.mapInArrow(_with_features(["row", "at"], _beside_in_texts), "row long, at long, feature long")
+    return around.join(rare.select("feature", "item", "n", "place"), "feature").select("row", "item", "n", (F.col("at") - F.col("place")).alias("begin"))
+
+
 def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int, int]:
     """The stretch with the largest (equal - penalty * substituted): (begin, end, equal)."""
     score = np.where(same, 1.0, -penalty)
@@ -171,21 +242,31 @@ def _measured(keep: list[str], min_words: int, penalty: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], min_words: int = 13, min_item_words: int = 5, penalty: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], min_words: int = 13, min_item_words: int = 5, penalty: float = 0.5, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs`` and item of ``benchmark(item_id, text)`` that leaked into its ``text``: the columns
     ``keep`` of the row, item_id, item_words, matched, item_start, start_word, end_word. See ``find_leaks``."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").where("text is not null").distinct()
     items = items.withColumn("item", F.monotonically_increasing_id())
     items = stage(items.mapInArrow(_items(min_item_words), "item long, item_id long, words binary, hash array<long>, place array<int>, kind array<int>"), "items")
-    table = stage(items.select("item", (F.octet_length("words") / 8).cast("int").alias("n"), F.explode(F.arrays_zip("hash", "place", "kind")).alias("s")).select("item", "n", "s.hash", "s.place", "s.kind"), "seeds")
-    kinds = [r["kind"] for r in table.select("kind").distinct().collect()]  # a few masks
-    bits, n = _bits(table, table.count())
+    table = items.select("item", (F.octet_length("words") / 8).cast("int").alias("n"), F.explode(F.arrays_zip("hash", "place", "kind")).alias("s")).select("item", "n", "s.hash", "s.place", "s.kind")
+    # words of a leak beside those of the seed; where there are none, each meeting is a leak
+    weight = F.element_at(F.array(*[F.lit(k.count("1")) for k in _KINDS]), F.col("kind") + 1)
+    need = F.least(F.lit(min_words), F.col("n") - F.floor(F.col("n") / 5)).cast("int") - weight
+    often = table.groupBy("hash").count().where(F.col("count") > hot)
+    table = table.join(often, "hash", "left").withColumn("need", need).withColumn("many", F.col("count").isNotNull() & (F.col("need") > 0)).drop("count")
+    table = stage(table, "seeds")
+    counts = table.groupBy("kind", "many").count().collect()  # a few masks
+    kinds = {r["kind"] for r in counts}
+    bits, n = _bits(table, sum(r["count"] for r in counts))
     types = dict(docs.dtypes)
     fields = "".join(f"{c} {types[c]}, " for c in keep)
     suspects = docs.select(*keep, "text").mapInArrow(_suspects(bits, n, [_KINDS[k] for k in sorted(kinds)], list(keep)), f"row long, {fields}words binary, hash array<long>, at array<long>")
     suspects = stage(suspects, "suspects")
     own = suspects.select("row", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("row", "s.hash", "s.at")
-    met = own.join(table, "hash").select("row", "item", "n", (F.col("at") - F.col("place")).alias("begin")).distinct()
+    met = own.join(table.where("not many"), "hash").select("row", "item", "n", (F.col("at") - F.col("place")).alias("begin"))
+    if any(r["many"] for r in counts):
+        met = met.unionByName(_shared(table.where("many"), items, own, suspects))
+    met = met.distinct()
     met = met.join(items.select("item", "item_id", "words"), "item")
     rows = suspects.select("row", *keep, F.col("words").alias("text_words"))
     # the words of the text that lie beside the item's
@@ -215,7 +296,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Null and empty texts have no leaks; texts of any length are read whole. Items with fewer than ``min_item_words`` words
     (null ones too) carry too little to tell a leak and are not looked for; with a smaller ``min_item_words`` those
     below 5 words are found where they stand whole. A null item_id counts as -1. Items that are repeated, or
-    share an id, are all looked for, and the best is kept. Rows that repeat, or share a doc_id, report each their own; a
+    share an id, are all looked for, and the best is kept. Seeds of more than ``hot`` items (items made from a template) are
+    looked up with words beside them that fewer items have, which changes no result. Rows that repeat, or share a doc_id, report each their own; a
     null doc_id reports as null. Other columns are not looked at. Empty inputs give no rows.
     """
     return leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ("doc_id",), **options)

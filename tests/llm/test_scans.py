@@ -62,6 +62,46 @@ def leaked(text, items, min_words=13):
     return out
 
 
+def test_seeds_that_many_items_share(spark, monkeypatch):
+    """What is asked beside a shared seed takes no alignment away: items of all lengths, templates, repeated words, parts of items."""
+    rng = np.random.default_rng(11)
+    some = lambda k, of=3000: [f"w{i}" for i in rng.integers(0, of, k)]
+    templates = [some(8), some(14), ["so"] * 6]
+    items = [templates[i % 3] + some(int(rng.integers(0, 30))) for i in range(60)] + [some(int(rng.integers(1, 40)), 5) for _ in range(40)]
+    texts = [some(10) + templates[i % 3][: int(rng.integers(3, 15))] + some(20) for i in range(30)] + [some(60, 5) for _ in range(10)] + [["so"] * 40, [], None]
+    for item in items[::2]:
+        own = list(item)
+        for i in rng.integers(0, len(own), len(own) // 6):
+            own[i] = "changed"
+        cut = int(rng.integers(0, 4))
+        texts.append((some(3) + own)[cut:] + some(2))
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    sent = []
+    shared = D._shared
+    monkeypatch.setattr(D, "_shared", lambda table, *rest: sent.append(table.count()) or shared(table, *rest))
+    for options in ({}, {"min_item_words": 1}, {"min_words": 6, "min_item_words": 3}):
+        plain = sorted(D.find_leaks(docs, bench, hot=10**9, **options).collect())
+        assert not sent and len(plain) > 40
+        for hot in (0, 5):
+            assert sorted(D.find_leaks(docs, bench, hot=hot, **options).collect()) == plain
+            assert sent.pop() > 100
+
+
+def test_a_template_is_not_looked_up(spark, monkeypatch):
+    """Texts that have most of a template meet none of its items but those that leaked."""
+    rng = np.random.default_rng(12)
+    some = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 10**6, k))
+    head = "what is the capital of the country named"
+    items = [(i, f"{head} {some(7)}") for i in range(400)]
+    texts = [(i, f"{some(9)} {head[:-6]} {some(30)}") for i in range(400)] + [(400 + i, f"{some(3)} {items[i][1]} {some(3)}") for i in range(5)]
+    met, shared = [], D._shared
+    monkeypatch.setattr(D, "_shared", lambda *given: met.append(shared(*given)) or met[-1])
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()) == [(400 + i, i) for i in range(5)]
+    assert met[0].distinct().count() == 5
+
+
 def test_leaks_against_all_alignments(spark):
     rng = random.Random(11)
     items = [(i, words(rng, n)) for i, n in enumerate(n for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 30, 45) for _ in range(8))]
