@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ from barwright.plans.chains import chained
 from barwright.plans.config import BacktestConfig, PolicyConfig, RiskConfig
 
 DAY_MS = 86_400_000
+#: Bars without a change after which the next one is looked for rather than gone to bar by bar.
+QUIET = 24
+#: Bars that are gone to one by one before their results are put in columns.
+MOST = 4096
 RESULT = "position double, bar_ret double, trade_cost double, funding_cost double, net_ret double, equity double, exit string, trade long, side int"
 
 
@@ -81,6 +87,16 @@ def fast(df: DataFrame, leverage: float, cost: float, keys: list[str], signal: s
     return base.select(*keys, W.TIME, *placed, "close", "position", "bar_ret", "trade_cost", "funding_cost", "net_ret", "equity", "exit", "trade", F.col("side").cast("int").alias("side"))
 
 
+class Bars(NamedTuple):
+    close: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+    funding: np.ndarray
+    wanted: np.ndarray
+    barred: np.ndarray
+    ms: np.ndarray
+
+
 class Book:
     """The state of one series and strategy between bars."""
 
@@ -174,12 +190,78 @@ class Book:
         self.equity = max(self.equity * (1.0 + net), 0.0)
         return side * self.lev, ret, cost, paid, net, self.equity, kind, (trade if side else None), side
 
+    def _next_event(self, at: int, bars: Bars) -> int:
+        """The first bar from ``at`` on that may change the side; it is looked for in stretches that grow."""
+        n, size = len(bars.close), 64
+        free = at + self.min_hold - self.held - 1  # the first bar that a wish may end
+        levels = []
+        if self.side and self.sl is not None:
+            levels.append((self.side > 0, self.entry * (1 - self.side * self.sl)))
+        if self.side and self.tp is not None:
+            levels.append((self.side < 0, self.entry * (1 + self.side * self.tp)))
+        while at < n:
+            part = slice(at, min(at + size, n))
+            if self.side:
+                found = (bars.wanted[part] != self.side) & (np.arange(part.start, part.stop) >= free)
+                for from_above, price in levels:
+                    found |= bars.low[part] <= price if from_above else bars.high[part] >= price
+            else:
+                found = (bars.wanted[part] != 0) & ~bars.barred[part]
+            hits = np.flatnonzero(found)
+            if len(hits):
+                return at + int(hits[0])
+            at, size = part.stop, 2 * size
+        return n
+
+    def _pass_over(self, a: int, b: int, bars: Bars, out: dict[str, np.ndarray]) -> None:
+        """Bars in which the side stays: what ``bar`` does, in the same order of operations."""
+        own = slice(a, b)
+        if self.most_losses:
+            days = bars.ms[own] // DAY_MS
+            if (days != self.day).any():
+                self.latched, self.losses = False, 0
+            self.day = int(days[-1])
+        if self.side:
+            close = bars.close[own]
+            before = np.concatenate([[self.close], close[:-1]])
+            with np.errstate(all="ignore"):
+                ret = np.where(before != 0, (close - before) / before * self.side * self.lev, 0.0)
+                paid = self.side * self.lev * bars.funding[own] / 8.0
+                net = np.maximum(ret - paid, -1.0)
+                equity = np.multiply.accumulate(np.concatenate([[self.equity], 1.0 + net]))[1:]
+            self.pnl = float(np.add.accumulate(np.concatenate([[self.pnl], ret]))[-1])
+            self.held += b - a
+            self.equity = float(equity[-1])
+            for name, x in (("position", self.side * self.lev), ("bar_ret", ret), ("funding_cost", paid), ("net_ret", net), ("equity", equity), ("trade", self.trade), ("side", self.side)):
+                out[name][own] = x
+        else:
+            out["equity"][own] = self.equity
+        self.close, self.ms = float(bars.close[b - 1]), int(bars.ms[b - 1])
+
     def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
-        columns = [frame[c].to_numpy() for c in ("close", "high", "low", "__bw_funding", "__bw_signal", "__bw_barred", "__bw_ms")]
-        rows = [self.bar(float(c), float(h), float(lo), float(f), int(s), bool(b), int(ms)) for c, h, lo, f, s, b, ms in zip(*columns, strict=True)]
-        names = [x.split()[0] for x in RESULT.split(", ")]
-        out = pd.DataFrame(rows, columns=names, index=frame.index).astype({"trade": "Int64"})
-        return pd.concat([frame.drop(columns=[c for c in names if c in frame]), out], axis=1)
+        """Bar by bar where the side changes often; after a while without a change, on to the next bar that may bring one."""
+        bars = Bars(*[frame[c].to_numpy().astype(t) for c, t in (("close", float), ("high", float), ("low", float), ("__bw_funding", float), ("__bw_signal", int), ("__bw_barred", bool), ("__bw_ms", int))])
+        rows = list(zip(*[x.tolist() for x in bars], strict=True))
+        names, n = [x.split()[0] for x in RESULT.split(", ")], len(rows)
+        out = {name: np.zeros(n) for name in names} | {"exit": np.full(n, "", object), "side": np.zeros(n, np.int64), "trade": np.full(n, -1, np.int64)}
+        at = 0
+        while at < n:
+            start, quiet, done = at, 0, []
+            for row in rows[at : at + MOST]:
+                side = self.side
+                done.append(self.bar(*row))
+                quiet = quiet + 1 if self.side == side and not done[-1][6] else 0
+                if quiet >= QUIET:
+                    break
+            at += len(done)
+            for name, column in zip(names, zip(*done, strict=True), strict=True):
+                out[name][start:at] = [-1 if x is None else x for x in column] if name == "trade" else column
+            if quiet >= QUIET and (end := self._next_event(at, bars)) > at:
+                self._pass_over(at, end, bars, out)
+                at = end
+        made = pd.DataFrame(out, index=frame.index)
+        made["trade"] = made["trade"].astype("Int64").mask(made["trade"] < 0)
+        return pd.concat([frame.drop(columns=[c for c in names if c in frame]), made], axis=1)
 
 
 def machine(df: DataFrame, risk: RiskConfig, cost: float, min_hold: int, policy: PolicyConfig, keys: list[str], signal: str = "signal") -> tuple[DataFrame, Callable[[], Book], str]:

@@ -1,6 +1,9 @@
 import datetime as dt
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from barwright.operators import backtest as B
@@ -107,3 +110,29 @@ def test_policies(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="high"):
         B.run(frame(spark, [1], [0]).drop("high"))
+
+
+@pytest.mark.parametrize("keep", [1, 4, 60])
+@pytest.mark.parametrize("broken", [False, True])
+def test_passing_over_equals_bar_by_bar(monkeypatch, keep, broken):
+    """Bars in which the side stays give the very same numbers, whatever the stops, holding times, limits and cuts into batches."""
+    rng, n = np.random.default_rng(keep), 500
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.003, n)))
+    if broken:
+        close[rng.random(n) < 0.004] = 0.0
+        close[rng.random(n) < 0.004] = np.nan
+    bars = pd.DataFrame({
+        "close": close, "high": close * 1.002, "low": close * 0.998, "__bw_funding": rng.normal(0, 1e-4, n), "__bw_signal": np.repeat(rng.integers(-1, 2, n // keep + 1), keep)[:n],
+        "__bw_barred": rng.random(n) < 0.1, "__bw_ms": 1_704_067_200_000 + np.arange(n) * 3_600_000,
+    })
+    for risk, hold, policy in itertools.product(
+        (RiskConfig(2.0, None, None), RiskConfig(2.0, 0.05, 0.03), RiskConfig(60.0, 0.3, None)), (0, 5, 90), (PolicyConfig(), PolicyConfig((), (), 15, 2, 0), PolicyConfig((), (), 15, 3, 1))
+    ):
+        done = []
+        for quiet in (10**9, 1, 6):
+            monkeypatch.setattr(B, "QUIET", quiet)
+            book = B.Book(risk, 0.001, hold, policy)
+            done.append((pd.concat([book(bars.iloc[a : a + 170]) for a in range(0, n, 170)]), repr(book.hand_over()), repr(book.totals())))
+        for other in done[1:]:
+            pd.testing.assert_frame_equal(done[0][0], other[0], check_exact=True)
+            assert done[0][1:] == other[1:]
