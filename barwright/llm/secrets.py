@@ -10,9 +10,8 @@ The battery takes every run of 20 or more characters that text in an encoding wo
 
 The smallest of the four p-values, corrected for being one of four, tells how random a run looks. A run is reported
 if it looks more random than an ordinary run of its length can be expected to. Ordinary runs are identifiers, paths and slugs: words
-put together. How random these look is known from decoys: every document gives one for each length class, words of its own from a
-place drawn by a hash, put together as such names are (cases, hyphens, low lines, slashes, numbers), cut to the class's
-length. The share of a class's decoys that look at least as random as a run is the
+put together. How random these look is known from decoys: all words of every document, some dozens at a time in the order of the text, are put
+together as such names are (cases, hyphens, low lines, slashes, numbers), and each name is cut into pieces of the length of a class. The share of a class's decoys that look at least as random as a run is the
 run's p-value against being ordinary, and in each class the false discovery rate among the reported runs
 (Benjamini and Hochberg) is held at half of ``rate``; a run that the battery calls not random is not reported either. Where runs are too short for the tests to speak, or decoys too few,
 decoys pass as well as runs do, and nothing is reported that way.
@@ -74,8 +73,9 @@ def _tail(z: str) -> str:
     return f"1 / (1 + exp(least(700D, greatest(-700D, 0.07056 * pow({z}, 3) + 1.5976 * ({z})))))"
 
 
-_CODES = "transform(split(lower(u), ''), c -> ascii(c) - 97)"
-_PLACES = "filter(transform(sequence(1, greatest(1, size(c) - 1)), i -> case when c[i - 1] between 0 and 25 and c[i] between 0 and 25 then c[i - 1] * 26 + c[i] end), x -> x is not null)"
+#: The neighbouring letters of run u, as strings of two, and the place of such a string x in a table of pairs.
+_PAIRS = "regexp_extract_all(lower(u), '(?=([a-z][a-z]))', 1)"
+_PLACE = f"ascii(x) * 26 + ascii(substring(x, 2, 1)) - {97 * 27}"
 
 
 def _table(pairs: list[float]) -> str:
@@ -84,8 +84,8 @@ def _table(pairs: list[float]) -> str:
 
 def unlike_words(token: str, pairs: list[float]) -> str:
     """SQL for -ln p, in halves and at most ``MOST_HALVES``, of a run's letter pairs under the corpus's."""
-    total = f"aggregate(q, 0D, (a, x) -> a + {_table(pairs)}[x])"
-    return _bind(token, "u", _bind(_CODES, "c", _bind(_PLACES, "q", f"cast(least({MOST_HALVES}D, greatest(0D, floor(-2 * {total}))) as int)")))
+    total = f"aggregate(q, 0D, (a, x) -> a + {_table(pairs)}[{_PLACE}])"
+    return _bind(token, "u", _bind(_PAIRS, "q", f"cast(least({MOST_HALVES}D, greatest(0D, floor(-2 * {total}))) as int)"))
 
 
 def _pairs_test(pairs: list[float]) -> str:
@@ -97,12 +97,15 @@ def _pairs_test(pairs: list[float]) -> str:
         return mean, sum((x - mean) ** 2 for x in own) / len(own)
 
     (m, v), (m16, v16) = moments(range(26)), moments(range(6))
-    z = f"(aggregate(q, 0D, (a, x) -> a + {_table(pairs)}[x]) - size(q) * if(k = 16, {m16!r}D, {m!r}D)) / sqrt(size(q) * if(k = 16, {v16!r}D, {v!r}D))"
-    return _bind(_CODES, "c", _bind(_PLACES, "q", f"case when size(q) < 6 or if(k = 16, {v16!r}D, {v!r}D) < 1e-9 then 1D else {_tail(z)} end"))
+    z = f"(aggregate(q, 0D, (a, x) -> a + {_table(pairs)}[{_PLACE}]) - size(q) * if(k = 16, {m16!r}D, {m!r}D)) / sqrt(size(q) * if(k = 16, {v16!r}D, {v!r}D))"
+    return _bind(_PAIRS, "q", f"case when size(q) < 6 or if(k = 16, {v16!r}D, {v!r}D) < 1e-9 then 1D else {_tail(z)} end")
 
 
-def randomness(token: str, pairs: list[float] | None = None) -> str:
-    """SQL for the p-value of a run: small if its characters are not random in the encoding it seems to have; without ``pairs``, three tests."""
+def randomness(token: str, pairs: list[float] | None = None, least: float = 0.0) -> str:
+    """SQL for the p-value of a run: small if its characters are not random in the encoding it seems to have; without ``pairs``, three tests.
+
+    Where the letter pairs alone put it below ``least``, the other tests are not made, and some value below ``least`` is given.
+    """
     alphabet = "case k when 10 then '0123456789' when 16 then '0123456789abcdef' when 32 then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' else 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' end"
     kind = "case when u rlike '^[0-9]+$' then 10 when u rlike '^[0-9a-f]+$' or u rlike '^[0-9A-F]+$' then 16 when u rlike '^[A-Z2-7]+$' then 32 else 64 end"
     n = "cast(size(v) as double)"
@@ -111,10 +114,13 @@ def randomness(token: str, pairs: list[float] | None = None) -> str:
     high = "cast(size(filter(v, x -> x * 2 >= k)) as double)"
     runs = _bind(high, "h", f"case when h = 0 or h = {n} then 40D else ({turns} - (2 * h * ({n} - h) / {n} + 1)) / sqrt(greatest(1e-9, 2 * h * ({n} - h) * (2 * h * ({n} - h) - {n}) / ({n} * {n} * ({n} - 1)))) end")
     serial = f"aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - (k - 1) / 2D) * (v[i - 1] - (k - 1) / 2D)) / sqrt({n} - 1) / ((k * k - 1) / 12D)"
-    tests = [_tail(chi), f"2 * {_bind(f'abs({runs})', 'z', _tail('z'))}", f"2 * {_bind(f'abs({serial})', 'z', _tail('z'))}", *([_pairs_test(pairs)] if pairs else [])]
+    tests = [_tail(chi), f"2 * {_bind(f'abs({runs})', 'z', _tail('z'))}", f"2 * {_bind(f'abs({serial})', 'z', _tail('z'))}", *(["w"] if pairs else [])]
     p = f"least(1D, {len(tests)} * least({', '.join(tests)}))"
     values = f"transform(filter(split(case k when 16 then lower(u) else u end, ''), c -> c <> ''), c -> instr({alphabet}, c) - 1)"
-    return _bind(f"translate(rtrim('=', {token}), '-_', '+/')", "u", _bind(kind, "k", _bind(values, "v", p)))
+    p = _bind(values, "v", p)
+    if pairs:
+        p = _bind(_pairs_test(pairs), "w", f"case when {len(tests)} * w < {least!r}D then {len(tests)} * w else {p} end")
+    return _bind(f"translate(rtrim('=', {token}), '-_', '+/')", "u", _bind(kind, "k", p))
 
 
 def _step(p: str) -> str:
@@ -129,39 +135,41 @@ def _class(token: str) -> str:
 _ASKED = "(t rlike '^[0-9]+=*$' or t rlike '[0-9]' and t rlike '[A-Za-z]' or t rlike '[a-z]' and t rlike '[A-Z]')"
 
 
-#: Characters that a document's decoys and letter pairs are drawn from, at one place.
-_DRAWN = 12 * CLASSES[-1]
-
-
-def _drawn(text: str) -> str:
-    """SQL for a piece of a text at a place drawn by its hash, without runs."""
-    place = f"cast(pmod(xxhash64({text}), greatest(1, length({text}) - {_DRAWN})) as int) + 1"
-    return f"regexp_replace(substring({text}, {place}, {_DRAWN}), {_sql(RUN)}, ' ')"
+#: Words of a name that decoys are cut from, and the class of each of six names in turn: about as many pieces in each class.
+NAME_WORDS, NAME_CLASSES = 32, (0, 1, 1, 2, 2, 2)
 
 
 def _decoys(text: str) -> str:
-    """SQL for the decoys of a text: its words as one name, in a style drawn by its hash, cut to each class's length."""
-    number = "cast(pmod(h + i, 100) as string)"
-    mixed = lambda word: f"transform(w, (x, i) -> if(pmod(h + i, 3) = 0, concat({word}, {number}), {word}))"
+    """SQL for the decoys of a text: all its words outside runs as names of ``NAME_WORDS``, each in a style and for a class drawn by the
+    text's hash and the name's place; a name is cut into pieces of its class's length, the last of which ends where the name does."""
+    number = "cast(pmod(g + i, 100) as string)"
+    mixed = lambda word: f"transform(w, (x, i) -> if(pmod(g + i, 3) = 0, concat({word}, {number}), {word}))"
     styles = [
         "concat(lower(w[0]), array_join(transform(slice(w, 2, size(w)), x -> initcap(lower(x))), ''))", "array_join(transform(w, x -> initcap(lower(x))), '')",
         f"array_join({mixed('initcap(lower(x))')}, '')", *[f"array_join({mixed(word)}, '{mark}')" for word, mark in (("lower(x)", "-"), ("lower(x)", "_"), ("upper(x)", "_"), ("lower(x)", "/"), ("initcap(lower(x))", "/"))],
     ]
-    name = "case pmod(h, " + f"{len(styles)}) " + " ".join(f"when {i} then {x}" for i, x in enumerate(styles)) + " end"
-    sizes = f"array({', '.join(map(str, CLASSES))})"
-    cut = f"filter(transform({sizes}, n -> substring(d, 1, n)), (t, i) -> length(t) = {sizes}[i] and {_ASKED})"
-    words = f"regexp_extract_all({_drawn(text)}, '[A-Za-z]{{2,}}', 0)"
-    return _bind(words, "w", _bind(f"pmod(xxhash64({text}, 1), 1000003)", "h", _bind(f"case when size(w) < 2 then '' else {name} end", "d", cut)))
+    name = f"case when size(w) < 2 then '' else case pmod(g, {len(styles)}) " + " ".join(f"when {i} then {x}" for i, x in enumerate(styles)) + " end end"
+    drawn = f"array({', '.join(str(CLASSES[i]) for i in NAME_CLASSES)})[pmod(g div {len(styles)}, {len(NAME_CLASSES)})]"
+    # a name too short for its class goes to the longest class that it reaches
+    size = f"case when length(d) >= {drawn} then {drawn} " + " ".join(f"when length(d) >= {n} then {n}" for n in reversed(CLASSES)) + " end"
+    pieces = "transform(sequence(0, (length(d) - 1) div n), j -> substring(d, least(cast(j * n as int), length(d) - n) + 1, n))"
+    cut = _bind(name, "d", _bind(size, "n", f"case when n is null then cast(array() as array<string>) else filter({pieces}, t -> {_ASKED}) end"))
+    names = f"transform(sequence(0, (size(a) - 1) div {NAME_WORDS}), j -> slice(a, cast(j * {NAME_WORDS} + 1 as int), {NAME_WORDS}))"
+    words = f"regexp_extract_all(regexp_replace({text}, {_sql(RUN)}, ' '), '[A-Za-z]{{2,}}', 0)"
+    each = f"flatten(transform({names}, (w, j) -> {_bind('pmod(h + j * 7919, 1000003)', 'g', cut)}))"
+    return _bind(words, "a", f"case when size(a) < 2 then cast(array() as array<string>) else {_bind(f'pmod(xxhash64({text}, 1), 1000003)', 'h', each)} end")
 
 
 def letter_pairs(docs: DataFrame, floor: float = 0.5) -> list[float]:
     """For each pair of letters a, b (place 26 * a + b) the log of how much likelier b follows a than 1 in 26, in all rows of ``docs``.
 
-    A document gives the pairs within words of the piece that decoys are drawn from, up to 128 characters; 676 sums reach the driver.
+    All neighbouring letters of the whole texts count, A-Z as a-z, but for those in runs. Stretches of a run's characters that are too short for one
+    are counted first, each with its number, so that a frequent word is cut into pairs once; 676 sums reach the driver.
     """
-    piece = docs.select(F.expr(f"lower(substring({_drawn('text')}, 1, 128))").alias("d")).where("length(d) > 1")
-    pairs = piece.select(F.expr("explode(filter(transform(sequence(1, length(d) - 1), i -> substring(d, i, 2)), x -> x rlike '^[a-z]{2}$'))").alias("pair"))
-    seen = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+    parts = docs.select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z0-9+/_-]{2,}', 0)")).alias("part")).where(f"length(part) < {CLASSES[0]} and part rlike '[A-Za-z]{{2}}'")
+    parts = parts.groupBy(F.lower("part").alias("u")).agg(F.count("*").alias("n"))
+    pairs = parts.select(F.explode(F.expr(_PAIRS)).alias("pair"), "n")
+    seen = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     letters = "abcdefghijklmnopqrstuvwxyz"
     return [math.log(26 * (seen.get(a + b, 0) + floor) / (sum(seen.get(a + c, 0) for c in letters) + 26 * floor)) for a in letters for b in letters]
 
@@ -176,7 +184,7 @@ def thresholds(docs: DataFrame, pairs: list[float], rate: float = 0.05, level: f
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     runs = F.expr(f"transform(filter(regexp_extract_all(text, {_sql(RUN)}, 0), t -> {_ASKED}), t -> named_struct('t', t, 'run', 1))")
     both = text.select(F.explode(F.concat(runs, F.expr(f"transform({_decoys('text')}, t -> named_struct('t', t, 'run', 0))"))).alias("x")).select("x.t", "x.run")
-    both = both.selectExpr("t", "run", f"{_class('t')} as class", f"{_step(randomness('t', pairs))} as step")
+    both = both.selectExpr("t", "run", f"{_class('t')} as class", f"{_step(randomness('t', pairs, level / 2))} as step")
     counts = both.selectExpr("class", "step", "run", f"if(run = 1 and step <= {-math.log(level) * STEPS}, {unlike_words('t', pairs)}, 0) as halves")
     counts = stage(counts.groupBy("class", "step", "halves").agg(F.sum("run").alias("runs"), F.sum(1 - F.col("run")).alias("decoys")), "run-counts")
     up, all_ = "over (partition by class order by step rows unbounded preceding)", "over (partition by class)"
@@ -214,7 +222,7 @@ def span_columns(docs: DataFrame, rate: float = 0.05, level: float = 0.01) -> tu
     base = f"array_sort(concat({empty}, {long_enough}, {spans['access']}, {spans['hex']}))"
     df = df.withColumn(m["base"], F.expr(base))
     most, least = ("case " + " ".join(f"when length(s.token) >= {n} then {limits[n][i]}" for n in reversed(CLASSES)) + " end" for i in (0, 1))
-    passes = _bind(_step(randomness("s.token", pairs)), "g", f"g <= {most} or g <= {-math.log(level) * STEPS} and {unlike_words('s.token', pairs)} >= {least}")
+    passes = _bind(_step(randomness("s.token", pairs, level / 2)), "g", f"g <= {most} or g <= {-math.log(level) * STEPS} and {unlike_words('s.token', pairs)} >= {least}")
     # base spans are in order of their starts: blocks of them, with the reach of each, are passed over as a whole
     blocks = f"transform(sequence(0, (size({q['base']}) - 1) div b), j -> slice({q['base']}, cast(j * b + 1 as int), b))"
     reach = _bind(f"cast(ceil(sqrt(size({q['base']}))) as int)", "b", f"transform({blocks}, k -> named_struct('lo', k[0].start, 'hi', array_max(transform(k, x -> x.end)), 'k', k))")

@@ -351,6 +351,31 @@ def test_a_key_among_a_thousand_identifiers(spark):
     assert len(set(got) & set(keys)) >= 2 and len(got) <= 5
 
 
+def test_letter_pairs_of_whole_texts(spark):
+    import math
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(("Alpha", "beta-7", "x" * 25, "ga_mma", "é𝒳delta", "q", "12")) for _ in range(700)) + " zebra jumping" * 40 for _ in range(5)] + ["", None, "AB", "kV" * 30]
+    seen = [p for t in texts for w in re.findall("[A-Za-z]+", re.sub("[A-Za-z0-9+/_-]{20,}", " ", t or "")) for p in itertools.pairwise(w.lower())]
+    after = {a: sum(x == a for x, _ in seen) for a in "abcdefghijklmnopqrstuvwxyz"}
+    want = [math.log(26 * (sum(p == (a, b) for p in seen if p[0] == a) + 0.5) / (n + 13)) for a, n in after.items() for b in after]
+    got = S.letter_pairs(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 1e-12
+
+
+def test_decoys_of_whole_texts(spark):
+    rng = random.Random(22)
+    texts = {i: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(600)] for i in range(30)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()] + [(90, ""), (91, "one"), (92, "two words"), (93, "A1" * 20)]
+    got = {r.i: r.d for r in spark.createDataFrame(rows, "i long, text string").selectExpr("i", S._decoys("text") + " as d").collect()}
+    assert not any(got[i] for i in (90, 91, 92, 93))
+    assert {len(d) for i in texts for d in got[i]} == set(S.CLASSES)
+    # words at any place of a text are in decoys, but where these have neither digits nor cases or cut a word in two
+    letters = {i: re.sub("[^a-z]", "", "".join(d).lower()) for i, d in got.items()}
+    for part in (slice(0, 200), slice(200, 400), slice(400, 600)):
+        assert sum(w in letters[i] for i in texts for w in texts[i][part]) > 0.6 * 200 * len(texts)
+
+
 def test_false_discoveries_among_what_is_reported(spark):
     rng = random.Random(7)
     syllables = ["tion", "the", "ing", "er", "and", "on", "an", "re", "st", "en", "of", "to"]
