@@ -452,3 +452,19 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
     for _, f in C.STAGES[:-1]:
         assert f(spark, df.where("false"), str(tmp_path)).count() == 0 and f(spark, df, str(tmp_path)).columns == df.columns
     assert C.good_quality(spark, df, str(tmp_path)).count() == len(rows) == C.no_leaks(spark, df, str(tmp_path)).count()
+
+
+def test_the_stage_of_secrets_reads_whole_texts(spark):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as C
+
+    rng = random.Random(31)
+    syllables = ["tion", "the", "ing", "er", "and", "on", "an", "re", "st", "en", "of", "to"]
+    prose = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    keys, plain = keys_and_plain(rng, 200)
+    # words stand only in some hundredths of each text, behind numbers
+    rows = [(i, f"{'1 2 3 ' * 5000}{prose(60)} see {k} here {prose(60)}") for i, k in enumerate(keys + plain)]
+    out = {r.doc_id: r.text for r in C.no_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    true = sum("see [secret] here" in out[i] for i in range(len(keys)))
+    false = sum("[secret]" in out[i] for i, p in enumerate(plain, len(keys)) if not re.search("[0-9a-f]{24}", p))  # (these are hex of the fixed patterns)
+    assert true >= 0.9 * len(keys) and false <= 0.1 * (true + false)
