@@ -16,6 +16,7 @@ from barwright.llm.jaccard_join import jaccard_components
 from barwright.llm.packing import pack
 from barwright.llm.quality import score_column, train
 from barwright.llm.secrets import redact_secrets
+from barwright.plans.bits import may_be_among
 from barwright.plans.shared import stage
 
 
@@ -43,12 +44,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = docs.join(several, "doc_id", "left").withColumn(many, F.col(many).isNotNull() | F.col("doc_id").isNull())
     named = named.withColumn(row, F.when(F.col(many), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
     found = jaccard_components(named.select(F.col(row).alias("doc_id"), "text"))
-    kept = stage(found.where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct(), "kept")
-    kept = named.join(kept, row, "left_semi")
+    # of the texts, only those are shuffled that may be dropped or share an id
+    dropped = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)).distinct(), "dropped")
+    perhaps = free("perhaps")
+    told = may_be_among(named, row, dropped, perhaps).withColumn(perhaps, F.col(perhaps) | F.col(many))
+    asked = told.where(f"`{perhaps}`").join(dropped, row, "left_anti")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    first = kept.where(f"`{many}`").withColumn(free("nth"), F.row_number().over(Window.partitionBy(row).orderBy(whole))).where(f"`{free('nth')}` = 1")
+    first = asked.withColumn(free("nth"), F.row_number().over(Window.partitionBy(row, many).orderBy(whole))).where(f"`{free('nth')}` = 1")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.where(f"not `{many}`").select(*columns).union(first.select(*columns))
+    return told.where(f"not `{perhaps}`").select(*columns).union(first.select(*columns))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -468,3 +468,42 @@ def test_the_stage_of_secrets_reads_whole_texts(spark):
     true = sum("see [secret] here" in out[i] for i in range(len(keys)))
     false = sum("[secret]" in out[i] for i, p in enumerate(plain, len(keys)) if not re.search("[0-9a-f]{24}", p))  # (these are hex of the fixed patterns)
     assert true >= 0.9 * len(keys) and false <= 0.1 * (true + false)
+
+
+def test_bits_mark_every_row_of_an_id(spark):
+    from barwright.plans.bits import may_be_among
+
+    rng = random.Random(32)
+    own = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    others = [rng.randrange(-(2**63), 2**63) for _ in range(9000)]
+    df = spark.createDataFrame([(x, "t") for x in own[:1500] + others] + [(None, "n"), (own[0], "again")], "k long, t string").repartition(3)
+    ids = spark.createDataFrame([(x,) for x in own] + [(None,)], "id long")
+    for most, share in ((27, 0.06), (15, 0.2)):
+        got = may_be_among(df, "k", ids, "m", most)
+        assert got.columns == ["k", "t", "m"]
+        got = got.collect()
+        assert len(got) == 10502 and all(r.m for r in got if r.k in set(own)) and not any(r.m for r in got if r.k is None)
+        assert sum(r.m for r in got if r.k in set(others)) < share * len(others)
+    assert not any(r.m for r in may_be_among(df, "k", ids.where("false"), "m").collect())
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as C
+
+    rng = random.Random(33)
+    texts = [" ".join(words(rng, 30)) for _ in range(3000)]
+    for i in range(10, 3000, 30):
+        texts[i] = texts[i - 7]
+    ids = [i * 1009 % 3001 for i in range(3000)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # the ids of what stays are more
+    try:
+        got = [r.doc_id for r in C.one_of_each_group(spark, df, "").select("doc_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted(set(ids) - {max(ids[i], ids[i - 7]) for i in range(10, 3000, 30)})
+    # rows that are not shuffled come in the order in which they are read
+    place = {d: i for i, d in enumerate(ids)}
+    assert sum(0 < place[b] - place[a] < 9 for a, b in itertools.pairwise(got)) > 0.8 * len(got)
