@@ -123,6 +123,29 @@ def randomness(token: str, pairs: list[float] | None = None, least: float = 0.0)
     return _bind(f"translate(rtrim('=', {token}), '-_', '+/')", "u", _bind(kind, "k", p))
 
 
+#: Frequent letters, whose counts alone tell most ordinary runs from chance.
+FREQUENT = "etaoinsrhldcum"
+
+
+def unlike_chance(token: str, n: str, letters: str, least: float) -> str:
+    """SQL that is true only of runs whose chi-squared test alone puts the p-value of the four tests below ``least``.
+
+    ``n`` and ``letters`` name columns of ``told_by``. Of the characters' counts, the squares of ``FREQUENT`` letters are added up and every other
+    character counts once: no more than the whole sum, so what is true here is so in the battery; the rest is left to it. No step is
+    made for each character. Only runs that are base 64 for sure are told.
+    """
+    # (c - 1/2) ** 2 - 1/4 is the square of a count less the count: what a letter adds where every character counts once
+    more = " + ".join(f"pow({n} - length(replace({letters}, '{x}', '')) - 0.5D, 2)" for x in FREQUENT)
+    z = f"(({n} + {more} - {len(FREQUENT) / 4!r}D) * 64 / {n} - {n} - 63) / sqrt(126D * ({n} - 1) / {n})"
+    return f"({token} rlike '[g-z+/_-]' and 4 * {_tail(z)} < {least!r}D)"
+
+
+def told_by(token: str) -> tuple[str, str]:
+    """SQL for the two columns of ``unlike_chance``: a run's length without its end marks, and the run, in a-z if it has none of them."""
+    bare = f"rtrim('=', {token})"
+    return f"length({bare})", f"if({bare} = upper({bare}), lower({bare}), {bare})"
+
+
 def _step(p: str) -> str:
     return f"cast(least({MOST_STEPS}D, floor(-ln(greatest({p}, 1e-200)) * {STEPS})) as int)"
 
@@ -184,7 +207,10 @@ def thresholds(docs: DataFrame, pairs: list[float], rate: float = 0.05, level: f
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     runs = F.expr(f"transform(filter(regexp_extract_all(text, {_sql(RUN)}, 0), t -> {_ASKED}), t -> named_struct('t', t, 'run', 1))")
     both = text.select(F.explode(F.concat(runs, F.expr(f"transform({_decoys('text')}, t -> named_struct('t', t, 'run', 0))"))).alias("x")).select("x.t", "x.run")
-    both = both.selectExpr("t", "run", f"{_class('t')} as class", f"{_step(randomness('t', pairs, level / 2))} as step")
+    # what a p-value below half the level is does not matter: no bound lies there
+    n, letters = told_by("t")
+    step = f"if({unlike_chance('t', 'n', 'letters', level / 2)}, {MOST_STEPS}, {_step(randomness('t', pairs, level / 2))})"
+    both = both.selectExpr("t", "run", f"{n} as n", f"{letters} as letters").selectExpr("t", "run", f"{_class('t')} as class", f"{step} as step")
     counts = both.selectExpr("class", "step", "run", f"if(run = 1 and step <= {-math.log(level) * STEPS}, {unlike_words('t', pairs)}, 0) as halves")
     counts = stage(counts.groupBy("class", "step", "halves").agg(F.sum("run").alias("runs"), F.sum(1 - F.col("run")).alias("decoys")), "run-counts")
     up, all_ = "over (partition by class order by step rows unbounded preceding)", "over (partition by class)"

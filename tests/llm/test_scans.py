@@ -320,6 +320,20 @@ def test_the_battery_in_sql_equals_the_plain_one(spark):
     assert all(abs(r.p - battery(r.t, pairs)) < 1e-9 for r in got)
 
 
+def test_runs_told_by_their_letters_alone(spark):
+    rng = random.Random(8)
+    keys, plain = keys_and_plain(rng, 200)
+    names = [x[:n] for n in S.CLASSES for _ in range(100) for x in ["".join(w.capitalize() for w in rng.choices(WORDS, k=32)), "_".join(rng.choices(WORDS, k=32)).upper(), "-".join(rng.choices(WORDS, k=32)), "/".join(rng.choices(WORDS, k=32))]]
+    pairs = [random.Random(i).gauss(0, 1) for i in range(676)]
+    df = spark.createDataFrame([(t,) for t in [*keys, *plain, *names, "ab" * 12 + "==", "Q" * 30 + "=", "a" * 30, "A1" * 20]], "t string")
+    n, letters = S.told_by("t")
+    got = {r.t: r.told for r in df.selectExpr("t", f"{n} as n", f"{letters} as letters").selectExpr("t", S.unlike_chance("t", "n", "letters", 0.005) + " as told").collect()}
+    # what is told is so in the battery, whatever the letter pairs; keys are left to it, and most names are not
+    assert all(battery(t, pairs) < 0.005 for t, told in got.items() if told)
+    assert not any(got[t] for t in keys)
+    assert all(sum(got[t] for t in names if len(t) == k) >= share * 400 for k, share in ((20, 0.3), (32, 0.7), (64, 0.9)))
+
+
 WORDS = "the of and key scan alpha node stream config merge sort cache write table user token reader index value handler request session manager storage bucket local remote update delete insert column window number result buffer thread memory public private final static factory builder service client server socket channel message queue worker task".split()
 
 
