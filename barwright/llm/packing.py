@@ -7,21 +7,34 @@ window can be shorter.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barwright.llm.textarrays import give_back
 from barwright.llm.tokens import as_ids, tokenize, with_starts
 from barwright.plans.shared import stage
 
+#: Ids of the rows that are cut at a time, about: a worker holds no more of them at once (a longer row stands alone).
+MOST_IDS = 1 << 18
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``MOST_IDS`` ids."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_tokens").to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // MOST_IDS)) + 1), len(ends)]
+        yield from (batch.slice(int(a), int(b - a)) for a, b in itertools.pairwise(cuts) if b > a)
+    give_back()
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             n, at = (batch.column(c).to_numpy() for c in ("n_tokens", "start"))
             first, last = at // length, (at + n - 1) // length
             count = last - first + 1

@@ -109,3 +109,23 @@ def test_packing(spark):
     assert zlib.crc32(b"".join(x for _, x in long)) == zlib.crc32(np.array([*want, 1], "<u4").tobytes())
     assert sum(r.length for r in got) == sum(len(x) + 1 for x in ids_of([t for _, t in rows]))
     assert pack(df.where("false")).count() == 0
+
+
+def test_a_batch_is_tokenized_and_cut_in_parts(monkeypatch):
+    from types import SimpleNamespace
+
+    from barwright.llm import packing, tokens
+
+    monkeypatch.setattr(tokens, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = ["some words of a text " * 4000, None, "", "x"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "key", "text"])
+    parts = list(tokens._run(tokenizer_path(), 1, ["doc_id", "key"])(iter([batch])))
+    assert len(parts) >= 3 and max(sum(len(x) for x in p.column("ids").to_pylist()) for p in parts) < 2**20
+    rows = pa.Table.from_batches(parts).combine_chunks().rename_columns({"local": "start"})
+    cut = list(packing._cut(2048)(iter(rows.to_batches())))
+    assert len(cut) >= 3 and max(sum(p.column("length").to_pylist()) for p in cut) < 2 * packing.MOST_IDS
+    pieces = [x for p in cut for x in p.to_pylist()]
+    ids = ids_of(texts[:4]) * 40
+    assert b"".join(p["ids"] for p in pieces) == b"".join(np.array([*x, 1], "<u4").tobytes() for x in ids)
+    assert [p["doc_id"] for p in pieces] == sorted(p["doc_id"] for p in pieces) and {p["doc_id"] for p in pieces} == set(range(len(texts)))
+    assert all(p["length"] == 2048 - p["offset"] or p["start"] + p["length"] == p["doc_tokens"] for p in pieces)
