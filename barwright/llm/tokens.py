@@ -12,10 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.textarrays import binary, slices
+from barwright.llm.textarrays import U64, binary, mix, slices, word_hashes
 
 #: Bytes of pieces and their ids that a worker remembers at most; pieces that are encoded as one text.
-ROOM, JOINED = 12 << 20, 512
+ROOM, JOINED = 24 << 20, 512
+#: Bytes of a piece that its hash is made of, besides its length.
+HASHED = 256
 #: Marks that end a word.
 _ENDS = r"([A-Za-z])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
@@ -26,6 +28,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _hashes(names: pa.Array) -> np.ndarray:
+    """A 64-bit number for each piece, by its first bytes and its length."""
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    offs = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    size, out = np.diff(offs), np.zeros(len(names), np.uint64)
+    solid = np.flatnonzero(size)
+    for i in range(0, len(solid), 4096):
+        some = solid[i : i + 4096]
+        data = np.frombuffer(names.buffers()[2], np.uint8)
+        out[some] = mix(word_hashes(data, offs[some], offs[some] + np.minimum(size[some], HASHED), lower=False) + size[some].astype(U64))
+    return out
+
+
 class Encoder:
     """Encodes texts with a tokenizer file whose pre-tokenizer never joins text across white space and lower-cases it.
 
@@ -33,7 +49,8 @@ class Encoder:
     tokenizer cuts too, and each distinct piece is encoded once. Pieces of letters alone are encoded many at a time, as
     one text with blanks between, and told apart by the ids that end a word. A slice in which a special token
     could stand is cut at blanks and line feeds only, so that the library finds these tokens. Pieces are
-    remembered, the first ones up to ``ROOM`` bytes; any other is encoded anew in each slice.
+    remembered, the first ones up to ``ROOM`` bytes; any other is encoded anew in each slice. Remembered ones are found
+    by hashes that stay in order, and then compared, so that a slice costs what its own pieces do.
     """
 
     def __init__(self, path: str, room: int = ROOM):
@@ -42,6 +59,7 @@ class Encoder:
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.pieces = pa.array([], pa.large_string())
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.full = False
         vocabulary, mark = self.tokenizer.get_vocab(with_added_tokens=False), getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -74,9 +92,24 @@ class Encoder:
                 counts.append(n)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _find(self, names: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Which of the remembered pieces each piece is, or -1."""
+        if not len(self.pieces) or not len(names):
+            return np.full(len(names), -1)
+        ranked = np.argsort(hashes)
+        near = np.empty(len(names), np.int64)
+        near[ranked] = np.minimum(np.searchsorted(self.hashes, hashes[ranked]), len(self.hashes) - 1)
+        at = self.order[near].astype(np.int64)
+        like = np.flatnonzero(self.hashes[near] == hashes)
+        same = pc.equal(names.take(pa.array(like)), self.pieces.take(pa.array(at[like]))).to_numpy(zero_copy_only=False)
+        found = np.full(len(names), -1)
+        found[like[same]] = at[like[same]]
+        return found
+
     def _places(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct pieces: ids, and where in them each piece begins and how many it has."""
-        at = pc.index_in(names, self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        hashes = _hashes(names)
+        at = self._find(names, hashes)
         new = at < 0
         begin, count = self.ends[np.maximum(at, 0)], np.zeros(len(names), np.int64)
         count[~new] = (self.ends[1:] - self.ends[:-1])[at[~new]]
@@ -94,11 +127,14 @@ class Encoder:
         ends = len(self.ids) + np.cumsum(c)
         begin[where], count[where] = ends - c, c
         if not self.full:
-            fits = np.cumsum(pc.binary_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64) + 20) + 4 * (ends - len(self.ids)) <= self.room
+            fits = np.cumsum(pc.binary_length(fresh).to_numpy(zero_copy_only=False).astype(np.int64) + 32) + 4 * (ends - len(self.ids)) <= self.room
             m = int(fits.sum())
             self.full = m < len(fresh)
             if m:
-                self.room -= int(pc.sum(pc.binary_length(fresh[:m])).as_py()) + 20 * m + 4 * int(ends[m - 1] - len(self.ids))
+                self.room -= int(pc.sum(pc.binary_length(fresh[:m])).as_py()) + 32 * m + 4 * int(ends[m - 1] - len(self.ids))
+                self.hashes, self.order = np.concatenate([self.hashes, hashes[where[:m]]]), np.concatenate([self.order, np.arange(m, dtype=np.int32) + len(self.pieces)])
+                ranked = np.argsort(self.hashes, kind="stable")
+                self.hashes, self.order = self.hashes[ranked], self.order[ranked]
                 self.pieces = pa.concat_arrays([self.pieces, fresh[:m]])
                 self.ids, self.ends = ids[: ends[m - 1]], np.concatenate([self.ends, ends[:m]])
         return ids, begin, count

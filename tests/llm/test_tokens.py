@@ -45,6 +45,37 @@ def test_a_long_text_of_many_pieces_with_little_room():
     assert small.full and len(small.pieces) < 300
 
 
+def test_a_slice_costs_no_more_with_much_remembered():
+    import time
+
+    def best(n):
+        one = Encoder(tokenizer_path())
+        one.encode(pa.array([" ".join(f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(n))], pa.large_string()))
+        assert len(one.pieces) == n
+        text, took = pa.array(["g h h g a"], pa.large_string()), []
+        for _ in range(30):
+            start = time.process_time()
+            ids, _ = one.encode(text)
+            took.append(time.process_time() - start)
+        assert ids.tolist() == ids_of(["g h h g a"])[0]
+        return min(took)
+
+    assert best(200_000) < 5 * best(100)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    from barwright.llm import tokens
+
+    long = "abcdefgh" * 40
+    texts = ["one two  two\nthree", f"{long}x {long}y {long}x", "", " ", "four one"]
+    for hashes in (tokens._hashes, lambda names: np.full(len(names), 7, np.uint64)):
+        monkeypatch.setattr(tokens, "_hashes", hashes)
+        one = Encoder(tokenizer_path())
+        for some in (texts, texts[::-1], texts[1:2]):
+            ids, counts = one.encode(pa.array(some, pa.large_string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == ids_of(some)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
 def test_any_text(texts):
